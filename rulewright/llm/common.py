@@ -141,6 +141,23 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
 
 
 
+class Recent:
+    """A bounded memory of what was worked out: two generations, of which the older goes when the younger is full."""
+
+    def __init__(self, kept: int):
+        self.kept, self.young, self.old = kept, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """The keys of which nothing is known. What is known of the others is in young until the next call."""
+        if len(self.young) > self.kept:
+            self.old, self.young = self.young, {}
+        new = keys.difference(self.young)
+        again = new.intersection(self.old) if self.old else ()
+        for k in again:
+            self.young[k] = self.old[k]
+        return new.difference(again)
+
+
 def tokenizer_path(name: str) -> str:
     """Where the public vocabulary file of that name lies."""
     import public_tokenizers

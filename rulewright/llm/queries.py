@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rulewright.llm import bpe, packing
 from rulewright.llm.common import read
 from rulewright.llm.jaccard_join import jaccard_join
 
@@ -14,8 +15,18 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_bpe_round_trip": op4_bpe_round_trip,
 }
 
 #: None of these operators has an equivalent in SQL; tests/llm compares each with a brute-force version.
