@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rulewright.llm import bpe, packing
+from rulewright.llm import bpe, language, packing, quality
 from rulewright.llm.common import read
 from rulewright.llm.jaccard_join import jaccard_join
 
@@ -23,10 +23,20 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op10_language_id": op10_language_id,
 }
 
 #: None of these operators has an equivalent in SQL; tests/llm compares each with a brute-force version.

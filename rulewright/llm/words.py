@@ -13,6 +13,8 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(48, 58), *range(97, 123), 95, *range(128, 256)]] = True
+#: Bytes of a stretch without (ASCII) white space or control characters.
+NOT_SPACE = np.arange(256) > 32
 _powers = [np.ones(1, _U), np.ones(1, _U)]
 
 
@@ -40,12 +42,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """Words of a list of texts: hash, first and last byte (in the joined lower-cased bytes), and each text's first word."""
 
-    def __init__(self, texts: list[str]):
-        raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    def __init__(self, texts: list[str], inside_word: np.ndarray = IS_WORD, fold: bool = True):
+        raw = [(t.lower() if fold else t).encode("utf-8", "surrogatepass") for t in texts]
         self.data = b"\n".join(raw)
         data = np.frombuffer(self.data, np.uint8)
         inside = np.zeros(len(data) + 2, bool)
-        inside[1:-1] = IS_WORD[data]
+        inside[1:-1] = inside_word[data]
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         self.start, self.end = edges[::2], edges[1::2]
         text_start = np.zeros(len(texts) + 1, np.int64)
