@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rulewright.session import ship
+
 #: Rows in one Arrow batch that goes to Python; long texts make a batch of 10,000 rows too large for a worker.
 BATCH_ROWS = 1000
 #: Text characters that a Python worker handles at once.
@@ -21,8 +23,9 @@ CHUNK_CHARS = 1 << 20
 
 
 def session(df: DataFrame) -> SparkSession:
-    """The frame's session, with Arrow batches bounded."""
+    """The frame's session, with this package on its executors and Arrow batches bounded."""
     spark = df.sparkSession
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
