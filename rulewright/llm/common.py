@@ -81,17 +81,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def with_row_ids(docs: DataFrame) -> DataFrame:
-    """Columns uid long (unique), doc_id long, text string (null: empty).
+def with_row_ids(docs: DataFrame, **keep: str) -> DataFrame:
+    """Columns uid long (unique), doc_id long, text string (null: empty), and those of keep (name = "type").
 
     uid is doc_id where that is unique and never null; else the rows are written once with a number each.
     """
-    rows = pick(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
+    rows = pick(docs, doc_id="long", text="string", **keep).withColumn("text", F.coalesce("text", F.lit("")))
     ids = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     odd = ids.filter((F.col("n") > 1) | F.col("doc_id").isNull()).limit(1).count()
     if not odd:
-        return rows.select(F.col("doc_id").alias("uid"), "doc_id", "text")
-    return materialize(rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text"), "rows")
+        return rows.select(F.col("doc_id").alias("uid"), "*")
+    return materialize(rows.select(F.monotonically_increasing_id().alias("uid"), "*"), "rows")
 
 
 def chunks(texts: Iterable[str | None], limit: int = CHUNK_CHARS) -> Iterator[list[str]]:
