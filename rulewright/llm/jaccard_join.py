@@ -35,26 +35,10 @@ def shortened(similarity: float, trees: int, depth: int, target: float) -> int:
     return depth
 
 
-def jaccard_join(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, trees: int = 36, max_depth: int = 10, target_recall: float = 0.99999, seed: int = 7, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """Columns doc_id, class_id, n_links (long): a row for each row of docs (doc_id, text).
-
-    Two rows are linked if the Jaccard similarity of their sets of word shingles is at least `similarity`; n_links counts a row's
-    links, class_id is the least doc_id of its connected component of links (the row's own doc_id if it has none).
-
-    Rows with equal shingle sets are one class before anything is paired, so exact copies cost one entry. Each class has `trees`
-    signatures, of which the sorted prefixes are the nodes of a trie. Prefixes start at max_depth and are shortened until pairs at the threshold
-    meet with a chance of target_recall; the members of a node are tied to its least member by one edge each, not pair by pair. Each
-    connected group of such candidates is then compared exactly, all with all, by multiplying 0/1 matrices of its shingles; a
-    group larger than block_shingles is cut into blocks that are compared two by two in separate tasks. Tasks return counts and
-    spanning edges, so rows stay linear in the group's size.
-
-    Null or wordless texts have no shingles: no links, class_id = doc_id. A text of fewer words than `words` is one shingle. Rows of the same doc_id are
-    rows of their own (with null doc_id too; class_id is null where all of a class have none). Other columns are ignored; empty tables give an empty result.
-    """
-    spark = session(docs)
+def _linked_rows(rows: DataFrame, words: int, similarity: float, trees: int, max_depth: int, target_recall: float, seed: int, block_shingles: int) -> DataFrame:
+    """Columns uid, root, n_links by row id (rows: uid, text); root is the least uid of the row's component. See jaccard_join."""
     depth = shortened(similarity, trees, max_depth, target_recall)
     family = W.hash_family(trees * depth, seed)
-    rows = with_row_ids(docs)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,11 +105,39 @@ def jaccard_join(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, tr
     known = classes.select("a", "b", F.col("id").alias("uid"), "copies").join(links, "uid", "left").join(joined.withColumnRenamed("u", "uid"), "uid", "left")
     known = known.select("a", "b", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "uid").alias("root"))
     out = signed.select("uid", "a", "b", "n").join(known, ["a", "b"], "left")
-    out = out.select("uid", F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("uid")).alias("root"))
-    ids = rows.select("uid", "doc_id")
-    names = out.join(ids, "uid")
+    return out.select("uid", F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("uid")).alias("root"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
+
+
+def jaccard_join(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, trees: int = 36, max_depth: int = 10, target_recall: float = 0.99999, seed: int = 7, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Columns doc_id, class_id, n_links (long): a row for each row of docs (doc_id, text).
+
+    Two rows are linked if the Jaccard similarity of their sets of word shingles is at least `similarity`; n_links counts a row's
+    links, class_id is the least doc_id of its connected component of links (the row's own doc_id if it has none).
+
+    Rows with equal shingle sets are one class before anything is paired, so exact copies cost one entry. Each class has `trees`
+    signatures, of which the sorted prefixes are the nodes of a trie. Prefixes start at max_depth and are shortened until pairs at the threshold
+    meet with a chance of target_recall; the members of a node are tied to its least member by one edge each, not pair by pair. Each
+    connected group of such candidates is then compared exactly, all with all, by multiplying 0/1 matrices of its shingles; a
+    group larger than block_shingles is cut into blocks that are compared two by two in separate tasks. Tasks return counts and
+    spanning edges, so rows stay linear in the group's size.
+
+    Null or wordless texts have no shingles: no links, class_id = doc_id. A text of fewer words than `words` is one shingle. Rows of the same doc_id are
+    rows of their own (with null doc_id too; class_id is null where all of a class have none). Other columns are ignored; empty tables give an empty result.
+    """
+    session(docs)
+    rows = with_row_ids(docs)
+    linked = _linked_rows(rows, words, similarity, trees, max_depth, target_recall, seed, block_shingles)
+    names = linked.join(rows.select("uid", "doc_id"), "uid")
     least = names.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return names.join(least, "root").select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"))
+    return names.join(least, "root").select("doc_id", "class_id", "n_links")
+
+
+def keep_one(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, trees: int = 36, max_depth: int = 10, target_recall: float = 0.99999, seed: int = 7, block_shingles: int = BLOCK_SHINGLES, **keep: str) -> DataFrame:
+    """Columns doc_id, text and those of keep (name = "type"): of each connected component of links the row of the least doc_id. Odd rows as in jaccard_join."""
+    session(docs)
+    rows = with_row_ids(docs, **keep)
+    linked = _linked_rows(rows, words, similarity, trees, max_depth, target_recall, seed, block_shingles)
+    return rows.join(linked.filter("uid = root").select("uid"), "uid", "left_semi").select("doc_id", "text", *keep)
 
 
 class _Union:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulewright.llm import words as W
-from rulewright.llm.common import batch, chunks, lists, materialize, pick, session
+from rulewright.llm.common import batch, chunks, lists, materialize, pick, session, with_row_ids
 
 _U = np.uint64
 _LINE = np.arange(256) != 10
@@ -202,13 +202,33 @@ def classify(docs: DataFrame, labels: DataFrame, *, folds: int = 5, fold: int =
     alike; a doc_id with several labels counts once for each. Without labels every score is 1/2. Empty tables give an empty result.
     """
     x = materialize(features(docs), "statistics")
+    model = _taught(x, labels, folds, fold)
+    scored = _scored(x, model)
+    return scored.select("doc_id", in_fold(F.col("doc_id"), folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def _taught(x: DataFrame, labels: DataFrame, folds: int, fold: int) -> Discriminant:
     known = pick(labels, doc_id="long", quality="int").filter("quality in (0, 1)").withColumnRenamed("quality", "y")
-    model = fit(x.filter(~in_fold(F.col("doc_id"), folds, fold)).join(known, "doc_id").select("x", "y"))
+    return fit(x.filter(~in_fold(F.col("doc_id"), folds, fold)).join(known, "doc_id").select("x", "y"))
+
+
+def _scored(x: DataFrame, model: Discriminant) -> DataFrame:
+    """The columns of x with score for x."""
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield batch(schema, b.column(0), model.score(_matrix(b.column(1))))
 
-    scored = x.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", in_fold(F.col("doc_id"), folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return x.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, folds: int = 5, fold: int = 0, threshold: float = 0.3, **keep: str) -> DataFrame:
+    """Columns doc_id, text and those of keep (name = "type"): the rows of docs that classify() gives 1. Odd rows as in classify."""
+    session(docs)
+    rows = with_row_ids(docs, **keep)
+    x = materialize(features(rows.select(F.col("uid").alias("doc_id"), "text")), "statistics")
+    named = x.withColumnRenamed("doc_id", "uid").join(rows.select("uid", "doc_id"), "uid")
+    model = _taught(named.select("doc_id", "x"), labels, folds, fold)
+    good = _scored(x, model).filter(F.col("score") >= threshold).select(F.col("doc_id").alias("uid"))
+    return rows.join(good, "uid", "left_semi").select("doc_id", "text", *keep)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from rulewright.llm import bpe, fingerprint, language, licences, neighbours, packing, passages, pii, quality
 from rulewright.llm.common import read
 from rulewright.llm.jaccard_join import jaccard_join
@@ -62,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8_personal_data,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_language_id": op10_language_id,
+    "pipeline": corpus_pipeline.run,
 }
 
 #: None of these operators has an equivalent in SQL; tests/llm compares each with a brute-force version.
