@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -14,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rulewright.llm.bpe import byte_symbols
 from rulewright.llm.common import Recent, batch, chunks, materialize, pick, session, tokenizer_path
 from rulewright.llm.words import mix
 
@@ -27,54 +31,187 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class WordEncoder:
-    """A lower-casing BPE tokenizer that drops white space, with each white-space-free stretch of text encoded once.
+    """A lower-casing BPE tokenizer that drops white space, with each of a text's words encoded once.
 
-    encode() gives each text's ids as little-endian unsigned 32-bit integers. The tokenizer's pattern never crosses white space, so a stretch's ids don't depend
-    on its surroundings. Equal stretches are found by their bytes, as two 64-bit numbers; longer ones by themselves. A stretch in ASCII splits further, by the
-    same pattern, into words whose ids are kept in lower case.
+    encode() gives each text's ids as little-endian unsigned 32-bit integers. The tokenizer's pattern never crosses white space, so the ids of a stretch between
+    white space don't depend on its surroundings. Texts are normalised as the tokenizer does it and then split as its pattern splits them: by kinds of bytes where all characters beyond ASCII are letters,
+    else stretch by stretch. Equal parts are found by their bytes, as two 64-bit numbers; parts of over 16 bytes by themselves. The merges of all new parts are done at once.
     """
 
+    #: Fixed: how the tokenizer splits normalised text.
+    _PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     #: Fixed: the tokenizer's white space beyond ASCII.
     _SPACES = regex.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-    _WORDS = regex.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+    _SPACE, _LETTER, _DIGIT, _MARK, _BEYOND = range(5)
     _KEEP = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
 
-    def __init__(self, path: str, kept: int = 200_000):
+    def __init__(self, path: str, kept: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.stretches, self.words = Recent(kept), Recent(kept)
+        self.known, self.parts = Recent(kept), Recent(kept)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        ids, suffix = model["vocab"], model["end_of_word_suffix"]
+        symbols = byte_symbols()
+        self.inner, self.last = (np.array([ids[c + end] for c in symbols], np.int64) for end in ("", suffix))
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        keys = np.array([ids[a] << 20 | ids[b] for a, b in merges], np.int64)
+        self.rank = np.argsort(keys, kind="stable")
+        self.pairs = keys[self.rank]
+        self.made = np.array([ids[a + b] for a, b in merges], np.int64)
+        self.kind = np.full(256, self._MARK, np.uint8)
+        self.kind[[9, 10, 11, 12, 13, 32]] = self._SPACE
+        self.kind[48:58] = self._DIGIT
+        self.kind[97:123] = self.kind[128:] = self._LETTER
+        # characters looked up so far, by what they are
+        self.seen, self.letters, self.strange = set(map(chr, range(128))), set(map(chr, range(128))), set()
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, found: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of each of the stretches; those not known are encoded."""
-        new = self.stretches.missing(set(found))
-        plain = [s for s in new if s.isascii() and b"<|" not in s]
-        parts = [self._WORDS.findall(s.decode().lower()) for s in plain]
-        unknown = list(self.words.missing(set().union(*parts)))
-        known, words = self.stretches.young, self.words.young
-        words.update(zip(unknown, self._plain(unknown), strict=True))
-        for s, p in zip(plain, parts, strict=True):
-            known[s] = words[p[0]] if len(p) == 1 else b"".join([words[w] for w in p])
-        rest = list(new.difference(plain))
-        known.update(zip(rest, self._plain([s.decode() for s in rest]), strict=True))
-        return known
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair's merge; the number of merges where there is none."""
+        key = left << 20 | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.rank[at], len(self.made))
+
+    def _merge(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of non-empty parts. In every round each part makes its earliest merge, the leftmost of equals."""
+        size = np.array([len(p) for p in parts], np.int64)
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        ends = np.cumsum(size)
+        token = self.inner[data]
+        token[ends - 1] = self.last[data[ends - 1]]
+        owner = np.repeat(np.arange(len(parts)), size)
+        none = len(self.made)
+        rank = np.full(len(token), none)
+        inside = np.flatnonzero(owner[:-1] == owner[1:])
+        rank[inside] = self._ranks(token[inside], token[inside + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(token):
+            start = np.flatnonzero(np.diff(owner, prepend=-1))
+            least = np.minimum.reduceat(rank, start)
+            length = np.diff(np.append(start, len(token)))
+            least_of = np.repeat(least, length)
+            over = least_of == none
+            if over.any():
+                done.append((owner[over], token[over]))
+                token, owner, rank, least_of = token[~over], owner[~over], rank[~over], least_of[~over]
+                if not len(token):
+                    break
+            at = np.flatnonzero(rank == least_of)
+            at = at[np.diff(owner[at], prepend=-1) != 0]
+            token[at] = self.made[rank[at]]
+            keep = np.ones(len(token), bool)
+            keep[at + 1] = False
+            at = at - np.arange(len(at))  # one goes for each merge before
+            token, owner, rank = token[keep], owner[keep], rank[keep]
+            for i in (at, at[at > 0] - 1):
+                inner = i[(i + 1 < len(token))]
+                inner = inner[owner[inner] == owner[inner + 1]]
+                rank[i] = np.where(owner[i] == owner[np.minimum(i + 1, len(owner) - 1)], rank[i], none)
+                rank[inner] = self._ranks(token[inner], token[inner + 1])
+            if len(token) and at[-1] == len(token) - 1:
+                rank[-1] = none
+        owner, token = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(owner, kind="stable")
+        flat, count = token[order].astype("<u4").tobytes(), np.bincount(owner, minlength=len(parts))
+        upto = np.concatenate([[0], np.cumsum(count)]) * 4
+        return [flat[i:j] for i, j in itertools.pairwise(upto.tolist())]
+
+    def _normal(self, text: str) -> tuple[str, bool] | None:
+        """The text in normal form and lower case, and whether it has letters only beyond ASCII. None where this Python's rules may not be the tokenizer's: a final sigma, a character unknown here, NUL, or
+        what may be a special token."""
+        if "\0" in text or "<|" in text:
+            return None
+        if text.isascii():
+            return text.lower(), True
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        if "Σ" in text:
+            return None
+        text = text.lower()
+        own = set(text)
+        for c in own.difference(self.seen):
+            kind = unicodedata.category(c)
+            self.seen.add(c)
+            if kind == "Cn":
+                self.strange.add(c)
+            elif kind[0] == "L":
+                self.letters.add(c)
+        if not own.isdisjoint(self.strange):
+            return None
+        if own <= self.letters:
+            return text, True
+        return self._SPACES.sub(" ", text), False
+
+    def _split(self, stretch: str) -> list[bytes]:
+        """The parts of a normalised stretch, in the bytes that are merged."""
+        return [w.encode() for w in self._PATTERN.findall(stretch)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Put the ids of these parts into what is known. Parts of over 64 bytes are left to the tokenizer."""
+        known = self.known.young
+        plain = [w for w in new if len(w) <= 64 and (w.isascii() or w.decode().isalpha())]
+        if plain:
+            known.update(zip(plain, self._merge(plain), strict=True))
+        mixed = [(w, self._split(w.decode())) for w in new if len(w) <= 64 and w not in known]
+        fresh = list(self.parts.missing({x for _, p in mixed for x in p}))
+        parts = self.parts.young
+        if fresh:
+            parts.update(zip(fresh, self._merge(fresh), strict=True))
+        for w, p in mixed:
+            known[w] = b"".join([parts[x] for x in p])
+        rest = [w for w in new if len(w) > 64]
+        known.update(zip(rest, self._plain([w.decode() for w in rest]), strict=True))
+
+    def _parts(self, data: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each part's first byte and end. mixed: rows of first byte and end of texts with other characters than letters beyond ASCII; there a stretch with any is one part."""
+        kind = self.kind[data]
+        for i, j in mixed.tolist():
+            inside = kind[i:j] != self._SPACE
+            edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+            begin, end = edges[::2], edges[1::2]
+            own = np.unique(np.searchsorted(begin, np.flatnonzero(data[i:j] > 127), side="right") - 1)
+            change = np.zeros(j - i + 1, np.int8)
+            change[begin[own]] += 1
+            change[end[own]] -= 1
+            kind[i:j][np.cumsum(change[:-1], dtype=np.int8).astype(bool)] = self._BEYOND
+        first = np.ones(len(data), bool)
+        first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == self._DIGIT)
+        start = np.flatnonzero(first)
+        end = np.append(start[1:], len(data))
+        kinds = kind[start]
+        some = kinds != self._SPACE
+        start, end, kinds = start[some], end[some], kinds[some]
+        # an apostrophe by itself takes the letters of a contraction with it
+        mark = np.flatnonzero((kinds[:-1] == self._MARK) & (kinds[1:] == self._LETTER) & (end[:-1] == start[1:]) & (end[:-1] - start[:-1] == 1) & (data[start[:-1]] == 39))
+        if len(mark):
+            one, two = data[end[mark]], data[np.minimum(end[mark] + 1, len(data) - 1)]
+            takes = np.where(np.isin(one, np.frombuffer(b"stmd", np.uint8)), 1, 0)
+            pair = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
+            takes[pair & (end[mark + 1] - start[mark + 1] > 1)] = 2
+            end[mark] += takes
+            start[mark + 1] += takes
+            left = end > start
+            start, end = start[left], end[left]
+        return start, end
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """A text with NUL, which the 64-bit numbers can't tell from their end, is left to the tokenizer as a whole."""
-        whole = {i for i, t in enumerate(texts) if "\0" in t}
-        raw = [b"" if i in whole else (t if t.isascii() else self._SPACES.sub(" ", t)).encode() for i, t in enumerate(texts)]
+        """What _normal() doesn't take is left to the tokenizer as a whole."""
+        normal = [self._normal(t) for t in texts]
+        whole = {i for i, n in enumerate(normal) if n is None}
+        raw = [b"" if n is None else n[0].encode() for n in normal]
+        text_end = np.cumsum([len(r) + 1 for r in raw])
+        odd = [i for i, n in enumerate(normal) if n and not n[1]]
         joined = b"\n".join(raw) + b"\n" * 17
-        data = np.frombuffer(joined, np.uint8)
-        edges = np.flatnonzero(np.diff((data > 32) | (data < 9) | ((data > 13) & (data < 32)), prepend=False))
-        start, end = edges[::2], edges[1::2]
+        start, end = self._parts(np.frombuffer(joined, np.uint8), np.column_stack([text_end[odd] - 1 - [len(raw[i]) for i in odd], text_end[odd] - 1]).astype(np.int64))
         size = end - start
-        eight = np.ndarray(len(data) - 7, "<u8", joined, strides=(1,))
+        eight = np.ndarray(len(joined) - 7, "<u8", joined, strides=(1,))
         low = eight[start] & self._KEEP[np.minimum(size, 8)]
         high = eight[start + 8] & self._KEEP[np.clip(size - 8, 0, 8)]
         key = mix(low ^ mix(high + np.uint64(1)))
@@ -83,13 +220,13 @@ class WordEncoder:
         same[odd] = np.arange(len(first), len(first) + len(odd))
         first = np.concatenate([first, odd])
         found = [joined[i:j] for i, j in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        known = self._learn(found)
+        self._learn(list(self.known.missing(set(found))))
+        known = self.known.young
         coded = [known[w] for w in found]
         flat, lengths = np.frombuffer(b"".join(coded), "<u4"), np.array([len(c) // 4 for c in coded], np.int64)
         begin, taken = np.cumsum(lengths) - lengths, lengths[same]
         done = np.cumsum(taken)
         ids = flat[np.repeat(begin[same] - done + taken, taken) + np.arange(done[-1] if len(done) else 0)].tobytes()
-        text_end = np.cumsum([len(r) + 1 for r in raw])
         upto = np.concatenate([[0], done])[np.searchsorted(start, text_end)] * 4
         bounds = [0, *upto.tolist()]
         return [self._plain([texts[i]])[0] if i in whole else ids[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
@@ -171,7 +308,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, wit
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             doc_id, done = b.column(0), 0
-            for texts in chunks(b.column(1).to_pylist(), 3 << 20):
+            for texts in chunks(b.column(1).to_pylist(), 2 << 20):
                 owner, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, raw in enumerate(encoder.encode(texts)):
                     raw += end
