@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from dataclasses import dataclass
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewright.functions.values import VALUE, value
+from rulewright.functions.values import DECIMAL_TEXT, VALUE, value
 
 #: Fixed: predicate operators with the least and most values that they take.
 OPERATORS = {
@@ -37,6 +38,19 @@ class Value:
             return value(self.kind, ts=F.lit(v), local_date=F.lit(v.date()))
         return value(self.kind, n=F.lit(str(v)), unit_code=F.lit(self.unit_code), raw=F.lit(str(v)))
 
+    @classmethod
+    def from_json(cls, v: dict) -> Value:
+        kind, x = v["kind"], v["value"]
+        if kind == "date":
+            x = dt.date.fromisoformat(x)
+        elif kind == "datetime":
+            x = dt.datetime.fromisoformat(x)
+            if x.tzinfo is None:
+                raise ValueError("a datetime needs its offset")
+        elif kind in ("decimal", "duration", "money", "quantity") and not re.fullmatch(DECIMAL_TEXT, x):
+            raise ValueError(f"{x} is no decimal text")
+        return cls(kind, x, v.get("unit_code"))
+
     def row(self) -> tuple:
         """The value as a row of VALUE."""
         k, v = self.kind, self.value
@@ -121,6 +135,25 @@ class Contract:
     documents: tuple[dict, ...] = ()
     warnings: tuple[dict, ...] = ()
 
+    @classmethod
+    def from_body(cls, body: dict) -> Contract:
+        """A contract from its JSON; what is missing or of the wrong shape raises ValueError, KeyError or TypeError."""
+        day = lambda x: None if x is None else dt.date.fromisoformat(x)
+        predicate = lambda p: Predicate(p["field_id"], p["operator"], tuple(map(Value.from_json, p.get("values", ()))), p.get("related_field_id"))
+
+        def claim(c: dict) -> Claim:
+            return Claim(c["claim_id"], c["canonical_text"], tuple(map(Value.from_json, c.get("normalized_literals", ()))), tuple(c["evidence_ids"]), tuple(c.get("qualifiers", ())), tuple(c.get("required_companion_claim_ids", ())))
+
+        units = tuple(
+            Unit(
+                u["unit_id"], u["family_id"], tuple(tuple(map(predicate, g["all"])) for g in u.get("applicability_any", ())), tuple(u.get("required_field_ids", ())), u["time_basis"]["kind"], u["time_basis"]["field_id"],
+                day(u["effective_from"]), day(u["effective_to"]), tuple(u.get("overrides_unit_ids", ())), tuple(map(claim, u["claims"])), tuple(u.get("topic_ids", ())),
+            )
+            for u in body["policy_units"]
+        )
+        documents = tuple(d | {k: day(d[k]) for k in ("effective_from", "effective_to")} for d in body["documents"])
+        return cls(units, tuple(body["fields"]), tuple(body["units"]), tuple(body["scope"]), documents, tuple(body["warnings"]))
+
     def amounts(self) -> list[tuple[str, list[str], str]]:
         """The units of measure as rulewright.functions.text.literals takes them; a name also stands with 个 before it."""
         return [(d["unit_code"], [d["display_name"], "个" + d["display_name"], *d.get("aliases", ())], d["dimension"]) for d in self.definitions]
