@@ -16,6 +16,7 @@ from rulewright.functions.kleene import all_of, any_of, grouped_all, grouped_any
 from rulewright.functions.values import identical
 from rulewright.operators import predicates
 from rulewright.plans.contract import Contract, Unit
+from rulewright.session import materialize
 
 _STRINGS = "array<string>"
 
@@ -95,13 +96,15 @@ def resolve_overrides(details: DataFrame, overrides: DataFrame) -> DataFrame:
 def evaluate(intents: DataFrame, candidates: DataFrame, facts: DataFrame, contract: Contract, as_of: dt.date) -> DataFrame:
     """Columns item_id, intent_id, active, unknown, missing, conflicts, claims (sorted arrays) for each intent (item_id, intent_id, mode).
 
-    An intent in mode rule_description evaluates nothing and may use the claims of all candidates.
+    An intent in mode rule_description evaluates nothing and may use the claims of all candidates. Runs jobs of its own, whose tables go to the shared folder.
     """
     spark = intents.sparkSession
     tables = contract.tables(spark)
     applied = intents.filter("mode <> 'rule_description'")
     visible = visible_facts(facts, applied.select("item_id", "intent_id"))
-    details = resolve_overrides(unit_details(candidates.join(applied.select("item_id", "intent_id"), ["item_id", "intent_id"], "left_semi"), visible, tables, as_of), tables["overrides"])
+    # written once, as several steps read them: the details, then their states
+    details = materialize(unit_details(candidates.join(applied.select("item_id", "intent_id"), ["item_id", "intent_id"], "left_semi"), visible, tables, as_of), "details")
+    details = materialize(resolve_overrides(details, tables["overrides"]), "states")
     strings = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     state = F.col("state")
     unknown = state == "unknown"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rulewright.functions.values import DECIMAL_TEXT, NUMERIC_KINDS, value
 from rulewright.operators import analysis_checks, closure, decide, rules
 from rulewright.plans.contract import Contract
-from rulewright.session import ship
+from rulewright.session import materialize, ship
 
 _SPAN = "struct<start:int,end:int,text:string>"
 #: Fixed: what a reply holds.
@@ -77,15 +77,16 @@ def run(questions: DataFrame, replies: DataFrame, contract: Contract, blocks: Da
     ship(spark)
     asked = questions.filter("issue_code is null").select("output_id", "question")
     tried = replies.filter("attempt <= 2").join(asked, "output_id").withColumn("item_id", F.concat_ws("#", "output_id", F.col("attempt").cast("string")))
-    items = item_tables(parse_replies(tried.select("item_id", "question", "text")))
-    wrong = analysis_checks.check(items, contract, blocks, F.lit(as_of)).select("item_id").distinct()
+    # each step that several others read is written once, which also keeps the plans small
+    items = item_tables(materialize(parse_replies(tried.select("item_id", "question", "text")), "replies"))
+    wrong = materialize(analysis_checks.check(items, contract, blocks, F.lit(as_of)).select("item_id").distinct(), "wrong")
     right = {name: rows.join(wrong, "item_id", "left_anti") for name, rows in items.items()}
     tables = contract.tables(spark)
-    candidates = closure.candidates(right["intents"].select("item_id", "intent_id", "family_ids", "claim_ids"), tables)
-    found = rules.evaluate(right["intents"].select("item_id", "intent_id", "mode"), candidates, right["facts"], contract, as_of)
+    candidates = materialize(closure.candidates(right["intents"].select("item_id", "intent_id", "family_ids", "claim_ids"), tables), "candidates")
+    found = materialize(rules.evaluate(right["intents"].select("item_id", "intent_id", "mode"), candidates, right["facts"], contract, as_of), "rules")
     active = found.select("item_id", "intent_id", F.explode("active").alias("unit_id"))
     plan = right["plan"].select("item_id", "intent_id", "unit_id", "claim_id")
-    outcomes = decide.decide(right["listed"].drop("selected_unit_ids"), right["intents"].select("item_id", "intent_id", "scope", "mode"), found, plan, closure.inherited_companions(plan, active, tables))
+    outcomes = materialize(decide.decide(right["listed"].drop("selected_unit_ids"), right["intents"].select("item_id", "intent_id", "scope", "mode"), found, plan, closure.inherited_companions(plan, active, tables)), "outcomes")
     attempts = outcomes.select(F.regexp_replace("item_id", "#[0-9]+$", "").alias("output_id"), F.element_at(F.split("item_id", "#"), -1).cast("int").alias("attempt"), "item_id", "outcome")
     chosen = decide.choose_attempt(attempts.select(F.col("output_id").alias("item_id"), "attempt", (F.col("outcome") != "REPAIR").alias("passed"), F.struct("item_id", "outcome").alias("output")).withColumn("output", F.to_json("output")))
     picked = chosen.select(F.col("item_id").alias("output_id"), F.get_json_object("output", "$.item_id").alias("item_id"), F.get_json_object("output", "$.outcome").alias("outcome"))

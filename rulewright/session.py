@@ -1,12 +1,14 @@
-"""Sessions: settings for local runs, and the package on the executors."""
+"""Sessions: settings for local runs, the package on the executors, and tables in the shared folder."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -35,3 +37,33 @@ def ship(spark: SparkSession) -> None:
                     out.write(full, os.path.join("rulewright", os.path.relpath(full, root)))
     context.addPyFile(path)
     _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only where the session names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = "file://" + tempfile.mkdtemp(prefix="rulewright-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write the frame to a new table in the shared folder and read it back: its lineage ends there and lost executors lose nothing.
+
+    The table goes when the driver's process ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the JVM may have ended before; then the folder's owner cleans up
+        return
