@@ -460,7 +460,7 @@ def test_out_of_place_distance():
 
 OPERATORS = {
     "licences": lambda d: licences.scan(d), "jaccard": lambda d: jaccard_join.jaccard_join(d), "packing": lambda d: packing.pack(d), "bpe": lambda d: bpe.round_trip(d), "passages": lambda d: passages.passages(d),
-    "quality": lambda d: quality.classify(d, d.select("doc_id", F.lit(1).alias("quality"))), "fingerprints": lambda d: fingerprint.fingerprints(d), "pii": lambda d: pii.find(d), "language": lambda d: language.identify(d),
+    "quality": lambda d: quality.classify(d, d.sparkSession.createDataFrame([(1, 1), (2, 0), (4, None), (None, 1), (5, 7)], "doc_id long, quality int")), "fingerprints": lambda d: fingerprint.fingerprints(d), "pii": lambda d: pii.find(d), "language": lambda d: language.identify(d),
 }
 
 
