@@ -42,19 +42,20 @@ def ambiguous_aliases(contract: Contract) -> dict[str, list[str]]:
     return {a: [code for _, code in sorted(o)] for a, o in sorted(owners.items()) if len(o) > 1}
 
 
-def check(contract: Contract, blocks: DataFrame, source_documents: DataFrame) -> DataFrame:
-    """Columns code, object_ids (array): every defect of the contract against its evidence (blocks: block_id, text) and its sources (document_id). Each defect is listed once."""
+def check(contract: Contract, blocks: DataFrame, source_documents: DataFrame, codes: frozenset[str] | None = None) -> DataFrame:
+    """Columns code, object_ids (array): every defect of the contract against its evidence (blocks: block_id, text) and its sources (document_id). Each defect is listed once. With codes only these are looked for."""
     spark = blocks.sparkSession
     t = contract.tables(spark)
     units, fields, claims, predicates, options, definitions = (t[k] for k in ("units", "fields", "claims", "predicates", "enum_options", "definitions"))
-    out: list[DataFrame] = []
-    add = lambda code, rows, *objects: out.append(issues(code, rows, *objects))
+    out: list[DataFrame] = [spark.createDataFrame([], ISSUE)]
+    add = lambda code, rows, *objects: out.append(issues(code, rows, *objects)) if codes is None or code in codes else None
     anti = lambda rows, other, key, as_: rows.join(other.select(F.col(key).alias(as_)).distinct(), as_, "left_anti")
     # identities and scope
     for rows, key in ((t["documents"], "document_id"), (t["topics"], "topic_id"), (fields, "field_id"), (definitions, "unit_code"), (units, "unit_id"), (claims, "claim_id")):
         add("DUPLICATE_ID", duplicates(rows, key), key)
     ambiguous = ambiguous_aliases(contract)
-    out.append(spark.createDataFrame([("AMBIGUOUS_UNIT_ALIAS", [a, *o]) for a, o in ambiguous.items()], ISSUE))
+    if codes is None or "AMBIGUOUS_UNIT_ALIAS" in codes:
+        out.append(spark.createDataFrame([("AMBIGUOUS_UNIT_ALIAS", [a, *o]) for a, o in ambiguous.items()], ISSUE))
     add("COVERED_TOPIC_WITHOUT_UNIT", anti(t["topics"].filter("disposition = 'covered'"), t["unit_topics"], "topic_id", "topic_id"), "topic_id")
     add("UNKNOWN_DOCUMENT", anti(t["documents"], source_documents, "document_id", "document_id"), "document_id")
     add("INVALID_DATE_RANGE", t["documents"].filter("effective_from > effective_to"), "document_id")
@@ -111,7 +112,8 @@ def check(contract: Contract, blocks: DataFrame, source_documents: DataFrame) ->
     edges = t["overrides"].join(units.select("unit_id", "family_id"), "unit_id").join(family, "target", "left")
     add("UNKNOWN_OVERRIDE", edges.filter("target_family is null"), "unit_id", "target")
     add("CROSS_FAMILY_OVERRIDE", edges.filter("target_family <> family_id"), "unit_id", "target")
-    out.append(cycles(edges.filter("target_family is not null"), "unit_id", "target").select(F.lit("OVERRIDE_CYCLE").alias("code"), F.col("path").alias("object_ids")))
+    if codes is None or "OVERRIDE_CYCLE" in codes:
+        out.append(cycles(edges.filter("target_family is not null"), "unit_id", "target").select(F.lit("OVERRIDE_CYCLE").alias("code"), F.col("path").alias("object_ids")))
     a, b = (units.select("family_id", *[F.col(c).alias(f"{c}{i}") for c in ("unit_id", "pos", "effective_from", "effective_to")]) for i in (1, 2))
     both = a.join(b, "family_id").filter("pos1 < pos2").filter(intervals_meet(*[F.col(c) for c in ("effective_from1", "effective_to1", "effective_from2", "effective_to2")]))
     linked = t["overrides"].select(F.col("unit_id").alias("unit_id1"), F.col("target").alias("unit_id2"))
