@@ -239,6 +239,21 @@ def test_passages(spark):
     assert left[0] == rows[0] and left[1] == rows[1][:20] + rows[1][80:] and left[7] == [] and left[6] == rows[6]
 
 
+def test_passages_whose_parts_occur_elsewhere(spark):
+    """Parts of the passage stand in many earlier documents, the whole only in document 2000."""
+    rng = random.Random(6)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared, often = fresh(60), fresh(55)
+    rows = {1: fresh(30) + shared[:40] + fresh(30), 2: fresh(9) + shared + fresh(20), 3: fresh(25) + shared + fresh(12)}
+    rows |= {100 + i: fresh(20) + often[5 * (i % 6) : 5 * (i % 6) + 30] + fresh(20) for i in range(60)}
+    rows |= {2000: fresh(30) + often + fresh(8), 2001: fresh(5) + often + fresh(30)}
+    frame = spark.createDataFrame([(k, " ".join(v)) for k, v in rows.items()], "doc_id long, text string")
+    got = {(r.doc_id, r.other_doc_id): (r.start, r.end) for r in passages.passages(frame).collect()}
+    assert got == {(3, 2): (25, 85), (2001, 2000): (5, 60)}
+    left = {r.doc_id: r.text.split() for r in passages.drop_passages(frame).collect()}
+    assert left[3] == rows[3][:25] + rows[3][85:] and left[2001] == rows[2001][:5] + rows[2001][60:] and left[2] == rows[2]
+
+
 def test_chains_are_optimal():
     rng = random.Random(5)
     for _ in range(200):
