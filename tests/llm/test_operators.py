@@ -254,6 +254,41 @@ def test_passages_whose_parts_occur_elsewhere(spark):
     assert left[3] == rows[3][:25] + rows[3][85:] and left[2001] == rows[2001][:5] + rows[2001][60:] and left[2] == rows[2]
 
 
+def test_stretches_find_what_is_just_similar_enough():
+    rng = np.random.default_rng(7)
+    assert passages.stretches(np.array([True, False] + [True] * 48), 0.8, 50) == [(0, 50)]
+    for _ in range(300):
+        same = rng.random(90) < rng.choice([0.7, 0.8, 0.9])
+        total = np.concatenate([[0], np.cumsum(same)])
+        ends = np.flatnonzero(same)
+        some = any(j + 1 - i >= 50 and total[j + 1] - total[i] >= 0.8 * (j + 1 - i) for i in ends for j in ends)
+        got = passages.stretches(same, 0.8, 50)
+        assert bool(got) == some and all(t - s >= 50 and same[s:t].mean() >= 0.8 - 1e-9 for s, t in got)
+
+
+def test_recall_of_passages(spark):
+    """Planted passages with words replaced at random, by length and share left alike: at least 95 in 100 are found, at 0.9 at least 99. One that begins or ends with replaced words, and so is under 50 words by its agreeing ends, is not counted."""
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, cases = {}, {}
+    for size, share in itertools.product((50, 60, 100), (0.8, 0.85, 0.9)):
+        for _ in range(100):
+            one = fresh(size)
+            two = list(one)
+            for i in rng.sample(range(1, size - 1), round(size * (1 - share))):
+                two[i] = fresh(1)[0]
+            k = 2 * len(cases)
+            rows |= {k: fresh(30) + one + fresh(30), k + 1: fresh(17) + two + fresh(40)}
+            cases[k + 1] = (k, share)
+    frame = spark.createDataFrame([(k, " ".join(v)) for k, v in rows.items()], "doc_id long, text string")
+    found = {(r.doc_id, r.other_doc_id) for r in passages.passages(frame).collect()}
+    assert found <= {(k, other) for k, (other, _) in cases.items()}
+    for share, least in ((0.8, 0.95), (0.85, 0.95), (0.9, 0.99)):
+        own = [(k, other) in found for k, (other, s) in cases.items() if s == share]
+        print(share, np.mean(own))
+        assert np.mean(own) >= least
+
+
 def test_chains_are_optimal():
     rng = random.Random(5)
     for _ in range(200):
