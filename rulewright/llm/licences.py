@@ -50,6 +50,8 @@ OTHERS = [
 ]
 #: Function words: an n-gram of these alone is no feature, so a paragraph without any other word of the notices has only the intercepts.
 FUNCTION_WORDS = frozenset("a an and any are as at be by can for from has have he i if in into is it its may no not of on or part she that the their they this to under was were which with without you".split())
+#: What parts two blocks of lines.
+_BLANK = r"\n(?:[^\S\n]*\n)+"
 _FILL = "the report shows that results of many years were seen as good by most people in town and later work came to other ends with some new plans for a better way".split()
 
 
@@ -147,10 +149,29 @@ def _grams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
 
+@functools.cache
+def key_words(similarity: float) -> tuple[str, ...]:
+    """Words of which a text has one if it holds this share of some notice's bigrams: enough of each notice's bigrams have one of them."""
+    left = {n: [set(p) for p in zip(tokens(n), tokens(n)[1:])] for notices in NOTICES.values() for n in notices}
+    size = {n: len({tuple(p) for p in zip(tokens(n), tokens(n)[1:])}) for n in left}
+    out: list[str] = []
+    while True:
+        open_ = {n: pairs for n, pairs in left.items() if len(pairs) >= similarity * size[n]}
+        counts: dict[str, int] = {}
+        for n, pairs in open_.items():
+            for w in set().union(*pairs):
+                counts[w] = counts.get(w, 0) + (w not in FUNCTION_WORDS and not w.isdigit())
+        if not counts:
+            return tuple(sorted(out))
+        word = max(sorted(counts), key=lambda w: counts[w])
+        out.append(word)
+        left = {n: [p for p in pairs if word not in p] for n, pairs in left.items()}
+
+
 def scan(docs: DataFrame, *, probability: float = 0.5, similarity: float = 0.6) -> DataFrame:
     """Columns doc_id, n_paragraphs, n_found, licences, findings, n_unknown: a row for each row of docs (doc_id, text).
 
-    A paragraph is a line. One that holds a word of the notices (other than function words and numbers) is classified by its distinct word n-grams; it is a finding if a family's
+    A paragraph is a line, and also the lines between two blank ones together, as notices are often wrapped; such a block has the number of its first line, and is a finding only where none of its lines is one of that family. n_paragraphs and n_unknown count lines. A line that holds a word of the notices (other than function words and numbers) is classified by its distinct word n-grams; it is a finding if a family's
     probability is highest and at least `probability`, and if its bigrams hold at least `similarity` of those of one of the family's notices. findings lists
     paragraph:family:probability in per cent:similarity in per cent, by paragraph; n_unknown counts the classified paragraphs that are none. All other paragraphs have the intercepts'
     class, unknown. The weights and notices are joined by broadcast: their size is that of the lists above, whatever the corpus.
@@ -167,21 +188,30 @@ def scan(docs: DataFrame, *, probability: float = 0.5, similarity: float = 0.6)
 
     rows = with_row_ids(docs)
     some = rows.filter(F.arrays_overlap(_split(F.col("text")), words_known)).select("uid", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    lines = some.select("uid", "paragraph", _split(F.col("line")).alias("words")).filter(F.arrays_overlap("words", words_known))
+    lines = some.select("uid", "paragraph", F.lit(1).alias("n"), _split(F.col("line")).alias("words")).filter(F.arrays_overlap("words", words_known))
+    has_key = lambda c: F.lower(c).rlike("(?<![0-9a-z])(?:" + "|".join(key_words(similarity)) + ")(?![0-9a-z])")
+    rows_of = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    before = lambda parts: F.aggregate(F.slice(parts, F.lit(1), F.col("i")), F.lit(0), lambda s, x: s + rows_of(x))
+    blocks = rows.filter(F.contains("text", F.lit("\n")) & has_key(F.col("text"))).select("uid", "text", F.posexplode(F.split("text", _BLANK)).alias("i", "block"))
+    blocks = blocks.filter(F.contains("block", F.lit("\n")) & has_key(F.col("block")))
+    at = before(F.split("text", _BLANK)) + before(F.regexp_extract_all("text", F.lit(_BLANK), F.lit(0)))
+    lines = lines.unionAll(blocks.select("uid", at.alias("paragraph"), (rows_of(F.col("block")) + 1).alias("n"), _split(F.col("block"))))
     every = F.array_distinct(F.concat(*[_grams(F.col("words"), n) for n in (1, 2, 3)]))
-    exploded = lines.select("uid", "paragraph", F.explode(every).alias("gram"))
-    scored = exploded.join(F.broadcast(weights), "gram", "left").groupBy("uid", "paragraph").agg(*[F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"z{i}") for i in range(k)])
+    exploded = lines.select("uid", "paragraph", "n", F.explode(every).alias("gram"))
+    scored = exploded.join(F.broadcast(weights), "gram", "left").groupBy("uid", "paragraph", "n").agg(*[F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"z{i}") for i in range(k)])
     scaled = [(F.col(f"z{i}") + float(model.intercepts[i])) / model.temperature for i in range(k)]
     top = F.greatest(*scaled)
     total = sum((F.exp(z - top) for z in scaled), F.lit(0.0))
     family = F.coalesce(*[F.when(z == top, F.lit(f)) for z, f in zip(scaled, model.families, strict=True)])
-    said = scored.select("uid", "paragraph", family.alias("family"), (1 / total).alias("probability"))
-    shared = lines.select("uid", "paragraph", F.explode(F.array_distinct(_grams(F.col("words"), 2))).alias("gram")).join(F.broadcast(notices), "gram")
-    shared = shared.groupBy("uid", "paragraph", "family", "notice").agg((F.count(F.lit(1)) / F.first("size")).alias("share")).groupBy("uid", "paragraph", "family").agg(F.max("share").alias("similarity"))
-    judged = said.join(shared, ["uid", "paragraph", "family"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    said = scored.select("uid", "paragraph", "n", family.alias("family"), (1 / total).alias("probability"))
+    shared = lines.select("uid", "paragraph", "n", F.explode(F.array_distinct(_grams(F.col("words"), 2))).alias("gram")).join(F.broadcast(notices), "gram")
+    shared = shared.groupBy("uid", "paragraph", "n", "family", "notice").agg((F.count(F.lit(1)) / F.first("size")).alias("share")).groupBy("uid", "paragraph", "n", "family").agg(F.max("share").alias("similarity"))
+    judged = said.join(shared, ["uid", "paragraph", "n", "family"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     good = (F.col("family") != "unknown") & (F.col("probability") >= probability) & (F.col("similarity") >= similarity)
-    entry = F.struct("paragraph", "family", F.round(F.col("probability") * 100).cast("int").alias("p"), F.round(F.col("similarity") * 100).cast("int").alias("s"))
-    found = judged.groupBy("uid").agg(F.array_sort(F.collect_list(F.when(good, entry))).alias("found"), F.count_if(~good).alias("n_unknown"))
+    entry = F.struct("paragraph", "family", F.round(F.col("probability") * 100).cast("int").alias("p"), F.round(F.col("similarity") * 100).cast("int").alias("s"), "n")
+    found = judged.groupBy("uid").agg(F.array_sort(F.collect_list(F.when(good, entry))).alias("found"), F.count_if(~good & (F.col("n") == 1)).alias("n_unknown"))
+    said_by_line = lambda e: F.exists("found", lambda x: (x["n"] == 1) & (x["family"] == e["family"]) & x["paragraph"].between(e["paragraph"], e["paragraph"] + e["n"] - 1))
+    found = found.withColumn("found", F.filter("found", lambda e: (e["n"] == 1) | ~said_by_line(e)))
     base = rows.select("uid", "doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_paragraphs")).join(found, "uid", "left")
     listed = F.transform("found", lambda e: F.concat_ws(":", e["paragraph"].cast("string"), e["family"], e["p"].cast("string"), e["s"].cast("string")))
     return base.select(
