@@ -20,6 +20,10 @@ _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _WORD_END = r"[^\p{L}\p{N}_]+"
 #: Characters on either side of a base span, and words of them, that are its context.
 CONTEXT_CHARS, CONTEXT_WORDS = 120, 8
+#: A term: a word of two characters or more with a letter in it, or a number of four digits or more.
+_TERM = r"^(?:(?=.*\p{L})[\p{L}\p{N}_]{2,}|\p{N}{4,})$"
+#: Standard errors of the lower confidence bound of a term's share (one-sided, 95 %).
+Z = 1.645
 _SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
@@ -77,14 +81,21 @@ def _entity(span: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), _WORD_END), lambda w: w.rlike(r"^\p{L}{3,}$"))
+    return F.filter(F.split(F.lower(text), _WORD_END), lambda w: w.rlike(_TERM))
+
+
+def _at_least(hits: Column, of: Column) -> Column:
+    """Wilson's lower bound of a share of which `hits` in `of` were seen (hits > 0)."""
+    p, z2 = hits / of, Z * Z
+    return (p + z2 / (2 * of) - Z * F.sqrt(p * (1 - p) / of + z2 / (4 * of * of))) / (1 + z2 / of)
 
 
 def disclosing_terms(rows: DataFrame, located: DataFrame, threshold: float, support: int) -> DataFrame:
     """Columns term, disclosure: the terms that disclose some entity.
 
-    rows: uid, text of all documents; located: uid, text, base of them. A term discloses an entity by its pointwise mutual information with it, as a share of the entity's own information: 1 + log(n(e, t) / n(t)) / log(N / n(e)), where N, n(e) and
-    n(t) are numbers of documents, and n(e, t) is that of documents with the term in the entity's context. Pairs count that were seen in `support` different contexts at least, so that copies of one text prove nothing.
+    rows: uid, text of all documents; located: uid, text, base of them. A term discloses an entity by its pointwise mutual information with it, as a share of the entity's own information: 1 + log(p) / log(N / n(e)), where N and n(e) are numbers
+    of documents, and p is the share of the term's documents that have it in the entity's context. For a pair seen in fewer than `support` different contexts (of different documents) p is the lower confidence bound (Wilson) of that share, equal contexts counted once, among
+    the term's documents too, so that copies of one text prove nothing: a value that is seen once or twice has disclosing terms if the corpus is large enough for that to be no chance.
     """
     spans = located.filter(F.size("base") > 0).select("uid", "text", F.explode("base").alias("span"))
     before = F.substring("text", F.greatest(F.col("span.start") - CONTEXT_CHARS, F.lit(0)) + 1, F.least(F.col("span.start"), F.lit(CONTEXT_CHARS)))
@@ -93,15 +104,18 @@ def disclosing_terms(rows: DataFrame, located: DataFrame, threshold: float, supp
     # the outermost word may be cut off
     left = F.when(F.size(left) > CONTEXT_WORDS + 1, F.slice(left, -(CONTEXT_WORDS + 1), CONTEXT_WORDS + 1)).otherwise(left)
     near = spans.select("uid", _entity(F.col("span")).alias("entity"), F.concat(left, F.slice(right, 1, CONTEXT_WORDS + 1)).alias("words"))
-    near = near.select("uid", "entity", F.xxhash64("words").alias("context"), F.filter("words", lambda w: w.rlike(r"^\p{L}{3,}$")).alias("words"))
+    near = near.select("uid", "entity", F.xxhash64("words").alias("context"), F.filter("words", lambda w: w.rlike(_TERM)).alias("words"))
     seen = near.select("uid", "entity", "context", F.explode(F.array_distinct("words")).alias("term")).distinct()
-    pairs = seen.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("uid").alias("both")).filter(F.col("contexts") >= support)
+    pairs = seen.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("uid").alias("both"))
     entities = near.groupBy("entity").agg(F.countDistinct("uid").alias("n_entity"))
     everywhere = rows.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     total = rows.select(F.count(F.lit(1)).alias("n"))
     known = pairs.join(entities, "entity").join(everywhere, "term").crossJoin(F.broadcast(total))  # total is one row
     own = F.log(F.col("n") / F.col("n_entity"))
-    share = F.when(own > 0, 1 + F.log(F.least(F.col("both") / F.col("n_term"), F.lit(1.0))) / own).otherwise(F.lit(0.0))
+    seen_in = F.least("contexts", "both").cast("double")  # several contexts of one document are one witness
+    among = F.greatest(F.col("n_term") - F.col("both") + seen_in, seen_in)
+    held = F.when(seen_in >= support, F.least(F.col("both") / F.col("n_term"), F.lit(1.0))).otherwise(_at_least(seen_in, among))
+    share = F.when(own > 0, 1 + F.log(held) / own).otherwise(F.lit(0.0))
     return known.select("term", share.alias("disclosure")).groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= threshold)
 
 

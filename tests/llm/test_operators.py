@@ -61,6 +61,16 @@ def test_licences(spark, docs, texts):
         assert got[doc_id].licences == ",".join(sorted({f for n, f in known.items() if n in text}))
 
 
+def test_wrapped_notices(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    isc = "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted"
+    rows = [(1, "Some words.\n \n\n" + mit + "\n\nMore words."), (2, "A title\n\n" + bsd), (3, isc), (4, "He lost his driving license\nand all rights were\nexplained by the public."), (5, "First words.\nReleased under the MIT License.\nMore words.")]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].licences for i in range(1, 6)] == ["MIT", "BSD", "ISC", "", "MIT"]
+    assert got[1].findings.startswith("3:MIT:") and got[2].findings.startswith("2:BSD:") and got[3].findings.startswith("0:ISC:") and got[5].n_found == 1 and got[5].findings.startswith("1:MIT:")
+
+
 def test_licence_model_is_calibrated_and_quiet_without_its_words():
     model = licences.train()
     assert model.families[int(model.intercepts.argmax())] == "unknown"
@@ -424,6 +434,21 @@ def test_disclosing_terms(spark):
     assert "joe@x.org" not in clean[0] and "zorblat" not in clean[0] and "[EMAIL]" in clean[0] and clean[100] == rows[6][1] and clean[900] == "a page of [TERM] alone"
 
 
+def test_terms_of_rare_values(spark):
+    """A value seen in two documents has terms, among them a name of two letters and an identifier; one copied text proves nothing."""
+    rng = random.Random(9)
+    fresh = lambda n: " ".join(f"c{rng.randrange(300)}" for _ in range(n))
+    rows = [(i, fresh(12)) for i in range(20_000)]
+    for i in range(2):
+        rows.append((30_000 + i, f"{fresh(3)} Bo wrote unit77 {fresh(2)} bo.x@mail.example {fresh(4)}"))
+        rows.append((40_000 + i, "here stands copied99 with cy@mail.example once"))
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).filter("doc_id >= 30000").collect()}
+    text = dict(rows)[30_000]
+    spans = [text[int(a) : int(b)] for kind, a, b in (x.split(":") for x in got[30_000].spans.split(",")) if kind == "term"]
+    assert {"Bo", "unit77"} <= set(spans) and not any(x.startswith("c") for x in spans)
+    assert got[30_000].n_email == 1 and got[30_000].n_term >= 2 and got[40_000].n_term == 0
+
+
 # 9
 
 
