@@ -94,7 +94,7 @@ def disclosing_terms(rows: DataFrame, located: DataFrame, threshold: float, supp
     """Columns term, disclosure: the terms that disclose some entity.
 
     rows: uid, text of all documents; located: uid, text, base of them. A term discloses an entity by its pointwise mutual information with it, as a share of the entity's own information: 1 + log(p) / log(N / n(e)), where N and n(e) are numbers
-    of documents, and p is the share of the term's documents that have it in the entity's context. For a pair seen in fewer than `support` different contexts (of different documents) p is the lower confidence bound (Wilson) of that share, equal contexts counted once, among
+    of documents, and p is the share of the term's documents that have it in the entity's context. For a pair seen in fewer than `support` different contexts, and for terms of two characters or with digits, p is the lower confidence bound (Wilson) of that share, equal contexts counted once, among
     the term's documents too, so that copies of one text prove nothing: a value that is seen once or twice has disclosing terms if the corpus is large enough for that to be no chance.
     """
     spans = located.filter(F.size("base") > 0).select("uid", "text", F.explode("base").alias("span"))
@@ -114,7 +114,7 @@ def disclosing_terms(rows: DataFrame, located: DataFrame, threshold: float, supp
     own = F.log(F.col("n") / F.col("n_entity"))
     seen_in = F.least("contexts", "both").cast("double")  # several contexts of one document are one witness
     among = F.greatest(F.col("n_term") - F.col("both") + seen_in, seen_in)
-    held = F.when(seen_in >= support, F.least(F.col("both") / F.col("n_term"), F.lit(1.0))).otherwise(_at_least(seen_in, among))
+    held = F.when((F.col("contexts") >= support) & F.col("term").rlike(r"^\p{L}{3,}$"), F.least(F.col("both") / F.col("n_term"), F.lit(1.0))).otherwise(_at_least(seen_in, among))
     share = F.when(own > 0, 1 + F.log(held) / own).otherwise(F.lit(0.0))
     return known.select("term", share.alias("disclosure")).groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= threshold)
 
