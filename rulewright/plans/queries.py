@@ -484,6 +484,15 @@ def document_set_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["document_set_hash"] = ORACLES["document_set_hash"].replace("(SELECT DISTINCT source AS s FROM documents)", "(SELECT DISTINCT source AS s FROM documents WHERE doc_id < 50)")
 
 
+@query("""SELECT set_id, sha256('{"pairing":["' || string_agg(DISTINCT source, '","' ORDER BY source) || '"],"parser":"documents-v1","sources":[' ||
+string_agg('{"format":"md","name":"' || doc_id || '.md","sha256":"' || sha256(text) || '"}', ',' ORDER BY doc_id || '.md') || ']}') AS hash FROM (SELECT *, doc_id // 50 AS set_id FROM documents) GROUP BY set_id""")
+def document_set_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, in sets of fifty files."""
+    docs = C.table(spark, sf_dir, "documents")
+    files = docs.select(F.expr("doc_id div 50").alias("set_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("name"), F.col("source").alias("stem"), F.lit("md").alias("format"), F.sha2("text", 256).alias("sha256"))
+    return markdown.document_set_hash(files, by=("set_id",))
+
+
 # questions, decisions
 
 

@@ -48,12 +48,12 @@ def select_files(files: DataFrame, limit: int = 20_000_000) -> DataFrame:
     return kept
 
 
-def document_set_hash(files: DataFrame, parser: str = "documents-v1") -> DataFrame:
-    """One row, hash: of the canonical JSON of parser, sources and pairing; folders don't enter."""
+def document_set_hash(files: DataFrame, parser: str = "documents-v1", by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (by: one for each value of these columns), hash: of the canonical JSON of parser, sources and pairing; folders don't enter."""
     entry = lambda n: F.concat(F.lit('{"format":"'), n["format"], F.lit('","name":"'), n["name"], F.lit('","sha256":"'), n["sha256"], F.lit('"}'))
-    one = files.agg(F.array_sort(F.collect_list(F.struct("name", "format", "sha256"))).alias("s"), F.array_sort(F.collect_set("stem")).alias("p"))
+    one = files.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("name", "format", "sha256"))).alias("s"), F.array_sort(F.collect_set("stem")).alias("p"))
     text = F.concat(F.lit('{"pairing":["'), F.array_join("p", '","'), F.lit(f'"],"parser":"{parser}","sources":['), F.array_join(F.transform("s", entry), ","), F.lit("]}"))
-    return one.select(F.sha2(text, 256).alias("hash"))
+    return one.select(*by, F.sha2(text, 256).alias("hash"))
 
 
 def markdown_blocks(documents: DataFrame) -> DataFrame:
