@@ -110,6 +110,41 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+def blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The batches joined into tables of at least so many rows (the last one may have fewer), each column in one chunk."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.num_rows
+        if size >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
+    """Tables of about so many rows, from batches sorted by the key (never null); all rows of one key are in one table."""
+    held: list[pa.RecordBatch] = []
+    size, wanted = 0, rows
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.num_rows
+        if size >= wanted:
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = table.column(key).to_numpy()
+            other = np.flatnonzero(keys != keys[-1])
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield table.slice(0, cut).combine_chunks()
+            held, size = table.slice(cut).to_batches(), size - cut
+            wanted = max(rows, 2 * size)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
 
 class Recent:
     """A bounded memory of what was worked out: two generations, of which the older goes when the younger is full."""

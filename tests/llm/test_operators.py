@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulewright.llm import bpe, fingerprint, jaccard_join, language, licences, neighbours, packing, passages, pii, quality
+from rulewright.llm import words as W
 from rulewright.llm.common import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -264,6 +265,124 @@ def test_passages_whose_parts_occur_elsewhere(spark):
     assert left[3] == rows[3][:25] + rows[3][85:] and left[2001] == rows[2001][:5] + rows[2001][60:] and left[2] == rows[2]
 
 
+def by_windows(texts, size=50):
+    """By document the words that lie in a run of `size` words which an earlier document has too."""
+    first, out = {}, {}
+    for k in sorted(texts):
+        w = words(texts[k])
+        held = set()
+        for i in range(len(w) - size + 1):
+            if first.setdefault(tuple(w[i : i + size]), k) != k:
+                held.update(range(i, i + size))
+        out[k] = held
+    return out
+
+
+def fragments():
+    """Documents whose passages are spread over others in parts: see the names."""
+    rng = random.Random(16)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = {}
+    put = lambda *parts: rows.setdefault(len(rows), [w for p in parts for w in p])
+    quarters = fresh(80)
+    for i in range(4):  # four documents hold a quarter each, two the whole
+        put(fresh(9), quarters[20 * i : 20 * i + 20], fresh(30))
+    put(fresh(10), quarters, fresh(20))
+    put(fresh(30), quarters, fresh(6))
+    lines, whole = [fresh(9) for _ in range(12)], fresh(52)
+    for _ in range(40):  # frequent lines in any order, and a part of `whole`
+        at = rng.randrange(20)
+        put(*rng.sample(lines, 5), fresh(20), whole[at : at + 32], *rng.sample(lines, 3))
+    order = [lines[i] for i in (3, 1, 4, 1, 5, 9, 2)]
+    put(fresh(12), *order, fresh(3), whole)
+    put(fresh(4), *order, fresh(7), whole, fresh(60))
+    put(["the"] * 300, fresh(5))
+    put(fresh(5), ["the"] * 700)
+    put(*[fresh(1) + lines[0]] * 1, ["the"] * 60, *[lines[0]] * 8)
+    put(fresh(50), *[lines[0]] * 9, fresh(50))
+    for _ in range(30):  # one passage in many documents, more of them than a batch ties alone
+        put(fresh(3), whole, fresh(4), quarters[10:64])
+    return {k: " ".join(v) for k, v in rows.items()}
+
+
+@pytest.mark.parametrize("case", ["fragments", "0.001", "0.01"])
+def test_no_exact_passage_is_missed(spark, case):
+    """Every word of 50 in a row that an earlier document has too is in a passage, and every passage is what it says."""
+    texts = fragments() if case == "fragments" else {r.doc_id: r.text or "" for r in spark.read.parquet(f"/root/testdata/sf{case}/documents.parquet").collect()}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = passages.passages(frame).collect()
+    held, split = {k: set() for k in texts}, {k: words(t) for k, t in texts.items()}
+    for r in got:
+        assert r.other_doc_id < r.doc_id and r.end - r.start >= 50 and r.similarity >= 0.8 - 1e-9
+        if r.similarity == 1:
+            assert split[r.doc_id][r.start : r.end] == split[r.other_doc_id][r.other_start : r.other_end]
+        held[r.doc_id].update(range(r.start, r.end))
+    wanted = by_windows(texts)
+    assert sum(map(len, wanted.values())) > 500
+    assert {k: w - held[k] for k, w in wanted.items() if w - held[k]} == {}
+
+
+def test_seeds_are_shared_and_surrounded():
+    """Texts that share 21 words in a row share a seed there; no k-mer of small hash lies whole in the surroundings of a seed but itself."""
+    rng = random.Random(3)
+    for _ in range(200):
+        common = [f"w{rng.randrange(30)}" for _ in range(21)]
+        two = [" ".join([f"x{rng.randrange(9)}" for _ in range(rng.randrange(40))] + common + [f"y{rng.randrange(9)}" for _ in range(40)]) for _ in range(2)]
+        value, text, pos, _, near = passages.seeds(W.Words(two), 5, 16, 0.25, 20)
+        at = [t.split().index(common[0]) for t in two]
+        where = [{(v, p - a) for v, t, p in zip(value, text, pos, strict=True) if t == i and a <= p <= a + 15} for i, a in enumerate(at)]
+        assert where[0] & where[1]
+        low, high, small = near & (2**31 - 1), (near >> 31) & (2**31 - 1), near >> 62
+        for i in range(len(value)):
+            inside = [j for j in range(len(value)) if text[j] == text[i] and small[j] and low[i] <= pos[j] and pos[j] + 6 <= high[i]]
+            assert inside == ([i] if small[i] else [])
+
+
+def test_contexts_never_rule_a_passage_out():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        size, at = 50, int(rng.integers(0, 45))
+        one = rng.integers(0, 2**63, 200).astype(np.uint64)
+        two = rng.integers(0, 2**63, 200).astype(np.uint64)
+        two[70 : 70 + size] = one[70 : 70 + size]
+        wrong = rng.choice([i for i in range(size) if not at <= i < at + 6], 10, replace=False)
+        two[70 + wrong] = rng.integers(0, 2**63, 10).astype(np.uint64)
+        place = np.array([70 + at])
+        assert passages.allowed(passages.contexts(one, place, 6) ^ passages.contexts(two, place, 6), 6, size, 0.8).all()
+    apart = rng.integers(0, 2**63, 2000).astype(np.uint64)
+    assert passages.allowed(apart, 6, 50, 0.8).mean() < 0.1
+
+
+def test_ties_connect_all_texts_of_a_seed():
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        seed, uid = np.sort(rng.integers(0, 5, 60)), rng.integers(0, 12, 60)
+        order = np.lexsort((uid, seed))
+        seed, uid = seed[order], uid[order]
+        later, earlier, over, outer = passages.tied(seed, uid)
+        assert (seed[later] == seed[earlier]).all() and (uid[earlier] < uid[later]).all() and len(later) <= 4 * 60
+        for s in set(seed):
+            own = sorted(set(uid[seed == s]))
+            ties = {(a, b) for a, b, c in zip(uid[later], uid[earlier], seed[later], strict=True) if c == s}
+            for i, u in enumerate(own):
+                assert {b for a, b in ties if a == u} == set(own[: min(i, 2)]) | set(own[max(i - 2, 0) : i])
+                assert outer[(seed == s) & (uid == u)].all() == (i < 2 or i >= len(own) - 2)
+            repeats = len(own) > 1 and (seed == s).sum() > len(own)
+            assert over[seed == s].all() == over[seed == s].any() == (len(own) > 5 or repeats)
+
+
+def test_every_fifth_word_changed(spark):
+    """At 0.8 with changes at regular places there are no five words in a row: the spaced seeds find them."""
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = {}
+    for k in range(0, 200, 2):
+        one = fresh(120)
+        rows |= {k: fresh(20) + one + fresh(20), k + 1: fresh(30) + [w if i % 5 != 2 else "x" + w for i, w in enumerate(one)]}
+    frame = spark.createDataFrame([(k, " ".join(v)) for k, v in rows.items()], "doc_id long, text string")
+    assert len({r.doc_id for r in passages.passages(frame).collect()}) >= 95
+
+
 def test_stretches_find_what_is_just_similar_enough():
     rng = np.random.default_rng(7)
     assert passages.stretches(np.array([True, False] + [True] * 48), 0.8, 50) == [(0, 50)]
