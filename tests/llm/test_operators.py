@@ -332,7 +332,7 @@ def test_seeds_are_shared_and_surrounded():
         at = [t.split().index(common[0]) for t in two]
         where = [{(v, p - a) for v, t, p in zip(value, text, pos, strict=True) if t == i and a <= p <= a + 15} for i, a in enumerate(at)]
         assert where[0] & where[1]
-        low, high, small = near & (2**31 - 1), (near >> 31) & (2**31 - 1), near >> 62
+        low, high, small = pos - (near & (2**31 - 1)), pos + ((near >> 31) & (2**31 - 1)), near >> 62
         for i in range(len(value)):
             inside = [j for j in range(len(value)) if text[j] == text[i] and small[j] and low[i] <= pos[j] and pos[j] + 6 <= high[i]]
             assert inside == ([i] if small[i] else [])
