@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,31 @@ from rulewright.llm.common import batch, chunks, pick, session
 
 _U = np.uint64
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-#: Low bits of a hash that hold a k-mer's place in its text.
+#: Bits of a hash that don't count. In them goes a k-mer's place in its text while texts are small enough for that.
 _PLACE = 22
+#: Scripts written without spaces: each of their characters is a word.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\U00020000-\U0003ffff])")
+
+
+def two_least(value: np.ndarray, starts: np.ndarray, counts: np.ndarray, places: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Where the least value and the second least stand in each run of so many values from starts on; the first place counts where the high bits are equal. value is overwritten.
+
+    places: numbers in the runs, which go into the low bits; None where there are too many for that. Both ways give the same. In a run of one the second means nothing.
+    """
+    low = _U((1 << _PLACE) - 1)
+    if places is not None:
+        value &= ~low
+        value |= places
+        first = starts + (np.minimum.reduceat(value, starts) & low).astype(np.int64)
+        value[first] = np.iinfo(_U).max
+        return first, starts + (np.minimum.reduceat(value, starts) & low).astype(np.int64)
+    value >>= _U(_PLACE)
+    out = []
+    for _ in range(2):
+        least = np.flatnonzero(value == np.repeat(np.minimum.reduceat(value, starts), counts))
+        out.append(least[np.searchsorted(least, starts)])
+        value[out[-1]] = np.iinfo(_U).max
+    return out[0], out[1]
 
 
 class OrderMinHash:
@@ -29,8 +53,8 @@ class OrderMinHash:
         self.slots, self.k, self.family = slots, k, W.hash_family(slots, seed)
 
     def signatures(self, texts: list[str]) -> np.ndarray:
-        """texts x slots, uint16. A text without words has zeros; one of fewer than k words has one k-mer, of all its words."""
-        words = W.Words(texts, W.NOT_SPACE, fold=False)
+        """texts x slots, uint16. Words are parted by white space; in scripts that don't use it each character is one. A text without words has zeros; one of fewer than k words has one k-mer, of all its words."""
+        words = W.Words([_UNSPACED.sub(r" \1 ", t) if _UNSPACED.search(t) else t for t in texts], W.NOT_SPACE, fold=False)
         kmer, at = W.positions(words, self.k)
         text = np.searchsorted(words.first, at, side="right") - 1
         counts = np.bincount(text, minlength=len(texts))
@@ -47,18 +71,13 @@ class OrderMinHash:
         if not len(has):
             return out
         starts = np.cumsum(counts)[has] - counts[has]
-        place = (np.arange(len(kmer)) - np.repeat(starts, counts[has])).astype(_U) & _U((1 << _PLACE) - 1)
-        low, high = _U((1 << _PLACE) - 1), _U(~((1 << _PLACE) - 1) & (1 << 64) - 1)
+        places = (np.arange(len(kmer)) - np.repeat(starts, counts[has])).astype(_U) if counts.max() < 1 << _PLACE else None
         two = counts[has] > 1
         value = np.empty(len(kmer), _U)
         for s, (a, b) in enumerate(zip(*self.family, strict=True)):
             np.multiply(numbered, a, out=value)
             value += b
-            value &= high
-            value |= place
-            first = starts + (np.minimum.reduceat(value, starts) & low).astype(np.int64)
-            value[first] = np.iinfo(_U).max
-            second = starts + (np.minimum.reduceat(value, starts) & low).astype(np.int64)
+            first, second = two_least(value, starts, counts[has], places)
             early, late = np.minimum(first, second), np.maximum(first, second)
             early, late = np.where(two, early, first), np.where(two, late, first)
             out[has, s] = (W.mix(kmer[early] * _U(3) + W.mix(kmer[late])) >> _U(48)).astype(np.uint16)
@@ -99,16 +118,15 @@ def fingerprints(docs: DataFrame, *, slots: int = 64, k: int = 2) -> DataFrame:
     # null doc_ids never reach the function, as pandas would turn the others into floats
     part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(part_of(F.coalesce("doc_id", F.lit(0))))
     placed = rows.withColumn("part", part)
-    tops = placed.select("part", "doc_id").groupBy("part").agg(F.max("doc_id").alias("top"))
-    firsts = placed.join(F.broadcast(tops), (placed["part"] == tops["part"]) & placed["doc_id"].eqNullSafe(tops["top"]), "left_semi")
+    found = placed.select("part", "doc_id").groupBy("part").agg(F.max("doc_id").alias("top")).orderBy("part").collect()  # a row for each range
+    # a range's follower is the first row of the next range that has rows; the last range's is that of the first
+    ring = [(r["part"], r["top"], found[i - 1]["part"]) for i, r in enumerate(found)]
+    tops = F.broadcast(spark.createDataFrame(ring, "own int, top long, back int"))
+    firsts = placed.join(tops, (placed["part"] == tops["own"]) & placed["doc_id"].eqNullSafe(tops["top"])).select("doc_id", "text", "part", "back")
     order = [F.desc_nulls_last("doc_id"), "hash", "text"]
     hashed = firsts.withColumn("hash", F.xxhash64("text"))
-    firsts = hashed.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(*order))).filter("n = 1").select("doc_id", "text", "part")
-    # a range's follower is the first row of the next range that has rows; the last range's is that of the first
-    ring = [r["part"] for r in tops.select("part").orderBy("part").collect()]
-    before = dict(zip(ring, [ring[-1], *ring[:-1]], strict=True)) if ring else {0: 0}
-    back = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    followers = firsts.select("doc_id", "text", back[F.col("part")].alias("part"), F.lit(1).alias("role"))
+    firsts = hashed.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(*order))).filter("n = 1")
+    followers = firsts.select("doc_id", "text", F.col("back").alias("part"), F.lit(1).alias("role"))
     dealt = placed.select("doc_id", "text", "part", F.lit(0).alias("role")).unionAll(followers).withColumn("hash", F.xxhash64("text"))
     dealt = dealt.repartition("part").sortWithinPartitions("part", "role", *order).select("doc_id", "text", "part", "role")
     tool = OrderMinHash(slots, k)

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from rulewright.llm.common import batch, groups, materialize, pick, session
 
-_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+_FOUND = pa.schema([("asked", pa.int64()), ("query_id", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 #: Rows on which the codes and the radius are fitted, those of the least hashes of vec_id: all rows where there are no more.
 SAMPLE_ROWS = 8_000
 #: Queries among the sample from which the radius is learned.
@@ -131,19 +131,19 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, bits: int = 256
     inner product of the original vectors. Each task returns its k best a query at most, and where fewer than k codes lie within the radius, it widens the radius until k do or
     all rows are in. The best of those are the result.
 
-    Vectors that are null, zero, or hold nulls, NaN or infinities take no part; vectors of different lengths are searched apart. Of rows with one vec_id the least vector
-    counts; a null vec_id takes no part. With fewer than k candidates all are returned. Other columns are ignored; an empty table gives an empty result.
+    Vectors that are null, zero, or hold nulls, NaN or infinities take no part; vectors of different lengths are searched apart. Rows with one vec_id are rows of their own: each is a candidate of
+    the others, and each is asked where its vec_id is; a null vec_id takes no part. With fewer than k candidates all are returned. Other columns are ignored; an empty table gives an empty result.
     """
     spark = session(vectors)
     rows = pick(vectors, vec_id="long", embedding="array<double>").filter("vec_id is not null and size(embedding) > 0")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.filter(finite & F.exists("embedding", lambda x: x != 0)).withColumn("dim", F.size("embedding"))
-    rows = materialize(rows.groupBy("vec_id").agg(F.min(F.struct("dim", "embedding")).alias("v")).select("vec_id", "v.dim", "v.embedding"), "vectors")
+    rows = materialize(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "dim", "embedding"), "vectors")
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
     sizes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("longest")).collect()  # a row for each length of vectors
     models, blocks = {}, {}
     for r in sizes:
-        sample = rows.filter(F.col("dim") == r["dim"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("embedding").toPandas()
+        sample = rows.filter(F.col("dim") == r["dim"]).orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(SAMPLE_ROWS).select("embedding").toPandas()
         x = np.array(sample["embedding"].tolist(), np.float64)
         models[r["dim"]] = learn(x, max(r["longest"], 1e-300), bits)
         set_radius(models[r["dim"]], x, k, target)
@@ -151,27 +151,27 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, bits: int = 256
     kinds = "dim int, row_blocks int, query_blocks int"
     counts = F.broadcast(spark.createDataFrame([(d, *b) for d, b in blocks.items()], kinds))
     dealt = rows.join(counts, "dim")
-    index = dealt.select("dim", F.pmod(F.xxhash64("vec_id"), F.col("row_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("j"), F.lit(0).alias("role"), "vec_id", "embedding")
+    index = dealt.select("dim", F.pmod(F.xxhash64("row"), F.col("row_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("j"), F.lit(0).alias("role"), "row", "vec_id", "embedding")
     asked = dealt.filter(F.col("vec_id") % every == 0)
-    asked = asked.select("dim", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)).alias("i"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("query_blocks")).cast("int").alias("j"), F.lit(1).alias("role"), "vec_id", "embedding")
-    units = index.unionAll(asked).repartition("dim", "i", "j").sortWithinPartitions("dim", "i", "j", "role", "vec_id")
+    asked = asked.select("dim", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)).alias("i"), F.pmod(F.xxhash64("row", F.lit(1)), F.col("query_blocks")).cast("int").alias("j"), F.lit(1).alias("role"), "row", "vec_id", "embedding")
+    units = index.unionAll(asked).repartition("dim", "i", "j").sortWithinPartitions("dim", "i", "j", "role", "row")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in groups(batches, ["dim", "i", "j"]):
             dim = unit.column("dim")[0].as_py()
             x = unit.column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, dim)
-            ids, role = unit.column("vec_id").to_numpy(), unit.column("role").to_numpy()
+            ids, numbers, role = (unit.column(c).to_numpy() for c in ("vec_id", "row", "role"))
             own, codes = role == 0, models[dim]
-            rows, row_ids, table = x[own], ids[own], Index(codes.of_rows(x[own])) if own.any() else None
-            asked, asked_ids = x[~own], ids[~own]
+            rows, row_ids, row_numbers, table = x[own], ids[own], numbers[own], Index(codes.of_rows(x[own])) if own.any() else None
+            asked, asked_ids, asked_numbers = x[~own], ids[~own], numbers[~own]
             if table is None or not len(asked):
                 continue
             out = []
-            for q, q_id, code in zip(asked, asked_ids.tolist(), codes.of_queries(asked), strict=True):
+            for q, q_id, number, code in zip(asked, asked_ids.tolist(), asked_numbers.tolist(), codes.of_queries(asked), strict=True):
                 radius = codes.radius
                 while True:
                     near = table.within(code, radius)
-                    near = near[row_ids[near] != q_id]
+                    near = near[row_numbers[near] != number]
                     if len(near) >= min(k, len(rows) - 1) or radius >= bits:
                         break
                     radius = min(bits, radius + max(1, bits // 16))
@@ -179,10 +179,10 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, bits: int = 256
                 if len(near) > k:
                     least = np.partition(score, len(score) - k)[len(score) - k]
                     near, score = near[score >= least], score[score >= least]
-                best = np.lexsort((row_ids[near], -score))[:k]
-                out.append((np.full(len(best), q_id), row_ids[near[best]], score[best]))
+                best = np.lexsort((row_numbers[near], row_ids[near], -score))[:k]
+                out.append((np.full(len(best), number), np.full(len(best), q_id), row_numbers[near[best]], row_ids[near[best]], score[best]))
             yield batch(_FOUND, *(np.concatenate(c) for c in zip(*out, strict=True)))
 
-    found = units.mapInArrow(search, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = units.mapInArrow(search, "asked long, query_id long, row long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id", "row"))
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -23,7 +23,7 @@ from rulewright.llm.words import mix
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
 #: Pieces of one length that are numbered together in one task.
-RANKED_TOGETHER = 20_000
+RANKED_TOGETHER = 500
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -349,18 +349,19 @@ def pack(docs: DataFrame, *, path: str | None = None, capacity: int = 2048, end_
     interchangeable. Other columns are ignored; an empty table gives an empty result.
     """
     session(docs)
-    pieces = materialize(token_pieces(docs, path or tokenizer_path("word_bpe_49k.json"), capacity, end_id, with_ids), "pieces")
+    pieces = token_pieces(docs, path or tokenizer_path("word_bpe_49k.json"), capacity, end_id, with_ids)
+    pieces = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")  # a number that equal pieces don't share
     lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
     plan = best_fit_decreasing(lengths, capacity)
     top = int(max(lengths.values(), default=1)) + 1
     key, first, bins, each, offset = plan[:, 0] * top + plan[:, 1], plan[:, 1], plan[:, 2], plan[:, 3], plan[:, 4]
     order = np.argsort(key)
     key, first, bins, each, offset = key[order], first[order], bins[order], each[order], offset[order]
-    salts = -(-top // RANKED_TOGETHER)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salts = F.broadcast(docs.sparkSession.createDataFrame([(n, -(-k // RANKED_TOGETHER)) for n, k in lengths.items()], "length long, salts long"))  # at most capacity rows
+    salted = pieces.join(salts, "length").withColumn("salt", F.pmod(F.xxhash64("row"), "salts"))
     before = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = before.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1).join(before, ["length", "salt"])
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("row")) - 1).join(before, ["length", "salt"])
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     ranked = ranked.select(*names, (F.col("rank") + F.col("before")).alias("rank"))
     schema = pa.schema([*(list(_PIECES) if with_ids else list(_PIECES)[:-1]), ("sequence_id", pa.int64()), ("offset", pa.int64())])
