@@ -115,19 +115,21 @@ def disclosing_terms(rows: DataFrame, located: DataFrame, threshold: float, prio
 def _spans(rows: DataFrame, threshold: float, prior: float) -> DataFrame:
     """Columns uid, doc_id, base, terms: each row's base spans, and those of disclosing terms (value: the term's disclosure) that no base span touches."""
     located = base_spans(rows.select("uid", "doc_id", "text"))
-    base = materialize(located.select("uid", "doc_id", F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))).alias("base")), "base")
-    some = base.filter(F.size("base") > 0).select("uid", "base")
-    near = rows.select("uid", "text").join(some, "uid")
+    plain = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    # the texts of documents with spans are kept along with them, so that no other text is moved
+    base = materialize(located.select("uid", "doc_id", plain.alias("base"), F.when(F.size("base") > 0, F.col("text")).alias("text")), "base")
+    near = base.filter(F.size("base") > 0).select("uid", "text", "base")
     terms = materialize(disclosing_terms(rows, near, threshold, prior), "terms")
     # terms that occur in their entity's documents only need not be looked for in all others
     has = lambda docs, terms: docs.select("uid", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(terms.drop("wide"), "term")
     holders = has(rows, terms.filter("wide")).unionAll(has(near, terms.filter("not wide"))).groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("known"))
-    held = rows.select("uid", "text").join(materialize(holders, "holders"), "uid")
+    holders = materialize(holders, "holders")
+    held = near.select("uid", "text").join(holders, "uid").unionAll(rows.select("uid", "text").join(holders.join(near.select("uid"), "uid", "left_anti"), "uid"))
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])(?:"), F.array_join(F.map_keys("known"), "|"), F.lit(r")(?![\p{L}\p{N}_])"))
     held = held.withColumn("pattern", pattern).withColumn("hits", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)))
     found = held.select("uid", "known", _located(F.col("text"), F.col("pattern"), F.col("hits"), KINDS.index("term")).alias("terms"))
     found = found.select("uid", F.transform("terms", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.col("known")[F.lower(s["value"])].cast("string").alias("value"))).alias("terms"))
-    both = base.join(found, "uid", "left").withColumn("terms", F.coalesce("terms", F.array().cast(_SPAN)))
+    both = base.drop("text").join(found, "uid", "left").withColumn("terms", F.coalesce("terms", F.array().cast(_SPAN)))
     apart = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     return both.select("uid", "doc_id", "base", apart.alias("terms"))
 
