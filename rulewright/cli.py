@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rulewright.operators import scoring
 from rulewright.plans import batch, build
 from rulewright.plans.contract import Contract
-from rulewright.session import local_session
+from rulewright.session import local_session, materialize
 from rulewright.sources import jsonl, markdown
 from rulewright.sources.store import ContractStore, Settings
 
@@ -34,16 +34,30 @@ def _parser() -> argparse.ArgumentParser:
         for option in options:
             sub.add_argument(f"--{option}", required=option != "contract-key")
         sub.add_argument("--as-of")
+        if "docs" in options:
+            sub.add_argument("--pages", help="JSON lines stem, page, text: the text of the PDF files' pages")
         if verb == "build-contract":
             sub.add_argument("--force", action="store_true")
     return parser
 
 
-def _documents(spark: SparkSession, folder: str) -> tuple[DataFrame, list[dict]]:
-    """Numbered blocks of a folder's Markdown files, and the sources that name the set."""
+def _documents(spark: SparkSession, folder: str, extracted: str | None = None) -> tuple[DataFrame, list[dict]]:
+    """Numbered blocks of a folder's files, and the sources that name the set. The pages of PDF files come as a file of JSON lines; a PDF without Markdown has a block a page."""
     files = markdown.select_files(markdown.read_files(spark, _url(folder)))
     texts = files.filter("format = 'md'").select("stem", F.col("name").alias("document_name"), F.decode("content", "UTF-8").alias("text"))
-    blocks = markdown.number_blocks(markdown.markdown_blocks(texts))
+    blocks = markdown.markdown_blocks(texts)
+    stems = {kind: {r["stem"] for r in files.filter(F.col("format") == kind).select("stem").collect()} for kind in ("md", "pdf")}  # the files of one set
+    if stems["pdf"]:
+        if not extracted:
+            raise ValueError("PDF files need their extracted pages (--pages)")
+        pages = spark.read.schema("stem string, page int, text string").json(_url(extracted))
+        blocks = markdown.paired_blocks(blocks, pages, sorted(stems["pdf"] & stems["md"]))
+        alone = pages.filter(F.col("stem").isin(sorted(stems["pdf"] - stems["md"])))
+        if markdown.blank_pages(alone).limit(1).count() or alone.select("stem").distinct().count() < len(stems["pdf"] - stems["md"]):
+            raise ValueError("a PDF file has no pages or a page without text")
+        names = files.filter("format = 'pdf'").select("stem", F.col("name").alias("document_name"))
+        blocks = blocks.unionByName(alone.join(names, "stem").select("stem", "document_name", "page", F.array().cast("array<string>").alias("section_path"), F.lit(0).alias("pos"), markdown.strip(F.col("text")).alias("text")))
+    blocks = markdown.number_blocks(blocks)
     sources = [r.asDict() for r in files.select("name", "format", "sha256").orderBy("name").collect()]  # the files of one set
     return blocks, sources
 
@@ -75,20 +89,19 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
 
 def _run(spark: SparkSession, options: argparse.Namespace, settings: Settings) -> dict:
     questions = jsonl.read_questions(spark, _url(options.questions))
-    blocks, sources = _documents(spark, options.docs)
+    blocks, sources = _documents(spark, options.docs, options.pages)
     store = ContractStore(options.store)
     kept = store.load(options.contract_key or store.key(sources, model=settings.model))
     if kept is None:
         raise ValueError("there is no contract for these documents")
     replies = spark.read.schema("output_id string, attempt int, text string").json(_url(options.replies))
-    records = batch.run(questions, replies, Contract.from_body(kept[0]), blocks, settings.as_of)
+    records = materialize(batch.run(questions, replies, Contract.from_body(kept[0]), blocks, settings.as_of), "records")
     jsonl.write_predictions(records, options.output, "line_no", [options.questions, options.docs])
-    counts = records.groupBy("decision").count().collect()
-    return {"total": sum(r["count"] for r in counts)} | {r["decision"]: r["count"] for r in counts}
+    return scoring.report(records).drop("ambiguous").first().asDict()
 
 
 def _build(spark: SparkSession, options: argparse.Namespace, settings: Settings) -> dict:
-    blocks, sources = _documents(spark, options.docs)
+    blocks, sources = _documents(spark, options.docs, options.pages)
     if not build.within_budget(markdown.full_context(blocks)):
         raise ValueError("the documents exceed one request")
     with open(options.replies, encoding="utf-8") as f:
@@ -100,7 +113,7 @@ def _build(spark: SparkSession, options: argparse.Namespace, settings: Settings)
 
 
 def _inspect(spark: SparkSession, options: argparse.Namespace, settings: Settings) -> dict:
-    _, sources = _documents(spark, options.docs)
+    _, sources = _documents(spark, options.docs, options.pages)
     store = ContractStore(options.store)
     key = store.key(sources, model=settings.model)
     key = key if store.load(key) else store.best(settings.model, "")

@@ -1,11 +1,11 @@
-"""Scalar functions on text: native expressions, and Arrow functions where Spark has no Unicode normal form or Chinese numerals."""
+"""Scalar functions on text as column expressions. Only Unicode's compatible form, which Spark lacks, comes from an Arrow function, for texts that need it."""
 
 from __future__ import annotations
 
 import datetime as dt
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from decimal import Decimal
 
 import pandas as pd
@@ -14,17 +14,33 @@ from pyspark.sql import functions as F
 
 #: Fixed: white space and punctuation that don't count when sentences are compared.
 _SURFACE = r"(?U)[\s，,。；;：:！？!?]+"
-#: Fixed: Chinese numerals.
-DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
-POWERS = {"十": 10, "百": 100, "千": 1000}
+#: Fixed: Chinese digits with the Arabic ones that they stand for.
+DIGITS, ARABIC = "零〇一二两三四五六七八九", "001223456789"
+_ZEROS, _ONES = DIGITS[:2], DIGITS[2:]
 #: Fixed: days by their distance from the reference date.
 RELATIVE_DAYS = {"今天": 0, "昨天": -1, "明天": 1}
 #: Fixed: words of a claim and its quotes that must be the same on both sides.
 MARKERS = ("不是", "并非", "最多", "至少", "上限", "下限", "首次响应", "最终解决")
 #: Fixed: words that make a statement doubtful.
 DOUBTS = ("不是", "并非", "不", "未", "否", "非", "无", "未知", "不确定", "存疑", "尚待", "待确认", "无法判断")
-_ARABIC = re.compile(r"[+-]?(?:\d+(?:\.\d+)?|\.\d+)")
-_NUMERALS = "".join([*DIGITS, *POWERS])
+#: Grammar of numbers. Patterns hold for Java and Python alike.
+_DECIMAL = r"[+-]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)"
+_NUMERALS = DIGITS + "十百千"
+_FILL, _LEAD, _NEXT = f"[{_ZEROS}]*", f"([{DIGITS}])", f"([{_ONES}])"
+#: A numeral by its greatest power: a digit before each power, powers falling, zeros between for what is skipped, and a digit that may close it. What its parts count; only the first may be left out and then is one.
+_BY_POWER = (
+    (f"{_LEAD}千{_FILL}(?:{_NEXT}百{_FILL})?(?:{_NEXT}十{_FILL})?{_NEXT}?", (1000, 100, 10, 1)),
+    (f"{_LEAD}百{_FILL}(?:{_NEXT}十{_FILL})?{_NEXT}?", (100, 10, 1)),
+    (f"{_LEAD}?十{_FILL}{_NEXT}?", (10, 1)),
+)
+_ISO_DATE = "([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})"
+_SMALL = f"[0-9{DIGITS}十]+"
+_LONG_DATE = f"(?:([0-9{_NUMERALS}]+)年)?({_SMALL})月({_SMALL})日"
+#: Fixed: what stands beside 日 and 月 where they are parts of dates. An empty text is the end.
+_BEFORE_DAY, _BEFORE_MONTH, _AFTER_MONTH = "月", "年", ("", "日", "十", *"0123456789", *DIGITS)
+#: Texts that are their own compatible form: ASCII, precomposed Latin letters, unified ideographs, and two marks.
+_PLAIN = "^[\\p{ASCII}\u00c0-\u0131\u0134-\u013e\u0141-\u0148\u014c-\u017e\u4e00-\u9fff\u3001\u3002]*$"
+_SPACE = r"[\s\x1c-\x1f]+"
 
 
 # native
@@ -45,135 +61,144 @@ def sanitised_code(code: Column) -> Column:
     return F.when(code.rlike("^[A-Z][A-Z0-9_]{0,63}$"), code).otherwise("UNSAFE_ISSUE_CODE")
 
 
-def arabic_number(token: Column) -> Column:
-    """The number of an Arabic token as decimal(38,18), NULL for anything else."""
-    trimmed = F.regexp_replace(token, r"^(?U)\s+|\s+$", "")
-    return F.when(trimmed.rlike(r"^[+-]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)$"), trimmed.try_cast("decimal(38,18)"))
+def shared_markers(claim: Column, quote: Column) -> Column:
+    """Whether each marker word is in both texts or in neither."""
+    return F.forall(F.array(*[F.lit(m) for m in MARKERS]), lambda m: F.contains(claim, m) == F.contains(quote, m))
 
 
-def iso_date(token: Column) -> Column:
-    """The date of a token such as 2026-2-3; NULL if it isn't one or there is no such day."""
-    part = lambda i: F.regexp_extract(token, r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})$", i)
-    padded = F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0"))
-    return F.when(token.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), padded.try_cast("date"))
+def compatible(text: Column | str) -> Column:
+    """Unicode's compatible form (NFKC). Only texts that may differ from theirs go to Python."""
 
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
-def shared_markers(claim: Column, quote: Column) -> Column:
-    """Whether each marker word is in both texts or in neither."""
-    return F.forall(F.array(*[F.lit(m) for m in MARKERS]), lambda m: F.contains(claim, m) == F.contains(quote, m))
+    text = F.col(text) if isinstance(text, str) else text
+    plain = text.rlike(_PLAIN)
+    return F.when(plain, text).otherwise(run(F.when(~plain, text)))
 
 
-# by Arrow
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, f"(?U)^{_SPACE}|{_SPACE}$", "")
 
 
-def surface(text: str) -> str:
+def nfkc_surface(text: Column | str) -> Column:
     """Width and white space normalised."""
-    return " ".join(unicodedata.normalize("NFKC", text).split())
+    return F.regexp_replace(_trimmed(compatible(text)), f"(?U){_SPACE}", " ")
 
 
-def number(token: str) -> Decimal | None:
-    """An Arabic number or a Chinese one: digits read off one by one, or digits before falling powers of ten. A single digit may close it, whatever the power before."""
-    token = unicodedata.normalize("NFKC", token).strip()
-    if _ARABIC.fullmatch(token):
-        return Decimal(token)
-    if not token or any(c not in _NUMERALS for c in token):
-        return None
-    if not any(c in POWERS for c in token):
-        return Decimal("".join(str(DIGITS[c]) for c in token))
-    total, digit, power = 0, None, 10_000
-    for c in token:
-        if c in POWERS:
-            if POWERS[c] >= power or (digit is None and not (c == "十" and power == 10_000)):
-                return None
-            total += (1 if digit is None else digit) * POWERS[c]
-            digit, power = None, POWERS[c]
-        elif digit is None and DIGITS[c] == 0 and power < 10_000:
-            continue  # a zero stands for a skipped power
-        elif digit is not None:
-            return None
-        else:
-            digit = DIGITS[c]
-    return Decimal(total + (digit or 0))
+def _number(token: Column) -> Column:
+    """The number of a token in compatible form, without spaces around it, as plain text; NULL if it is none."""
+    whole = lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")
+    bare = F.regexp_replace(token, "^[+-]", "")
+    arabic = F.concat(F.when(F.startswith(token, F.lit("-")), "-").otherwise(""), F.when(F.startswith(bare, F.lit(".")), F.concat(F.lit("0"), bare)).otherwise(whole(bare)))
+    digit = lambda x: F.translate(x, DIGITS, ARABIC).try_cast("long")
+    out = F.when(token.rlike(f"^{_DECIMAL}$"), arabic).when(token.rlike(f"^[{DIGITS}]+$"), whole(F.translate(token, DIGITS, ARABIC)))
+    for pattern, weights in _BY_POWER:
+        parts = [F.coalesce(digit(F.regexp_extract(token, f"^{pattern}$", i + 1)), F.lit(int(i == 0))) * w for i, w in enumerate(weights)]
+        out = out.when(token.rlike(f"^{pattern}$"), sum(parts[1:], parts[0]).cast("string"))
+    return out
 
 
-def day(token: str, as_of: dt.date, year: int | None = None) -> dt.date | None:
-    """A relative day, an ISO date, or one with 年, 月 and 日; without a year in it only if one is given."""
-    token = unicodedata.normalize("NFKC", token).strip()
-    if token in RELATIVE_DAYS:
-        return as_of + dt.timedelta(days=RELATIVE_DAYS[token])
-    if m := re.fullmatch(r"(\d{4})-(\d{1,2})-(\d{1,2})", token):
-        parts = [Decimal(x) for x in m.groups()]
-    elif m := re.fullmatch(rf"(?:([0-9{_NUMERALS}]+)年)?([0-9{_NUMERALS.replace('百', '').replace('千', '')}]+)月([0-9{_NUMERALS.replace('百', '').replace('千', '')}]+)日", token):
-        parts = [number(x) if x else (None if year is None else Decimal(year)) for x in m.groups()]
-    else:
-        return None
-    try:
-        return dt.date(*(int(p) for p in parts)) if None not in parts else None
-    except ValueError:
-        return None
+def parse_number(token: Column | str) -> Column:
+    """An Arabic number or a Chinese one (digits read off, or digits before falling powers of ten) as plain text, so that its scale is kept."""
+    return _number(_trimmed(compatible(token)))
 
 
-class Literals:
-    """Finds numbers with a unit of measure. units: (unit_code, aliases, dimension) each."""
+def parse_date(token: Column, as_of: Column, year: Column | None = None) -> Column:
+    """A relative day, an ISO date, or one with 年, 月 and 日, without a year in it only if one is given; NULL if there is no such day."""
+    token = _trimmed(compatible(token))
+    relative = F.create_map(*[F.lit(x) for pair in RELATIVE_DAYS.items() for x in pair])
+    iso = lambda i: F.regexp_extract(token, f"^{_ISO_DATE}$", i)
+    long = lambda i: _number(F.regexp_extract(token, f"^{_LONG_DATE}$", i))
 
-    def __init__(self, units: Sequence[tuple[str, Sequence[str], str]]):
-        self.by_alias: dict[str, tuple[str, str]] = {}
-        for code, aliases, dimension in units:
-            kind = dimension if dimension in ("duration", "money") else "quantity"
-            for alias in aliases:
-                alias = unicodedata.normalize("NFKC", alias)
-                if self.by_alias.setdefault(alias, (code, kind))[0] != code:
-                    raise ValueError(f"the alias {alias} belongs to two units")
-        words = "|".join(map(re.escape, sorted(self.by_alias, key=len, reverse=True)))
-        self.pattern = re.compile(rf"([+-]?(?:\d+(?:\.\d+)?|[{_NUMERALS}]+))\s*({words})") if words else None
+    def made(y: Column, m: Column, d: Column) -> Column:
+        good = y.rlike("^[0-9]{1,4}$") & ~y.rlike("^0+$") & m.rlike("^[0-9]{1,2}$") & d.rlike("^[0-9]{1,2}$")
+        return F.when(good, F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")).try_cast("date"))
 
-    def find(self, text: str) -> list[tuple[str, str, str]]:
-        """kind, number as text, unit code. A 日 after 月, and a 月 within a date or at the end, are parts of dates and no amounts."""
-        text, out = unicodedata.normalize("NFKC", text), []
-        for m in self.pattern.finditer(text) if self.pattern else ():
-            before, after = text[: m.start()], text[m.end() : m.end() + 1]
-            if m[2] == "日" and before.endswith("月"):
-                continue
-            if m[2] == "月" and (before.endswith("年") or not after or after in "0123456789日零〇一二两三四五六七八九十"):
-                continue
-            if (n := number(m[1])) is not None:
-                code, kind = self.by_alias[m[2]]
-                out.append((kind, format(n, "f"), code))
-        return out
+    given = F.lit(None).cast("string") if year is None else year.cast("string")
+    return (
+        F.when(F.map_contains_key(relative, token), F.date_add(as_of, F.try_element_at(relative, token)))
+        .when(token.rlike(f"^{_ISO_DATE}$"), made(iso(1), iso(2), iso(3)))
+        .when(token.rlike(f"^{_LONG_DATE}$"), made(F.coalesce(long(1), given), long(2), long(3)))
+    )
+
+
+def unit_names(units: Sequence[tuple[str, Sequence[str], str]]) -> dict[str, tuple[str, str]]:
+    """Unit code and kind of value by name. units: (unit_code, aliases, dimension) each; a name of two units is an error."""
+    out: dict[str, tuple[str, str]] = {}
+    for code, aliases, dimension in units:
+        kind = dimension if dimension in ("duration", "money") else "quantity"
+        for name in {unicodedata.normalize("NFKC", a) for a in aliases}:
+            if out.setdefault(name, (code, kind))[0] != code:
+                raise ValueError(f"the alias {name} belongs to two units")
+    return out
+
+
+def _amounts(names: Iterable[str]) -> str:
+    """A number and a unit's name, the longest that fits, with the characters on either side: groups before, number, name, after."""
+    listed = "|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n)))
+    return f"(?:(?<=([{_BEFORE_DAY}{_BEFORE_MONTH}]))|)([+-]?(?:[0-9]+(?:\\.[0-9]+)?|[{_NUMERALS}]+))\\s*({listed})(?=((?s:.))|)"
 
 
 def literals(text: Column, units: Sequence[tuple[str, Sequence[str], str]]) -> Column:
-    """The text's amounts, in order: array of (kind, n as text, unit_code)."""
-    tool = Literals(units)
+    """The text's amounts, in order: array of (kind, raw: number as text, unit_code). A 日 after 月, and a 月 within a date or at the end, are parts of dates and no amounts."""
+    names = unit_names(units)
+    kind = "array<struct<kind:string,raw:string,unit_code:string>>"
+    if not names:
+        return F.when(text.isNotNull(), F.array().cast(kind))
+    plain = compatible(text)
+    part = lambda i: F.regexp_extract_all(plain, F.lit("(?U)" + _amounts(names)), F.lit(i))
+    found = F.arrays_zip(part(1).alias("before"), part(2).alias("raw"), part(3).alias("name"), part(4).alias("after"))
+    dated = lambda x: ((x["name"] == "日") & (x["before"] == _BEFORE_DAY)) | ((x["name"] == "月") & ((x["before"] == _BEFORE_MONTH) | x["after"].isin(*_AFTER_MONTH)))
+    code, sort = (F.create_map(*[F.lit(x) for n, own in names.items() for x in (n, own[i])]) for i in (0, 1))
+    amount = lambda x: F.struct(sort[x["name"]].alias("kind"), _number(x["raw"]).alias("raw"), code[x["name"]].alias("unit_code"))
+    return F.filter(F.transform(F.filter(found, lambda x: ~dated(x)), amount), lambda x: x["raw"].isNotNull()).cast(kind)
 
-    @F.pandas_udf("array<struct<kind:string,raw:string,unit_code:string>>")
-    def find(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else [dict(zip(("kind", "raw", "unit_code"), x, strict=True)) for x in tool.find(t)] for t in texts])
 
-    return find(text)
+# the same for single texts on the driver
 
 
-def nfkc_surface(text: Column | str) -> Column:
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(surface, na_action="ignore")
+def surface(text: str) -> str:
+    return " ".join(unicodedata.normalize("NFKC", text).split())
 
-    return run(text)
 
+_TO_ARABIC = str.maketrans(DIGITS, ARABIC)
 
-def parse_number(token: Column | str) -> Column:
-    """Numbers as plain text, so that their scale is kept."""
 
-    @F.pandas_udf("string")
-    def run(tokens: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None or (n := number(t)) is None else format(n, "f") for t in tokens])
+def number(token: str) -> Decimal | None:
+    token = unicodedata.normalize("NFKC", token).strip()
+    if re.fullmatch(_DECIMAL, token) or re.fullmatch(f"[{DIGITS}]+", token):
+        return Decimal(token.translate(_TO_ARABIC))
+    for pattern, weights in _BY_POWER:
+        if m := re.fullmatch(pattern, token):
+            parts = [g or ("0" if i else "1") for i, g in enumerate(m.groups())]
+            return Decimal(sum(w * int(p.translate(_TO_ARABIC)) for p, w in zip(parts, weights, strict=True)))
+    return None
 
-    return run(token)
 
+def day(token: str, as_of: dt.date, year: int | None = None) -> dt.date | None:
+    token = unicodedata.normalize("NFKC", token).strip()
+    if token in RELATIVE_DAYS:
+        return as_of + dt.timedelta(days=RELATIVE_DAYS[token])
+    m = re.fullmatch(f"{_ISO_DATE}|{_LONG_DATE}", token)
+    y, *rest = [g for g in m.groups() if g] if m else [""]
+    parts = [y, *rest] if len(rest) == 2 else [str(year or ""), y, *rest]
+    numbers = [number(p) for p in parts]
+    try:
+        return dt.date(*map(int, numbers)) if m and None not in numbers else None
+    except ValueError:
+        return None
+
+
+class Literals:
+    """Amounts of single texts; units as in literals()."""
 
-def parse_date(token: Column, as_of: Column) -> Column:
-    @F.pandas_udf("date")
-    def parse(tokens: pd.Series, days: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None or d is None else day(t, d) for t, d in zip(tokens, days, strict=True)])
+    def __init__(self, units: Sequence[tuple[str, Sequence[str], str]]):
+        self.names = unit_names(units)
 
-    return parse(token, as_of)
+    def find(self, text: str) -> list[tuple[str, str, str]]:
+        found = re.findall(_amounts(self.names), unicodedata.normalize("NFKC", text)) if self.names else []
+        dated = lambda before, name, after: (name, before) == ("日", _BEFORE_DAY) or (name == "月" and (before == _BEFORE_MONTH or after in _AFTER_MONTH))
+        amounts = [(number(raw), name) for before, raw, name, after in found if not dated(before, name, after)]
+        return [(self.names[name][1], format(n, "f"), self.names[name][0]) for n, name in amounts if n is not None]

@@ -1,89 +1,115 @@
-"""Graphs of a contract: companion claims, overrides, candidates and cycles. Edge tables are of contract size; recursion carries the path, so cycles end."""
+"""Graphs of a contract: companion claims, overrides, candidates and cycles.
+
+A contract is small: its edges are held as neighbours by node and shipped with the functions that walk them, each node once. Cases stay rows, each of which is walked from its own claims.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Collection, Iterable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_DEPTH = 200
+from rulewright.session import ship
+
+Neighbours = dict[str, list[str]]
+
+
+def neighbours(edges: DataFrame, source: str, target: str) -> Neighbours:
+    """The targets of each source, in the order of the rows, which are of contract size."""
+    out: Neighbours = {}
+    for s, t in edges.select(source, target).collect():
+        out.setdefault(s, []).append(t)
+    return out
+
+
+def walk(edges: Neighbours, starts: Iterable[str], closed: Collection[str] = ()) -> dict[str, int]:
+    """Every node that edges lead to from the starts, with the least number of edges. Closed nodes are neither entered nor passed; a start is in only if an edge leads to it."""
+    seen: dict[str, int] = {}
+    now, depth = list(starts), 0
+    while now:
+        depth += 1
+        now = list(dict.fromkeys(t for n in now for t in edges.get(n, ()) if t not in seen and t not in closed))
+        seen.update(dict.fromkeys(now, depth))
+    return seen
 
 
 def reachable(edges: DataFrame, source: str, target: str) -> DataFrame:
     """Columns source, target, depth: every node that edges lead to from each node, with the least number of edges; a node reaches itself only through a cycle."""
-    edges.select(F.col(source).alias("s"), F.col(target).alias("t")).distinct().createOrReplaceTempView("rulewright_edges")
-    found = edges.sparkSession.sql(
-        f"""
-        WITH RECURSIVE walk(s, t, depth, path) MAX RECURSION LEVEL {_DEPTH} AS (
-            SELECT s, t, 1, array(t) FROM rulewright_edges
-            UNION ALL
-            SELECT w.s, e.t, w.depth + 1, array_append(w.path, e.t) FROM walk w JOIN rulewright_edges e ON w.t = e.s WHERE NOT array_contains(w.path, e.t)
-        )
-        SELECT s, t, min(depth) AS depth FROM walk GROUP BY s, t
-        """
-    )
-    return found.select(F.col("s").alias("source"), F.col("t").alias("target"), F.col("depth").cast("long").alias("depth"))
-
-
-def paths(edges: DataFrame, source: str, target: str) -> DataFrame:
-    """Columns source, target, path: every way along edges that meets no node twice; path is the nodes after source."""
-    edges.select(F.col(source).alias("s"), F.col(target).alias("t")).distinct().createOrReplaceTempView("rulewright_edges")
-    return edges.sparkSession.sql(
-        f"""
-        WITH RECURSIVE walk(s, t, path) MAX RECURSION LEVEL {_DEPTH} AS (
-            SELECT s, t, array(t) FROM rulewright_edges WHERE s <> t
-            UNION ALL
-            SELECT w.s, e.t, array_append(w.path, e.t) FROM walk w JOIN rulewright_edges e ON w.t = e.s WHERE e.t <> w.s AND NOT array_contains(w.path, e.t)
-        )
-        SELECT s AS source, t AS target, path FROM walk
-        """
-    )
-
-
-def cycles(edges: DataFrame, source: str, target: str) -> DataFrame:
-    """Columns start, path: each cycle once, from its least node, with the nodes in order and the start again at the end."""
-    edges.select(F.col(source).alias("s"), F.col(target).alias("t")).distinct().createOrReplaceTempView("rulewright_edges")
-    return edges.sparkSession.sql(
-        f"""
-        WITH RECURSIVE walk(s, t, path) MAX RECURSION LEVEL {_DEPTH} AS (
-            SELECT s, t, array(s) FROM rulewright_edges WHERE t >= s
-            UNION ALL
-            SELECT w.s, e.t, array_append(w.path, w.t) FROM walk w JOIN rulewright_edges e ON w.t = e.s WHERE w.t > w.s AND NOT array_contains(w.path, w.t) AND e.t >= w.s
-        )
-        SELECT s AS start, array_append(path, s) AS path FROM walk WHERE t = s
-        """
-    )
+    near = neighbours(edges, source, target)
+    kind = edges.schema[source].dataType.simpleString()
+    rows = [(s, t, d) for s in near for t, d in walk(near, [s]).items()]
+    return edges.sparkSession.createDataFrame(pd.DataFrame(rows, columns=["source", "target", "depth"]) if rows else [], f"source {kind}, target {kind}, depth long")
+
+
+def cycles(edges: DataFrame, source: str, target: str, order: Iterable[str] | None = None) -> DataFrame:
+    """Columns start, path: the cycles that a walk in depth meets, one for each edge that leads back to a node on its way, the start again at the end.
+
+    The walk begins at the nodes in the given order, and a cycle then at the node that it met first; without one, at the sources as they come, and a cycle at its least node.
+    """
+    near = neighbours(edges, source, target)
+    kind = edges.schema[source].dataType.simpleString()
+    done, found = set(), []
+    for root in near if order is None else order:
+        way, open_ = [], [(root, iter(near.get(root, ())))] if root not in done else []
+        while open_:
+            node, rest = open_[-1]
+            if len(way) < len(open_):
+                way.append(node)
+            step = next(rest, None)
+            if step is None:
+                done.add(node)
+                way.pop()
+                open_.pop()
+            elif step in way:
+                cycle = way[way.index(step) :]
+                first = cycle.index(min(cycle)) if order is None else 0
+                cycle = cycle[first:] + cycle[:first]
+                found.append((cycle[0], [*cycle, cycle[0]]))
+            elif step not in done:
+                open_.append((step, iter(near.get(step, ()))))
+    return edges.sparkSession.createDataFrame(found, f"start {kind}, path array<{kind}>")
 
 
 def candidates(intents: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """Columns item_id, intent_id, unit_id: the units that each intent (item_id, intent_id, family_ids, claim_ids) may turn on.
+    """Columns item_id, intent_id, unit_id: the units that each intent (item_id, intent_id, family_ids, claim_ids: one row each) may turn on. One narrow stage.
 
     Roots are the owners of the selected claims that no other selected claim brings along (of all, if each is brought along), or the units of the named families; with
     them go the owners of their claims' companions. Newer versions are added from the first roots, older ones from all. A newer version that
     was already in as a companion's owner isn't followed further.
     """
-    key = ["item_id", "intent_id"]
-    owner = F.broadcast(tables["claims"].select("claim_id", "unit_id"))
-    companion = F.broadcast(tables["companions"].join(tables["claims"].select(F.col("claim_id").alias("companion_id")), "companion_id"))
-    named = intents.select(*key, F.explode("claim_ids").alias("claim_id")).distinct().join(owner, "claim_id").select(*key, "claim_id", "unit_id")
-    declared = named.join(tables["companions"], "claim_id").select(*key, F.col("companion_id").alias("claim_id")).distinct()
-    primary = named.join(declared, [*key, "claim_id"], "left_anti")
-    primary = primary.unionAll(named.join(primary.select(*key).distinct(), key, "left_anti"))
-    by_claim = primary.select(*key, "unit_id").distinct()
-    rest = intents.join(by_claim.select(*key).distinct(), key, "left_anti").select(*key, F.explode("family_ids").alias("family_id"))
-    by_family = rest.join(F.broadcast(tables["units"].select("family_id", "unit_id")), "family_id").select(*key, "unit_id").distinct()
-    first = by_claim.unionAll(by_family)
-    claims = primary.select(*key, "claim_id").unionAll(by_family.join(F.broadcast(tables["claims"].select("unit_id", "claim_id")), "unit_id").select(*key, "claim_id"))
-    along = F.broadcast(reachable(companion, "claim_id", "companion_id").select(F.col("source").alias("claim_id"), F.col("target").alias("companion_id")))
-    brought = claims.join(along, "claim_id").select(*key, F.col("companion_id").alias("claim_id")).join(owner, "claim_id").select(*key, "unit_id")
-    roots = first.unionAll(brought).distinct()
-    edges = tables["overrides"].join(tables["units"].select(F.col("unit_id").alias("target")), "target").select("unit_id", "target")
-    # ways to newer versions that pass no root: what was selected before isn't followed again
-    newer = F.broadcast(paths(edges, "target", "unit_id").withColumnsRenamed({"source": "unit_id", "target": "newer"}))
-    own = roots.groupBy(*key).agg(F.collect_set("unit_id").alias("roots"))
-    later = first.join(newer, "unit_id").join(own, key).filter(~F.arrays_overlap("path", "roots")).select(*key, F.col("newer").alias("unit_id"))
-    selected = roots.unionAll(later).distinct()
-    older = F.broadcast(reachable(edges, "unit_id", "target").select(F.col("source").alias("unit_id"), "target"))
-    return selected.unionAll(selected.join(older, "unit_id").select(*key, F.col("target").alias("unit_id"))).distinct()
+    ship(intents.sparkSession)
+    owner = dict(tables["claims"].select("claim_id", "unit_id").collect())
+    members, own = neighbours(tables["units"], "family_id", "unit_id"), neighbours(tables["claims"], "unit_id", "claim_id")
+    declared = neighbours(tables["companions"], "claim_id", "companion_id")
+    along = {c: [x for x in others if x in owner] for c, others in declared.items()}
+    units = {u for group in members.values() for u in group}
+    older = {u: [t for t in targets if t in units] for u, targets in neighbours(tables["overrides"], "unit_id", "target").items()}
+    newer: Neighbours = {}
+    for u, targets in older.items():
+        for t in targets:
+            newer.setdefault(t, []).append(u)
+
+    def chosen(claims: tuple[str, ...], families: tuple[str, ...]) -> list[str]:
+        named = [c for c in claims if c in owner]
+        brought = {x for c in named for x in declared.get(c, ())}
+        starts = [c for c in named if c not in brought] or named
+        first = {owner[c] for c in starts}
+        if not named:
+            first = {u for f in families for u in members.get(f, ())}
+            starts = [c for u in first for c in own.get(u, ())]
+        roots = first | {owner[c] for c in walk(along, starts)}
+        selected = roots.union(walk(newer, first, roots))
+        return sorted(selected.union(walk(older, selected)))
+
+    @F.pandas_udf("array<string>")
+    def units_of(claims: pd.Series, families: pd.Series) -> pd.Series:
+        known: dict[tuple, list[str]] = {}
+        keys = [(tuple(() if c is None else c), tuple(() if f is None else f)) for c, f in zip(claims, families, strict=True)]
+        return pd.Series([known[k] if k in known else known.setdefault(k, chosen(*k)) for k in keys], dtype=object)
+
+    return intents.select("item_id", "intent_id", F.explode(units_of("claim_ids", "family_ids")).alias("unit_id"))
 
 
 def inherited_companions(plan: DataFrame, active: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
@@ -92,19 +118,28 @@ def inherited_companions(plan: DataFrame, active: DataFrame, tables: dict[str, D
     plan: item_id, intent_id, unit_id, claim_id; active: item_id, intent_id, unit_id. A companion is admitted if its unit is active, or if the unit that brings it
     overrides the companion's, directly or not, and both claims have the same numbers; admitted companions bring theirs.
     """
+    ship(plan.sparkSession)
     key = ["item_id", "intent_id"]
-    numbers = tables["claim_literals"].filter("kind in ('duration', 'money', 'quantity')").groupBy("claim_id").agg(F.array_sort(F.collect_set(F.struct("kind", "n", "unit_code"))).alias("numbers"))
-    claims = tables["claims"].select("claim_id", "unit_id").join(numbers, "claim_id", "left")
-    edge = tables["companions"].join(claims, "claim_id").join(claims.select(F.col("claim_id").alias("companion_id"), F.col("unit_id").alias("companion_unit"), F.col("numbers").alias("companion_numbers")), "companion_id")
-    above = reachable(tables["overrides"], "unit_id", "target").select(F.col("source").alias("unit_id"), F.col("target").alias("companion_unit"), F.lit(True).alias("above"))
-    edge = edge.join(above, ["unit_id", "companion_unit"], "left").withColumn("inherits", F.coalesce("above", F.lit(False)) & F.col("numbers").eqNullSafe(F.col("companion_numbers")))
-    # a way along companions is open to a case if each step is: the companion's unit is active there, or the step inherits
-    step = edge.select(F.struct("claim_id", "companion_id").alias("k"), F.struct(F.col("companion_unit").alias("unit"), "inherits").alias("v"))
-    steps = step.agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("steps"))
-    ways = paths(edge, "claim_id", "companion_id").crossJoin(F.broadcast(steps))  # steps is one row
-    nodes = F.concat(F.array("source"), "path")
-    ways = ways.select(F.col("source").alias("claim_id"), F.col("target").alias("companion_id"), F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda i: F.try_element_at("steps", F.struct(nodes[i].alias("claim_id"), nodes[i + 1].alias("companion_id")))).alias("way"))
+    owner = dict(tables["claims"].select("claim_id", "unit_id").collect())
+    numbers: dict[str, set] = {}
+    for r in tables["claim_literals"].filter("kind in ('duration', 'money', 'quantity')").select("claim_id", "kind", "n", "unit_code").collect():
+        numbers.setdefault(r[0], set()).add(tuple(r[1:]))
+    below = neighbours(tables["overrides"], "unit_id", "target")
+    under = {u: set(walk(below, [u])) for u in below}
+    steps: dict[str, list[tuple[str, str, bool]]] = {}
+    for c, others in neighbours(tables["companions"], "claim_id", "companion_id").items():
+        for x in others:
+            if c in owner and x in owner:
+                steps.setdefault(c, []).append((x, owner[x], owner[x] in under.get(owner[c], ()) and numbers.get(c) == numbers.get(x)))
+
+    @F.pandas_udf("array<string>")
+    def admitted(claims: pd.Series, units: pd.Series) -> pd.Series:
+        out = []
+        for starts, on in zip(claims, units, strict=True):
+            on = set(on)
+            out.append(list(walk({c: [x for x, unit, inherits in own if inherits or unit in on] for c, own in steps.items()}, starts)))
+        return pd.Series(out, dtype=object)
+
     on = active.groupBy(*key).agg(F.collect_set("unit_id").alias("on"))
-    start = plan.join(active, [*key, "unit_id"], "left_semi").select(*key, "claim_id").distinct()
-    met = start.join(F.broadcast(ways), "claim_id").join(on, key).filter(F.forall("way", lambda s: s["inherits"] | F.array_contains("on", s["unit"])))
-    return met.select(*key, F.col("companion_id").alias("claim_id")).distinct()
+    start = plan.join(active, [*key, "unit_id"], "left_semi").groupBy(*key).agg(F.collect_set("claim_id").alias("starts"))
+    return start.join(on, key).select(*key, F.explode(admitted("starts", "on")).alias("claim_id"))

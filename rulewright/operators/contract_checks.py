@@ -42,6 +42,13 @@ def ambiguous_aliases(contract: Contract) -> dict[str, list[str]]:
     return {a: [code for _, code in sorted(o)] for a, o in sorted(owners.items()) if len(o) > 1}
 
 
+def alias_verdicts(asked: DataFrame, options: DataFrame) -> DataFrame:
+    """Columns owner, alias, verdict of aliases that are asked for (owner, alias): no change where the owner has it, conflict where another has, else new. options: owner, alias."""
+    owners = options.groupBy("alias").agg(F.collect_set("owner").alias("owners"))
+    verdict = F.when(F.array_contains("owners", F.col("owner")), "no change").when(F.col("owners").isNotNull(), "conflict").otherwise("new")
+    return asked.join(owners, "alias", "left").select("owner", "alias", verdict.alias("verdict"))
+
+
 def check(contract: Contract, blocks: DataFrame, source_documents: DataFrame, codes: frozenset[str] | None = None) -> DataFrame:
     """Columns code, object_ids (array): every defect of the contract against its evidence (blocks: block_id, text) and its sources (document_id). Each defect is listed once. With codes only these are looked for."""
     spark = blocks.sparkSession
@@ -113,7 +120,7 @@ def check(contract: Contract, blocks: DataFrame, source_documents: DataFrame, co
     add("UNKNOWN_OVERRIDE", edges.filter("target_family is null"), "unit_id", "target")
     add("CROSS_FAMILY_OVERRIDE", edges.filter("target_family <> family_id"), "unit_id", "target")
     if codes is None or "OVERRIDE_CYCLE" in codes:
-        out.append(cycles(edges.filter("target_family is not null"), "unit_id", "target").select(F.lit("OVERRIDE_CYCLE").alias("code"), F.col("path").alias("object_ids")))
+        out.append(cycles(t["overrides"].join(family.select("target").distinct(), "target", "left_semi"), "unit_id", "target", dict.fromkeys(u.unit_id for u in contract.units)).select(F.lit("OVERRIDE_CYCLE").alias("code"), F.col("path").alias("object_ids")))
     a, b = (units.select("family_id", *[F.col(c).alias(f"{c}{i}") for c in ("unit_id", "pos", "effective_from", "effective_to")]) for i in (1, 2))
     both = a.join(b, "family_id").filter("pos1 < pos2").filter(intervals_meet(*[F.col(c) for c in ("effective_from1", "effective_to1", "effective_from2", "effective_to2")]))
     linked = t["overrides"].select(F.col("unit_id").alias("unit_id1"), F.col("target").alias("unit_id2"))

@@ -1,6 +1,6 @@
 """Rule evaluation over tables of cases.
 
-Plan A keeps rules as rows: it joins predicates to facts and folds truths by group, which also gives the missing fields and conflicts. Plan B compiles a contract
+Plan A keeps rules as data: a unit's program meets the facts of a case in one row, which also gives the missing fields and conflicts. Plan B compiles a contract
 to one boolean column a unit over wide facts: no join, no shuffle. Both give the same truths.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rulewright.functions.kleene import all_of, any_of, grouped_all, grouped_any
+from rulewright.functions.kleene import all_of, any_of
 from rulewright.functions.values import identical
 from rulewright.operators import predicates
 from rulewright.plans.contract import Contract, Unit
@@ -46,37 +46,34 @@ def unit_details(candidates: DataFrame, visible: DataFrame, tables: dict[str, Da
     """
     key = ["item_id", "intent_id", "unit_id"]
     day = as_of if isinstance(as_of, Column) else F.lit(as_of)
-    fact = visible.select("item_id", "intent_id", "field_id", F.col("value").alias("fact"))
-    related = visible.select("item_id", "intent_id", F.col("field_id").alias("related_field_id"), F.col("value").alias("related"))
-    leaf = candidates.select(*key).join(F.broadcast(tables["predicates"]), "unit_id").join(fact, ["item_id", "intent_id", "field_id"], "left").join(related, ["item_id", "intent_id", "related_field_id"], "left")
-    part = {c: F.col(c) for c in ("operator", "field_id", "related_field_id", "fact", "related", "values")}
-    leaf = leaf.withColumn("truth", predicates.truth(part["operator"], part["fact"], part["related"], part["values"]))
-    leaf = leaf.withColumn("missing", predicates.missing(part["operator"], part["field_id"], part["related_field_id"], part["fact"], part["related"], F.col("truth")))
-    leaf = leaf.withColumn("conflicts", predicates.conflicts(part["operator"], part["field_id"], part["related_field_id"], part["fact"], part["related"], part["values"], F.col("truth")))
-    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    # facts are gathered once, and a unit's whole program meets them in its row: no join or group for single conditions
+    facts = visible.groupBy("item_id", "intent_id").agg(F.map_from_entries(F.collect_list(F.struct("field_id", "value"))).alias("facts"))
+    rows = candidates.select(*key).join(facts, ["item_id", "intent_id"], "left").join(F.broadcast(tables["programs"]), "unit_id")  # of contract size
+    fact = lambda field: F.try_element_at("facts", field)
     none = F.array().cast(_STRINGS)
-    group = leaf.groupBy(*key, "group_no").agg(grouped_all(F.col("truth")).alias("truth"), union("missing").alias("missing"), union("conflicts").alias("conflicts"))
-    open_ = F.col("truth").isNull()
-    group = group.withColumns({c: F.when(open_, F.col(c)).otherwise(none) for c in ("missing", "conflicts")})
-    condition = group.groupBy(*key).agg(grouped_any(F.col("truth")).alias("cond"), union("missing").alias("cond_missing"), union("conflicts").alias("cond_conflicts"))
-    needed = candidates.select(*key).join(F.broadcast(tables["required"]), "unit_id").join(fact, ["item_id", "intent_id", "field_id"], "left")
-    needed = needed.groupBy(*key).agg(grouped_all(F.when(F.col("fact").isNotNull(), True)).alias("req"), F.collect_set(F.when(F.col("fact").isNull(), F.col("field_id"))).alias("req_missing"))
-    basis = fact.withColumnsRenamed({"field_id": "basis_field", "fact": "basis_fact"})
-    unit = candidates.select(*key).join(F.broadcast(tables["units"]), "unit_id").join(basis, ["item_id", "intent_id", "basis_field"], "left")
-    unit = unit.withColumn("win", window_truth(F.col("basis"), F.col("basis_field"), F.col("effective_from"), F.col("effective_to"), F.col("basis_fact"), day))
+
+    def judged(p: Column) -> Column:
+        own, related = fact(p["field_id"]), fact(p["related_field_id"])
+        return F.struct(p.alias("p"), own.alias("own"), related.alias("related"), predicates.truth(p["operator"], own, related, p["values"]).alias("truth"))
+
+    def lacking(x: Column) -> Column:
+        return predicates.missing(x["p"]["operator"], x["p"]["field_id"], x["p"]["related_field_id"], x["own"], x["related"], x["truth"])
+
+    def clashing(x: Column) -> Column:
+        return predicates.conflicts(x["p"]["operator"], x["p"]["field_id"], x["p"]["related_field_id"], x["own"], x["related"], x["p"]["values"], x["truth"])
+
+    # forall and exists are AND and OR of three values
+    group = lambda g: F.struct(F.forall(g, lambda x: x["truth"]).alias("truth"), F.flatten(F.transform(g, lacking)).alias("missing"), F.flatten(F.transform(g, clashing)).alias("conflicts"))
+    rows = rows.withColumn("leaves", F.transform("groups", lambda g: F.transform(g, judged))).withColumn("told", F.transform("leaves", group))
+    rows = rows.withColumns({"cond": (F.size("groups") == 0) | F.exists("told", lambda g: g["truth"]), "lacked": F.filter("required", lambda f: fact(f).isNull()), "basis_fact": fact(F.col("basis_field"))})
+    rows = rows.withColumn("win", window_truth(F.col("basis"), F.col("basis_field"), F.col("effective_from"), F.col("effective_to"), F.col("basis_fact"), day))
+    rows = rows.withColumn("truth", F.col("cond") & F.when(F.size("lacked") == 0, True) & F.col("win"))
     by_field = (F.col("basis") == "field") & F.col("win").isNull()
-    unit = unit.withColumn("win_missing", F.when(by_field & F.col("basis_fact").isNull(), F.array("basis_field")).otherwise(none))
-    unit = unit.withColumn("win_conflicts", F.when(by_field & F.col("basis_fact").isNotNull(), F.array(F.concat(F.lit("INVALID_TIME_BASIS_VALUE:"), "basis_field"))).otherwise(none))
-    joined = unit.join(condition, key, "left").join(needed, key, "left")
-    cond = F.when(F.col("n_groups") == 0, True).otherwise(F.col("cond"))
-    req = F.when(F.col("req_missing").isNull(), True).otherwise(F.col("req"))
-    joined = joined.withColumn("cond_open", cond.isNull()).withColumn("truth", cond & req & F.col("win"))
-    parts = lambda *names: F.array_sort(F.array_distinct(F.concat(*names)))
-    told = lambda c: F.when(F.col("cond_open"), F.coalesce(F.col(c), none)).otherwise(none)
-    open_ = F.col("truth").isNull()
-    return joined.select(
-        *key, "truth", F.when(open_, parts(told("cond_missing"), F.coalesce("req_missing", none), "win_missing")).otherwise(none).alias("missing"), F.when(open_, parts(told("cond_conflicts"), "win_conflicts")).otherwise(none).alias("conflicts")
-    )
+    win_missing = F.when(by_field & F.col("basis_fact").isNull(), F.array("basis_field")).otherwise(none)
+    win_conflicts = F.when(by_field & F.col("basis_fact").isNotNull(), F.array(F.concat(F.lit("INVALID_TIME_BASIS_VALUE:"), "basis_field"))).otherwise(none)
+    open_groups = lambda c: F.when(F.col("cond").isNull(), F.flatten(F.transform(F.filter("told", lambda g: g["truth"].isNull()), lambda g: g[c]))).otherwise(none)
+    parts = lambda *columns: F.when(F.col("truth").isNull(), F.array_sort(F.array_distinct(F.concat(*columns)))).otherwise(none)
+    return rows.select(*key, "truth", parts(open_groups("missing"), "lacked", win_missing).alias("missing"), parts(open_groups("conflicts"), win_conflicts).alias("conflicts"))
 
 
 def resolve_overrides(details: DataFrame, overrides: DataFrame) -> DataFrame:

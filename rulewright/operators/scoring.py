@@ -47,6 +47,12 @@ def metrics(audited: DataFrame) -> DataFrame:
     return audited.agg(F.count(F.lit(1)).alias("total"), n("decision_correct"), n("reason_correct"), F.coalesce(F.sum("fact_hits"), F.lit(0)).alias("fact_hits"), F.coalesce(F.sum("fact_total"), F.lit(0)).alias("fact_total"), n("evidence_correct"))
 
 
+def report(records: DataFrame) -> DataFrame:
+    """One row of a batch's totals: records, answers, hand-offs, and hand-offs for want of anything but scope or evidence, which count as failures. records: decision, reason_code."""
+    handed = F.col("decision") == "handoff"
+    return records.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("decision") == "answer").alias("answer"), F.count_if(handed).alias("handoff"), F.count_if(handed & (F.col("reason_code") == "AMBIGUOUS")).alias("ambiguous"))
+
+
 def signatures(runs: DataFrame, reference: DataFrame) -> DataFrame:
     """Columns run, id, decision, reason, facts, places, meets: what of a prediction counts, and whether it meets its reference. runs: predictions with run."""
     own = reference.withColumnRenamed("reason_code", "expected_reason")

@@ -188,6 +188,9 @@ class Contract:
             "warnings": make([(w["code"], w["severity"]) for w in self.warnings], "code string, severity string"),
             "units": make(unit_rows, "unit_id string, family_id string, basis string, basis_field string, effective_from date, effective_to date, n_groups int, pos int"),
             "predicates": make(predicate_rows, f"unit_id string, group_no int, pred_no int, field_id string, operator string, related_field_id string, values array<{VALUE}>"),
+            "programs": make([
+                (u.unit_id, u.basis, u.basis_field, u.effective_from, u.effective_to, [[(p.field_id, p.operator, p.related_field_id, [v.row() for v in p.values]) for p in g] for g in u.any_of], list(u.required)) for u in self.units
+            ], f"unit_id string, basis string, basis_field string, effective_from date, effective_to date, groups array<array<struct<field_id:string,operator:string,related_field_id:string,values:array<{VALUE}>>>>, required array<string>"),
             "required": make(required, "unit_id string, field_id string"),
             "overrides": make(edges, "unit_id string, target string"),
             "unit_topics": make(topics, "unit_id string, topic_id string"),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,12 +13,16 @@ from pyspark.sql.window import Window
 from rulewright.functions import text as T
 from rulewright.functions.kleene import letter
 from rulewright.functions.values import VALUE, identical, same_domain, value
-from rulewright.operators import analysis_checks, closure, contract_checks, decide, predicates, rules, scoring
+from rulewright.operators import analysis_checks, closure, contract_checks, decide, predicates, rules, scoring, telemetry
+from rulewright.plans import batch, build, defects
 from rulewright.plans import cases as C
+from rulewright.plans.contract import Contract, Predicate, Unit, Value
 from rulewright.session import ship
 from rulewright.sources import jsonl, markdown
+from rulewright.sources.store import ContractStore, retry_plan
 from rulewright.streaming.facts import with_version
 
+D = dt.date
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +38,10 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _no_sources(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    return spark.createDataFrame([], "block_id string, text string"), spark.createDataFrame([], "document_id string")
+
+
 def _text(array: str) -> F.Column:
     return F.array_join(array, ",")
 
@@ -291,8 +301,7 @@ def inherited_companions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT printf('U%02d', a.k) AS left_unit, printf('U%02d', b.k) AS right_unit FROM u a JOIN u b ON a.r = b.r AND a.k < b.k AND greatest(a.f, b.f) <= least(a.t, b.t) WHERE b.k - a.k <> 5""")
 def version_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions of a family that are valid on one day without an override between them."""
-    blocks = spark.createDataFrame([], "block_id string, text string")
-    found = contract_checks.check(C.nation_contract(), blocks, spark.createDataFrame([], "document_id string")).filter("code = 'OVERLAPPING_VERSIONS'")
+    found = contract_checks.check(C.nation_contract(), *_no_sources(spark), frozenset(["OVERLAPPING_VERSIONS"]))
     return found.select(F.col("object_ids")[0].alias("left_unit"), F.col("object_ids")[1].alias("right_unit"))
 
 
@@ -307,43 +316,172 @@ def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT split_part(p_name, ' ', 1) AS alias, count(DISTINCT p_brand) AS owners FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
 def alias_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names with more than one owner."""
-    owned = C.table(spark, sf_dir, "part").groupBy(F.split("p_name", " ")[0].alias("alias")).agg(F.countDistinct("p_brand").alias("owners"))
-    return owned.filter("owners > 1")
-
+    """Names with more than one owner, brands as units of measure (a brand's names are as few as a contract's)."""
+    names = C.table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_set(F.split("p_name", " ")[0])).alias("aliases")).orderBy("p_brand").collect()
+    brands = Contract(definitions=tuple({"unit_code": r["p_brand"], "display_name": r["p_brand"], "aliases": r["aliases"], "dimension": "quantity"} for r in names))
+    found = contract_checks.check(brands, *_no_sources(spark), frozenset(["AMBIGUOUS_UNIT_ALIAS"]))
+    return found.select(F.col("object_ids")[0].alias("alias"), (F.size("object_ids") - 1).cast("long").alias("owners"))
 
 @query("SELECT doc_id + 700 AS object_id FROM labels WHERE doc_id + 700 NOT IN (SELECT doc_id FROM documents)")
 def unknown_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References to nothing."""
     refs = C.table(spark, sf_dir, "labels").select((F.col("doc_id") + 700).alias("object_id"))
-    return refs.join(C.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("object_id")), "object_id", "left_anti")
-
+    return analysis_checks.unknown(refs, "object_id", C.table(spark, sf_dir, "documents"), "doc_id")
 
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+@query("SELECT printf('T%02d', n_nationkey) AS topic_id FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey % 3 <> 0")
 def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Covered topics without a unit."""
-    covered = C.table(spark, sf_dir, "customer").filter("c_mktsegment in ('BUILDING', 'MACHINERY')")
-    return covered.join(C.table(spark, sf_dir, "orders").filter("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_mktsegment")
-
-
-@query("""SELECT p_partkey AS block_id FROM part WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = p_partkey % 25 AND s_suppkey % 50 = p_size)""")
-def numeric_evidence_without_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks none of whose claims shares an amount with them; amounts are read from text."""
+    """Covered topics without a unit. Each second nation is a covered topic, each third one has a unit."""
+    keys = sorted(r["n_nationkey"] for r in C.table(spark, sf_dir, "nation").select("n_nationkey").collect())  # of contract size
+    contract = Contract(
+        units=tuple(Unit(f"U{k:02d}", "G", topics=(f"T{k:02d}",)) for k in keys if k % 3 == 0), topics=tuple({"topic_id": f"T{k:02d}", "disposition": "other" if k % 2 else "covered"} for k in keys)
+    )
+    return contract_checks.check(contract, *_no_sources(spark), frozenset(["COVERED_TOPIC_WITHOUT_UNIT"])).select(F.col("object_ids")[0].alias("topic_id"))
+
+
+def _expected(rows: str) -> str:
+    """SQL values of code and objects from lines of a code and what it names."""
+    pairs = [line.split() for line in rows.strip().splitlines()]
+    return ", ".join(f"('{code}', '{','.join(objects)}')" for code, *objects in pairs)
+
+
+#: What is wrong with defects.broken(): codes and the objects that they name.
+_DEFECTS = """
+DUPLICATE_ID U_TWICE
+COVERED_TOPIC_WITHOUT_UNIT T_GAP
+UNKNOWN_DOCUMENT D_OTHER
+INVALID_DATE_RANGE D_BACK
+INVALID_DATE_RANGE U_RANGE
+UNKNOWN_TOPIC U_TOPIC T_NONE
+UNBOUND_EVIDENCE F_BARE
+UNKNOWN_EVIDENCE F_PROOF E_NONE
+NUMERIC_EVIDENCE_WITHOUT_CLAIM E_NUMBER
+CLAIM_LITERAL_MISMATCH C_NUMBER
+CLAIM_LITERAL_MISMATCH C_MEASURE
+CLAIM_LITERAL_MISMATCH C_SIZE
+COMPOSITE_BOOLEAN_REASONS F_REASONS
+INVALID_ENUM_DEFINITION F_EMPTY
+UNSAFE_ENUM_QUALIFIER_ALIAS F_KIND B
+UNKNOWN_FIELD U_FIELD F_NONE
+UNGUARDED_RELATIVE_DEADLINE U_DEADLINE
+INVALID_TIME_BASIS U_BASIS F_BARE
+UNSATISFIABLE_TIME_BASIS U_NEVER F_DATE
+OPTIONAL_GUARD_REQUIRED U_GUARD F_DATE
+INVALID_RELATIVE_DATE_PREDICATE U_WINDOW F_DATE
+FIELD_KIND_CONFLICT U_KIND F_DONE
+UNKNOWN_ENUM_VALUE U_CODE F_KIND
+UNKNOWN_OVERRIDE U_LOST U_NONE
+CROSS_FAMILY_OVERRIDE U_ACROSS U_RANGE
+OVERRIDE_CYCLE U_RING1 U_RING2 U_RING1
+OVERLAPPING_VERSIONS U_SAME1 U_SAME2
+LOST_CAUSAL_QUALIFIER C_CAUSE
+CLAIM_QUALIFIER_NOT_CANONICAL C_WORD
+CLAIM_QUALIFIER_NOT_EVIDENCED C_PROOF
+UNKNOWN_COMPANION C_ALONE C_NONE
+UNKNOWN_UNIT C_MEASURE WEEK
+UNIT_KIND_CONFLICT C_SIZE GB
+UNSUPPORTED_CONDITION UNSUPPORTED_X
+BLOCKING_WARNING W_BLOCK
+AMBIGUOUS_UNIT_ALIAS 天 NATURAL_DAY DAY
+"""
+
+
+@query(f"SELECT * FROM (VALUES {_expected(_DEFECTS)}) v(code, objects)")
+def contract_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each code on one object of a contract that has them all; names of two units of measure on a contract of its own."""
+    blocks = spark.createDataFrame(defects.BLOCKS, "block_id string, text string")
+    sources = spark.createDataFrame([(x,) for x in defects.SOURCES], "document_id string")
+    found = contract_checks.check(defects.broken(), blocks, sources).unionByName(contract_checks.check(defects.two_names(), blocks, sources, frozenset(["AMBIGUOUS_UNIT_ALIAS"])))
+    return found.select("code", _text("object_ids").alias("objects"))
+
+
+#: What is wrong with the items of defects.items(), by their mistake: its number, a code, and the objects that it names.
+_MISTAKES = """
+0 DUPLICATE_INTENT_ID
+1 INVALID_INTENT_SPAN I
+2 UNKNOWN_FAMILY_ID H
+3 UNKNOWN_CLAIM_ID C_NONE
+4 UNKNOWN_FIELD_ID F_NONE
+5 UNKNOWN_INTENT_ID J
+6 UNKNOWN_UNIT_ID U_NONE
+7 FACT_KIND_MISMATCH F_DATE
+8 INVALID_FACT_SPAN F_DATE
+9 FACT_SOURCE_MISMATCH F_DATE
+10 CONFLICTING_FACT F_DATE
+10 FACT_SOURCE_MISMATCH F_DATE
+11 INVALID_UNRESOLVED_SPAN
+12 CLAIM_UNIT_MISMATCH C_NEW U_OLD
+12 UNSELECTED_UNIT U_OLD
+13 INTENT_FAMILY_MISMATCH I U_NEW
+14 INTENT_CLAIM_MISMATCH I C_NEW
+15 UNSELECTED_UNIT U_NEW
+16 CLAIM_EVIDENCE_MISMATCH C_NEW
+17 QUOTE_PLAN_MISMATCH C_NEW
+17 QUOTE_LITERAL_MISMATCH C_NEW
+18 INVALID_EXACT_QUOTE E_NEW
+19 QUOTE_LITERAL_MISMATCH C_NEW
+20 CLAIM_LITERAL_MISMATCH C_NEW
+20 ASSERTION_CLAIM_MISMATCH C_NEW
+21 QUOTE_QUALIFIER_MISMATCH C_NEW
+22 MISSING_CLAIM_QUALIFIER C_NEW
+22 ASSERTION_CLAIM_MISMATCH C_NEW
+23 ASSERTION_CLAIM_MISMATCH C_NEW
+24 UNPLANNED_ANSWER_TEXT
+25 MISSING_COMPANION_CLAIM C_NEW
+"""
+
+
+@query("SELECT code, objects, count(*) AS n FROM customer JOIN (VALUES " + ", ".join(f"({m}, '{code}', '{','.join(o)}')" for m, code, *o in map(str.split, _MISTAKES.strip().splitlines())) + f") v(m, code, objects) ON c_custkey % {defects.MISTAKES} = m GROUP BY ALL")
+def analysis_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X01-X15 A14 SET3 F07 F08 F15 J11: every customer is an item whose analysis has one of the mistakes, or none."""
     ship(spark)
-    units = [("MM", ["mm"], "length")]
-    amounts = lambda rows, key, text: rows.select(*key, F.explode(T.literals(text, units)).alias("x")).select(*key, "x.kind", "x.raw", "x.unit_code")
-    blocks = amounts(C.table(spark, sf_dir, "part").withColumn("topic", F.col("p_partkey") % 25), ["p_partkey", "topic"], F.format_string("a size of %d mm", "p_size"))
-    claims = amounts(C.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("topic"), (F.col("s_suppkey") % 50).cast("int").alias("s")), ["topic"], F.format_string("made in %d mm", "s"))
-    return blocks.join(claims.distinct(), ["topic", "kind", "raw", "unit_code"], "left_anti").select(F.col("p_partkey").alias("block_id")).distinct()
-
-
-@query("""SELECT n1 AS older, n2 AS newer FROM (SELECT CAST(a.n_nationkey AS BIGINT) AS n1, CAST(a.n_nationkey + 5 AS BIGINT) AS n2 FROM nation a WHERE a.n_nationkey + 5 IN (SELECT n_nationkey FROM nation) AND a.n_nationkey % 2 = 0)""")
+    numbers = C.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item_id"))
+    blocks = spark.createDataFrame(defects.BLOCKS, "block_id string, text string")
+    found = analysis_checks.check(defects.items(numbers), defects.sound(), blocks, F.lit(D(2030, 2, 1)))
+    return found.groupBy("code", _text("object_ids").alias("objects")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT k AS item_id, CASE m WHEN 0 THEN '' WHEN 1 THEN 'INVALID_MODEL_REPLY' WHEN 2 THEN 'INVALID_MODEL_REPLY' ELSE 'INVALID_ANALYSIS_SCHEMA' END AS issue_code FROM (SELECT c_custkey AS k, c_custkey % 9 AS m FROM customer)""")
+def reply_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies that are no JSON object, lack a key, have one too many, or contradict themselves."""
+    whole = '{"language":"zh-CN","intents":[{"intent_id":"I","source":{"start":0,"end":1,"text":"x"},"description":"d","scope":"in_scope","mode":"case_application"}],"proposed_decision":"answer","reason_code":null,"answer_draft":"a"}'
+    texts = [
+        whole, "{" + whole, "[1]", whole.replace('"zh-CN"', '"en"'), whole.replace('"answer_draft":"a"', '"answer_draft":" "'), whole.replace('"reason_code":null', '"reason_code":"AMBIGUOUS"'), whole.replace('"reason_code":null,', ""),
+        whole.replace('"proposed_decision"', '"more":1,"proposed_decision"'), whole.replace('"in_scope"', '"inside"'),
+    ]
+    rows = C.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item_id"), F.lit("x").alias("question"), F.array(*map(F.lit, texts))[(F.col("c_custkey") % 9).cast("int")].alias("text"))
+    return batch.parse_replies(rows).select("item_id", F.coalesce("issue_code", F.lit("")).alias("issue_code"))
+
+
+@query("""SELECT * FROM (VALUES ('arity', true), ('kinds', true), ('number', true), ('dates', true), ('operator', true), ('days', true), ('same field', true), ('basis', true), ('offset', true), ('decimal', true), ('whole', false)) v(rule, refused)""")
+def structural_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P20: what can't be written as a rule at all."""
+    day, days, word = Value("date", D(2030, 1, 1)), Value("duration", "8", "DAY"), Value("string", "x")
+    tries = {
+        "arity": lambda: Predicate("F", "between", (day,)), "kinds": lambda: Predicate("F", "in", (day, word)), "number": lambda: Predicate("F", "gt", (word,)), "dates": lambda: Predicate("F", "before", (word,)),
+        "operator": lambda: Predicate("F", "like", (word,)), "days": lambda: Predicate("F", "within_natural_days_from_next_day", (Value("duration", "1.5", "DAY"),), "G"), "same field": lambda: Predicate("F", "within_natural_days_from_next_day", (days,), "F"),
+        "basis": lambda: Unit("U", "G", basis="field"), "offset": lambda: Value.from_json({"kind": "datetime", "value": "2030-01-01T00:00:00"}), "decimal": lambda: Value.from_json({"kind": "decimal", "value": "1e3"}),
+        "whole": lambda: Predicate("F", "within_natural_days_from_next_day", (days,), "G"),
+    }
+
+    def refused(make: Callable) -> bool:
+        try:
+            make()
+        except ValueError:
+            return True
+        return False
+
+    return spark.createDataFrame([(name, refused(make)) for name, make in tries.items()], "rule string, refused boolean")
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS older, CAST(n_nationkey + 5 AS BIGINT) AS newer FROM nation WHERE n_nationkey + 5 IN (SELECT n_nationkey FROM nation) AND n_nationkey % 2 = 0""")
 def reversed_override_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of two units that override each other, the edge from the older to the newer goes."""
-    edges = _edges(spark, sf_dir)
-    both = edges.unionAll(edges.filter("target % 2 = 0").select("target", "unit_id"))
-    return both.alias("x").join(both.alias("y"), (F.col("x.unit_id") == F.col("y.target")) & (F.col("x.target") == F.col("y.unit_id"))).filter("x.unit_id < x.target").select(F.col("x.unit_id").alias("older"), F.col("x.target").alias("newer"))
-
+    edges = [tuple(r) for r in _edges(spark, sf_dir).collect()]  # of contract size
+    edges += [(t, u) for u, t in edges if t % 2 == 0]
+    units = {n: {"unit_id": n, "family_id": "G", "effective_from": f"{2000 + n}-01-01", "overrides_unit_ids": [t for u, t in edges if u == n]} for n in sorted({x for e in edges for x in e})}
+    rings = closure.cycles(spark.createDataFrame(edges, "unit_id long, target long"), "unit_id", "target", sorted(units)).collect()
+    repaired = build.repair_overrides({"policy_units": list(units.values())}, [("OVERRIDE_CYCLE", list(r["path"])) for r in rings])
+    kept = {(u["unit_id"], t) for u in repaired["policy_units"] for t in u["overrides_unit_ids"]}
+    return spark.createDataFrame([e for e in edges if e not in kept], "older long, newer long")
 
 # documents and text
 
@@ -364,7 +502,7 @@ SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line, genera
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The section path through headings, list items and page breaks."""
     lines = F.split("text", "\n")
-    rest = F.array_join(F.transform(F.slice(lines, 2, 1_000_000), lambda x: F.concat(F.lit("- "), x)), "\n")
+    rest = F.array_join(F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.concat(F.lit("- "), x)), "\n")
     after = F.concat(F.when(F.col("doc_id") % 3 == 0, "\n<!-- PAGE_BREAK -->\n").otherwise("\n"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("## "), "lang", F.lit("\n"))).otherwise(F.lit("")))
     text = F.concat(F.lit("# "), "source", F.lit("\n## "), "lang", F.lit("\n### first\n"), lines[0], after, rest)
     blocks = markdown.markdown_blocks(C.table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
@@ -378,36 +516,64 @@ def exact_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with each benchmark text that they quote. The third word of a quote is whole wherever the quote stands, so it is an equi-join key."""
+    """Documents with each benchmark text that they quote. A quote's words but the first and last are whole wherever it stands, so the longest of them is an equi-join key; shorter quotes are looked for in every document."""
     word = lambda c: F.split(c, r"\s+")
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    quotes = C.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("fragment"), word(F.col("text"))[2].alias("word"))
+    inner = F.slice(word(F.col("fragment")), F.lit(2), F.greatest(F.size(word(F.col("fragment"))) - 2, F.lit(0)))
+    key = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
+    quotes = C.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("fragment")).withColumn("word", F.nullif(key, F.lit("")))
     keys = docs.select("doc_id", F.explode(F.array_distinct(word(F.col("text")))).alias("word"))
     met = keys.join(quotes.select("item_id", "word"), "word").select("doc_id", "item_id").distinct()
-    return met.join(quotes.select("item_id", "fragment"), "item_id").join(docs, "doc_id").filter(F.contains("text", F.col("fragment")))
+    held = met.join(quotes.select("item_id", "fragment"), "item_id").join(docs, "doc_id").filter(F.contains("text", F.col("fragment")))
+    short = quotes.filter("word is null and fragment <> ''").select("item_id", "fragment").join(docs, F.contains("text", F.col("fragment")))
+    return held.unionByName(short)
 
 
-@query("""SELECT item_id, count(*) AS n, string_agg(source || ':' || lang || ':' || doc_id, ',' ORDER BY source, lang, doc_id) AS cited
+@query("""SELECT item_id, count(*) AS n, string_agg(source || ':' || lang, ',' ORDER BY source, CAST(doc_id AS VARCHAR)) AS cited
 FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY ALL""")
 def answer_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D09 O02 SET1: cited places, each once and in order."""
-    cited = _quotes(spark, sf_dir).groupBy("item_id").agg(F.array_sort(F.collect_set(F.struct("source", "lang", "doc_id"))).alias("c"))
-    return cited.select("item_id", F.size("c").cast("long").alias("n"), F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["source"], x["lang"], x["doc_id"].cast("string"))), ",").alias("cited"))
-
+    name = F.col("doc_id").cast("string")
+    quoted = _quotes(spark, sf_dir).select("item_id", name.alias("block_id"), "fragment")
+    blocks = C.table(spark, sf_dir, "documents").select(name.alias("block_id"), name.alias("document_id"), F.col("source").alias("document_name"), F.lit(1).alias("page"), F.array("lang").alias("section_path"), F.lit(1).alias("ordinal"), "text")
+    cited = decide.evidence(quoted, blocks)
+    return cited.select("item_id", F.size("evidence").cast("long").alias("n"), F.array_join(F.transform("evidence", lambda x: F.concat_ws(":", x["document"], x["section"])), ",").alias("cited"))
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'answer' ELSE 'handoff' END AS decision, CASE WHEN c_custkey % 5 = 0 THEN c_name ELSE '已转人工处理。' END AS answer,
+CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'OUT_OF_SCOPE' WHEN 2 THEN 'INSUFFICIENT_EVIDENCE' ELSE 'AMBIGUOUS' END AS reason_code FROM customer""")
+def published_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is published for each outcome; a repair that nothing repaired is ambiguous."""
+    rows = C.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item_id"), F.col("c_name").alias("answer"))
+    outcome = F.array(*map(F.lit, ("ANSWER", "OUT_OF_SCOPE", "INSUFFICIENT_EVIDENCE", "AMBIGUOUS", "REPAIR")))[(F.col("item_id") % 5).cast("int")]
+    cited = rows.select("item_id", F.array(F.struct(F.lit("d").alias("document"), F.lit(1).alias("page"), F.lit("s").alias("section"), F.lit("q").alias("quote"))).alias("evidence"))
+    out = decide.records(rows.select("item_id", outcome.alias("outcome")), rows, cited)
+    return out.select("id", "decision", "answer", F.coalesce("reason_code", F.lit("")).alias("reason_code"))
+
+
+@query("""SELECT doc_id AS id FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id FROM documents WHERE doc_id % 7 = 0 AND doc_id % 2 = 0""")
+def unpublishable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that mustn't be published: an answer without evidence or text or with a reason, a hand-off without a reason or with another one, a blank id; every second of the good ones comes twice."""
+    m = F.col("doc_id") % 7
+    none = F.array().cast("array<struct<document:string,page:int,section:string,quote:string>>")
+    some = F.array(F.struct(F.lit("d").alias("document"), F.lit(1).alias("page"), F.lit("s").alias("section"), F.lit("q").alias("quote")))
+    docs = C.table(spark, sf_dir, "documents")
+    rows = docs.unionByName(docs.filter("doc_id % 14 = 0")).select(
+        F.concat(F.when(m == 6, " ").otherwise("x"), F.when(m != 6, F.col("doc_id").cast("string")).otherwise("")).alias("id"), F.when(m.isin(4, 5), "handoff").otherwise("answer").alias("decision"), F.when(m == 3, " ").otherwise("text").alias("answer"),
+        F.when(m == 2, "AMBIGUOUS").when(m == 5, "OTHER").alias("reason_code"), F.when(m.isin(1, 4, 5), none).otherwise(some).alias("evidence"), "doc_id",
+    )
+    return jsonl.invalid_predictions(rows).select(F.col("doc_id").alias("id"))
 
 @query("""SELECT s, count(*) AS n FROM (SELECT CASE WHEN doc_id % 5 = 0 THEN false ELSE 3 + doc_id % 40 <= length(text) END AS s FROM documents) GROUP BY ALL""")
 def span_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """spans by code points; each fifth is spoilt."""
+    """spans by code points; each fifth is spoilt; an empty one quotes nothing."""
     start, end = F.lit(3), (3 + F.col("doc_id") % 40).cast("int")
     quoted = F.substring("text", F.lit(4), end - start)
-    docs = C.table(spark, sf_dir, "documents").filter(F.col("doc_id") % 40 > 0)
+    docs = C.table(spark, sf_dir, "documents")
     own = F.when(F.col("doc_id") % 5 == 0, F.concat(quoted, F.lit("x"))).otherwise(quoted)
     return docs.groupBy(T.span_matches(F.col("text"), start, end, own).alias("s")).agg(F.count(F.lit(1)).alias("n"))
 
 
-ORACLES["span_match"] = "SELECT s, count(*) AS n FROM (SELECT CASE WHEN doc_id % 5 = 0 THEN false ELSE 3 + doc_id % 40 <= length(text) END AS s FROM documents WHERE doc_id % 40 > 0) GROUP BY ALL"
-
-
 @query("SELECT doc_id, md5(regexp_replace(text, '[\\s，,。；;：:！？!?]+', '', 'g')) AS surface_md5 FROM documents")
 def surface_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F06."""
@@ -431,7 +597,7 @@ def number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     plain = F.concat(k.cast("string"), F.lit("."), F.lpad((k % 100).cast("string"), 2, "0"))
     token = F.when(k % 5 == 0, F.concat(k.cast("string"), F.lit("e2"))).when(k % 3 == 0, F.concat(F.lit("+"), plain)).otherwise(plain)
-    return C.table(spark, sf_dir, "orders").select("o_orderkey", (T.arabic_number(token) * 100).cast("long").alias("hundredths"))
+    return C.table(spark, sf_dir, "orders").select("o_orderkey", (T.parse_number(token).cast("decimal(38,18)") * 100).cast("long").alias("hundredths"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day FROM orders""")
@@ -439,25 +605,50 @@ def date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F03, the ISO path: parts of one digit, and days that don't exist."""
     d = F.to_date("o_orderdate")
     token = F.when(F.col("o_orderkey") % 6 == 0, F.concat_ws("-", F.year(d), F.lit("2"), F.lit("30"))).otherwise(F.concat_ws("-", F.year(d), F.month(d), F.dayofmonth(d)))
-    return C.table(spark, sf_dir, "orders").select("o_orderkey", T.iso_date(token).alias("day"))
+    return C.table(spark, sf_dir, "orders").select("o_orderkey", T.parse_date(token, F.lit(C.AS_OF)).alias("day"))
 
 
-@query("SELECT * FROM (VALUES ('ＡＢ　１２', 'AB 12'), ('  ﬁ  ne ', 'fi ne'), ('①②', '12'), ('ｶﾞ', 'ガ')) v(raw, surface)")
+@query("SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS surface_md5 FROM documents")
 def nfkc_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Compatible forms, one space."""
+    """Compatible forms, one space; each second text comes in wide letters."""
     ship(spark)
-    rows = spark.createDataFrame([("ＡＢ　１２",), ("  ﬁ  ne ",), ("①②",), ("ｶﾞ",)], "raw string")
-    return rows.select("raw", T.nfkc_surface("raw").alias("surface"))
-
+    wide = F.translate("text", "abcdenrst 0123456789", "ａｂｃｄｅｎｒｓｔ　０１２３４５６７８９")
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, wide).otherwise(F.col("text")).alias("text"))
+    return docs.select("doc_id", F.md5(T.nfkc_surface("text")).alias("surface_md5"))
 
-@query("SELECT * FROM (VALUES ('二〇二六', '2026'), ('一百二', '102'), ('十五', '15'), ('三千零五', '3005'), ('零十', '0'), ('百', '-'), ('１２.５', '12.5'), ('两百三十', '230'), ('二十十', '-')) v(token, n)")
+@query("SELECT p_partkey, CAST(p_partkey % 10000 AS VARCHAR) AS n FROM part")
 def chinese_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chinese numerals; - where there is no number."""
+    """Chinese numerals, by powers of ten for odd keys and digit by digit for even ones."""
     ship(spark)
-    tokens = ["二〇二六", "一百二", "十五", "三千零五", "零十", "百", "１２.５", "两百三十", "二十十"]
+    k = F.col("p_partkey") % 10_000
+    one = lambda c: F.translate(c.cast("string"), "0123456789", "零一二三四五六七八九")
+    a, b, c, d = (F.floor(k / p) % 10 for p in (1000, 100, 10, 1))
+    zero = lambda test: F.when(test, "零").otherwise("")
+    named = F.concat(
+        F.when(a > 0, F.concat(one(a), F.lit("千"))).otherwise(""), F.when(b > 0, F.concat(one(b), F.lit("百"))).otherwise(zero((a > 0) & (c + d > 0))), F.when(c > 0, F.concat(one(c), F.lit("十"))).otherwise(zero((a + b > 0) & (d > 0))), F.when(d > 0, one(d)).otherwise("")
+    )
+    return C.table(spark, sf_dir, "part").select("p_partkey", T.parse_number(F.when((k % 2 == 0) | (k == 0), one(k)).otherwise(named)).alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('二〇二六', '2026'), ('一百二', '102'), ('十五', '15'), ('三千零五', '3005'), ('零十', '0'), ('百', '-'), ('１２.５', '12.5'), ('两百三十', '230'), ('二十十', '-'), ('.5', '0.5'), ('-007.50', '-7.50'), ('1e3', '-'), ('一千百', '-')) v(token, n)")
+def odd_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tokens at the edge of the grammar; - where there is no number."""
+    tokens = ["二〇二六", "一百二", "十五", "三千零五", "零十", "百", "１２.５", "两百三十", "二十十", ".5", "-007.50", "1e3", "一千百"]
     return spark.createDataFrame([(t,) for t in tokens], "token string").select("token", F.coalesce(T.parse_number("token"), F.lit("-")).alias("n"))
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day FROM orders""")
+def long_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dates with 年, 月 and 日, in Arabic or Chinese digits; without a year there is none."""
+    d, k = F.to_date("o_orderdate"), F.col("o_orderkey")
+    han = lambda c: F.translate(c.cast("string"), "0123456789", "〇一二三四五六七八九")
+    tens = lambda c: F.concat(F.when(c >= 20, han(F.floor(c / 10))).otherwise(""), F.when(c >= 10, "十").otherwise(""), F.when(c % 10 > 0, han(c % 10)).otherwise(""))
+    part = lambda f: F.when(k % 2 == 1, f).otherwise
+    y, m, n = F.year(d), F.month(d), F.dayofmonth(d)
+    year = F.when(k % 4 == 0, "").otherwise(F.concat(part(han(y))(y.cast("string")), F.lit("年")))
+    token = F.concat(year, part(tens(m))(m.cast("string")), F.lit("月"), part(tens(n))(n.cast("string")), F.lit("日"))
+    return C.table(spark, sf_dir, "orders").select("o_orderkey", T.parse_date(token, F.lit(C.AS_OF)).alias("day"))
+
 @query("""SELECT token, CAST(CAST(o_orderdate AS DATE) + days AS DATE) AS day, count(*) AS n FROM orders CROSS JOIN (VALUES ('今天', 0), ('昨天', -1), ('明天', 1)) v(token, days) GROUP BY ALL""")
 def relative_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """relative days from a reference date."""
@@ -472,27 +663,83 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
 
 
-@query("""SELECT sha256('{"pairing":["' || (SELECT string_agg(s, '","' ORDER BY s) FROM (SELECT DISTINCT source AS s FROM documents)) || '"],"parser":"documents-v1","sources":[' ||
-string_agg('{"format":"md","name":"' || doc_id || '.md","sha256":"' || sha256(text) || '"}', ',' ORDER BY doc_id || '.md') || ']}') AS hash FROM documents WHERE doc_id < 50""")
-def document_set_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One hash for a set of files (here: fifty), by canonical JSON; folders and order don't enter."""
-    docs = C.table(spark, sf_dir, "documents").filter("doc_id < 50")
-    files = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("name"), F.col("source").alias("stem"), F.lit("md").alias("format"), F.sha2("text", 256).alias("sha256"))
-    return markdown.document_set_hash(files)
-
-
-ORACLES["document_set_hash"] = ORACLES["document_set_hash"].replace("(SELECT DISTINCT source AS s FROM documents)", "(SELECT DISTINCT source AS s FROM documents WHERE doc_id < 50)")
-
-
 @query("""SELECT set_id, sha256('{"pairing":["' || string_agg(DISTINCT source, '","' ORDER BY source) || '"],"parser":"documents-v1","sources":[' ||
 string_agg('{"format":"md","name":"' || doc_id || '.md","sha256":"' || sha256(text) || '"}', ',' ORDER BY doc_id || '.md') || ']}') AS hash FROM (SELECT *, doc_id // 50 AS set_id FROM documents) GROUP BY set_id""")
-def document_set_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def document_set_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, in sets of fifty files."""
     docs = C.table(spark, sf_dir, "documents")
     files = docs.select(F.expr("doc_id div 50").alias("set_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("name"), F.col("source").alias("stem"), F.lit("md").alias("format"), F.sha2("text", 256).alias("sha256"))
     return markdown.document_set_hash(files, by=("set_id",))
 
 
+@query("""SELECT 'd' || doc_id || '.md' AS name, 'a/d' || doc_id || '.md' AS path, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents""")
+def selected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of files of one name and content the first path is kept; names that differ in content, stems and the size of all are checked."""
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    stem = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    files = docs.withColumn("folder", F.explode(F.array(F.lit("b/"), F.lit("a/")))).select(
+        F.concat("folder", stem, F.lit(".md")).alias("path"), F.concat(stem, F.lit(".md")).alias("name"), stem.alias("stem"), F.lit("md").alias("format"), F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("sha256")
+    )
+    return markdown.select_files(files, limit=1 << 62).select("name", "path", "size")
+
+
+@query("""SELECT printf('DOC-%02d', n) AS document_id, md5(string_agg(printf('[DOC-%02d-P001-B%03d] ', n, i) || line, chr(10) ORDER BY i)) AS context_md5, count(*) AS n_blocks FROM (
+SELECT n, line, row_number() OVER (PARTITION BY n ORDER BY k) AS i FROM (SELECT row_number() OVER (ORDER BY printf('%09d', item_id)) AS n, unnest(string_split(text, '. ')) AS line, generate_subscripts(string_split(text, '. '), 1) AS k FROM benchmark) WHERE trim(line) <> '') GROUP BY ALL""")
+def numbered_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents numbered by name, blocks through each document, and their text in order after their ids. Each sentence is a block."""
+    text = F.replace("text", F.lit(". "), F.lit("\n\n"))
+    docs = C.table(spark, sf_dir, "benchmark").select(F.format_string("%09d", "item_id").alias("stem"), text.alias("text"))
+    blocks = markdown.number_blocks(markdown.markdown_blocks(docs))
+    counts = blocks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_blocks"))
+    return markdown.full_context(blocks).join(counts, "document_id").select("document_id", F.md5("context").alias("context_md5"), "n_blocks")
+
+
+@query("""SELECT doc_id, CAST(i - 1 AS INT) AS pos, md5(replace(trim(line), ' ', '  ')) AS text_md5 FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i FROM (
+SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents) WHERE trim(line) <> '')""")
+def aligned_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown blocks as an extracted page has them, with other white space, found in order; a line that repeats is found at its own place."""
+    docs = C.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("stem"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    blocks = markdown.markdown_blocks(docs)
+    pages = docs.select("stem", F.lit(1).alias("page"), F.replace("text", F.lit(" "), F.lit("  ")).alias("text"))
+    return markdown.align_to_pages(blocks, pages).select(F.col("stem").cast("long").alias("doc_id"), "pos", F.md5("text").alias("text_md5"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS stem FROM documents WHERE doc_id % 3 = 0")
+def blank_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a page without text."""
+    docs = C.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("stem"), F.explode(F.array(F.concat(F.lit("x"), "text"), F.when(F.col("doc_id") % 6 == 0, " \n　").when(F.col("doc_id") % 3 != 0, "y"))).alias("text"))
+    return markdown.blank_pages(docs)
+
+
+@query("""SELECT doc_id, sha256('{"model":"m","sources":[{"name":"a.md","sha256":"' || sha256(text) || '"},{"name":"b.md","sha256":"' || md5(text) || '"}]}') AS key FROM documents""")
+def contract_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key by the sources, whatever their order and folder, and by what made the contract."""
+    ship(spark)
+
+    @F.pandas_udf("string")
+    def key(one: pd.Series, two: pd.Series) -> pd.Series:
+        return pd.Series([ContractStore.key([{"name": "b.md", "path": "/x", "sha256": b}, {"name": "a.md", "path": "/y", "sha256": a}], model="m") for a, b in zip(one, two, strict=True)])
+
+    return C.table(spark, sf_dir, "documents").select("doc_id", key(F.sha2("text", 256), F.md5("text")).alias("key"))
+
+
+_STATUSES = (None, 400, 401, 404, 408, 429, 500, 503)
+
+
+@query("""SELECT event_id, CASE WHEN s IN (400, 401) THEN 'rejected' WHEN s = 404 THEN 'failed' WHEN a >= 2 OR e + w > 600 THEN 'exhausted' ELSE '' END AS reason, CASE WHEN coalesce(s, 0) NOT IN (400, 401, 404) AND a < 2 AND e + w <= 600 THEN CAST(w AS DOUBLE) END AS wait
+FROM (SELECT *, CASE WHEN event_id % 2 = 0 THEN 7 ELSE 2 ** a END AS w FROM (SELECT event_id, [NULL, 400, 401, 404, 408, 429, 500, 503][event_id % 8 + 1] AS s, event_id % 3 AS a, event_id % 700 AS e FROM events))""")
+def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When a failed request is sent again, by state, attempt, time and header."""
+    ship(spark)
+
+    @F.pandas_udf("struct<wait:double,reason:string>")
+    def plan(number: pd.Series) -> pd.DataFrame:
+        told = [retry_plan(_STATUSES[n % 8], n % 3, float(n % 700), "7" if n % 2 == 0 else None) for n in number]
+        return pd.DataFrame({"wait": [t.wait for t in told], "reason": [t.reason for t in told]})
+
+    return C.table(spark, sf_dir, "events").select("event_id", plan("event_id").alias("p")).select("event_id", "p.reason", F.col("p.wait").alias("wait"))
+
+
 # questions, decisions
 
 
@@ -524,12 +771,12 @@ def strict_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("line_no", "item_no", "output_id", F.coalesce("issue_code", F.lit("")).alias("issue_code"), F.coalesce(F.md5("question"), F.lit("")).alias("question_md5"))
 
 
-@query(f"""SELECT count(*) AS total, count(*) FILTER (WHERE issue_code = '') AS answers, count(*) FILTER (WHERE issue_code <> '') AS handoffs, count(*) FILTER (WHERE issue_code = 'INVALID_JSON') AS unreadable FROM ({_ASKED})""")
+@query(f"""SELECT count(*) AS total, count(*) FILTER (WHERE issue_code = '') AS answer, count(*) FILTER (WHERE issue_code <> '') AS handoff, count(*) FILTER (WHERE issue_code <> '') AS ambiguous FROM ({_ASKED})""")
 def batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch's totals; a line that isn't valid is a hand-off and a failure."""
     q = jsonl.parse_questions(_question_lines(spark, sf_dir))
-    return q.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("issue_code").isNull()).alias("answers"), F.count_if(F.col("issue_code").isNotNull()).alias("handoffs"), F.count_if(F.col("issue_code") == "INVALID_JSON").alias("unreadable"))
-
+    bad = F.col("issue_code").isNotNull()
+    return scoring.report(q.select(F.when(bad, "handoff").otherwise("answer").alias("decision"), F.when(bad, "AMBIGUOUS").alias("reason_code")))
 
 @query("""SELECT g AS outcome, count(*) AS n FROM (SELECT CASE WHEN k % 17 = 0 THEN 'OUT_OF_SCOPE' WHEN k % 13 = 0 OR k % 11 = 0 OR k % 7 = 0 THEN 'AMBIGUOUS' WHEN k % 5 = 0 OR k % 3 = 0 THEN 'INSUFFICIENT_EVIDENCE' WHEN k % 2 = 0 THEN 'REPAIR' ELSE 'ANSWER' END AS g
 FROM (SELECT c_custkey AS k FROM customer)) GROUP BY ALL""")
@@ -566,13 +813,6 @@ def attempt_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide.choose_attempt(rows)
 
 
-@query("""SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS text_md5, count(*) AS n FROM conversations GROUP BY ALL""")
-def assertion_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered concatenation."""
-    C.table(spark, sf_dir, "conversations").createOrReplaceTempView("rulewright_turns")
-    return spark.sql("SELECT conv_id, md5(listagg(text, '') WITHIN GROUP (ORDER BY turn)) AS text_md5, count(*) AS n FROM rulewright_turns GROUP BY conv_id")
-
-
 _ISSUES = """SELECT item_id, code, count(*) AS n FROM (
 SELECT k AS item_id, 'INVALID_INTENT_SPAN' AS code FROM q WHERE k % 5 = 0 AND length(text) >= 3 UNION ALL
 SELECT k, 'INVALID_INTENT_SPAN' FROM q WHERE length(text) < 3 UNION ALL
@@ -593,20 +833,46 @@ def analysis_issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT user_id, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM (SELECT user_id, CASE WHEN event_type = 'error' THEN 'UNSAFE_ISSUE_CODE' ELSE upper(event_type) END AS code FROM events) GROUP BY ALL""")
-def telemetry_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codes safe to log, each once and in order."""
+def _failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as failed replies of users: the first attempt of each."""
+    n = F.floor("value").cast("long")
+    of = lambda kind: F.when(F.col("event_type") == kind, n)
+    return C.table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("item_id"), (F.col("event_id") % 2).cast("int").alias("attempt"), F.when(F.col("event_id") % 5 == 0, "odd state").otherwise("failed").alias("status"), F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("response_id"),
+        F.lit("m").alias("model"), of("purchase").alias("input_tokens"), of("click").alias("output_tokens"), of("none").alias("cached_tokens"), n.alias("reasoning_tokens"), (F.col("event_id") / 2).alias("elapsed_seconds"), "event_id", "event_type",
+    )
+
+
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'UNSAFE_ISSUE_CODE' ELSE upper(event_type) END AS code, event_type, event_id % 5 AS m FROM events)
+SELECT event_id, CASE WHEN m = 0 THEN 'other' ELSE 'failed' END AS response_status, CASE WHEN m = 1 THEN '' WHEN code < 'VIEW' THEN code || ',VIEW' WHEN code = 'VIEW' THEN 'VIEW' ELSE 'VIEW,' || code END AS codes,
+CASE WHEN m = 1 THEN '' WHEN event_type = 'click' THEN 'click,view' ELSE 'view' END AS ids FROM e""")
+def failure_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L01 F19 A12 J21 SET2: codes safe to log and ids on the allow list, each once and in order; other states are not told."""
+    replies = _failed(spark, sf_dir).withColumn("item_id", F.col("event_id"))
     raw = F.when(F.col("event_type") == "error", F.lit("boom: text")).otherwise(F.upper("event_type"))
-    return C.table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set(T.sanitised_code(raw))), ",").alias("codes"))
+    some = replies.filter("event_id % 5 <> 1").select("item_id", "attempt", raw.alias("code"), F.array("event_type", F.lit("secret"), F.lit("view")).alias("object_ids"))
+    issues = some.unionByName(some.withColumn("code", F.lit("VIEW")))
+    allowed = spark.createDataFrame([("click",), ("view",)], "object_id string")
+    told = telemetry.failures(replies, issues, allowed)
+    return told.select(F.col("item_id").alias("event_id"), "response_status", _text("issue_codes").alias("codes"), _text("contract_object_ids").alias("ids"))
 
 
-@query("""SELECT user_id, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT user_id, event_type AS x FROM events WHERE event_type IN ('click', 'view')) GROUP BY ALL""")
-def allowed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J21 SET2: ids on an allow list."""
-    seen = C.table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_intersect(F.collect_set("event_type"), F.array(F.lit("click"), F.lit("view"))).alias("ids"))
-    return seen.filter(F.size("ids") > 0).select("user_id", F.array_join(F.array_sort("ids"), ",").alias("ids"))
+@query("SELECT 'r' || event_id AS id, CASE WHEN event_id % 5 = 0 THEN 'odd state' ELSE 'failed' END AS status, CAST(event_id % 2 AS INT) AS attempt, event_id / 2 AS elapsed_seconds, CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'HTTP_503' END AS error_code FROM events")
+def request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reply's metadata, and the code of an error: its status, else its name."""
+    told = telemetry.requests(_failed(spark, sf_dir))
+    errors = C.table(spark, sf_dir, "events").select(F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("id"), telemetry.error_code(F.when(F.col("event_id") % 3 != 0, F.lit(503)), F.col("event_type")).alias("error_code"))
+    return told.join(errors, "id").select("id", "status", "attempt", "elapsed_seconds", "error_code")
 
 
+@query("SELECT event_id, event_id % 6 = 0 AS passed FROM events")
+def probe_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A probe's reply must be complete and just the object asked for."""
+    texts = ['{"normalized":14}', '{"normalized":15}', '{"normalized":"14"}', '{"normalized":14,"more":1}', "14 }", '{"normalized":14}']
+    m = (F.col("event_id") % 6).cast("int")
+    rows = C.table(spark, sf_dir, "events").select("event_id", F.when(m == 5, "incomplete").otherwise("completed").alias("status"), F.array(*map(F.lit, texts))[m].alias("text"))
+    return rows.select("event_id", telemetry.probe_passed(F.col("status"), F.col("text")).alias("passed"))
+
 # scores
 
 _REFERENCE = """r AS (SELECT l.doc_id AS id, CASE WHEN quality = 1 THEN 'answer' ELSE 'handoff' END AS expected, toxic FROM labels l),
@@ -687,11 +953,11 @@ def runs_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.runs_passed(_signed(spark, sf_dir))
 
 
-@query("SELECT user_id, CAST(sum(CASE WHEN event_type = 'purchase' THEN floor(value) END) AS BIGINT) AS used, count(*) AS requests FROM events GROUP BY ALL")
+@query("""SELECT user_id AS item_id, count(*) AS requests, CAST(sum(CASE WHEN event_type = 'purchase' THEN floor(value) END) AS BIGINT) AS input_tokens, CAST(sum(CASE WHEN event_type = 'click' THEN floor(value) END) AS BIGINT) AS output_tokens,
+CAST(NULL AS BIGINT) AS cached_tokens, CAST(sum(floor(value)) AS BIGINT) AS reasoning_tokens FROM events GROUP BY ALL""")
 def optional_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of what was reported, NULL if nothing was."""
-    return C.table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(F.when(F.col("event_type") == "purchase", F.floor("value"))).alias("used"), F.count(F.lit(1)).alias("requests"))
-
+    return telemetry.usage(_failed(spark, sf_dir), "item_id")
 
 @query("""SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' DESC, o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1""")
 def latest_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -705,12 +971,9 @@ SELECT a.p_brand, alias, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.p_brand = a.p
 def alias_approval_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aliases that another option has, or that change nothing."""
     part = C.table(spark, sf_dir, "part")
-    surfaces = part.select("p_brand", F.split("p_name", " ")[0].alias("alias")).distinct()
-    asked = part.select("p_brand", F.coalesce(F.get(F.split("p_name", " "), F.lit(1)), F.lit("")).alias("alias")).distinct()
-    owners = surfaces.groupBy("alias").agg(F.collect_set("p_brand").alias("owners"))
-    verdict = F.when(F.array_contains("owners", F.col("p_brand")), "no change").when(F.col("owners").isNotNull(), "conflict").otherwise("new")
-    return asked.join(owners, "alias", "left").select("p_brand", "alias", verdict.alias("verdict"))
-
+    surfaces = part.select(F.col("p_brand").alias("owner"), F.split("p_name", " ")[0].alias("alias")).distinct()
+    asked = part.select(F.col("p_brand").alias("owner"), F.coalesce(F.get(F.split("p_name", " "), F.lit(1)), F.lit("")).alias("alias")).distinct()
+    return contract_checks.alias_verdicts(asked, surfaces).withColumnRenamed("owner", "p_brand")
 
 @query(f"SELECT CAST(count(*) FILTER (WHERE a.o_orderkey % 11 = 0) AS BIGINT) AS domains_differ, count(*) AS n FROM orders a WHERE {_AMOUNT.replace('o_totalprice', 'a.o_totalprice')} > 0")
 def value_identity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
         named = "file://" + tempfile.mkdtemp(prefix="rulewright-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -10,12 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Fixed: page breaks, and the characters that end a line.
-_PAGE_BREAK = r"(?U)\s*<!--\s*PAGE_BREAK\s*-->\s*|\f"
-_ENDS = "\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029"
-_LINE = f"[^{_ENDS}]*(?:\\r\\n|[{_ENDS}])|[^{_ENDS}]+$"
-_HEADING = r"^(#{1,6})[ \t]+(.+?)[ \t]*$"
-_ITEM = r"^[ \t]*[-*+][ \t]+(.+)$"
+from rulewright.session import ship
+
+#: Fixed: page breaks, headings and list items.
+_PAGE_BREAK = re.compile(r"\s*<!--\s*PAGE_BREAK\s*-->\s*|\f")
+_HEADING = re.compile(r"(#{1,6})[ \t]+(.+?)[ \t]*$")
+_ITEM = re.compile(r"[ \t]*[-*+][ \t]+(.+)$")
 _BLOCKS = "array<struct<page:int,section_path:array<string>,text:string>>"
 
 
@@ -56,39 +57,40 @@ def document_set_hash(files: DataFrame, parser: str = "documents-v1", by: tuple[
     return one.select(*by, F.sha2(text, 256).alias("hash"))
 
 
+def blocks_of(text: str) -> list[dict]:
+    """Page, section path and text of each block of a Markdown text, in one pass over its lines."""
+    out: list[dict] = []
+    path: list[str] = []
+    for page, part in enumerate(_PAGE_BREAK.split(text.removeprefix("\ufeff")), 1):
+        paragraph: list[str] = []
+        for line in [*part.splitlines(keepends=True), ""]:  # a page's end closes a paragraph as an empty line does
+            plain = line.rstrip("\r\n")
+            heading, item = _HEADING.match(plain), _ITEM.match(plain)
+            if plain.strip() and not heading and not item:
+                paragraph.append(line)
+                continue
+            closed = ["".join(paragraph), item[1] if item and not heading else ""]
+            out += [{"page": page, "section_path": path, "text": t.strip()} for t in closed if t.strip()]
+            paragraph = []
+            if heading:
+                path = [*path[: len(heading[1]) - 1], heading[2].strip()]
+    return out
+
+
 def markdown_blocks(documents: DataFrame) -> DataFrame:
     """Columns of documents but text, then page, section_path, pos, text: the blocks of each Markdown text.
 
-    One fold over a text's lines carries the section path and the open paragraph: a heading cuts the path to its level less one and adds itself, each list item is a block, an
+    A heading cuts the section path to its level less one and adds itself, each list item is a block, an
     empty line or a page's end closes a paragraph. The path goes on over page breaks.
     """
+    ship(documents.sparkSession)
     others = [c for c in documents.columns if c != "text"]
-    pages = F.split(F.regexp_replace("text", "^﻿", ""), _PAGE_BREAK, -1)
-    line = lambda page, text: F.struct(page.alias("page"), text.alias("text"))
-    end = F.lit(None).cast("string")
-    lines = F.flatten(F.transform(pages, lambda p, i: F.concat(F.transform(F.regexp_extract_all(p, F.lit(_LINE), F.lit(0)), lambda x: line((i + 1).cast("int"), x)), F.array(line((i + 1).cast("int"), end)))))
-    start = F.struct(F.array().cast("array<string>").alias("path"), F.lit("").alias("open"), F.array().cast(_BLOCKS).alias("blocks"))
-
-    def block(page: Column, path: Column, text: Column) -> Column:
-        cut = strip(text)
-        return F.when(cut != "", F.array(F.struct(page.alias("page"), path.alias("section_path"), cut.alias("text")))).otherwise(F.array().cast(_BLOCKS))
-
-    def step(state: Column, x: Column) -> Column:
-        plain = F.regexp_replace(x["text"], "[\r\n]+$", "")
-        heading, item = plain.rlike(_HEADING), plain.rlike(_ITEM)
-        closed = F.concat(state["blocks"], block(x["page"], state["path"], state["open"]))
-        level = F.length(F.regexp_extract(plain, _HEADING, 1))
-        path = F.concat(F.slice(state["path"], F.lit(1), F.greatest(level - 1, F.lit(0))), F.array(strip(F.regexp_extract(plain, _HEADING, 2))))
-        make = lambda p, o, b: F.struct(p.alias("path"), o.alias("open"), b.alias("blocks"))
-        return (
-            F.when(x["text"].isNull() | (strip(plain) == ""), make(state["path"], F.lit(""), closed))
-            .when(heading, make(path, F.lit(""), closed))
-            .when(item, make(state["path"], F.lit(""), F.concat(closed, block(x["page"], state["path"], F.regexp_extract(plain, _ITEM, 1)))))
-            .otherwise(make(state["path"], F.concat(state["open"], x["text"]), state["blocks"]))
-        )
-
-    folded = documents.select(*others, F.posexplode(F.aggregate(lines, start, step)["blocks"]).alias("pos", "b"))
-    return folded.select(*others, "b.page", "b.section_path", "pos", "b.text")
+
+    @F.pandas_udf(_BLOCKS)
+    def parsed(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else blocks_of(t) for t in texts], dtype=object)
+
+    return documents.select(*others, F.posexplode(parsed("text")).alias("pos", "b")).select(*others, "b.page", "b.section_path", "pos", "b.text")
 
 
 def number_blocks(blocks: DataFrame) -> DataFrame:
@@ -105,6 +107,25 @@ def full_context(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["t"]), "\n").alias("context"))
 
 
+def paired_blocks(blocks: DataFrame, pages: DataFrame, stems: list[str]) -> DataFrame:
+    """blocks with those of the given stems (documents that come as Markdown and as PDF) as their extracted pages have them.
+
+    A document without pages or with a blank one, another number of pages than the Markdown has, and a block that its page doesn't hold in order are errors.
+    """
+    own = pages.filter(F.col("stem").isin(stems))
+    if bad := blank_pages(own).limit(1).collect():
+        raise ValueError(f"{bad[0]['stem']} has a page without text")
+    counts = blocks.filter(F.col("stem").isin(stems)).groupBy("stem").agg(F.max("page").alias("n")).join(own.groupBy("stem").agg(F.max("page").alias("m"), F.countDistinct("page").alias("k")), "stem", "full_outer")
+    known = counts.filter("n = m and m = k").select("stem").collect()  # a row for each document of one set
+    if other := sorted(set(stems) - {r["stem"] for r in known}):
+        raise ValueError(f"{other[0]} has other pages as PDF than as Markdown")
+    aligned = align_to_pages(blocks.filter(F.col("stem").isin(stems)).select("stem", "page", "section_path", "pos", "text"), own)
+    if lost := aligned.filter("text is null").limit(1).collect():
+        raise ValueError(f"{lost[0]['stem']} has a block that page {lost[0]['page']} of its PDF does not hold")
+    names = blocks.select("stem", *[c for c in blocks.columns if c not in ("stem", "page", "section_path", "pos", "text")]).distinct()
+    return blocks.filter(~F.col("stem").isin(stems)).unionByName(aligned.join(names, "stem"))
+
+
 def blank_pages(pages: DataFrame) -> DataFrame:
     """Columns stem: documents (stem, page, text of extracted pages) with a page without text, which can't be used."""
     return pages.filter(strip(F.coalesce("text", F.lit(""))) == "").select("stem").distinct()
@@ -141,6 +162,7 @@ def align_to_pages(blocks: DataFrame, pages: DataFrame) -> DataFrame:
                 texts.append(found)
             yield rows[["stem", "page", "poss"]].assign(texts=texts)
 
+    ship(blocks.sparkSession)
     order = F.array_sort(F.collect_list(F.struct("pos", "text", "section_path")))
     by_page = blocks.groupBy("stem", "page").agg(order.alias("b")).join(pages.select("stem", "page", F.col("text").alias("source")), ["stem", "page"], "left")
     found = by_page.select("stem", "page", "source", F.col("b.text").alias("texts"), F.col("b.pos").alias("poss")).mapInPandas(align, "stem string, page int, poss array<int>, texts array<string>")
