@@ -82,13 +82,13 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _WORD_END), lambda w: w.rlike(_TERM))
 
 
-def disclosing_terms(rows: DataFrame, located: DataFrame, threshold: float, prior: float) -> DataFrame:
+def disclosing_terms(rows: DataFrame, located: DataFrame, threshold: float, prior: float, least: float) -> DataFrame:
     """Columns term, disclosure, wide: the terms that disclose some entity, and whether each occurs outside that entity's contexts too.
 
     rows: uid, text of all documents; located: uid, text, base of them. A term discloses an entity by its pointwise mutual information with it, as a share of the entity's own information: 1 + log(p) / log(N / n(e)), where N and n(e) are numbers
     of documents, and p estimates the share of the term's documents that speak of the entity: the different contexts in which documents have both, out of all documents with the term,
     smoothed by `prior` documents more of which n(e) / N do. Equal contexts are one witness however many documents copy them, and each copy counts against the term.
-    A value that is seen once has disclosing terms, those seen nowhere else, if the corpus is large enough for that to be no chance.
+    p must be `least` at least: a term that occurs apart from the entity more often than with it tells little of it, however rare both are. A value that is seen once has disclosing terms, those seen nowhere else, if the corpus is large enough for that to be no chance.
     """
     spans = located.filter(F.size("base") > 0).select("uid", "text", F.explode("base").alias("span"))
     before = F.substring("text", F.greatest(F.col("span.start") - CONTEXT_CHARS, F.lit(0)) + 1, F.least(F.col("span.start"), F.lit(CONTEXT_CHARS)))
@@ -108,18 +108,18 @@ def disclosing_terms(rows: DataFrame, located: DataFrame, threshold: float, prio
     seen_in = F.least("contexts", "both").cast("double")  # several contexts of one document are one witness
     held = (seen_in + prior * F.col("n_entity") / F.col("n")) / (F.col("n_term") + prior)
     share = F.when(own > 0, 1 + F.log(held) / own).otherwise(F.lit(0.0))
-    told = known.select("term", share.alias("disclosure"), (F.col("n_term") > F.col("both")).alias("wide")).filter(F.col("disclosure") >= threshold)
+    told = known.filter(held >= least).select("term", share.alias("disclosure"), (F.col("n_term") > F.col("both")).alias("wide")).filter(F.col("disclosure") >= threshold)
     return told.groupBy("term").agg(F.max("disclosure").alias("disclosure"), F.bool_and("wide").alias("wide"))
 
 
-def _spans(rows: DataFrame, threshold: float, prior: float) -> DataFrame:
+def _spans(rows: DataFrame, threshold: float, prior: float, least: float) -> DataFrame:
     """Columns uid, doc_id, base, terms: each row's base spans, and those of disclosing terms (value: the term's disclosure) that no base span touches."""
     located = base_spans(rows.select("uid", "doc_id", "text"))
     plain = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
     # the texts of documents with spans are kept along with them, so that no other text is moved
     base = materialize(located.select("uid", "doc_id", plain.alias("base"), F.when(F.size("base") > 0, F.col("text")).alias("text")), "base")
     near = base.filter(F.size("base") > 0).select("uid", "text", "base")
-    terms = materialize(disclosing_terms(rows, near, threshold, prior), "terms")
+    terms = materialize(disclosing_terms(rows, near, threshold, prior, least), "terms")
     # terms that occur in their entity's documents only need not be looked for in all others
     has = lambda docs, terms: docs.select("uid", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(terms.drop("wide"), "term")
     holders = has(rows, terms.filter("wide")).unionAll(has(near, terms.filter("not wide"))).groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("known"))
@@ -139,7 +139,7 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find(docs: DataFrame, *, threshold: float = 0.9, prior: float = 0.75) -> DataFrame:
+def find(docs: DataFrame, *, threshold: float = 0.9, prior: float = 0.75, least: float = 0.5) -> DataFrame:
     """Columns doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term: a row for each row of docs (doc_id, text).
 
     Base spans are e-mail addresses, IP addresses, payment cards (Luhn) and phone numbers. Over all documents, co-occurrence tells how
@@ -148,20 +148,20 @@ def find(docs: DataFrame, *, threshold: float = 0.9, prior: float = 0.75) -> Dat
 
     A null text is empty: no spans. Repeated rows and null doc_ids are rows of their own, and count as documents. Other columns are ignored; an empty table gives an empty result.
     """
-    spans = _spans(with_row_ids(docs), threshold, prior)
+    spans = _spans(with_row_ids(docs), threshold, prior, least)
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     listed = _listed(F.col("base"))
     return spans.select("doc_id", *map(count, PATTERNS), F.sha2(listed, 256).alias("base_sha256"), _listed(F.concat("base", "terms")).alias("spans"), F.size("terms").cast("long").alias("n_term"))
 
 
-def sanitise(docs: DataFrame, *, threshold: float = 0.9, prior: float = 0.75, remove_from: float = 0.99, **keep: str) -> DataFrame:
+def sanitise(docs: DataFrame, *, threshold: float = 0.9, prior: float = 0.75, least: float = 0.5, remove_from: float = 0.99, **keep: str) -> DataFrame:
     """Columns doc_id, text and those of keep (name = "type"): docs with each span replaced.
 
     A base span is generalised to its kind in brackets. A term is generalised to [TERM], or removed if its disclosure is remove_from at
     least. Of spans that overlap the first stays, the longer of two at one place. Odd rows as in find.
     """
     rows = with_row_ids(docs, **keep)
-    spans = _spans(rows, threshold, prior).filter((F.size("base") > 0) | (F.size("terms") > 0)).select("uid", F.concat("base", "terms").alias("spans"))
+    spans = _spans(rows, threshold, prior, least).filter((F.size("base") > 0) | (F.size("terms") > 0)).select("uid", F.concat("base", "terms").alias("spans"))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     removed = lambda s: (s["kind"] == KINDS.index("term")) & (s["value"].cast("double") >= remove_from)
     sort_key = lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.when(removed(s), F.lit("")).otherwise(names[s["kind"]]).alias("put"))
