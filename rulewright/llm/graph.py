@@ -8,17 +8,29 @@ from pyspark.sql import functions as F
 from rulewright.llm.common import materialize
 
 
+#: Groups into which a node's neighbours are dealt.
+SALTS = 32
+
+
+def _with_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Columns u, m: each node with its least neighbour; and the edges with that of their u. A node's neighbours are dealt by salt, so that one with very many is not one task."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    parts = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.min("m").alias("m"))
+    return least, salted.join(parts.select("u", "salt").join(least, "u"), ["u", "salt"]).drop("salt")
+
+
 def _large(edges: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to the least node of its neighbourhood."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    _, told = _with_least(both)
+    return told.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Each node links itself and its smaller neighbours to the least of them. Edges run from the larger node u to the smaller v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    inner = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least, told = _with_least(edges)
+    inner = told.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return inner.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
