@@ -135,10 +135,15 @@ def unit_names(units: Sequence[tuple[str, Sequence[str], str]]) -> dict[str, tup
     return out
 
 
+#: Marks that are put between a month or a year and a number, so that an amount is known to follow one.
+_MARKS = {_BEFORE_DAY: "\x01", _BEFORE_MONTH: "\x02"}
+_GAPS = {mark: f"(?<={word})(?=[+\\-0-9{_NUMERALS}])" for word, mark in _MARKS.items()}
+
+
 def _amounts(names: Iterable[str]) -> str:
-    """A number and a unit's name, the longest that fits, with the characters on either side: groups before, number, name, after."""
+    """A number and a unit's name, the longest that fits: groups mark before, number, name, character after."""
     listed = "|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n)))
-    return f"(?:(?<=([{_BEFORE_DAY}{_BEFORE_MONTH}]))|)([+-]?(?:[0-9]+(?:\\.[0-9]+)?|[{_NUMERALS}]+))\\s*({listed})(?=((?s:.))|)"
+    return f"([\x01\x02]?)([+-]?(?:[0-9]+(?:\\.[0-9]+)?|[{_NUMERALS}]+))\\s*({listed})(?=[\x01\x02]?((?s:.))|)"
 
 
 def literals(text: Column, units: Sequence[tuple[str, Sequence[str], str]]) -> Column:
@@ -148,9 +153,11 @@ def literals(text: Column, units: Sequence[tuple[str, Sequence[str], str]]) -> C
     if not names:
         return F.when(text.isNotNull(), F.array().cast(kind))
     plain = compatible(text)
+    for mark, gap in _GAPS.items():
+        plain = F.regexp_replace(plain, gap, mark)
     part = lambda i: F.regexp_extract_all(plain, F.lit("(?U)" + _amounts(names)), F.lit(i))
     found = F.arrays_zip(part(1).alias("before"), part(2).alias("raw"), part(3).alias("name"), part(4).alias("after"))
-    dated = lambda x: ((x["name"] == "日") & (x["before"] == _BEFORE_DAY)) | ((x["name"] == "月") & ((x["before"] == _BEFORE_MONTH) | x["after"].isin(*_AFTER_MONTH)))
+    dated = lambda x: ((x["name"] == "日") & (x["before"] == _MARKS[_BEFORE_DAY])) | ((x["name"] == "月") & ((x["before"] == _MARKS[_BEFORE_MONTH]) | x["after"].isin(*_AFTER_MONTH)))
     code, sort = (F.create_map(*[F.lit(x) for n, own in names.items() for x in (n, own[i])]) for i in (0, 1))
     amount = lambda x: F.struct(sort[x["name"]].alias("kind"), _number(x["raw"]).alias("raw"), code[x["name"]].alias("unit_code"))
     return F.filter(F.transform(F.filter(found, lambda x: ~dated(x)), amount), lambda x: x["raw"].isNotNull()).cast(kind)
@@ -198,7 +205,10 @@ class Literals:
         self.names = unit_names(units)
 
     def find(self, text: str) -> list[tuple[str, str, str]]:
-        found = re.findall(_amounts(self.names), unicodedata.normalize("NFKC", text)) if self.names else []
-        dated = lambda before, name, after: (name, before) == ("日", _BEFORE_DAY) or (name == "月" and (before == _BEFORE_MONTH or after in _AFTER_MONTH))
+        text = unicodedata.normalize("NFKC", text)
+        for mark, gap in _GAPS.items():
+            text = re.sub(gap, mark, text)
+        found = re.findall(_amounts(self.names), text) if self.names else []
+        dated = lambda before, name, after: (name, before) == ("日", _MARKS[_BEFORE_DAY]) or (name == "月" and (before == _MARKS[_BEFORE_MONTH] or after in _AFTER_MONTH))
         amounts = [(number(raw), name) for before, raw, name, after in found if not dated(before, name, after)]
         return [(self.names[name][1], format(n, "f"), self.names[name][0]) for n, name in amounts if n is not None]

@@ -186,3 +186,27 @@ def test_value_columns_match_their_rows(spark):
     v = Value("money", "8.50", "USD")
     got = spark.range(1).select(v.column().alias("v")).first().v
     assert tuple(got) == v.row() and spark.range(1).select(value("date", d=F.lit(D(2030, 1, 1))).alias("v")).first().v.d == D(2030, 1, 1)
+
+
+def test_deep_and_dense_contracts(spark):
+    """Each node is walked once: twelve layers of three units that each override all three below, and a chain of 1,000 versions."""
+    layers = [(f"L{i:02d}{a}", f"L{i + 1:02d}{b}") for i in range(11) for a in "abc" for b in "abc"]
+    dense = spark.createDataFrame(layers, "u string, v string")
+    got = closure.reachable(dense, "u", "v").filter("source = 'L00a'").collect()
+    assert len(got) == 33 and max(r.depth for r in got) == 11 and closure.cycles(dense, "u", "v").count() == 0
+    chain = spark.createDataFrame([(f"U{i + 1:04d}", f"U{i:04d}") for i in range(999)], "unit_id string, target string")
+    assert closure.reachable(chain, "unit_id", "target").agg(F.count("*"), F.max("depth")).first() == (499_500, 999)
+    ring = chain.unionByName(spark.createDataFrame([("U0000", "U0999")], chain.schema))
+    assert [len(r.path) for r in closure.cycles(ring, "unit_id", "target").collect()] == [1001]
+    units = tuple(Unit(f"U{i:04d}", "G", overrides=(f"U{i - 1:04d}",) if i else (), claims=(Claim(f"C{i:04d}"),)) for i in range(1000))
+    intents = spark.createDataFrame([(1, "I", [], ["C0500"]), (2, "I", ["G"], []), (3, "I", [], []), (4, "I", None, None)], "item_id long, intent_id string, family_ids array<string>, claim_ids array<string>")
+    found = {r["item_id"]: r["count"] for r in closure.candidates(intents, Contract(units).tables(spark)).groupBy("item_id").count().collect()}
+    assert found == {1: 1000, 2: 1000}
+
+
+def test_a_newer_version_behind_a_root_is_not_followed(spark):
+    """A claim of the first unit brings one of the second along, which the third overrides: the third is newer than a companion's owner only."""
+    units = (Unit("A", "G", claims=(Claim("CA", companions=("CB",)),)), Unit("B", "G", overrides=("A",), claims=(Claim("CB"),)), Unit("C", "G", overrides=("B",), claims=(Claim("CC"),)))
+    intents = spark.createDataFrame([(1, "I", [], ["CA"]), (2, "I", [], ["CB"])], "item_id long, intent_id string, family_ids array<string>, claim_ids array<string>")
+    got = closure.candidates(intents, Contract(units).tables(spark)).collect()
+    assert {r.unit_id for r in got if r.item_id == 1} == {"A", "B"} and {r.unit_id for r in got if r.item_id == 2} == {"A", "B", "C"}

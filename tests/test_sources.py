@@ -3,10 +3,12 @@
 import datetime as dt
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from rulewright import session
 from rulewright.functions import text as T
 from rulewright.operators import decide, scoring
 from rulewright.sources import jsonl, markdown
@@ -159,3 +161,52 @@ def test_stream_is_the_batch(spark, tmp_path):
     stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination(120)
     got = sorted((r.i, r.version_id) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted((r.i, r.version_id) for r in with_version(facts, versions).collect()) and dict(got)[8] is None and dict(got)[4] == "V2"
+
+
+def test_native_numbers_dates_and_amounts_agree_with_those_on_the_driver(spark):
+    rng = random.Random(2)
+    tokens = ["".join(rng.choice("零〇一二两五九十百千0１9.+- ") for _ in range(rng.randint(0, 6))) for _ in range(1500)]
+    days = ["".join(rng.choice(["2030", "二〇三〇", "年", "月", "日", "-", "1", "十", "二十", "2", "今天", "０3"]) for _ in range(rng.randint(1, 6))) for _ in range(1500)] + ["2030-1-2", "二〇三〇年十二月三十一日", "２０３０年2月30日", "昨天"]
+    texts = ["".join(rng.choice(["3", "十二", "月", "日", "天", "个月", " ", "GB", "年", "。", "1.5", "ＧＢ", "x"]) for _ in range(rng.randint(0, 12))) for _ in range(1500)]
+    units, as_of = [("DAY", ["日", "天"], "duration"), ("MONTH", ["月", "个月"], "duration"), ("GB", ["GB"], "storage")], dt.date(2030, 3, 1)
+    rows = list(zip(tokens, days[: len(tokens)], texts, strict=True)) + [("1", d, "") for d in days[-4:]]
+    frame = spark.createDataFrame(rows, "n string, d string, t string")
+    got = frame.select("*", T.parse_number("n").alias("number"), T.parse_date(F.col("d"), F.lit(as_of)).alias("day"), T.literals(F.col("t"), units).alias("found")).collect()
+    tool = T.Literals(units)
+    plain = lambda x: None if x is None else format(x, "f")
+    for r in got:
+        assert (r.n, r.number) == (r.n, plain(T.number(r.n)))
+        assert (r.d, r.day) == (r.d, T.day(r.d, as_of))
+        assert (r.t, [tuple(x) for x in r.found]) == (r.t, tool.find(r.t))
+    assert sum(r.number is not None for r in got) > 100 and sum(r.day is not None for r in got) > 3 and sum(len(r.found) for r in got) > 300
+
+
+def test_pages_of_pdf_files(spark):
+    blocks = spark.createDataFrame([("a", "a.md", 1, ["H"], 0, "one two"), ("a", "a.md", 2, ["H"], 1, "three"), ("b", "b.md", 1, [], 0, "x")], "stem string, document_name string, page int, section_path array<string>, pos int, text string")
+    schema = "stem string, page int, text string"
+    pages = [("a", 1, "one\n two"), ("a", 2, "ｔhree.")]
+    got = {(r.stem, r.page): (r.document_name, r.text) for r in markdown.paired_blocks(blocks, spark.createDataFrame(pages, schema), ["a"]).collect()}
+    assert got == {("a", 1): ("a.md", "one\n two"), ("a", 2): ("a.md", "ｔhree"), ("b", 1): ("b.md", "x")}
+    for bad in (pages[:1], [*pages, ("a", 3, "more")], [pages[0], ("a", 2, " ")], [pages[0], ("a", 2, "other")], []):
+        with pytest.raises(ValueError):
+            markdown.paired_blocks(blocks, spark.createDataFrame(bad, schema), ["a"])
+
+
+def test_long_markdown_is_read_in_one_pass():
+    text = "# h\n" + "- item\n" * 200_000 + "end\n\n<!-- PAGE_BREAK -->\nlast"
+    got = markdown.blocks_of(text)
+    assert len(got) == 200_002 and got[-1] == {"page": 2, "section_path": ["h"], "text": "last"}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Fake:
+        master = "spark://x"
+
+    class Session:
+        sparkContext = Fake()
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Session())
