@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rulewright.llm import words as W
 from rulewright.llm.common import batch, chunks, groups, lists, materialize, session, with_row_ids
-from rulewright.llm.graph import components
+from rulewright.llm.graph import SALTS, components
 
 _U = np.uint64
 _SIGNED = pa.schema([("uid", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("nodes", pa.list_(pa.int64()))])
@@ -128,8 +128,11 @@ def jaccard_join(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, tr
     rows = with_row_ids(docs)
     linked = _linked_rows(rows, words, similarity, trees, max_depth, target_recall, seed, block_shingles)
     names = linked.join(rows.select("uid", "doc_id"), "uid")
-    least = names.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return names.join(least, "root").select("doc_id", "class_id", "n_links")
+    # a class may hold a large share of all rows: its rows meet its least doc_id by salt
+    salted = names.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)))
+    parts = salted.groupBy("root", "salt").agg(F.min("doc_id").alias("least"))
+    told = parts.select("root", "salt").join(parts.groupBy("root").agg(F.min("least").alias("class_id")), "root")
+    return salted.join(told, ["root", "salt"]).select("doc_id", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, trees: int = 36, max_depth: int = 10, target_recall: float = 0.99999, seed: int = 7, block_shingles: int = BLOCK_SHINGLES, **keep: str) -> DataFrame:
