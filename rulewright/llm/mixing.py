@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulewright.llm.common import materialize, with_row_ids
-from rulewright.llm.prefix import running
+from rulewright.operators.prefix import running
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one source are joined to what is known of it in so many groups, as one source may hold a third of all rows.

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulewright.llm.common import CHUNK_CHARS, batch, lists, materialize, pick, session, with_row_ids
-from rulewright.llm.prefix import running
+from rulewright.operators.prefix import running
 
 BUCKETS = 10_000
 SEED = 2024

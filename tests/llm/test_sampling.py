@@ -12,7 +12,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from rulewright.llm import mixing, prefix, queries, resampling
+from rulewright.llm import mixing, queries, resampling
+from rulewright.operators import prefix
 from test_queries import _rows
 
 SF = "/root/testdata/sf0.001"
