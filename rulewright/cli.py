@@ -45,6 +45,8 @@ def _documents(spark: SparkSession, folder: str, extracted: str | None = None) -
     """Numbered blocks of a folder's files, and the sources that name the set. The pages of PDF files come as a file of JSON lines; a PDF without Markdown has a block a page."""
     files = markdown.select_files(markdown.read_files(spark, _url(folder)))
     texts = files.filter("format = 'md'").select("stem", F.col("name").alias("document_name"), F.decode("content", "UTF-8").alias("text"))
+    if empty := markdown.without_text(texts).select("document_name").limit(1).collect():
+        raise ValueError(f"{empty[0]['document_name']} has no text")
     blocks = markdown.markdown_blocks(texts)
     stems = {kind: {r["stem"] for r in files.filter(F.col("format") == kind).select("stem").collect()} for kind in ("md", "pdf")}  # the files of one set
     if stems["pdf"]:

@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rulewright.functions.text import compatible
+from rulewright.operators.prefix import running
 from rulewright.session import ship
 
+#: White space as Unicode has it, with the four separators that control characters are.
+_SPACE = r"[\s\x1c-\x1f]"
 #: Fixed: page breaks, headings and list items.
-_PAGE_BREAK = re.compile(r"\s*<!--\s*PAGE_BREAK\s*-->\s*|\f")
-_HEADING = re.compile(r"(#{1,6})[ \t]+(.+?)[ \t]*$")
-_ITEM = re.compile(r"[ \t]*[-*+][ \t]+(.+)$")
-_BLOCKS = "array<struct<page:int,section_path:array<string>,text:string>>"
+_PAGE_BREAK = rf"(?U){_SPACE}*<!--{_SPACE}*PAGE_BREAK{_SPACE}*-->{_SPACE}*|\f"
+_HEADING = r"(?s)^(#{1,6})[ \t]+(.+?)[ \t]*\z"
+_ITEM = r"(?s)^[ \t]*[-*+][ \t]+(.+)\z"
+#: Between a line's end and the next line.
+_LINES = r"(?<=[\n\x0b\x1c-\x1e\x85\u2028\u2029])|(?<=\r)(?!\n)"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"(?U)^{_SPACE}+|{_SPACE}+\z", "")
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,24 +62,65 @@ def document_set_hash(files: DataFrame, parser: str = "documents-v1", by: tuple[
     return one.select(*by, F.sha2(text, 256).alias("hash"))
 
 
-def blocks_of(text: str) -> list[dict]:
-    """Page, section path and text of each block of a Markdown text, in one pass over its lines."""
-    out: list[dict] = []
-    path: list[str] = []
-    for page, part in enumerate(_PAGE_BREAK.split(text.removeprefix("\ufeff")), 1):
-        paragraph: list[str] = []
-        for line in [*part.splitlines(keepends=True), ""]:  # a page's end closes a paragraph as an empty line does
-            plain = line.rstrip("\r\n")
-            heading, item = _HEADING.match(plain), _ITEM.match(plain)
-            if plain.strip() and not heading and not item:
-                paragraph.append(line)
-                continue
-            closed = ["".join(paragraph), item[1] if item and not heading else ""]
-            out += [{"page": page, "section_path": path, "text": t.strip()} for t in closed if t.strip()]
-            paragraph = []
-            if heading:
-                path = [*path[: len(heading[1]) - 1], heading[2].strip()]
-    return out
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _lines(text: Column) -> Column:
+    """Array of page, raw (the line with its end), marks (of a heading), title (of a heading or an item), kind: heading, item, blank or plain."""
+
+    def line(raw: Column, page: Column) -> Column:
+        bare = F.regexp_replace(raw, r"[\r\n]+\z", "")
+        marks, item = F.regexp_extract(bare, _HEADING, 1), F.regexp_extract(bare, _ITEM, 1)
+        kind = F.when(marks != "", "heading").when(item != "", "item").when(strip(bare) == "", "blank").otherwise("plain")
+        title = F.when(marks != "", F.regexp_extract(bare, _HEADING, 2)).otherwise(item)
+        return F.struct(page.alias("page"), raw.alias("raw"), F.length(marks).alias("level"), strip(title).alias("title"), kind.alias("kind"))
+
+    pages = F.split(F.regexp_replace(text, "^\ufeff", ""), _PAGE_BREAK, -1)
+    return F.flatten(F.transform(pages, lambda p, i: F.transform(F.split(p, _LINES, -1), lambda raw: line(raw, i + 1))))
+
+
+def _pieces(lines: Column) -> Column:
+    """Array of page, kind, level, text: runs of plain lines of one page joined, every other line for itself; what has no text but headings is left out."""
+
+    def cut(kinds: Column, pages: Column, raws: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(kinds) - 1)
+        begins = F.filter(at, lambda i: (F.get(kinds, i) != "plain") | ~F.equal_null(F.get(kinds, i - 1), F.lit("plain")) | (F.get(pages, i) != F.get(pages, i - 1)))
+
+        def piece(begin: Column, end: Column) -> Column:
+            run = strip(F.array_join(F.slice(raws, begin + 1, end - begin), ""))
+            first = F.get(lines, begin)
+            return F.struct(first["page"].alias("page"), first["kind"].alias("kind"), first["level"].alias("level"), F.when(first["kind"] == "plain", run).otherwise(first["title"]).alias("text"))
+
+        return _with(begins, lambda b: F.transform(b, lambda begin, j: piece(begin, F.coalesce(F.get(b, j + 1), F.size(kinds)))))
+
+    pieces = _with(lines["kind"], lambda k: _with(lines["page"], lambda p: _with(lines["raw"], lambda r: cut(k, p, r))))
+    return F.filter(pieces, lambda x: (x["kind"] == "heading") | (x["kind"] != "blank") & (x["text"] != ""))
+
+
+def _sections(pieces: Column) -> Column:
+    """Array of page, section_path, text: the pieces between headings, with the path that the headings before them make."""
+    none = F.array().cast("array<string>")
+
+    def paths(headings: Column) -> Column:
+        """The path after each heading; one before all."""
+        longer = lambda done, h: F.concat(done, F.array(F.concat(F.slice(F.element_at(done, -1), F.lit(1), h["level"] - 1), F.array(h["text"]))))
+        return F.aggregate(headings, F.array(none), longer)
+
+    def filled(ends: Column, path: Column) -> Column:
+        inside = lambda begin, j: F.slice(pieces, begin + 1, F.get(ends, j + 1) - begin - 1)
+        sections = F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda begin, j: F.transform(inside(begin, j), lambda x: F.struct(x["page"].alias("page"), F.get(path, j).alias("section_path"), x["text"].alias("text"))))
+        return F.flatten(sections)
+
+    heads = F.filter(F.transform(pieces, lambda x, i: F.when(x["kind"] == "heading", i + 1)), lambda i: i.isNotNull())
+    ends = F.concat(F.array(F.lit(0)), heads, F.array(F.size(pieces) + 1))
+    return _with(ends, lambda e: _with(paths(F.filter(pieces, lambda x: x["kind"] == "heading")), lambda p: filled(e, p)))
+
+
+def blocks_of(text: Column) -> Column:
+    """Array of page, section_path, text of a Markdown text's blocks, by functions on arrays alone: no shuffle, and time in proportion to the text."""
+    return _with(_lines(text), lambda lines: _with(_pieces(lines), _sections))
 
 
 def markdown_blocks(documents: DataFrame) -> DataFrame:
@@ -83,21 +129,20 @@ def markdown_blocks(documents: DataFrame) -> DataFrame:
     A heading cuts the section path to its level less one and adds itself, each list item is a block, an
     empty line or a page's end closes a paragraph. The path goes on over page breaks.
     """
-    ship(documents.sparkSession)
     others = [c for c in documents.columns if c != "text"]
+    return documents.select(*others, F.posexplode(blocks_of(F.col("text"))).alias("pos", "b")).select(*others, "b.page", "b.section_path", "pos", "b.text")
 
-    @F.pandas_udf(_BLOCKS)
-    def parsed(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else blocks_of(t) for t in texts], dtype=object)
 
-    return documents.select(*others, F.posexplode(parsed("text")).alias("pos", "b")).select(*others, "b.page", "b.section_path", "pos", "b.text")
+def without_text(documents: DataFrame) -> DataFrame:
+    """The Markdown documents that have no block, which can't be used as evidence."""
+    return documents.filter(F.coalesce(F.size(blocks_of(F.col("text"))), F.lit(0)) <= 0)
 
 
 def number_blocks(blocks: DataFrame) -> DataFrame:
     """blocks (stem, page, section_path, pos, text) with document_id, ordinal and block_id: documents numbered by stem, blocks through each document."""
-    stems = blocks.select("stem").distinct().withColumn("n", F.row_number().over(Window.orderBy("stem")))  # a row for each document of one set
+    stems = running(blocks.select("stem").distinct(), [F.col("stem")], {"before": F.lit(1)}, "stems").select("stem", (F.col("before") + 1).alias("n"))
     own = Window.partitionBy("stem").orderBy("page", "pos")
-    numbered = blocks.join(F.broadcast(stems), "stem").withColumn("document_id", F.format_string("DOC-%02d", "n")).withColumn("ordinal", F.row_number().over(own))
+    numbered = blocks.join(stems, "stem").withColumn("document_id", F.format_string("DOC-%02d", "n")).withColumn("ordinal", F.row_number().over(own))
     return numbered.withColumn("block_id", F.format_string("%s-P%03d-B%03d", "document_id", "page", "ordinal")).drop("n")
 
 
@@ -131,40 +176,43 @@ def blank_pages(pages: DataFrame) -> DataFrame:
     return pages.filter(strip(F.coalesce("text", F.lit(""))) == "").select("stem").distinct()
 
 
-def _squeezed(text: str) -> tuple[str, list[int]]:
-    """The text without white space in compatible form, and the place in the text of each of its characters."""
-    out, at = [], []
-    for i, c in enumerate(text):
-        for x in unicodedata.normalize("NFKC", c):
-            if not x.isspace():
-                out.append(x)
-                at.append(i)
-    return "".join(out), at
+def _folded(page: str) -> tuple[str, np.ndarray]:
+    """The page in compatible form without white space, and for each character of that the one of the page that it comes from. Each distinct character is looked up once."""
+    points = np.frombuffer(page.encode("utf-32-le", "surrogatepass"), np.uint32)
+    distinct, which = np.unique(points, return_inverse=True)
+    forms = np.array(["".join(unicodedata.normalize("NFKC", chr(p)).split()) for p in distinct], object)
+    return "".join(forms[which]), np.repeat(np.arange(len(points)), [len(f) for f in forms[which]])
+
+
+def _in_order(page: str | None, keys: list[str]) -> list[str | None]:
+    """The page's own text of each key, one after the other; None where the rest of the page doesn't hold it from one whole character to another."""
+    flat, origin = _folded(page or "")
+    out: list[str | None] = []
+    rest = 0
+    for key in keys:
+        at = flat.find(key, rest) if key else -1
+        own = page[origin[at] : origin[at + len(key) - 1] + 1] if at >= 0 else None
+        if own is not None and _folded(own)[0] != key:
+            own = None
+        rest = rest if own is None else at + len(key)
+        out.append(own)
+    return out
 
 
 def align_to_pages(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """Columns stem, page, section_path, pos, text: each Markdown block as its page has it, found in order whatever the layout; text is NULL where it isn't found.
+    """Columns stem, page, section_path, pos, text: each Markdown block as its page has it, found in order whatever the layout; text is NULL where it isn't found, or only within what one character stands for.
 
-    blocks: stem, page, section_path, pos, text; pages: stem, page, text (of an extracted PDF). One document is aligned at a time.
+    blocks: stem, page, section_path, pos, text; pages: stem, page, text (of an extracted PDF). One page is aligned at a time.
     """
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            texts = []
-            for page, own in zip(rows["source"], rows["texts"], strict=True):
-                flat, at = _squeezed(page or "")
-                cursor, found = 0, []
-                for t in own:
-                    key = _squeezed(t)[0]
-                    i = flat.find(key, cursor) if key else -1
-                    found.append(None if i < 0 else page[at[i] : at[i + len(key) - 1] + 1])
-                    cursor = cursor if i < 0 else i + len(key)
-                texts.append(found)
-            yield rows[["stem", "page", "poss"]].assign(texts=texts)
+            yield rows[["stem", "page", "poss"]].assign(texts=[_in_order(page, list(keys)) for page, keys in zip(rows["source"], rows["keys"], strict=True)])
 
     ship(blocks.sparkSession)
-    order = F.array_sort(F.collect_list(F.struct("pos", "text", "section_path")))
-    by_page = blocks.groupBy("stem", "page").agg(order.alias("b")).join(pages.select("stem", "page", F.col("text").alias("source")), ["stem", "page"], "left")
-    found = by_page.select("stem", "page", "source", F.col("b.text").alias("texts"), F.col("b.pos").alias("poss")).mapInPandas(align, "stem string, page int, poss array<int>, texts array<string>")
+    key = F.regexp_replace(compatible("text"), rf"(?U){_SPACE}+", "")
+    keyed = F.array_sort(F.collect_list(F.struct("pos", "key")))
+    by_page = blocks.withColumn("key", key).groupBy("stem", "page").agg(keyed.alias("b")).join(pages.select("stem", "page", F.col("text").alias("source")), ["stem", "page"], "left")
+    found = by_page.select("stem", "page", "source", F.col("b.key").alias("keys"), F.col("b.pos").alias("poss")).mapInPandas(align, "stem string, page int, poss array<int>, texts array<string>")
     placed = found.select("stem", "page", F.explode(F.arrays_zip("poss", "texts")).alias("x")).select("stem", "page", F.col("x.poss").alias("pos"), F.col("x.texts").alias("text"))
     return placed.join(blocks.select("stem", "page", "pos", "section_path"), ["stem", "page", "pos"]).select("stem", "page", "section_path", "pos", "text")

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -192,10 +193,26 @@ def test_pages_of_pdf_files(spark):
             markdown.paired_blocks(blocks, spark.createDataFrame(bad, schema), ["a"])
 
 
-def test_long_markdown_is_read_in_one_pass():
-    text = "# h\n" + "- item\n" * 200_000 + "end\n\n<!-- PAGE_BREAK -->\nlast"
-    got = markdown.blocks_of(text)
-    assert len(got) == 200_002 and got[-1] == {"page": 2, "section_path": ["h"], "text": "last"}
+def test_long_markdown_takes_time_in_proportion(spark):
+    """No step over a text's lines is quadratic: 200,000 list items, 100,000 lines of one paragraph, 3000 headings."""
+    text = "# h\n" + "- item\n" * 200_000 + "line\n" * 100_000 + "\n" + "".join(f"## s{i}\nx\n" for i in range(3000)) + "<!-- PAGE_BREAK -->\nlast"
+    start = time.perf_counter()
+    got = markdown.markdown_blocks(spark.createDataFrame([(text,)], "text string")).select("page", "section_path", "text").collect()
+    assert time.perf_counter() - start < 60
+    assert len(got) == 203_002 and got[200_000].text == "\n".join(["line"] * 100_000) and tuple(got[-2])[1:] == (["h", "s2999"], "x") and tuple(got[-1]) == (2, ["h", "s2999"], "last")
+
+
+def test_odd_lines_of_markdown(spark):
+    text = "a\rb\r\n\r\nc\x0b d\x1ee\u2028\x1f\u2028f\n####### no heading\n#\ttitle \t\n#x\n-  \n-\u3000\n  + item \n<!--PAGE_BREAK-->\n### deep\nx\n# \u3000\ny"
+    assert blocks_of(spark, text) == [(1, "", "a\rb"), (1, "", "c\x0b d\x1ee"), (1, "", "f\n####### no heading"), (1, "title", "#x"), (1, "title", "-"), (1, "title", "item"), (2, "title/deep", "x"), (2, "", "y")]
+    docs = spark.createDataFrame([("a", "# only\n"), ("b", " \x0c \n"), ("c", None), ("d", "x"), ("e", "-  \n- \u3000")], "stem string, text string")
+    assert {r.stem for r in markdown.without_text(docs).collect()} == {"a", "b", "c", "e"}
+
+
+def test_a_block_ends_with_a_whole_character_of_its_page(spark):
+    blocks = spark.createDataFrame([("d", 1, [], 0, "5m"), ("d", 1, [], 1, "5m2"), ("d", 1, [], 2, "m2")], "stem string, page int, section_path array<string>, pos int, text string")
+    pages = spark.createDataFrame([("d", 1, "5 ㎡ \U0001d40c5㎡, ㎡")], "stem string, page int, text string")
+    assert {r.pos: r.text for r in markdown.align_to_pages(blocks, pages).collect()} == {0: None, 1: "5 ㎡", 2: "㎡"}
 
 
 def test_a_cluster_needs_a_shared_folder():
