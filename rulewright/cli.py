@@ -11,8 +11,9 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rulewright.functions import schemas
 from rulewright.operators import scoring
-from rulewright.plans import batch, build
+from rulewright.plans import batch, build, records
 from rulewright.plans.contract import Contract
 from rulewright.session import local_session, materialize
 from rulewright.sources import jsonl, markdown
@@ -64,16 +65,17 @@ def _documents(spark: SparkSession, folder: str, extracted: str | None = None) -
     return blocks, sources
 
 
-def _strict(spark: SparkSession, path: str, schema: str, label: str) -> DataFrame:
-    """JSON lines by a schema; a line that doesn't fit, a repeated id, or no line at all is fatal."""
+def _strict(spark: SparkSession, path: str, columns: str, schema: schemas.Record, label: str) -> DataFrame:
+    """JSON lines of a schema, as columns; a line that breaks it, a repeated id, or no line at all is fatal."""
     lines = jsonl.numbered_lines(spark.read.text(_url(path), wholetext=True).select(F.col("value").alias("text")))
-    rows = lines.select("line_no", F.from_json("line", schema).alias("r"))
-    bad = rows.filter("r is null or r.id is null").agg(F.min("line_no")).first()[0]
+    bad = lines.filter(F.size(schemas.check(F.col("line"), schema)) > 0).agg(F.min("line_no")).first()[0]
     if bad is not None:
-        raise ValueError(f"invalid {label} at line {bad}")
-    out = rows.select("line_no", "r.*")
-    if not out.limit(1).count() or out.groupBy("id").count().filter("count > 1").limit(1).count():
-        raise ValueError(f"{label} are empty or repeat an id")
+        raise ValueError(f"invalid {label.removesuffix('s')} record at line {bad}")
+    out = lines.select("line_no", F.from_json("line", columns).alias("r")).select("line_no", "r.*")
+    if twice := out.groupBy("id").count().filter("count > 1").limit(1).collect():
+        raise ValueError(f"duplicate {label} id: {twice[0]['id']}")
+    if not out.limit(1).count():
+        raise ValueError(f"{label} contains no records")
     return out
 
 
@@ -97,9 +99,9 @@ def _run(spark: SparkSession, options: argparse.Namespace, settings: Settings) -
     if kept is None:
         raise ValueError("there is no contract for these documents")
     replies = spark.read.schema("output_id string, attempt int, text string").json(_url(options.replies))
-    records = materialize(batch.run(questions, replies, Contract.from_body(kept[0]), blocks, settings.as_of), "records")
-    jsonl.write_predictions(records, options.output, "line_no", [options.questions, options.docs])
-    return scoring.report(records).drop("ambiguous").first().asDict()
+    published = materialize(batch.run(questions, replies, Contract.from_body(kept[0]), blocks, settings.as_of), "records")
+    jsonl.write_predictions(published, options.output, "line_no", [options.questions, options.docs])
+    return scoring.report(published).drop("ambiguous").first().asDict()
 
 
 def _build(spark: SparkSession, options: argparse.Namespace, settings: Settings) -> dict:
@@ -129,7 +131,7 @@ def _approve(spark: SparkSession, options: argparse.Namespace, settings: Setting
 
 
 def _evaluate(spark: SparkSession, options: argparse.Namespace, settings: Settings) -> dict:
-    predictions, reference = _strict(spark, options.predictions, PREDICTION, "predictions"), _strict(spark, options.reference, REFERENCE, "references")
+    predictions, reference = _strict(spark, options.predictions, PREDICTION, records.PREDICTION, "predictions"), _strict(spark, options.reference, REFERENCE, records.REFERENCE, "reference")
     if scoring.id_mismatch(predictions, reference).limit(1).count():
         raise ValueError("prediction ids do not match reference ids")
     return scoring.metrics(scoring.audit(predictions.drop("line_no"), reference.drop("line_no"))).first().asDict()

@@ -7,8 +7,10 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rulewright.functions import schemas
 from rulewright.functions.values import DECIMAL_TEXT, NUMERIC_KINDS, value
 from rulewright.operators import analysis_checks, closure, decide, rules
+from rulewright.plans import records
 from rulewright.plans.contract import Contract
 from rulewright.session import materialize, ship
 
@@ -21,9 +23,6 @@ REPLY = (
     "claim_plan array<struct<intent_id:string,unit_id:string,claim_id:string,assertion_text:string,evidence_ids:array<string>,quotes:array<struct<evidence_id:string,fragment:string>>>>, "
     "conflicting_unit_ids array<string>, proposed_decision string, reason_code string, answer_draft string"
 )
-_KEYS = ("language", "intents", "proposed_decision", "reason_code", "answer_draft")
-_ALL = ("language", "intents", "extracted_facts", "unresolved_expressions", "missing_field_ids", "selected_unit_ids", "claim_plan", "conflicting_unit_ids", "proposed_decision", "reason_code", "answer_draft")
-
 
 def typed(v: Column) -> Column:
     """A value from its JSON, (kind, value, unit_code) as text."""
@@ -36,16 +35,12 @@ def typed(v: Column) -> Column:
 
 
 def parse_replies(replies: DataFrame) -> DataFrame:
-    """replies (item_id, question, text) with r, the reply by its fields, and issue_code: INVALID_MODEL_REPLY for what is no JSON object, INVALID_ANALYSIS_SCHEMA for unknown or lacking keys and what contradicts itself."""
-    keys = F.json_object_keys("text")
-    r = F.from_json("text", REPLY)
-    good = (F.size(F.array_except(keys, F.array(*map(F.lit, _ALL)))) == 0) & (F.size(F.array_except(F.array(*map(F.lit, _KEYS)), keys)) == 0)
-    own = (F.col("r.language") == "zh-CN") & (F.size("r.intents") > 0) & (F.trim("r.answer_draft") != "") & F.when(F.col("r.proposed_decision") == "answer", F.col("r.reason_code").isNull()).otherwise(F.col("r.reason_code").isin("OUT_OF_SCOPE", "INSUFFICIENT_EVIDENCE", "AMBIGUOUS"))
-    modes = F.forall("r.intents", lambda i: i["scope"].isin("in_scope", "out_of_scope", "uncertain") & i["mode"].isin("rule_description", "case_application"))
-    quoted = F.forall(F.coalesce("r.claim_plan", F.array()), lambda p: (F.size(p["quotes"]) > 0) & (F.size(F.array_except(p["evidence_ids"], F.transform(p["quotes"], lambda q: q["evidence_id"]))) == 0))
-    parsed = replies.withColumn("r", r).withColumn("keys", keys)
-    whole = F.coalesce(good & own & modes & quoted, F.lit(False))
-    return parsed.withColumn("issue_code", F.when(F.col("keys").isNull(), "INVALID_MODEL_REPLY").when(~whole, "INVALID_ANALYSIS_SCHEMA")).drop("keys")
+    """replies (item_id, question, text, and state if they have one) with r, the reply by its fields, faults, the places where it breaks its schema, and issue_code: INVALID_MODEL_REPLY for one that isn't completed or has no text, INVALID_ANALYSIS_SCHEMA for one with faults."""
+    state = F.col("state") if "state" in replies.columns else F.lit("completed")
+    told = F.coalesce((state == "completed") & ~schemas.blank(F.col("text")), F.lit(False))
+    # worked out once for each reply: what is filtered or joined later refers to the columns of this projection
+    parsed = replies.withColumn("faults", F.when(told, schemas.check(F.col("text"), records.REPLY)).otherwise(F.array().cast("array<string>")))
+    return parsed.withColumn("r", F.from_json("text", REPLY)).withColumn("issue_code", F.when(~told, "INVALID_MODEL_REPLY").when(F.size("faults") > 0, "INVALID_ANALYSIS_SCHEMA"))
 
 
 def item_tables(parsed: DataFrame) -> dict[str, DataFrame]:
@@ -70,7 +65,7 @@ def item_tables(parsed: DataFrame) -> dict[str, DataFrame]:
 def run(questions: DataFrame, replies: DataFrame, contract: Contract, blocks: DataFrame, as_of: dt.date) -> DataFrame:
     """Columns line_no, id, decision, answer, reason_code, evidence: the record of every question.
 
-    questions: as jsonl.parse_questions() gives; replies: output_id, attempt, text; blocks: as markdown.number_blocks() gives, with document_name. A reply counts if it can be parsed, nothing is wrong with it and its plan is allowed; of two
+    questions: as jsonl.parse_questions() gives; replies: output_id, attempt, text, and state if they have one; blocks: as markdown.number_blocks() gives, with document_name. A reply counts if it can be parsed, nothing is wrong with it and its plan is allowed; of two
     attempts the first that counts is published. A line that isn't valid, and a question none of whose replies counts, are handed off as AMBIGUOUS.
     """
     spark = questions.sparkSession
@@ -78,7 +73,7 @@ def run(questions: DataFrame, replies: DataFrame, contract: Contract, blocks: Da
     asked = questions.filter("issue_code is null").select("output_id", "question")
     tried = replies.filter("attempt <= 2").join(asked, "output_id").withColumn("item_id", F.concat_ws("#", "output_id", F.col("attempt").cast("string")))
     # each step that several others read is written once, which also keeps the plans small
-    items = item_tables(materialize(parse_replies(tried.select("item_id", "question", "text")), "replies"))
+    items = item_tables(materialize(parse_replies(tried.select("item_id", "question", "text", *[c for c in ("state",) if c in replies.columns])), "replies"))
     wrong = materialize(analysis_checks.check(items, contract, blocks, F.lit(as_of)).select("item_id").distinct(), "wrong")
     right = {name: rows.join(wrong, "item_id", "left_anti") for name, rows in items.items()}
     tables = contract.tables(spark)
@@ -94,7 +89,7 @@ def run(questions: DataFrame, replies: DataFrame, contract: Contract, blocks: Da
     cited = decide.evidence(quotes, blocks)
     out = questions.select("line_no", "output_id").join(picked, "output_id", "left")
     told = out.select("line_no", F.col("output_id").alias("id"), F.coalesce("item_id", F.lit("")).alias("item_id"), F.coalesce("outcome", F.lit("AMBIGUOUS")).alias("outcome"))
-    records = decide.records(told.filter("item_id <> ''").select("item_id", "outcome"), right["questions"].select("item_id", F.col("answer_draft").alias("answer")), cited).withColumnRenamed("id", "item_id")
+    published = decide.records(told.filter("item_id <> ''").select("item_id", "outcome"), right["questions"].select("item_id", F.col("answer_draft").alias("answer")), cited).withColumnRenamed("id", "item_id")
     handed = decide.records(told.filter("item_id = ''").select(F.col("id").alias("item_id"), "outcome"), right["questions"].select("item_id", F.col("answer_draft").alias("answer")).limit(0), cited.limit(0))
-    good = told.join(records, "item_id").select("line_no", "id", "decision", "answer", "reason_code", "evidence")
+    good = told.join(published, "item_id").select("line_no", "id", "decision", "answer", "reason_code", "evidence")
     return good.unionByName(told.filter("item_id = ''").drop("outcome").join(handed, "id").select("line_no", "id", "decision", "answer", "reason_code", "evidence"))

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rulewright.functions import schemas
 from rulewright.functions import text as T
 from rulewright.functions.kleene import letter
 from rulewright.functions.values import VALUE, identical, same_domain, value
 from rulewright.operators import analysis_checks, closure, contract_checks, decide, predicates, rules, scoring, telemetry
-from rulewright.plans import batch, build, defects
+from rulewright.plans import batch, build, defects, records
 from rulewright.plans import cases as C
 from rulewright.plans.contract import Contract, Predicate, Unit, Value
 from rulewright.session import ship
@@ -440,18 +441,102 @@ def analysis_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("code", _text("object_ids").alias("objects")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT k AS item_id, CASE m WHEN 0 THEN '' WHEN 1 THEN 'INVALID_MODEL_REPLY' WHEN 2 THEN 'INVALID_MODEL_REPLY' ELSE 'INVALID_ANALYSIS_SCHEMA' END AS issue_code FROM (SELECT c_custkey AS k, c_custkey % 9 AS m FROM customer)""")
+@query("""SELECT k AS item_id, CASE m WHEN 0 THEN '' WHEN 9 THEN 'INVALID_MODEL_REPLY' ELSE 'INVALID_ANALYSIS_SCHEMA' END AS issue_code FROM (SELECT c_custkey AS k, c_custkey % 10 AS m FROM customer)""")
 def reply_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies that are no JSON object, lack a key, have one too many, or contradict themselves."""
+    """Replies that are no JSON object, lack a key, have one too many, contradict themselves, or have no text."""
     whole = '{"language":"zh-CN","intents":[{"intent_id":"I","source":{"start":0,"end":1,"text":"x"},"description":"d","scope":"in_scope","mode":"case_application"}],"proposed_decision":"answer","reason_code":null,"answer_draft":"a"}'
     texts = [
         whole, "{" + whole, "[1]", whole.replace('"zh-CN"', '"en"'), whole.replace('"answer_draft":"a"', '"answer_draft":" "'), whole.replace('"reason_code":null', '"reason_code":"AMBIGUOUS"'), whole.replace('"reason_code":null,', ""),
-        whole.replace('"proposed_decision"', '"more":1,"proposed_decision"'), whole.replace('"in_scope"', '"inside"'),
+        whole.replace('"proposed_decision"', '"more":1,"proposed_decision"'), whole.replace('"in_scope"', '"inside"'), " \n",
     ]
-    rows = C.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item_id"), F.lit("x").alias("question"), F.array(*map(F.lit, texts))[(F.col("c_custkey") % 9).cast("int")].alias("text"))
+    rows = C.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item_id"), F.lit("x").alias("question"), F.array(*map(F.lit, texts))[(F.col("c_custkey") % 10).cast("int")].alias("text"))
     return batch.parse_replies(rows).select("item_id", F.coalesce("issue_code", F.lit("")).alias("issue_code"))
 
 
+def _quoted(text: F.Column) -> F.Column:
+    """The text as a JSON string."""
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def _json(*parts: str | F.Column) -> F.Column:
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+
+
+#: Faults of a reply in the order of its parts: where, and for which turn. n is the length of the turn's text.
+_REPLY_FAULTS = """
+language: turn >= 6
+intents.0.intent_id: n % 11 < 2
+intents.0.source.end: n % 13 <= turn
+intents.0.scope: role = 'assistant'
+intents.0.mode: n % 17 = 0
+intents.0.user: n % 19 = 0 AND role = 'user'
+intents.0.assistant: n % 19 = 0 AND role = 'assistant'
+intents.0.system: n % 19 = 0 AND role = 'system'
+extracted_facts.0.value.integer.value: conv_id % 10 = 1
+extracted_facts.0.value.decimal.value: conv_id % 10 = 2
+extracted_facts.0.value.date.value: conv_id % 10 = 3 AND NOT (n % 40 BETWEEN 1 AND 28)
+extracted_facts.0.value.boolean.value: conv_id % 10 = 4
+extracted_facts.0.value.duration.unit_code: conv_id % 10 = 5
+extracted_facts.0.value: conv_id % 10 IN (6, 7)
+extracted_facts.0.value.datetime.value: conv_id % 10 = 8 AND n % 2 = 0
+extracted_facts.0.sources: n % 7 = 0
+claim_plan.0: turn % 3 <> conv_id % 3
+reason_code: n % 3 = 2
+answer_draft: n % 23 = 0
+"""
+_RECORD_FAULTS = """
+decision: role = 'system'
+answer: n % 23 = 0
+evidence.0.page: turn = 0 AND n % 6 <> 0
+evidence.0.quote: turn = 5 AND n % 6 <> 0
+more: n % 11 = 0
+"""
+
+
+def _faults_sql(lines: str, contradicts: str) -> str:
+    """SQL for the places of faults, joined: those of the parts, or else of the whole where it contradicts itself."""
+    pairs = [line.split(": ") for line in lines.strip().splitlines()]
+    listed = ", ".join(f"CASE WHEN {test} THEN '{place}' END" for place, test in pairs)
+    return f"""SELECT *, CASE WHEN n % 29 = 0 THEN '<root>' WHEN len(l) > 0 THEN array_to_string(l, ',') WHEN {contradicts} THEN '<root>' ELSE '' END AS faults
+FROM (SELECT *, list_filter([{listed}], lambda x: x IS NOT NULL) AS l FROM (SELECT conv_id, turn, role, length(text) AS n FROM conversations))"""
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN faults = '' THEN '' ELSE 'INVALID_ANALYSIS_SCHEMA' END AS issue_code, faults FROM ({_faults_sql(_REPLY_FAULTS, "(n % 5 = 0) = (n % 3 = 1)")})""")
+def reply_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reply made from each turn, with every place where it breaks its schema; most have several at once."""
+    turns = C.table(spark, sf_dir, "conversations").withColumn("n", F.length("text"))
+    n, turn, conv, role = (F.col(c) for c in ("n", "turn", "conv_id", "role"))
+    span = lambda end: _json('{"start":', turn, ',"end":', end, ',"text":', _quoted(F.substring("text", 1, 5)), "}")
+    values = F.array(
+        _json('{"kind":"integer","value":', n, "}"), _json('{"kind":"integer","value":', n, ".5}"), _json('{"kind":"decimal","value":"0', n, '"}'), _json('{"kind":"date","value":"2030-02-', F.lpad((n % 40).cast("string"), 2, "0"), '"}'), F.lit('{"kind":"boolean","value":"true"}'),
+        _json('{"kind":"duration","value":"', n, '","unit_code":""}'), _json('{"kind":"', role, '","value":1}'), F.lit('{"value":1}'), _json('{"kind":"datetime","value":"2030-01-01T00:00:00', F.when(n % 2 == 1, "+08:00").otherwise(""), '"}'), F.lit('{"kind":"money","value":"1.50","unit_code":"USD"}'),
+    )
+    intent = _json(
+        '{"intent_id":', F.when(n % 11 == 0, n.cast("string")).when(n % 11 == 1, '" "').otherwise(_json('"c', conv, '"')), ',"source":', span(n % 13), ',"description":', _quoted(F.col("text")), ',"scope":"', F.when(role == "user", "in_scope").when(role == "system", "uncertain").otherwise(role), '"',
+        F.when(n % 17 == 0, "").otherwise(',"mode":"case_application"'), F.when(n % 19 == 0, _json(',"', role, '":1')).otherwise(""), "}",
+    )
+    text = _json(
+        '{"language":"', F.when(turn < 6, "zh-CN").otherwise(role), '","intents":[', intent, '],"extracted_facts":[{"field_id":"f","value":', values[(conv % 10).cast("int")], ',"sources":[', F.when(n % 7 == 0, "").otherwise(span(turn + 1)), ']}],"claim_plan":[{"intent_id":"I","unit_id":"U","claim_id":"C","assertion_text":"a","evidence_ids":["e', turn % 3,
+        '"],"quotes":[{"evidence_id":"e', conv % 3, '","fragment":"x"}]}],"proposed_decision":"', F.when(n % 5 == 0, "handoff").otherwise("answer"), '"', F.when(n % 3 == 0, ',"reason_code":"AMBIGUOUS"').when(n % 3 == 1, ',"reason_code":null').otherwise(""), ',"answer_draft":"', F.when(n % 23 == 0, "").otherwise("a"), '"}', F.when(n % 29 == 0, "] more").otherwise(""),
+    )
+    parsed = batch.parse_replies(turns.select("conv_id", "turn", text.alias("text")))
+    return parsed.select("conv_id", "turn", F.coalesce("issue_code", F.lit("")).alias("issue_code"), F.array_join("faults", ",").alias("faults"))
+
+
+@query(f"""SELECT conv_id, turn, faults FROM ({_faults_sql(_RECORD_FAULTS, "(role = 'assistant') = (n % 3 = 0) OR (role = 'assistant') = (n % 6 = 0)")})""")
+def record_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record to be scored made from each turn, with every place where it breaks its schema."""
+    turns = C.table(spark, sf_dir, "conversations").withColumn("n", F.length("text"))
+    n, turn, role = (F.col(c) for c in ("n", "turn", "role"))
+    decision = F.when(role == "assistant", "answer").when(role == "user", "handoff").otherwise(role)
+    line = _json(
+        '{"id":"c', F.col("conv_id"), '","decision":"', decision, '","answer":', F.when(n % 23 == 0, '" "').otherwise(_quoted(F.col("text"))), ',"reason_code":', F.when(n % 3 == 0, '"OUT_OF_SCOPE"').otherwise("null"), F.when(n % 11 == 0, ',"more":null').otherwise(""), ',"evidence":[',
+        F.when(n % 6 == 0, "").otherwise(_json('{"document":"d","page":', turn, ',"section":"s","quote":"', F.when(turn == 5, "").otherwise("q"), '"}')), "]}", F.when(n % 29 == 0, "}").otherwise(""),
+    )
+    return turns.select("conv_id", "turn", F.array_join(schemas.check(line, records.PREDICTION), ",").alias("faults"))
+
+
 @query("""SELECT * FROM (VALUES ('arity', true), ('kinds', true), ('number', true), ('dates', true), ('operator', true), ('days', true), ('same field', true), ('basis', true), ('offset', true), ('decimal', true), ('whole', false)) v(rule, refused)""")
 def structural_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P20: what can't be written as a rule at all."""

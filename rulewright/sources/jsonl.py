@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rulewright.functions.schemas import strict_json
 from rulewright.sources.markdown import strip
 
 #: Fixed: what ends a physical line.
@@ -28,9 +29,7 @@ def question_fields(line: Column) -> dict[str, Column]:
 
     An object that repeats a key is no valid JSON here.
     """
-    # as the only member of a list, so that nothing may follow the value
-    wrapped = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
-    parsed = F.when(F.try_variant_get(wrapped, "$[1]", "variant").isNull(), F.try_variant_get(wrapped, "$[0]", "variant"))
+    parsed = strict_json(line)
     shape = F.schema_of_variant(parsed)
     part = {k: F.try_variant_get(parsed, f"$.{k}", "string") for k in ("id", "question", "session_id")}
     known = shape.startswith("OBJECT<") & F.coalesce(F.schema_of_variant(F.try_variant_get(parsed, "$.id", "variant")) == "STRING", F.lit(False)) & (strip(part["id"]) != "")

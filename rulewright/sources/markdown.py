@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rulewright.functions.schemas import bound
 from rulewright.functions.text import compatible
 from rulewright.operators.prefix import running
 from rulewright.session import ship
@@ -62,11 +63,6 @@ def document_set_hash(files: DataFrame, parser: str = "documents-v1", by: tuple[
     return one.select(*by, F.sha2(text, 256).alias("hash"))
 
 
-def _with(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value worked out once however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _lines(text: Column) -> Column:
     """Array of page, raw (the line with its end), marks (of a heading), title (of a heading or an item), kind: heading, item, blank or plain."""
 
@@ -93,9 +89,9 @@ def _pieces(lines: Column) -> Column:
             first = F.get(lines, begin)
             return F.struct(first["page"].alias("page"), first["kind"].alias("kind"), first["level"].alias("level"), F.when(first["kind"] == "plain", run).otherwise(first["title"]).alias("text"))
 
-        return _with(begins, lambda b: F.transform(b, lambda begin, j: piece(begin, F.coalesce(F.get(b, j + 1), F.size(kinds)))))
+        return bound(begins, lambda b: F.transform(b, lambda begin, j: piece(begin, F.coalesce(F.get(b, j + 1), F.size(kinds)))))
 
-    pieces = _with(lines["kind"], lambda k: _with(lines["page"], lambda p: _with(lines["raw"], lambda r: cut(k, p, r))))
+    pieces = bound(lines["kind"], lambda k: bound(lines["page"], lambda p: bound(lines["raw"], lambda r: cut(k, p, r))))
     return F.filter(pieces, lambda x: (x["kind"] == "heading") | (x["kind"] != "blank") & (x["text"] != ""))
 
 
@@ -115,12 +111,12 @@ def _sections(pieces: Column) -> Column:
 
     heads = F.filter(F.transform(pieces, lambda x, i: F.when(x["kind"] == "heading", i + 1)), lambda i: i.isNotNull())
     ends = F.concat(F.array(F.lit(0)), heads, F.array(F.size(pieces) + 1))
-    return _with(ends, lambda e: _with(paths(F.filter(pieces, lambda x: x["kind"] == "heading")), lambda p: filled(e, p)))
+    return bound(ends, lambda e: bound(paths(F.filter(pieces, lambda x: x["kind"] == "heading")), lambda p: filled(e, p)))
 
 
 def blocks_of(text: Column) -> Column:
     """Array of page, section_path, text of a Markdown text's blocks, by functions on arrays alone: no shuffle, and time in proportion to the text."""
-    return _with(_lines(text), lambda lines: _with(_pieces(lines), _sections))
+    return bound(_lines(text), lambda lines: bound(_pieces(lines), _sections))
 
 
 def markdown_blocks(documents: DataFrame) -> DataFrame:

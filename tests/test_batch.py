@@ -18,12 +18,13 @@ def unit(name, operator, since, until, overrides):
     text, days, block = CLAIMS[name]
     claim = {"claim_id": f"C_{name}", "canonical_text": text, "normalized_literals": [{"kind": "duration", "value": days, "unit_code": "DAY"}], "evidence_ids": [block], "qualifiers": [], "required_companion_claim_ids": []}
     predicate = {"field_id": "F_DATE", "operator": operator, "values": [{"kind": "date", "value": "2030-01-10"}]}
-    return {"unit_id": f"U_{name}", "family_id": "G", "topic_ids": [], "applicability_any": [{"all": [predicate]}], "required_field_ids": ["F_DATE"], "time_basis": {"kind": "field", "field_id": "F_DATE"}, "effective_from": since, "effective_to": until, "claims": [claim], "overrides_unit_ids": overrides}
+    return {"unit_id": f"U_{name}", "family_id": "G", "topic_ids": [], "kind": "policy", "applicability_any": [{"all": [predicate]}], "required_field_ids": ["F_DATE"], "time_basis": {"kind": "field", "field_id": "F_DATE"}, "effective_from": since, "effective_to": until, "claims": [claim], "overrides_unit_ids": overrides}
 
 
 BODY = {
-    "documents": [{"document_id": "DOC-01", "effective_from": None, "effective_to": None}], "scope": [], "warnings": [],
-    "fields": [{"field_id": "F_DATE", "display_name": "日期", "value_kind": "date", "evidence_ids": ["DOC-01-P001-B001"]}],
+    "locale": {"language": "zh-CN", "timezone": "Asia/Shanghai", "output_encoding": "utf-8", "normalization_version": "1"},
+    "documents": [{"document_id": "DOC-01", "title": "规定", "version_label": None, "published_on": None, "effective_from": None, "effective_to": None}], "scope": [], "warnings": [],
+    "fields": [{"field_id": "F_DATE", "display_name": "日期", "description": "下单的日期", "value_kind": "date", "evidence_ids": ["DOC-01-P001-B001"]}],
     "units": [{"unit_code": "DAY", "display_name": "自然日", "aliases": ["天"], "dimension": "duration", "evidence_ids": ["DOC-01-P001-B001"]}],
     "policy_units": [unit("OLD", "before", None, "2030-01-09", []), unit("NEW", "on_or_after", "2030-01-10", None, ["U_OLD"])],
 }
@@ -57,7 +58,7 @@ def test_command_line(spark, place, capsys):
     store, docs = str(place / "store"), str(place / "docs")
     broken = json.loads(json.dumps(BODY))
     broken["policy_units"][1]["claims"][0]["normalized_literals"] = []
-    contract = lines(place / "contract.jsonl", [{"text": "{"}, {"text": json.dumps(broken, ensure_ascii=False)}])
+    contract = lines(place / "contract.jsonl", [{"text": json.dumps(broken | {"more": []}, ensure_ascii=False)}, {"text": json.dumps(broken, ensure_ascii=False)}])
     assert cli.main(["build-contract", "--docs", docs, "--replies", contract, "--store", store], spark) == 0
     key = json.loads(capsys.readouterr().out)["contract_key"]
     assert ContractStore(store).load(key)[0] == BODY  # the annotation was put right from the evidence
