@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 import unicodedata
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from decimal import Decimal
 
 import pandas as pd
@@ -124,6 +124,10 @@ def parse_date(token: Column, as_of: Column, year: Column | None = None) -> Colu
     )
 
 
+#: What amounts are found as.
+AMOUNTS = "array<struct<kind:string,raw:string,unit_code:string>>"
+
+
 def unit_names(units: Sequence[tuple[str, Sequence[str], str]]) -> dict[str, tuple[str, str]]:
     """Unit code and kind of value by name. units: (unit_code, aliases, dimension) each; a name of two units is an error."""
     out: dict[str, tuple[str, str]] = {}
@@ -135,32 +139,36 @@ def unit_names(units: Sequence[tuple[str, Sequence[str], str]]) -> dict[str, tup
     return out
 
 
-#: Marks that are put between a month or a year and a number, so that an amount is known to follow one.
-_MARKS = {_BEFORE_DAY: "\x01", _BEFORE_MONTH: "\x02"}
-_GAPS = {mark: f"(?<={word})(?=[+\\-0-9{_NUMERALS}])" for word, mark in _MARKS.items()}
-
-
 def _amounts(names: Iterable[str]) -> str:
-    """A number and a unit's name, the longest that fits: groups mark before, number, name, character after."""
+    """A number and a unit's name, the longest that fits: groups number after a month, number after a year, any other number, name, character after."""
     listed = "|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n)))
-    return f"([\x01\x02]?)([+-]?(?:[0-9]+(?:\\.[0-9]+)?|[{_NUMERALS}]+))\\s*({listed})(?=[\x01\x02]?((?s:.))|)"
+    number = f"([+-]?(?:[0-9]+(?:\\.[0-9]+)?|[{_NUMERALS}]+))"
+    return f"(?:(?<={_BEFORE_DAY}){number}|(?<={_BEFORE_MONTH}){number}|{number})\\s*({listed})(?=((?s:.))|)"
+
+
+def literals_by(text: Column, names: Column) -> Column:
+    """The text's amounts as literals() finds them, by names of the row itself: array of (name in compatible form, unit_code, kind), each name once."""
+    quoted = F.transform(F.array_sort(F.transform(names, lambda x: F.struct((-F.length(x["name"])).alias("n"), x["name"].alias("name")))), lambda x: F.concat(F.lit("\\Q"), x["name"], F.lit("\\E")))
+    before, after = _amounts("").split("()")
+    pattern = F.concat(F.lit("(?U)" + before + "("), F.array_join(quoted, "|"), F.lit(")" + after))
+    return F.when(text.isNull(), None).when(F.coalesce(F.size(names), F.lit(0)) <= 0, F.array().cast(AMOUNTS)).otherwise(_found(compatible(text), pattern, lambda name, part: F.try_element_at(F.map_from_entries(F.transform(names, lambda x: F.struct(x["name"], x[part]))), name)))
+
+
+def _found(plain: Column, pattern: Column, told: Callable[[Column, str], Column]) -> Column:
+    part = lambda i: F.regexp_extract_all(plain, pattern, F.lit(i))
+    found = F.arrays_zip(part(1).alias("month"), part(2).alias("year"), part(3).alias("other"), part(4).alias("name"), part(5).alias("after"))
+    dated = lambda x: ((x["name"] == "日") & (x["month"] != "")) | ((x["name"] == "月") & ((x["year"] != "") | x["after"].isin(*_AFTER_MONTH)))
+    amount = lambda x: F.struct(told(x["name"], "kind").alias("kind"), _number(F.concat(x["month"], x["year"], x["other"])).alias("raw"), told(x["name"], "unit_code").alias("unit_code"))
+    return F.filter(F.transform(F.filter(found, lambda x: ~dated(x)), amount), lambda x: x["raw"].isNotNull()).cast(AMOUNTS)
 
 
 def literals(text: Column, units: Sequence[tuple[str, Sequence[str], str]]) -> Column:
     """The text's amounts, in order: array of (kind, raw: number as text, unit_code). A 日 after 月, and a 月 within a date or at the end, are parts of dates and no amounts."""
     names = unit_names(units)
-    kind = "array<struct<kind:string,raw:string,unit_code:string>>"
     if not names:
-        return F.when(text.isNotNull(), F.array().cast(kind))
-    plain = compatible(text)
-    for mark, gap in _GAPS.items():
-        plain = F.regexp_replace(plain, gap, mark)
-    part = lambda i: F.regexp_extract_all(plain, F.lit("(?U)" + _amounts(names)), F.lit(i))
-    found = F.arrays_zip(part(1).alias("before"), part(2).alias("raw"), part(3).alias("name"), part(4).alias("after"))
-    dated = lambda x: ((x["name"] == "日") & (x["before"] == _MARKS[_BEFORE_DAY])) | ((x["name"] == "月") & ((x["before"] == _MARKS[_BEFORE_MONTH]) | x["after"].isin(*_AFTER_MONTH)))
-    code, sort = (F.create_map(*[F.lit(x) for n, own in names.items() for x in (n, own[i])]) for i in (0, 1))
-    amount = lambda x: F.struct(sort[x["name"]].alias("kind"), _number(x["raw"]).alias("raw"), code[x["name"]].alias("unit_code"))
-    return F.filter(F.transform(F.filter(found, lambda x: ~dated(x)), amount), lambda x: x["raw"].isNotNull()).cast(kind)
+        return F.when(text.isNotNull(), F.array().cast(AMOUNTS))
+    maps = {part: F.create_map(*[F.lit(x) for n, own in names.items() for x in (n, own[i])]) for i, part in enumerate(("unit_code", "kind"))}
+    return _found(compatible(text), F.lit("(?U)" + _amounts(names)), lambda name, part: maps[part][name])
 
 
 # the same for single texts on the driver
@@ -206,9 +214,7 @@ class Literals:
 
     def find(self, text: str) -> list[tuple[str, str, str]]:
         text = unicodedata.normalize("NFKC", text)
-        for mark, gap in _GAPS.items():
-            text = re.sub(gap, mark, text)
         found = re.findall(_amounts(self.names), text) if self.names else []
-        dated = lambda before, name, after: (name, before) == ("日", _MARKS[_BEFORE_DAY]) or (name == "月" and (before == _MARKS[_BEFORE_MONTH] or after in _AFTER_MONTH))
-        amounts = [(number(raw), name) for before, raw, name, after in found if not dated(before, name, after)]
+        dated = lambda month, year, name, after: (name == "日" and month) or (name == "月" and (year or after in _AFTER_MONTH))
+        amounts = [(number(month + year + other), name) for month, year, other, name, after in found if not dated(month, year, name, after)]
         return [(self.names[name][1], format(n, "f"), self.names[name][0]) for n, name in amounts if n is not None]

@@ -22,9 +22,38 @@ def value(kind: str | Column, **parts: Column) -> Column:
     return F.struct(*[own.get(name, F.lit(None)).cast(to).alias(name) for name, to in kinds.items()])
 
 
+#: What decimal(38,18) holds as it is; other numbers stay as text and are compared by it.
+HELD = r"^[+-]?[0-9]{1,20}(?:\.[0-9]{1,18}0*)?$"
+
+
+def held(text: Column) -> Column:
+    """A number's text as decimal(38,18), NULL if that can't hold it whole."""
+    return F.when(text.rlike(HELD), text.try_cast("decimal(38,18)"))
+
+
 def decimal_from_text(text: Column) -> Column:
-    """The number that canonical decimal text stands for, else NULL."""
-    return F.when(text.rlike(DECIMAL_TEXT), text.try_cast("decimal(38,18)"))
+    """The number that canonical decimal text stands for, else NULL; also NULL for more digits than decimal(38,18) has."""
+    return F.when(text.rlike(DECIMAL_TEXT), held(text))
+
+
+def canonical(number: Column) -> Column:
+    """One text for each number, of any length: no plus, no zeros that don't count, and no minus before 0."""
+    bare = F.regexp_replace(F.regexp_replace(number, r"^[+-]?0*(?=[0-9])|^[+-]?(?=\.)", ""), r"^\.", "0.")
+    bare = F.when(F.contains(bare, F.lit(".")), F.regexp_replace(bare, r"\.?0*$", "")).otherwise(bare)
+    return F.when(F.startswith(number, F.lit("-")) & (bare != "0"), F.concat(F.lit("-"), bare)).otherwise(bare)
+
+
+def order_key(number: Column) -> Column:
+    """A text by whose order numbers of any length are in theirs: sign, number of whole digits, digits; those of negative numbers turned round."""
+    text = canonical(number)
+    bare = F.regexp_replace(text, "^-", "")
+    whole, fraction = F.substring_index(bare, ".", 1), F.regexp_extract(bare, r"\.(.*)$", 1)
+    size = F.concat(F.lpad(F.length(whole).cast("string"), 10, "0"), whole, fraction)
+    return F.when(F.startswith(text, F.lit("-")), F.concat(F.lit("0"), F.translate(size, "0123456789", "9876543210"), F.lit("~"))).otherwise(F.concat(F.lit("1"), size))
+
+
+def _written(v: Column) -> Column:
+    return F.coalesce(v["raw"], v["n"].cast("string"))
 
 
 def same_domain(a: Column, b: Column) -> Column:
@@ -35,7 +64,7 @@ def same_domain(a: Column, b: Column) -> Column:
 def same_value(a: Column, b: Column) -> Column:
     """Equality within a domain: by number for numeric kinds (8 is 8.0), else by the kind's own column. False across domains."""
     own = (
-        F.when(a["kind"].isin(*ORDERED_KINDS), a["n"] == b["n"])
+        F.when(a["kind"].isin(*ORDERED_KINDS), F.coalesce(a["n"] == b["n"], canonical(_written(a)) == canonical(_written(b))))
         .when(a["kind"] == "boolean", a["b"] == b["b"])
         .when(a["kind"] == "date", a["d"] == b["d"])
         .when(a["kind"] == "datetime", a["ts"] == b["ts"])
@@ -51,9 +80,10 @@ def identical(a: Column, b: Column) -> Column:
 
 
 def compare(a: Column, b: Column) -> Column:
-    """-1, 0 or 1 for values of one ordered domain: numbers, dates or instants; NULL for others."""
+    """-1, 0 or 1 for values of one ordered domain: numbers of any length, dates or instants; NULL for others."""
     def sign(x: Column, y: Column) -> Column:
         return F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
 
     kind = a["kind"]
-    return F.when(kind.isin(*ORDERED_KINDS), sign(a["n"], b["n"])).when(kind == "date", sign(a["d"], b["d"])).when(kind == "datetime", sign(a["ts"], b["ts"]))
+    numbers = F.coalesce(sign(a["n"], b["n"]), sign(order_key(_written(a)), order_key(_written(b))))
+    return F.when(kind.isin(*ORDERED_KINDS), numbers).when(kind == "date", sign(a["d"], b["d"])).when(kind == "datetime", sign(a["ts"], b["ts"]))

@@ -1,4 +1,4 @@
-"""Graphs of a contract: companion claims, overrides, candidates and cycles.
+"""Walks of cases over the graphs of one contract: companion claims, overrides, candidates. Graphs of any size are in rulewright.operators.graphs.
 
 A contract is small: its edges are held as neighbours by node and shipped with the functions that walk them, each node once. Cases stay rows, each of which is walked from its own claims.
 """
@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rulewright.functions.values import canonical
 from rulewright.session import ship
 
 Neighbours = dict[str, list[str]]
@@ -35,43 +36,6 @@ def walk(edges: Neighbours, starts: Iterable[str], closed: Collection[str] = ())
     return seen
 
 
-def reachable(edges: DataFrame, source: str, target: str) -> DataFrame:
-    """Columns source, target, depth: every node that edges lead to from each node, with the least number of edges; a node reaches itself only through a cycle."""
-    near = neighbours(edges, source, target)
-    kind = edges.schema[source].dataType.simpleString()
-    rows = [(s, t, d) for s in near for t, d in walk(near, [s]).items()]
-    return edges.sparkSession.createDataFrame(pd.DataFrame(rows, columns=["source", "target", "depth"]) if rows else [], f"source {kind}, target {kind}, depth long")
-
-
-def cycles(edges: DataFrame, source: str, target: str, order: Iterable[str] | None = None) -> DataFrame:
-    """Columns start, path: the cycles that a walk in depth meets, one for each edge that leads back to a node on its way, the start again at the end.
-
-    The walk begins at the nodes in the given order, and a cycle then at the node that it met first; without one, at the sources as they come, and a cycle at its least node.
-    """
-    near = neighbours(edges, source, target)
-    kind = edges.schema[source].dataType.simpleString()
-    done, found = set(), []
-    for root in near if order is None else order:
-        way, open_ = [], [(root, iter(near.get(root, ())))] if root not in done else []
-        while open_:
-            node, rest = open_[-1]
-            if len(way) < len(open_):
-                way.append(node)
-            step = next(rest, None)
-            if step is None:
-                done.add(node)
-                way.pop()
-                open_.pop()
-            elif step in way:
-                cycle = way[way.index(step) :]
-                first = cycle.index(min(cycle)) if order is None else 0
-                cycle = cycle[first:] + cycle[:first]
-                found.append((cycle[0], [*cycle, cycle[0]]))
-            elif step not in done:
-                open_.append((step, iter(near.get(step, ()))))
-    return edges.sparkSession.createDataFrame(found, f"start {kind}, path array<{kind}>")
-
-
 def candidates(intents: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """Columns item_id, intent_id, unit_id: the units that each intent (item_id, intent_id, family_ids, claim_ids: one row each) may turn on. One narrow stage.
 
@@ -122,7 +86,7 @@ def inherited_companions(plan: DataFrame, active: DataFrame, tables: dict[str, D
     key = ["item_id", "intent_id"]
     owner = dict(tables["claims"].select("claim_id", "unit_id").collect())
     numbers: dict[str, set] = {}
-    for r in tables["claim_literals"].filter("kind in ('duration', 'money', 'quantity')").select("claim_id", "kind", "n", "unit_code").collect():
+    for r in tables["claim_literals"].filter("kind in ('duration', 'money', 'quantity')").select("claim_id", "kind", canonical(F.col("raw")), "unit_code").collect():
         numbers.setdefault(r[0], set()).add(tuple(r[1:]))
     below = neighbours(tables["overrides"], "unit_id", "target")
     under = {u: set(walk(below, [u])) for u in below}

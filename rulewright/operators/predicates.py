@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rulewright.functions.values import compare, same_domain, same_value
+from rulewright.functions.values import VALUE, compare, same_domain, same_value
 from rulewright.plans.contract import Predicate
 
 
@@ -19,7 +21,7 @@ def truth(operator: Column, fact: Column, related: Column, values: Column) -> Co
     comparable = F.forall(values, lambda v: same_domain(fact, v))
     some = F.exists(values, lambda v: same_value(fact, v))
     days = F.date_diff(fact["d"], related["d"])
-    window = F.when(related.isNotNull() & (fact["kind"] == "date") & (related["kind"] == "date"), (days >= 1) & (days <= first["n"]))
+    window = F.when(related.isNotNull() & (fact["kind"] == "date") & (related["kind"] == "date"), (days >= 1) & F.coalesce(days <= first["n"], first["raw"].isNotNull()))
     to_first, to_second = compare(fact, first), compare(fact, second)
     known = (
         F.when(operator.isin("eq", "in"), some)
@@ -60,7 +62,7 @@ def conflicts(operator: Column, field_id: Column, related_id: Column, fact: Colu
 
 def compiled(predicate: Predicate, facts: dict[str, Column]) -> Column:
     """The truth of one predicate over wide facts: a column of VALUE for each field (a field without one is missing)."""
-    null = F.lit(None).cast("struct<kind:string,s:string,b:boolean,n:decimal(38,18),d:date,ts:timestamp,local_date:date,unit_code:string,raw:string>")
+    null = F.lit(None).cast(VALUE)
     fact = facts.get(predicate.field_id, null)
     operator, values = predicate.operator, [v.column() for v in predicate.values]
     if operator == "exists":
@@ -70,7 +72,7 @@ def compiled(predicate: Predicate, facts: dict[str, Column]) -> Column:
     if operator == "within_natural_days_from_next_day":
         related = facts.get(predicate.related_field_id, null)
         days = F.date_diff(fact["d"], related["d"])
-        return F.when((fact["kind"] == "date") & (related["kind"] == "date"), days.between(1, int(predicate.values[0].value)))
+        return F.when((fact["kind"] == "date") & (related["kind"] == "date"), days.between(1, min(int(Decimal(str(predicate.values[0].value))), 1 << 30)))
     domain = same_domain(fact, values[0])
     for v in values[1:]:
         domain = domain & same_domain(fact, v)

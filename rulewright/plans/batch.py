@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulewright.functions import schemas
-from rulewright.functions.values import DECIMAL_TEXT, NUMERIC_KINDS, value
+from rulewright.functions.values import DECIMAL_TEXT, NUMERIC_KINDS, held, value
 from rulewright.operators import analysis_checks, closure, decide, rules
 from rulewright.plans import records
 from rulewright.plans.contract import Contract
@@ -27,11 +27,11 @@ REPLY = (
 def typed(v: Column) -> Column:
     """A value from its JSON, (kind, value, unit_code) as text."""
     kind, text = v["kind"], v["value"]
-    number = F.when(kind.isin(*NUMERIC_KINDS) & text.rlike(DECIMAL_TEXT) | (kind == "integer") & text.rlike("^-?[0-9]+$"), text.try_cast("decimal(38,18)"))
+    number = kind.isin(*NUMERIC_KINDS) & text.rlike(DECIMAL_TEXT) | (kind == "integer") & text.rlike("^-?[0-9]+$")
     day = F.when(kind == "date", text.try_cast("date"))
     instant = F.when(kind == "datetime", F.try_to_timestamp(text))
     local = F.coalesce(day, F.when(kind == "datetime", F.substring(text, 1, 10).try_cast("date")))
-    return value(kind, s=F.when(kind.isin("string", "enum"), text), b=F.when(kind == "boolean", text.try_cast("boolean")), n=number, d=day, ts=instant, local_date=local, unit_code=v["unit_code"], raw=F.when(kind.isin(*NUMERIC_KINDS, "datetime"), text))
+    return value(kind, s=F.when(kind.isin("string", "enum"), text), b=F.when(kind == "boolean", text.try_cast("boolean")), n=F.when(number, held(text)), d=day, ts=instant, local_date=local, unit_code=v["unit_code"], raw=F.when(number | (kind == "datetime"), text))
 
 
 def parse_replies(replies: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewright.functions.values import DECIMAL_TEXT, VALUE, value
+from rulewright.functions.values import DECIMAL_TEXT, HELD, VALUE, held, value
 
 #: Fixed: predicate operators with the least and most values that they take.
 OPERATORS = {
@@ -36,7 +36,7 @@ class Value:
             return value(self.kind, d=F.lit(v), local_date=F.lit(v))
         if self.kind == "datetime":
             return value(self.kind, ts=F.lit(v), local_date=F.lit(v.date()))
-        return value(self.kind, n=F.lit(str(v)), unit_code=F.lit(self.unit_code), raw=F.lit(str(v)))
+        return value(self.kind, n=held(F.lit(str(v))), unit_code=F.lit(self.unit_code), raw=F.lit(str(v)))
 
     @classmethod
     def from_json(cls, v: dict) -> Value:
@@ -54,9 +54,10 @@ class Value:
     def row(self) -> tuple:
         """The value as a row of VALUE."""
         k, v = self.kind, self.value
-        number = Decimal(str(v)) if k in ("integer", "decimal", "duration", "money", "quantity") else None
+        text = str(v) if k in ("integer", "decimal", "duration", "money", "quantity") else None
+        number = Decimal(text) if text is not None and re.fullmatch(HELD, text) else None
         local = v if k == "date" else v.date() if k == "datetime" else None
-        return (k, v if k in ("string", "enum") else None, v if k == "boolean" else None, number, v if k == "date" else None, v if k == "datetime" else None, local, self.unit_code, str(v) if number is not None else None)
+        return (k, v if k in ("string", "enum") else None, v if k == "boolean" else None, number, v if k == "date" else None, v if k == "datetime" else None, local, self.unit_code, text)
 
 
 @dataclass(frozen=True)
@@ -158,13 +159,18 @@ class Contract:
         """The units of measure as rulewright.functions.text.literals takes them; a name also stands with 个 before it."""
         return [(d["unit_code"], [d["display_name"], "个" + d["display_name"], *d.get("aliases", ())], d["dimension"]) for d in self.definitions]
 
+    def all_tables(self, spark: SparkSession) -> dict[str, DataFrame]:
+        """tables(), each of them made."""
+        made = self.tables(spark)
+        return {name: made[name] for name in made.rows}
+
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
         """The contract as small tables, each with the rows' order where it matters."""
         unit_rows, predicate_rows, required, edges, claims, companions, evidence, literals, qualifiers, topics = ([] for _ in range(10))
         for i, u in enumerate(self.units):
             unit_rows.append((u.unit_id, u.family_id, u.basis, u.basis_field, u.effective_from, u.effective_to, len(u.any_of), i))
             required += [(u.unit_id, f) for f in u.required]
-            edges += [(u.unit_id, t) for t in u.overrides]
+            edges += [(u.unit_id, t, i, j) for j, t in enumerate(u.overrides)]
             topics += [(u.unit_id, t) for t in u.topics]
             for g, group in enumerate(u.any_of):
                 predicate_rows += [(u.unit_id, g, p, x.field_id, x.operator, x.related_field_id, [v.row() for v in x.values]) for p, x in enumerate(group)]
@@ -172,7 +178,7 @@ class Contract:
                 claims.append((c.claim_id, u.unit_id, u.family_id, c.canonical_text))
                 companions += [(c.claim_id, x) for x in c.companions]
                 evidence += [(c.claim_id, x) for x in c.evidence_ids]
-                literals += [(c.claim_id, *v.row()[:1], v.row()[3], v.unit_code) for v in c.literals]
+                literals += [(c.claim_id, v.kind, v.row()[-1], v.unit_code) for v in c.literals]
                 qualifiers += [(c.claim_id, x) for x in c.qualifiers]
         make = lambda rows, schema: (rows, schema)
         bound = [(kind, d[key], e) for kind, key, rows in (("topic", "topic_id", self.topics), ("field", "field_id", self.fields), ("unit", "unit_code", self.definitions), ("warning", "code", self.warnings)) for d in rows for e in d.get("evidence_ids", ())]
@@ -192,11 +198,11 @@ class Contract:
                 (u.unit_id, u.basis, u.basis_field, u.effective_from, u.effective_to, [[(p.field_id, p.operator, p.related_field_id, [v.row() for v in p.values]) for p in g] for g in u.any_of], list(u.required)) for u in self.units
             ], f"unit_id string, basis string, basis_field string, effective_from date, effective_to date, groups array<array<struct<field_id:string,operator:string,related_field_id:string,values:array<{VALUE}>>>>, required array<string>"),
             "required": make(required, "unit_id string, field_id string"),
-            "overrides": make(edges, "unit_id string, target string"),
+            "overrides": make(edges, "unit_id string, target string, unit_pos int, own_pos int"),
             "unit_topics": make(topics, "unit_id string, topic_id string"),
             "claims": make(claims, "claim_id string, unit_id string, family_id string, canonical_text string"),
             "companions": make(companions, "claim_id string, companion_id string"),
             "claim_evidence": make(evidence, "claim_id string, block_id string"),
-            "claim_literals": make(literals, "claim_id string, kind string, n decimal(38,18), unit_code string"),
+            "claim_literals": make(literals, "claim_id string, kind string, raw string, unit_code string"),
             "claim_qualifiers": make(qualifiers, "claim_id string, qualifier string"),
         })

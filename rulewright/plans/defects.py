@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -155,3 +156,82 @@ def items(numbers: DataFrame) -> dict[str, DataFrame]:
         "listed": own.select("item_id", cases(_strings(), m4=_strings("F_NONE")).alias("missing_field_ids"), cases(_strings("U_NEW"), m15=_strings(), m25=_strings("U_SIDE")).alias("selected_unit_ids"), cases(_strings(), m6=_strings("U_NONE")).alias("conflicting_unit_ids")),
         "plan": own.select("item_id", F.inline(F.array(plan))),
     }
+
+
+# one contract a row, with the flaws that its number divides
+
+
+def _policy(name: str, text: str = "订单可以申请", evidence: str = "E_PLAIN", claim: dict | None = None, **more) -> dict:
+    """A unit with one claim, as JSON has it."""
+    own = {"claim_id": "C_" + name, "canonical_text": text, "evidence_ids": [evidence]} | (claim or {})
+    return {"unit_id": "U_" + name, "family_id": "G_" + name, "kind": "policy", "time_basis": {"kind": "none", "field_id": None}, "effective_from": None, "effective_to": None, "claims": [own]} | more
+
+
+def _days(n: str, code: str = "NATURAL_DAY") -> dict:
+    return {"normalized_literals": [{"kind": "duration", "value": n, "unit_code": code}]}
+
+
+def _when(*predicates: dict) -> list[dict]:
+    return [{"all": list(predicates)}]
+
+
+def _test(field: str, operator: str, *values: dict, **more) -> dict:
+    return {"field_id": field, "operator": operator, "values": list(values)} | more
+
+
+_CUT = {"kind": "date", "value": "2030-01-10"}
+_DATED = {"kind": "field", "field_id": "F_DATE"}
+_LISTS: dict[str, list[dict]] = {
+    "scope": [{"topic_id": "T", "description": "t", "evidence_ids": ["E_SCOPE"], "disposition": "covered"}],
+    "fields": [
+        {"field_id": "F_DATE", "display_name": "下单日期", "description": "d", "value_kind": "date", "evidence_ids": ["E_OLD"]}, {"field_id": "F_DONE", "display_name": "是否完成", "description": "d", "value_kind": "boolean", "evidence_ids": ["E_SCOPE"]},
+        {"field_id": "F_KIND", "display_name": "类型", "description": "d", "value_kind": "enum", "allowed_values": [{"code": "A", "display_name": "甲"}, {"code": "B", "display_name": "乙"}], "evidence_ids": ["E_SCOPE"]},
+    ],
+    "units": [_DAY], "warnings": [],
+    "policy_units": [_policy("NEW", TEXT, "E_NEW", _days("8") | {"qualifiers": ["订单"]}, family_id="G", topic_ids=["T"], applicability_any=_when(_test("F_DATE", "on_or_after", _CUT)), required_field_ids=["F_DATE"], time_basis=_DATED, effective_from="2030-01-10", overrides_unit_ids=["U_OLD"]), _policy("SIDE", claim={"required_companion_claim_ids": ["C_NEW"]})],
+}
+_OLD = {"family_id": "G", "applicability_any": _when(_test("F_DATE", "before", _CUT)), "required_field_ids": ["F_DATE"], "time_basis": _DATED, "effective_to": "2030-01-09"}
+_TERM = {"document_id": "D_TERM", "title": "t", "version_label": None, "published_on": None, "effective_from": None, "effective_to": None}
+_TOPIC = {"description": "t", "disposition": "out_of_scope"}
+_FIELD = {"display_name": "其他", "description": "d", "evidence_ids": ["E_SCOPE"]}
+#: The number that divides a contract's own if it has a flaw, the list that the flaw adds to, what it adds ({m}: the number, {n}: another), and the codes with the objects that they name. CLEAR after a code: only where no unit's name is ambiguous; OTHER: and only where n isn't 5.
+FLAWS: list[tuple[int, str, dict, str]] = [
+    (3, "documents", _TERM, "DUPLICATE_ID D_TERM"), (4, "documents", _TERM | {"document_id": "D_{m}"}, "UNKNOWN_DOCUMENT D_{m}"), (5, "documents", _TERM | {"document_id": "D_BACK", "effective_from": "2031-01-01", "effective_to": "2030-01-01"}, "INVALID_DATE_RANGE D_BACK"),
+    (6, "scope", _TOPIC | {"topic_id": "T_GAP", "disposition": "covered", "evidence_ids": ["E_SCOPE"]}, "COVERED_TOPIC_WITHOUT_UNIT T_GAP"), (7, "scope", _TOPIC | {"topic_id": "T_BARE"}, "UNBOUND_EVIDENCE T_BARE"), (8, "scope", _TOPIC | {"topic_id": "T_PROOF", "evidence_ids": ["E_NONE"]}, "UNKNOWN_EVIDENCE T_PROOF E_NONE"),
+    (9, "units", {"unit_code": "DAY", "display_name": "天", "dimension": "duration", "evidence_ids": ["E_OLD"]}, "AMBIGUOUS_UNIT_ALIAS 天 NATURAL_DAY DAY"), (10, "fields", _FIELD | {"field_id": "F_REASON", "value_kind": "boolean", "aliases": ["破损或丢失"]}, "COMPOSITE_BOOLEAN_REASONS F_REASON"), (10, "policy_units", _policy("REASON", applicability_any=_when(_test("F_REASON", "exists"))), ""),
+    (11, "fields", _FIELD | {"field_id": "F_EMPTY", "value_kind": "enum"}, "INVALID_ENUM_DEFINITION F_EMPTY"), (12, "fields", _FIELD | {"field_id": "F_UNSAFE", "value_kind": "enum", "allowed_values": [{"code": "B", "display_name": "未经授权拆机", "aliases": ["拆机"]}]}, "UNSAFE_ENUM_QUALIFIER_ALIAS F_UNSAFE B"),
+    (13, "policy_units", _policy("TOPIC", topic_ids=["T_NONE"]), "UNKNOWN_TOPIC U_TOPIC T_NONE"), (14, "policy_units", _policy("FIELD", required_field_ids=["F_NONE"]), "UNKNOWN_FIELD U_FIELD F_NONE"), (15, "policy_units", _policy("DEADLINE", "签收次日起8个自然日内可申请", "E_NEW", _days("8")), "UNGUARDED_RELATIVE_DEADLINE U_DEADLINE C_DEADLINE"),
+    (16, "fields", _FIELD | {"field_id": "F_BARE", "value_kind": "date", "evidence_ids": []}, "UNBOUND_EVIDENCE F_BARE"), (16, "policy_units", _policy("BASIS", time_basis={"kind": "field", "field_id": "F_BARE"}), "INVALID_TIME_BASIS U_BASIS F_BARE"),
+    (17, "policy_units", _policy("NEVER", time_basis=_DATED, effective_from="2030-01-10", applicability_any=_when(_test("F_DATE", "before", _CUT))), "UNSATISFIABLE_TIME_BASIS U_NEVER F_DATE"), (18, "policy_units", _policy("GUARD", required_field_ids=["F_DATE"], applicability_any=_when(_test("F_DATE", "not_before_if_present", _CUT))), "OPTIONAL_GUARD_REQUIRED U_GUARD F_DATE"),
+    (19, "policy_units", _policy("WINDOW", applicability_any=_when(_test("F_DATE", "within_natural_days_from_next_day", *_days("8")["normalized_literals"], related_field_id="F_DONE"))), "INVALID_RELATIVE_DATE_PREDICATE U_WINDOW F_DATE F_DONE"),
+    (20, "policy_units", _policy("KIND", applicability_any=_when(_test("F_DONE", "eq", {"kind": "string", "value": "x"}))), "FIELD_KIND_CONFLICT U_KIND F_DONE"), (21, "policy_units", _policy("CODE", applicability_any=_when(_test("F_KIND", "eq", {"kind": "enum", "value": "Z"}))), "UNKNOWN_ENUM_VALUE U_CODE F_KIND"),
+    (22, "policy_units", _policy("BETWEEN", applicability_any=_when(_test("F_DATE", "between", _CUT, {"kind": "date", "value": "2029-12-31"}))), "INVALID_DATE_RANGE U_BETWEEN F_DATE"), (23, "policy_units", _policy("LOST", overrides_unit_ids=["U_NONE"]), "UNKNOWN_OVERRIDE U_LOST U_NONE"), (24, "policy_units", _policy("ACROSS", overrides_unit_ids=["U_OLD"]), "CROSS_FAMILY_OVERRIDE U_ACROSS U_OLD"),
+    (25, "policy_units", _policy("SAME1", family_id="G_SAME", effective_to="2030-01-20"), "OVERLAPPING_VERSIONS U_SAME1 U_SAME2"), (25, "policy_units", _policy("SAME2", family_id="G_SAME", effective_from="2030-01-10"), ""), (2, "policy_units", _policy("NUMBER", "订单在{n}个自然日内申请", "E_OLD", _days("5.0")), "CLAIM_LITERAL_MISMATCH:OTHER C_NUMBER"),
+    (26, "policy_units", _policy("CAUSE", "破损的订单可以申请", "E_CAUSE"), "LOST_CAUSAL_QUALIFIER C_CAUSE"), (27, "policy_units", _policy("WORD", evidence="E_SCOPE", claim={"qualifiers": ["会员"]}), "CLAIM_QUALIFIER_NOT_CANONICAL C_WORD"), (28, "policy_units", _policy("PROOF", "会员订单可以申请", claim={"qualifiers": ["会员"]}), "CLAIM_QUALIFIER_NOT_EVIDENCED C_PROOF"),
+    (29, "policy_units", _policy("ALONE", claim={"required_companion_claim_ids": ["C_NONE"]}), "UNKNOWN_COMPANION C_ALONE C_NONE"), (30, "policy_units", _policy("MEASURE", claim=_days("8", "WEEK")), "UNKNOWN_UNIT C_MEASURE WEEK; CLAIM_LITERAL_MISMATCH:CLEAR C_MEASURE"),
+    (31, "units", {"unit_code": "GB", "display_name": "GB", "dimension": "storage", "evidence_ids": ["E_OLD"]}, ""), (31, "policy_units", _policy("SIZE", claim=_days("8", "GB")), "UNIT_KIND_CONFLICT C_SIZE GB; CLAIM_LITERAL_MISMATCH:CLEAR C_SIZE"),
+    (32, "warnings", {"code": "UNSUPPORTED_X", "severity": "warning", "message": "m"}, "UNSUPPORTED_CONDITION UNSUPPORTED_X"), (33, "warnings", {"code": "W", "severity": "blocking", "message": "m"}, "BLOCKING_WARNING W"),
+    (35, "policy_units", _policy("RING1", family_id="G_RING", effective_to="2030-01-09", overrides_unit_ids=["U_RING2"]), "OVERRIDE_CYCLE U_RING1 U_RING2 U_RING1"), (35, "policy_units", _policy("RING2", family_id="G_RING", effective_from="2030-01-10", overrides_unit_ids=["U_RING1"]), ""),
+]
+#: The number that divides a contract's own if its evidence has an amount that no claim has.
+UNCLAIMED = 34
+AMBIGUOUS = 9
+
+
+def contracts(numbers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of numbers (m, n): contracts (contract_id, body) with the flaws that m has, their blocks (contract_id, block_id, text), and their sources (contract_id, document_id)."""
+    filled = lambda x: F.replace(F.replace(F.lit(json.dumps(x, ensure_ascii=False)), F.lit("{m}"), F.col("m").cast("string")), F.lit("{n}"), F.col("n").cast("string"))
+    locale = {"language": "zh-CN", "timezone": "Asia/Shanghai", "output_encoding": "utf-8", "normalization_version": "1"}
+    parts = [F.lit('{"locale":' + json.dumps(locale))]
+    for name, first in {"documents": [_TERM], **_LISTS}.items():
+        first = [*first, _policy("OLD", "订单在5个自然日内申请", "E_OLD", _days("5"), **_OLD)] if name == "policy_units" else first
+        own = [F.array(*[filled(x) for x in first]) if first else F.array().cast("array<string>"), *[F.when(F.col("m") % p == 0, F.array(filled(x))).otherwise(F.array().cast("array<string>")) for p, where, x, _ in FLAWS if where == name]]
+        parts += [F.lit(f',"{name}":['), F.array_join(F.concat(*own), ","), F.lit("]")]
+    texts = {"E_OLD": "旧规定：订单在5个自然日内申请。", "E_NEW": "新规定：订单在8个自然日内申请。", "E_SCOPE": "本规定适用于会员。", "E_PLAIN": "订单可以申请。", "E_CAUSE": "因运输事故造成破损、丢失的可申请。"}
+    block = lambda k, t: F.struct(F.lit(k).alias("block_id"), t.alias("text"))
+    more = F.when(F.col("m") % UNCLAIMED == 0, F.array(block("E_NUMBER", F.concat(F.lit("订单在9"), F.col("n").cast("string"), F.lit("个自然日内申请。"))))).otherwise(F.array().cast("array<struct<block_id:string,text:string>>"))
+    return (
+        numbers.select(F.col("m").alias("contract_id"), F.concat(*parts, F.lit("}")).alias("body")),
+        numbers.select(F.col("m").alias("contract_id"), F.inline(F.concat(F.array(*[block(k, F.lit(t)) for k, t in texts.items()]), more))),
+        numbers.select(F.col("m").alias("contract_id"), F.explode(F.array(F.lit("D_TERM"), F.lit("D_BACK"))).alias("document_id")),
+    )

@@ -13,9 +13,9 @@ from pyspark.sql.window import Window
 from rulewright.functions import schemas
 from rulewright.functions import text as T
 from rulewright.functions.kleene import letter
-from rulewright.functions.values import VALUE, identical, same_domain, value
-from rulewright.operators import analysis_checks, closure, contract_checks, decide, predicates, rules, scoring, telemetry
-from rulewright.plans import batch, build, defects, records
+from rulewright.functions.values import VALUE, compare, held, identical, same_domain, same_value, value
+from rulewright.operators import analysis_checks, closure, contract_checks, decide, graphs, intervals, predicates, rules, scoring, telemetry
+from rulewright.plans import batch, build, contract_tables, defects, records
 from rulewright.plans import cases as C
 from rulewright.plans.contract import Contract, Predicate, Unit, Value
 from rulewright.session import ship
@@ -252,21 +252,22 @@ _WALK = "WITH RECURSIVE e AS (SELECT CAST(n_nationkey AS BIGINT) AS s, CAST(n_na
 @query(_WALK + " SELECT s AS source, t AS target, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY ALL")
 def override_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything that a unit overrides."""
-    return closure.reachable(_edges(spark, sf_dir), "unit_id", "target")
+    return graphs.reachable(_edges(spark, sf_dir), "unit_id", "target")
 
 
 @query(_WALK + " SELECT t AS target, count(*) AS n, min(depth) AS nearest FROM customer JOIN w ON s = c_nationkey GROUP BY ALL")
 def override_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ancestors of the units that cases turn on; the closure is of contract size."""
-    up = F.broadcast(closure.reachable(_edges(spark, sf_dir), "unit_id", "target"))
+    """Ancestors of the units that cases turn on."""
+    up = graphs.reachable(_edges(spark, sf_dir), "unit_id", "target")
     return C.table(spark, sf_dir, "customer").join(up, F.col("c_nationkey") == F.col("source")).groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.min("depth").cast("int").alias("nearest"))
 
 
 @query("SELECT CAST(n AS BIGINT) AS start, concat_ws('>', n + 0, n + 20, n + 15, n + 10, n + 5, n + 0) AS path FROM (VALUES (0), (3)) v(n)")
 def override_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two edges back make two cycles."""
-    back = spark.createDataFrame([(0, 20), (3, 23)], "unit_id long, target long")
-    return closure.cycles(_edges(spark, sf_dir).unionByName(back), "unit_id", "target").select("start", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+    n = F.col("n_nationkey").cast("long")
+    back = C.table(spark, sf_dir, "nation").filter("n_nationkey in (0, 3)").select(n.alias("unit_id"), (n + 20).alias("target"))
+    return graphs.cycles(_edges(spark, sf_dir).unionByName(back), "unit_id", "target").select("start", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 def _customer_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,8 +303,13 @@ def inherited_companions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT printf('U%02d', a.k) AS left_unit, printf('U%02d', b.k) AS right_unit FROM u a JOIN u b ON a.r = b.r AND a.k < b.k AND greatest(a.f, b.f) <= least(a.t, b.t) WHERE b.k - a.k <> 5""")
 def version_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions of a family that are valid on one day without an override between them."""
-    found = contract_checks.check(C.nation_contract(), *_no_sources(spark), frozenset(["OVERLAPPING_VERSIONS"]))
-    return found.select(F.col("object_ids")[0].alias("left_unit"), F.col("object_ids")[1].alias("right_unit"))
+    n = F.col("n_nationkey")
+    name = lambda c: F.format_string("U%02d", c)
+    day = lambda x: F.date_add(F.lit(D(1995, 1, 1)), x.cast("int"))
+    nations = C.table(spark, sf_dir, "nation")
+    units = nations.select(F.lit(0).alias("contract_id"), name(n).alias("unit_id"), F.col("n_regionkey").alias("family_id"), n.alias("pos"), day(n * 100).alias("effective_from"), day(n * 100 + 1100).alias("effective_to"))
+    overrides = nations.filter(n >= 5).select(F.lit(0).alias("contract_id"), name(n).alias("unit_id"), name(n - 5).alias("target"))
+    return contract_checks.unlinked_versions(units, overrides).select(F.col("left_unit_id").alias("left_unit"), F.col("right_unit_id").alias("right_unit"))
 
 
 # consistency
@@ -317,12 +323,13 @@ def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT split_part(p_name, ' ', 1) AS alias, count(DISTINCT p_brand) AS owners FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
 def alias_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names with more than one owner, brands as units of measure (a brand's names are as few as a contract's)."""
-    names = C.table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_set(F.split("p_name", " ")[0])).alias("aliases")).orderBy("p_brand").collect()
-    brands = Contract(definitions=tuple({"unit_code": r["p_brand"], "display_name": r["p_brand"], "aliases": r["aliases"], "dimension": "quantity"} for r in names))
-    found = contract_checks.check(brands, *_no_sources(spark), frozenset(["AMBIGUOUS_UNIT_ALIAS"]))
+    """Names with more than one owner, brands as units of measure."""
+    brands = C.table(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_set(F.split("p_name", " ")[0]).alias("aliases"))
+    definitions = brands.select(F.lit(0).alias("contract_id"), F.col("p_brand").alias("unit_code"), F.col("p_brand").alias("display_name"), "aliases", F.lit("quantity").alias("dimension"), F.col("p_brand").alias("pos"))
+    found = contract_checks.ambiguous_names(contract_checks.unit_names(definitions))
     return found.select(F.col("object_ids")[0].alias("alias"), (F.size("object_ids") - 1).cast("long").alias("owners"))
 
+
 @query("SELECT doc_id + 700 AS object_id FROM labels WHERE doc_id + 700 NOT IN (SELECT doc_id FROM documents)")
 def unknown_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References to nothing."""
@@ -363,11 +370,11 @@ COMPOSITE_BOOLEAN_REASONS F_REASONS
 INVALID_ENUM_DEFINITION F_EMPTY
 UNSAFE_ENUM_QUALIFIER_ALIAS F_KIND B
 UNKNOWN_FIELD U_FIELD F_NONE
-UNGUARDED_RELATIVE_DEADLINE U_DEADLINE
+UNGUARDED_RELATIVE_DEADLINE U_DEADLINE C_DEADLINE
 INVALID_TIME_BASIS U_BASIS F_BARE
 UNSATISFIABLE_TIME_BASIS U_NEVER F_DATE
 OPTIONAL_GUARD_REQUIRED U_GUARD F_DATE
-INVALID_RELATIVE_DATE_PREDICATE U_WINDOW F_DATE
+INVALID_RELATIVE_DATE_PREDICATE U_WINDOW F_DATE F_DONE
 FIELD_KIND_CONFLICT U_KIND F_DONE
 UNKNOWN_ENUM_VALUE U_CODE F_KIND
 UNKNOWN_OVERRIDE U_LOST U_NONE
@@ -395,6 +402,74 @@ def contract_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("code", _text("object_ids").alias("objects"))
 
 
+def _flaws_sql() -> str:
+    """The codes and objects of defects.FLAWS for a customer's number m and nation n."""
+    told = [(p, *line.split(" ", 1)) for p, _, _, lines in defects.FLAWS for line in lines.split("; ") if line]
+    told.append((defects.UNCLAIMED, "NUMERIC_EVIDENCE_WITHOUT_CLAIM:CLEAR", "E_NUMBER"))
+    clear = f"m % {defects.AMBIGUOUS} <> 0"
+    tests = {"": "true", "CLEAR": clear, "OTHER": f"{clear} AND n <> 5"}
+    rows = [f"SELECT m, '{code.split(':')[0]}' AS code, replace('{objects.replace(' ', ',')}', '{{m}}', CAST(m AS VARCHAR)) AS objects FROM c WHERE m % {p} = 0 AND {tests[code.partition(':')[2]]}" for p, code, objects in told]
+    return "WITH c AS (SELECT c_custkey AS m, c_nationkey AS n FROM customer) " + " UNION ALL ".join(rows)
+
+
+@query(f"SELECT m AS contract_id, code, objects FROM ({_flaws_sql()})")
+def contract_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A contract for every customer, from its JSON, with the flaws that its number has, all checked at once by joins on the contract."""
+    ship(spark)
+    numbers = C.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("m"), F.col("c_nationkey").alias("n"))
+    contracts, blocks, sources = defects.contracts(numbers)
+    whole, _ = contract_tables.parse(contracts)
+    found = contract_checks.check_tables(contract_tables.tables(whole), blocks, sources)
+    return found.select("contract_id", "code", _text("object_ids").alias("objects"))
+
+
+_GRAPH = """WITH RECURSIVE l AS (SELECT o_custkey AS k, l_suppkey % 8 AS s, lead(l_suppkey % 8) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity < 12),
+e AS (SELECT DISTINCT k, s, t FROM l WHERE t IS NOT NULL), w AS (SELECT k, s, t, 1 AS depth FROM e UNION SELECT w.k, w.s, e.t, depth + 1 FROM w JOIN e ON w.k = e.k AND w.t = e.s WHERE depth < 9)"""
+
+
+def _supply_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph for each customer: which of eight groups of suppliers follows which in the lines of its orders, small lines only."""
+    s = F.col("l_suppkey") % 8
+    lines = C.table(spark, sf_dir, "lineitem").filter("l_quantity < 12").join(C.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    after = F.lead(s).over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    return lines.select(F.col("o_custkey").alias("customer"), s.alias("s"), after.alias("t"))
+
+
+@query(_GRAPH + " SELECT k AS customer, s AS source, t AS target, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY ALL")
+def graph_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is reached from each node of every customer's graph, by doubling walks, no graph on the driver."""
+    return graphs.reachable(_supply_graphs(spark, sf_dir), "s", "t", ["customer"])
+
+
+@query(_GRAPH + """, c AS (SELECT DISTINCT k, s, t FROM w) SELECT a.k AS customer, a.s AS node, min(b.t) AS ring, (SELECT CAST(min(depth) AS BIGINT) FROM w WHERE w.k = a.k AND w.s = a.s AND w.t = a.s) AS shortest
+FROM c a JOIN c b ON a.k = b.k AND a.s = b.s JOIN c r ON r.k = b.k AND r.s = b.t AND r.t = b.s WHERE a.s = a.t GROUP BY a.k, a.s""")
+def graph_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes that lie on rings, the ring that they belong to, and their shortest way back."""
+    return graphs.rings(graphs.reachable(_supply_graphs(spark, sf_dir), "s", "t", ["customer"]), ["customer"])
+
+
+_LIVES = "(SELECT o_custkey AS k, o_orderkey AS i, CASE WHEN o_orderkey % 11 > 0 THEN CAST(o_orderdate AS DATE) END AS f, CASE WHEN o_orderkey % 13 > 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 200 AS INT) END AS t FROM orders)"
+
+
+def _lives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as versions of their customer's policy, some without a beginning or an end."""
+    k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    return C.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer"), k.alias("version"), F.when(k % 11 > 0, day).alias("since"), F.when(k % 13 > 0, F.date_add(day, (k % 200).cast("int"))).alias("until"))
+
+
+@query(f"SELECT a.k AS customer, a.i AS left_version, b.i AS right_version FROM {_LIVES} a JOIN {_LIVES} b ON a.k = b.k AND a.i < b.i AND coalesce(a.f <= b.t, true) AND coalesce(b.f <= a.t, true)")
+def version_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of one family that share a day; beginnings are looked up among the intervals, each pair met once."""
+    return intervals.overlapping(_lives(spark, sf_dir), ["customer"], "version", ["version"])
+
+
+@query(f"SELECT event_id, coalesce(i, -1) AS version FROM events LEFT JOIN {_LIVES} v ON k = user_id AND coalesce(CAST(ts AS DATE) - CAST(2190 + event_id % 700 AS INT) >= f, true) AND coalesce(CAST(ts AS DATE) - CAST(2190 + event_id % 700 AS INT) <= t, true)")
+def version_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events meet the versions of their user that are valid on a day in the years of the orders; versions are a table as the events are."""
+    events = C.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("customer"), F.date_sub(F.to_date("ts"), (2190 + F.col("event_id") % 700).cast("int")).alias("day"))
+    return intervals.join_days(events, _lives(spark, sf_dir), "day", ["customer"]).select("event_id", F.coalesce("version", F.lit(-1)).alias("version"))
+
+
 #: What is wrong with the items of defects.items(), by their mistake: its number, a code, and the objects that it names.
 _MISTAKES = """
 0 DUPLICATE_INTENT_ID
@@ -560,13 +635,11 @@ def structural_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT CAST(n_nationkey AS BIGINT) AS older, CAST(n_nationkey + 5 AS BIGINT) AS newer FROM nation WHERE n_nationkey + 5 IN (SELECT n_nationkey FROM nation) AND n_nationkey % 2 = 0""")
 def reversed_override_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of two units that override each other, the edge from the older to the newer goes."""
-    edges = [tuple(r) for r in _edges(spark, sf_dir).collect()]  # of contract size
-    edges += [(t, u) for u, t in edges if t % 2 == 0]
-    units = {n: {"unit_id": n, "family_id": "G", "effective_from": f"{2000 + n}-01-01", "overrides_unit_ids": [t for u, t in edges if u == n]} for n in sorted({x for e in edges for x in e})}
-    rings = closure.cycles(spark.createDataFrame(edges, "unit_id long, target long"), "unit_id", "target", sorted(units)).collect()
-    repaired = build.repair_overrides({"policy_units": list(units.values())}, [("OVERRIDE_CYCLE", list(r["path"])) for r in rings])
-    kept = {(u["unit_id"], t) for u in repaired["policy_units"] for t in u["overrides_unit_ids"]}
-    return spark.createDataFrame([e for e in edges if e not in kept], "older long, newer long")
+    one_way = _edges(spark, sf_dir)
+    edges = one_way.unionByName(one_way.filter("target % 2 = 0").select(F.col("target").alias("unit_id"), F.col("unit_id").alias("target")))
+    units = C.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("unit_id"), F.lit("G").alias("family_id"), F.make_date(2000 + F.col("n_nationkey"), F.lit(1), F.lit(1)).alias("effective_from"))
+    return build.reversed_edges(edges, units).select(F.col("unit_id").alias("older"), F.col("target").alias("newer"))
+
 
 # documents and text
 
@@ -722,6 +795,27 @@ def odd_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t,) for t in tokens], "token string").select("token", F.coalesce(T.parse_number("token"), F.lit("-")).alias("n"))
 
 
+_LONG = "'1' || lpad(CAST(p_partkey AS VARCHAR), 39, '0')"
+
+
+@query(f"""SELECT p_partkey, 'duration:' || {_LONG} || ':DAY,money:-0.' || repeat('0', 30) || p_partkey || ':USD' AS found, CAST(sign(p_partkey - p_size) AS DOUBLE) AS against_size, p_partkey % 3 <> 1 AS same, CAST(sign(p_size - p_partkey) AS DOUBLE) AS negative
+FROM part""")
+def long_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts of 40 digits found, and such numbers compared: with one that the part's size ends, with themselves written otherwise, and below 0."""
+    ship(spark)
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    long = lambda x: F.concat(F.lit("1"), F.lpad(x, 39, "0"))
+    small = lambda x: F.concat(F.lit("0." + "0" * 30), F.lpad(x, 12, "0"))
+    number = lambda raw: value("decimal", n=held(raw), raw=raw)
+    text = F.concat(F.lit("within "), long(k), F.lit("天, fee -0."), F.lit("0" * 30), k, F.lit(" dollars"))
+    found = T.literals(text, [("USD", ["dollar", "dollars"], "money"), ("DAY", ["天", "日"], "duration")])
+    again = F.when(F.col("p_partkey") % 3 == 0, F.concat(long(k), F.lit(".000"))).when(F.col("p_partkey") % 3 == 1, F.concat(long(k), F.lit(".0001"))).otherwise(F.concat(F.lit("+"), long(k)))
+    return C.table(spark, sf_dir, "part").select(
+        "p_partkey", F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["raw"], x["unit_code"])), ",").alias("found"), compare(number(long(k)), number(long(size))).cast("double").alias("against_size"),
+        same_value(number(long(k)), number(again)).alias("same"), compare(number(F.concat(F.lit("-"), small(k))), number(F.concat(F.lit("-"), small(size)))).cast("double").alias("negative"),
+    )
+
+
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day FROM orders""")
 def long_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """dates with 年, 月 and 日, in Arabic or Chinese digits; without a year there is none."""

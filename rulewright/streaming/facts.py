@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from rulewright.operators.intervals import join_days
 
 
 def with_version(facts: DataFrame, versions: DataFrame, day: str = "day") -> DataFrame:
-    """facts with version_id of the versions (version_id, since, until; contract size) whose closed interval holds their day; NULL where there is none."""
-    v = F.broadcast(versions.select("version_id", "since", "until"))
-    inside = F.coalesce(F.col(day) >= F.col("since"), F.lit(True)) & F.coalesce(F.col(day) <= F.col("until"), F.lit(True))
-    return facts.join(v, inside, "left").drop("since", "until")
+    """facts with version_id of the versions (version_id, since, until: any number) whose closed interval holds their day; NULL where there is none, or no day."""
+    return join_days(facts, versions.select("version_id", "since", "until"), day).drop("since", "until")
 
 
 def read_stream(spark, path: str, schema) -> DataFrame:

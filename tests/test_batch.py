@@ -89,15 +89,19 @@ def test_command_line(spark, place, capsys):
     assert cli.main(["approve-aliases", "--store", store, "--approval", str(approval)], spark) == 2
 
 
-def test_override_repair():
+def test_override_repair(spark):
     body = copy.deepcopy(BODY)
     body["policy_units"][0]["overrides_unit_ids"] = ["U_NEW"]
     issues = [("OVERRIDE_CYCLE", ["U_NEW", "U_OLD", "U_NEW"])]
-    assert build.repair_overrides(body, issues) is None  # the old version has no start
+    assert build.repair_overrides(spark, body, issues) is None  # the old version has no start
     body["policy_units"][0]["effective_from"] = "2029-01-01"
-    fixed = build.repair_overrides(body, issues)
+    fixed = build.repair_overrides(spark, body, issues)
     assert fixed["policy_units"][0]["overrides_unit_ids"] == [] and fixed["policy_units"][1]["overrides_unit_ids"] == ["U_OLD"]
-    assert build.repair_overrides(body, [*issues, ("UNKNOWN_TOPIC", ["x"])]) is None
+    assert build.repair_overrides(spark, body, [*issues, ("UNKNOWN_TOPIC", ["x"])]) is None
+    assert build.repair_overrides(spark, body, []) is None
+    assert build.repair_overrides(spark, body, [*issues, ("OVERRIDE_CYCLE", ["U_NEW", "U_OTHER", "U_NEW"])]) is None
+    body["policy_units"][0]["family_id"] = "H"
+    assert build.repair_overrides(spark, body, issues) is None
 
 
 def test_bodies_are_checked():

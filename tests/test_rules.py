@@ -3,13 +3,15 @@
 import datetime as dt
 import itertools
 import random
+from decimal import Decimal, localcontext
 
 import pytest
 from pyspark.sql import functions as F
 
+from rulewright.functions import values as V
 from rulewright.functions.kleene import all_of, any_of, grouped_all, grouped_any, letter
 from rulewright.functions.values import VALUE, value
-from rulewright.operators import closure, predicates, rules
+from rulewright.operators import closure, graphs, predicates, rules
 from rulewright.plans.contract import Claim, Contract, Predicate, Unit, Value
 
 D = dt.date
@@ -177,8 +179,8 @@ def test_both_plans_agree_with_a_plain_reading(spark):
 
 def test_cycles_and_reachability(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d")], "u string, v string")
-    assert sorted(tuple(r.path) for r in closure.cycles(edges, "u", "v").collect()) == [("a", "b", "a")]
-    got = {(r.source, r.target): r.depth for r in closure.reachable(edges, "u", "v").collect()}
+    assert sorted(tuple(r.path) for r in graphs.cycles(edges, "u", "v").collect()) == [("a", "b", "a")]
+    got = {(r.source, r.target): r.depth for r in graphs.reachable(edges, "u", "v").collect()}
     assert got[("a", "d")] == 3 and got[("a", "a")] == 2 and ("d", "a") not in got
 
 
@@ -192,12 +194,12 @@ def test_deep_and_dense_contracts(spark):
     """Each node is walked once: twelve layers of three units that each override all three below, and a chain of 1,000 versions."""
     layers = [(f"L{i:02d}{a}", f"L{i + 1:02d}{b}") for i in range(11) for a in "abc" for b in "abc"]
     dense = spark.createDataFrame(layers, "u string, v string")
-    got = closure.reachable(dense, "u", "v").filter("source = 'L00a'").collect()
-    assert len(got) == 33 and max(r.depth for r in got) == 11 and closure.cycles(dense, "u", "v").count() == 0
+    got = graphs.reachable(dense, "u", "v").filter("source = 'L00a'").collect()
+    assert len(got) == 33 and max(r.depth for r in got) == 11 and graphs.cycles(dense, "u", "v").count() == 0
     chain = spark.createDataFrame([(f"U{i + 1:04d}", f"U{i:04d}") for i in range(999)], "unit_id string, target string")
-    assert closure.reachable(chain, "unit_id", "target").agg(F.count("*"), F.max("depth")).first() == (499_500, 999)
+    assert graphs.reachable(chain, "unit_id", "target").agg(F.count("*"), F.max("depth")).first() == (499_500, 999)
     ring = chain.unionByName(spark.createDataFrame([("U0000", "U0999")], chain.schema))
-    assert [len(r.path) for r in closure.cycles(ring, "unit_id", "target").collect()] == [1001]
+    assert [len(r.path) for r in graphs.cycles(ring, "unit_id", "target").collect()] == [1001]
     units = tuple(Unit(f"U{i:04d}", "G", overrides=(f"U{i - 1:04d}",) if i else (), claims=(Claim(f"C{i:04d}"),)) for i in range(1000))
     intents = spark.createDataFrame([(1, "I", [], ["C0500"]), (2, "I", ["G"], []), (3, "I", [], []), (4, "I", None, None)], "item_id long, intent_id string, family_ids array<string>, claim_ids array<string>")
     found = {r["item_id"]: r["count"] for r in closure.candidates(intents, Contract(units).tables(spark)).groupBy("item_id").count().collect()}
@@ -210,3 +212,36 @@ def test_a_newer_version_behind_a_root_is_not_followed(spark):
     intents = spark.createDataFrame([(1, "I", [], ["CA"]), (2, "I", [], ["CB"])], "item_id long, intent_id string, family_ids array<string>, claim_ids array<string>")
     got = closure.candidates(intents, Contract(units).tables(spark)).collect()
     assert {r.unit_id for r in got if r.item_id == 1} == {"A", "B"} and {r.unit_id for r in got if r.item_id == 2} == {"A", "B", "C"}
+
+
+def test_numbers_of_any_length(spark):
+    """The canonical text and the order of numbers against Python's decimals, and the drop of what decimal(38,18) can't hold."""
+    rng = random.Random(5)
+    texts = ["0", "-0", "+0.0", ".5", "-.50", "007", "-7.", "10", "100", "1.10", "9" * 30, "-" + "9" * 30, "0." + "0" * 25 + "1", "1" * 20 + "." + "1" * 18, "1" * 21, "0." + "1" * 19]
+    texts += [rng.choice(["", "-", "+"]) + str(rng.randrange(10 ** rng.randint(1, 30))) + rng.choice(["", "." + str(rng.randrange(10 ** rng.randint(1, 25))).zfill(3)]) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", V.canonical(F.col("t")).alias("c"), V.order_key(F.col("t")).alias("k"), V.held(F.col("t")).alias("n")).collect()
+    with localcontext(prec=100):
+        exact = {r.t: Decimal(r.t) for r in rows}
+        for r in rows:
+            assert Decimal(r.c) == exact[r.t] and (r.n is None or r.n == exact[r.t])
+        ordered = sorted(rows, key=lambda r: r.k)
+        assert all((exact[a.t] < exact[b.t]) == (a.k < b.k) and (exact[a.t] == exact[b.t]) == (a.c == b.c) for a, b in zip(ordered, ordered[1:], strict=False))
+    assert {r.t for r in rows if r.n is not None} >= {"0", "10", "1.10", "1" * 20 + "." + "1" * 18} and not {r.t for r in rows if r.n is not None} & {"1" * 21, "0." + "1" * 19, "9" * 30}
+
+
+def test_predicates_over_long_numbers(spark):
+    long = "123456789012345678901234567890"
+    money = lambda n: Value("money", n, "USD")
+    tries = {
+        ("gt", long): (long + ".0000000000000000000001", True), ("eq", long): (long + ".0", True), ("neq", long): (long[:-1] + "1", True), ("in", "-" + long): ("-" + long, True), ("not_in", long): (long, False),
+    }
+    for (operator, own), (fact, expected) in tries.items():
+        p = Predicate("F", operator, (money(own),))
+        row = spark.createDataFrame([(money(fact).row(),)], f"f {VALUE}")
+        assert row.select(predicates.compiled(p, {"F": F.col("f")})).first()[0] is expected
+        assert row.select(predicates.truth(F.lit(operator), F.col("f"), F.lit(None).cast(VALUE), F.array(money(own).column()))).first()[0] is expected
+    window = Predicate("F", "within_natural_days_from_next_day", (Value("duration", "8" * 25, "DAY"),), "G")
+    day = lambda d: Value("date", d).row()
+    row = spark.createDataFrame([(day(D(2030, 1, 9)), day(D(2030, 1, 1)))], f"f {VALUE}, g {VALUE}")
+    assert row.select(predicates.compiled(window, {"F": F.col("f"), "G": F.col("g")})).first()[0] is True
+    assert row.select(predicates.truth(F.lit(window.operator), F.col("f"), F.col("g"), F.array(window.values[0].column()))).first()[0] is True

@@ -227,3 +227,11 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         session.shared_dir(Session())
+
+
+def test_control_characters_are_no_context(spark):
+    """Only 月 and 年 themselves make a 日 or 月 part of a date."""
+    units = [("DAY", ["日", "天"], "duration"), ("MONTH", ["月", "个月"], "duration")]
+    texts = {"共\x015日": [("duration", "5", "DAY")], "共5日": [("duration", "5", "DAY")], "3月5日": [], "年5月 ": [], "共\x025月 ": [("duration", "5", "MONTH")], "月15日内": [], "共12个月": [("duration", "12", "MONTH")]}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.literals(F.col("t"), units).alias("x")).collect()
+    assert {r.t: [tuple(x) for x in r.x] for r in got} == texts == {t: T.Literals(units).find(t) for t in texts}
