@@ -1,4 +1,4 @@
-"""Command line: run, build-contract, inspect-contract, approve-aliases, evaluate. Replies of the model come from a file of JSON lines. An expected error ends with code 2."""
+"""Command line: run, build-contract, inspect-contract, approve-aliases, evaluate, stability. Replies of the model come from a file of JSON lines. An expected error ends with code 2."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import datetime as dt
 import json
 import os
 import sys
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,13 +31,15 @@ def _url(path: str) -> str:
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="rulewright")
     verbs = parser.add_subparsers(dest="verb", required=True)
-    for verb, options in {"run": ("docs", "questions", "replies", "output", "store", "contract-key"), "build-contract": ("docs", "replies", "store"), "inspect-contract": ("docs", "store"), "approve-aliases": ("store", "approval"), "evaluate": ("predictions", "reference")}.items():
+    for verb, options in {"run": ("docs", "questions", "replies", "output", "store", "contract-key"), "build-contract": ("docs", "replies", "store"), "inspect-contract": ("docs", "store"), "approve-aliases": ("store", "approval"), "evaluate": ("predictions", "reference"), "stability": ("predictions", "reference")}.items():
         sub = verbs.add_parser(verb)
         for option in options:
-            sub.add_argument(f"--{option}", required=option != "contract-key")
+            sub.add_argument(f"--{option}", required=option != "contract-key", **({"nargs": "+"} if verb == "stability" and option == "predictions" else {}))
         sub.add_argument("--as-of")
         if "docs" in options:
             sub.add_argument("--pages", help="JSON lines stem, page, text: the text of the PDF files' pages")
+        if verb in ("evaluate", "stability"):
+            sub.add_argument("--items", help="folder for a JSON line for every item, written by Spark")
         if verb == "build-contract":
             sub.add_argument("--force", action="store_true")
     return parser
@@ -130,14 +133,45 @@ def _approve(spark: SparkSession, options: argparse.Namespace, settings: Setting
     return {"contract_key": ContractStore(options.store).approve_aliases(asked["base_cache_key"], asked["base_body_sha256"], asked["aliases"], asked["approval_note"], dt.datetime.now(dt.UTC))}
 
 
+def _scored(spark: SparkSession, paths: list[str], reference: str) -> tuple[DataFrame, DataFrame]:
+    """Predictions with run, the number of their file, and the references. The ids of each run are those of the reference."""
+    runs = [_strict(spark, p, PREDICTION, records.PREDICTION, "predictions").withColumn("run", F.lit(i)) for i, p in enumerate(paths)]
+    expected = _strict(spark, reference, REFERENCE, records.REFERENCE, "reference")
+    return reduce(DataFrame.unionByName, runs), expected
+
+
+def _refuse(faults: DataFrame) -> None:
+    """An error that names the first ids at fault of each kind."""
+    found = {r["fault"]: sorted(r["ids"])[:10] for r in faults.groupBy("fault").agg(F.slice(F.array_sort(F.collect_set("id")), 1, 10).alias("ids")).collect()}
+    if found:
+        raise ValueError("prediction ids do not match reference ids: " + " ".join(f"{k}={v}" for k, v in sorted(found.items())))
+
+
+def _write_items(items: DataFrame, folder: str | None) -> None:
+    if folder:
+        items.write.mode("overwrite").option("ignoreNullFields", "false").json(_url(folder))
+
+
 def _evaluate(spark: SparkSession, options: argparse.Namespace, settings: Settings) -> dict:
-    predictions, reference = _strict(spark, options.predictions, PREDICTION, records.PREDICTION, "predictions"), _strict(spark, options.reference, REFERENCE, records.REFERENCE, "reference")
-    if scoring.id_mismatch(predictions, reference).limit(1).count():
-        raise ValueError("prediction ids do not match reference ids")
-    return scoring.metrics(scoring.audit(predictions.drop("line_no"), reference.drop("line_no"))).first().asDict()
+    predictions, reference = _scored(spark, [options.predictions], options.reference)
+    _refuse(scoring.id_mismatch(predictions, reference).withColumnRenamed("side", "fault"))
+    items = materialize(scoring.audit(predictions.drop("line_no", "run"), reference.drop("line_no")), "audit")
+    _write_items(items, options.items)
+    return scoring.metrics(items).first().asDict() | {"strict_output_valid": True}
+
+
+def _stability(spark: SparkSession, options: argparse.Namespace, settings: Settings) -> dict:
+    predictions, reference = _scored(spark, options.predictions, options.reference)
+    _refuse(scoring.order_faults(predictions.withColumnRenamed("line_no", "line"), reference.withColumnRenamed("line_no", "line")))
+    signed = materialize(scoring.signatures(predictions.drop("line_no"), reference.drop("line_no")), "signatures")
+    items = materialize(scoring.stability(signed), "stability")
+    _write_items(items, options.items)
+    passed = {r["run"]: r["passed"] for r in scoring.runs_passed(signed).collect()}
+    totals = items.agg(F.count(F.lit(1)).alias("item_count"), F.count_if(~F.col("stable")).alias("changed"), F.bool_and(F.col("stable") & F.col("meets_every_run")).alias("stable")).first().asDict()
+    return {"run_count": len(options.predictions)} | totals | {"runs": [{"path": p, "strict_output_valid": True, "ids_match": True, "reference_passed": passed[i]} for i, p in enumerate(options.predictions)]}
 
 
-_VERBS = {"run": _run, "build-contract": _build, "inspect-contract": _inspect, "approve-aliases": _approve, "evaluate": _evaluate}
+_VERBS = {"run": _run, "build-contract": _build, "inspect-contract": _inspect, "approve-aliases": _approve, "evaluate": _evaluate, "stability": _stability}
 
 if __name__ == "__main__":
     sys.exit(main())

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rulewright.operators.prefix import running
+
 _NONE = "array<string>"
 
 
@@ -14,6 +16,24 @@ def id_mismatch(predictions: DataFrame, reference: DataFrame) -> DataFrame:
     return p.join(r, "id", "full_outer").filter("p is null or r is null").select("id", F.when(F.col("p").isNull(), "missing").otherwise("extra").alias("side"))
 
 
+def order_faults(runs: DataFrame, reference: DataFrame) -> DataFrame:
+    """Columns run, id, fault: ids that a run lacks (missing), that only the run has (extra), and those of both that don't stand where the reference has them among these (moved). No rows: every run is in the reference's order.
+
+    runs: run, line, id, reference: line, id; ids come once, lines needn't follow each other. The two orders of what a run and the reference share are counted through and compared by id.
+    """
+    own = runs.select("run", "id", "line")
+    wanted = reference.select("id", F.col("line").alias("place"))
+    names = [r["run"] for r in own.select("run").distinct().collect()]  # one for each file
+    everywhere = wanted.select("id", F.explode(F.lit(names) if names else F.array().cast(f"array<{own.schema['run'].dataType.simpleString()}>")).alias("run"))
+    missing = everywhere.join(own, ["run", "id"], "left_anti").select("run", "id", F.lit("missing").alias("fault"))
+    extra = own.join(wanted, "id", "left_anti").select("run", "id", F.lit("extra").alias("fault"))
+    both = own.join(wanted, "id")
+    here = running(both, [F.col("run"), F.col("line"), F.col("id")], {"here": F.lit(1)}, "order").select("run", "id", "here")
+    there = running(both, [F.col("run"), F.col("place"), F.col("id")], {"there": F.lit(1)}, "order").select("run", "id", "there")
+    moved = here.join(there, ["run", "id"]).filter("here <> there").select("run", "id", F.lit("moved").alias("fault"))
+    return missing.unionByName(extra).unionByName(moved)
+
+
 def _places(evidence: Column, strict: bool) -> Column:
     """Distinct places, as text that sorts and compares."""
     place = lambda e: F.concat_ws("\x1f", e["document"], e["page"].cast("string"), *([e["section"]] if strict else []))

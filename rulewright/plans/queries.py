@@ -1122,10 +1122,23 @@ def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_RUNS + """ SELECT id, count(DISTINCT yes) = 1 AND count(DISTINCT facts) = 1 AS stable, bool_and(meets) AS meets_every_run,
 CASE WHEN count(DISTINCT yes) > 1 THEN 'decision,reason,' ELSE '' END || CASE WHEN count(DISTINCT facts) > 1 THEN 'facts,' ELSE '' END || CASE WHEN count(DISTINCT yes) > 1 THEN 'evidence,' ELSE '' END AS changed FROM s GROUP BY ALL""")
 def run_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What changes between runs."""
+    """What changes between runs."""
     return scoring.stability(_signed(spark, sf_dir)).select("id", "stable", "meets_every_run", F.array_join(F.transform("changed", lambda x: F.concat(x, F.lit(","))), "").alias("changed"))
 
 
+@query("""WITH r AS (SELECT DISTINCT doc_id AS id FROM labels), p AS (SELECT 0 AS run, id, id AS line FROM r UNION ALL SELECT 1, id, CASE WHEN id % 7 = 0 THEN id + 10 ELSE id END FROM r
+UNION ALL SELECT 2, id, -id FROM r WHERE id % 5 <> 0 UNION ALL SELECT 2, id + 1000000, id FROM r WHERE id % 11 = 0),
+b AS (SELECT run, id, row_number() OVER (PARTITION BY run ORDER BY line, id) AS here, row_number() OVER (PARTITION BY run ORDER BY id) AS there FROM p WHERE id IN (SELECT id FROM r))
+SELECT run, id, 'moved' AS fault FROM b WHERE here <> there UNION ALL SELECT run, id, 'extra' FROM p WHERE id NOT IN (SELECT id FROM r) UNION ALL SELECT run, id, 'missing' FROM r CROSS JOIN (VALUES (0), (1), (2)) v(run) WHERE (run, id) NOT IN (SELECT (run, id) FROM p)""")
+def run_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs in the reference's order, with some ids elsewhere, and turned round with ids missing and extra."""
+    ids = C.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).distinct()
+    k = F.col("id")
+    run = lambda n, rows, line, key=k: rows.select(F.lit(n).alias("run"), key.alias("id"), line.alias("line"))
+    runs = run(0, ids, k).unionByName(run(1, ids, F.when(k % 7 == 0, k + 10).otherwise(k))).unionByName(run(2, ids.filter(k % 5 != 0), -k)).unionByName(run(2, ids.filter(k % 11 == 0), k, k + 1_000_000))
+    return scoring.order_faults(runs, ids.select("id", k.alias("line")))
+
+
 @query(_RUNS + " SELECT run, count(*) FILTER (WHERE meets) AS passed, count(*) AS items FROM s GROUP BY ALL")
 def runs_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10."""

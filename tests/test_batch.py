@@ -82,7 +82,7 @@ def test_command_line(spark, place, capsys):
     reference = lines(place / "ref.jsonl", [{"id": r["id"], **(good if r["decision"] == "answer" else good | {"expected_decision": "handoff", "reason_code": r["reason_code"], "required_facts": [], "acceptable_evidence": []})} for r in got])
     capsys.readouterr()
     assert cli.main(["evaluate", "--predictions", output, "--reference", reference], spark) == 0
-    assert json.loads(capsys.readouterr().out) == {"total": 6, "decision_correct": 6, "reason_correct": 6, "fact_hits": 2, "fact_total": 2, "evidence_correct": 6}
+    assert json.loads(capsys.readouterr().out) == {"total": 6, "decision_correct": 6, "reason_correct": 6, "fact_hits": 2, "fact_total": 2, "evidence_correct": 6, "strict_output_valid": True}
     assert cli.main(["inspect-contract", "--docs", docs, "--store", store], spark) == 0 and json.loads(capsys.readouterr().out)["contract_key"] == key
     approval = place / "approval.json"
     approval.write_text(json.dumps({"base_cache_key": key, "base_body_sha256": digest(BODY), "approval_note": "x", "aliases": [{"field_id": "F_DATE", "value_code": "A", "alias": "y"}]}))
@@ -111,3 +111,25 @@ def test_bodies_are_checked():
         Contract.from_body(bad)
     with pytest.raises(KeyError):
         Contract.from_body({"policy_units": []})
+
+
+def test_stability_over_files(spark, tmp_path, capsys):
+    evidence = [{"document": "d", "page": 1, "section": "s", "quote": "q"}]
+    answer = lambda k, text: {"id": k, "decision": "answer", "answer": text, "reason_code": None, "evidence": evidence}
+    handoff = {"id": "b", "decision": "handoff", "answer": "x", "reason_code": "AMBIGUOUS", "evidence": []}
+    expected = {"id": "a", "expected_decision": "answer", "reason_code": None, "reference_answer": "x", "required_facts": ["8"], "acceptable_evidence": evidence}
+    reference = lines(tmp_path / "ref", [expected, expected | {"id": "b", "expected_decision": "handoff", "reason_code": "AMBIGUOUS", "required_facts": [], "acceptable_evidence": []}, expected | {"id": "c"}])
+    one = lines(tmp_path / "1", [answer("a", "8"), handoff, answer("c", "8 days")])
+    two = lines(tmp_path / "2", [answer("a", "9"), "", handoff, answer("c", "in 8")])
+    run = lambda *paths: cli.main(["stability", "--predictions", *paths, "--reference", reference, "--items", str(tmp_path / "items")], spark)
+    assert run(one, two) == 0
+    told = json.loads(capsys.readouterr().out)
+    assert {k: told[k] for k in ("run_count", "item_count", "changed", "stable")} == {"run_count": 2, "item_count": 3, "changed": 1, "stable": False} and [r["reference_passed"] for r in told["runs"]] == [3, 2]
+    items = {r["id"]: r for r in map(json.loads, "".join(p.read_text() for p in (tmp_path / "items").glob("*.json")).splitlines())}
+    assert items["a"] == {"id": "a", "stable": False, "meets_every_run": False, "changed": ["facts"]} and items["c"]["stable"]
+    assert run(one, one) == 0 and json.loads(capsys.readouterr().out)["stable"] is True
+    other = lines(tmp_path / "3", [handoff, answer("a", "8"), answer("c", "8")])
+    assert run(one, other) == 2 and "moved=['a', 'b']" in capsys.readouterr().err
+    other = lines(tmp_path / "4", [answer("a", "8"), handoff, answer("z", "8")])
+    assert run(one, other) == 2 and capsys.readouterr().err == "prediction ids do not match reference ids: extra=['z'] missing=['c']\n"
+    assert cli.main(["evaluate", "--predictions", other, "--reference", reference], spark) == 2 and "extra=['z'] missing=['c']" in capsys.readouterr().err
