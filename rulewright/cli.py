@@ -7,13 +7,14 @@ import datetime as dt
 import json
 import os
 import sys
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulewright.functions import schemas
-from rulewright.operators import scoring
+from rulewright.operators import scoring, telemetry
 from rulewright.plans import batch, build, records
 from rulewright.plans.contract import Contract
 from rulewright.session import local_session, materialize
@@ -38,6 +39,9 @@ def _parser() -> argparse.ArgumentParser:
         sub.add_argument("--as-of")
         if "docs" in options:
             sub.add_argument("--pages", help="JSON lines stem, page, text: the text of the PDF files' pages")
+        if verb == "run":
+            sub.add_argument("--failures", help="folder for an event of every reply that did not count, written by Spark")
+            sub.add_argument("--repairs", help="folder for the requests for a second reply, written by Spark")
         if verb in ("evaluate", "stability"):
             sub.add_argument("--items", help="folder for a JSON line for every item, written by Spark")
         if verb == "build-contract":
@@ -101,10 +105,21 @@ def _run(spark: SparkSession, options: argparse.Namespace, settings: Settings) -
     kept = store.load(options.contract_key or store.key(sources, model=settings.model))
     if kept is None:
         raise ValueError("there is no contract for these documents")
-    replies = spark.read.schema("output_id string, attempt int, text string").json(_url(options.replies))
-    published = materialize(batch.run(questions, replies, Contract.from_body(kept[0]), blocks, settings.as_of), "records")
-    jsonl.write_predictions(published, options.output, "line_no", [options.questions, options.docs])
-    return scoring.report(published).drop("ambiguous").first().asDict()
+    replies = spark.read.schema("output_id string, attempt int, text string, state string, " + ", ".join(f"{c} long" for c in telemetry.USAGE)).json(_url(options.replies))
+    began = time.monotonic()
+    done = batch.run_all(questions, replies, Contract.from_body(kept[0]), blocks, settings.as_of)
+    published = materialize(done.records, "records")
+    if options.output.endswith("/"):
+        jsonl.write_parts(published, _url(options.output), "line_no")
+    else:
+        jsonl.write_predictions(published, options.output, "line_no", [options.questions, options.docs])
+    failures = materialize(done.failures, "failures")
+    for rows, folder in ((failures, options.failures), (done.repairs, options.repairs)):
+        _write_items(rows, folder)
+    counts = scoring.report(published).drop("ambiguous").first().asDict()
+    lost = published.join(done.replies.select(F.col("output_id").alias("id")), "id", "left_anti").count()
+    used = telemetry.usage(done.replies).drop("requests").first().asDict()
+    return counts | {"unanswered": lost, "attempt_failures": failures.count(), "usage": used, "elapsed_seconds": round(time.monotonic() - began, 3)}
 
 
 def _build(spark: SparkSession, options: argparse.Namespace, settings: Settings) -> dict:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulewright.functions import schemas
 from rulewright.functions.values import DECIMAL_TEXT, NUMERIC_KINDS, held, value
-from rulewright.operators import analysis_checks, closure, decide, rules
+from rulewright.operators import analysis_checks, closure, decide, rules, telemetry
 from rulewright.plans import records
 from rulewright.plans.contract import Contract
 from rulewright.session import materialize, ship
@@ -62,19 +63,44 @@ def item_tables(parsed: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+@dataclass(frozen=True)
+class Run:
+    """A batch that was run.
+
+    records: line_no, id, decision, answer, reason_code, evidence, one for every question; failures: item_no, attempt, response_status, issue_codes, contract_object_ids and the counts of
+    telemetry.USAGE, one for every reply that didn't count although it was tried; repairs: output_id, attempt, request (JSON of question, validation_errors, previous_final_json), one
+    for every question whose only reply didn't count; replies: output_id, attempt and the counts, one for each that was tried.
+    """
+
+    records: DataFrame
+    failures: DataFrame
+    repairs: DataFrame
+    replies: DataFrame
+
+
 def run(questions: DataFrame, replies: DataFrame, contract: Contract, blocks: DataFrame, as_of: dt.date) -> DataFrame:
-    """Columns line_no, id, decision, answer, reason_code, evidence: the record of every question.
+    """The records of run_all()."""
+    return run_all(questions, replies, contract, blocks, as_of).records
+
+
+def run_all(questions: DataFrame, replies: DataFrame, contract: Contract, blocks: DataFrame, as_of: dt.date) -> Run:
+    """Every question decided by its replies.
 
-    questions: as jsonl.parse_questions() gives; replies: output_id, attempt, text, and state if they have one; blocks: as markdown.number_blocks() gives, with document_name. A reply counts if it can be parsed, nothing is wrong with it and its plan is allowed; of two
+    questions: as jsonl.parse_questions() gives; replies: output_id, attempt, text, and state and the counts of telemetry.USAGE if they have them; blocks: as markdown.number_blocks() gives, with document_name. A reply counts if it can be parsed, nothing is wrong with it and its plan is allowed; of two
     attempts the first that counts is published. A line that isn't valid, and a question none of whose replies counts, are handed off as AMBIGUOUS.
     """
     spark = questions.sparkSession
     ship(spark)
     asked = questions.filter("issue_code is null").select("output_id", "question")
-    tried = replies.filter("attempt <= 2").join(asked, "output_id").withColumn("item_id", F.concat_ws("#", "output_id", F.col("attempt").cast("string")))
+    told_of = {c: F.col(c).cast("long") if c in replies.columns else F.lit(None).cast("long") for c in telemetry.USAGE}
+    state = F.coalesce(F.col("state"), F.lit("completed")) if "state" in replies.columns else F.lit("completed")
+    used = replies.filter("attempt <= 2").select("output_id", "attempt", "text", state.alias("state"), *[v.alias(c) for c, v in told_of.items()])
+    tried = used.join(asked, "output_id").withColumn("item_id", F.concat_ws("#", "output_id", F.col("attempt").cast("string")))
     # each step that several others read is written once, which also keeps the plans small
-    items = item_tables(materialize(parse_replies(tried.select("item_id", "question", "text", *[c for c in ("state",) if c in replies.columns])), "replies"))
-    wrong = materialize(analysis_checks.check(items, contract, blocks, F.lit(as_of)).select("item_id").distinct(), "wrong")
+    parsed = materialize(parse_replies(tried.select("item_id", "question", "text", "state")), "replies")
+    items = item_tables(parsed)
+    issues = materialize(analysis_checks.check(items, contract, blocks, F.lit(as_of)).distinct(), "issues")
+    wrong = issues.select("item_id").distinct()
     right = {name: rows.join(wrong, "item_id", "left_anti") for name, rows in items.items()}
     tables = contract.tables(spark)
     candidates = materialize(closure.candidates(right["intents"].select("item_id", "intent_id", "family_ids", "claim_ids"), tables), "candidates")
@@ -92,4 +118,17 @@ def run(questions: DataFrame, replies: DataFrame, contract: Contract, blocks: Da
     published = decide.records(told.filter("item_id <> ''").select("item_id", "outcome"), right["questions"].select("item_id", F.col("answer_draft").alias("answer")), cited).withColumnRenamed("id", "item_id")
     handed = decide.records(told.filter("item_id = ''").select(F.col("id").alias("item_id"), "outcome"), right["questions"].select("item_id", F.col("answer_draft").alias("answer")).limit(0), cited.limit(0))
     good = told.join(published, "item_id").select("line_no", "id", "decision", "answer", "reason_code", "evidence")
-    return good.unionByName(told.filter("item_id = ''").drop("outcome").join(handed, "id").select("line_no", "id", "decision", "answer", "reason_code", "evidence"))
+    records = good.unionByName(told.filter("item_id = ''").drop("outcome").join(handed, "id").select("line_no", "id", "decision", "answer", "reason_code", "evidence"))
+    broken = parsed.filter("issue_code is not null").select("item_id", F.col("issue_code").alias("code"), F.array().cast("array<string>").alias("object_ids"), F.concat(F.lit("invalid fields: "), F.array_join("faults", ", ")).alias("message"))
+    barred = outcomes.filter("outcome = 'REPAIR'").select("item_id", F.lit("INACTIVE_CLAIM").alias("code"), F.col("inactive_claims").alias("object_ids"))
+    found = broken.unionByName(issues.unionByName(barred).withColumn("message", F.col("code")))
+    # replies before the one that counts
+    names = tried.select("item_id", "output_id", "attempt", "question", "text", F.col("state").alias("status"), *telemetry.USAGE)
+    first = chosen.select(F.col("item_id").alias("output_id"), F.col("attempt").alias("counts"))
+    failed = names.join(found.select("item_id").distinct(), "item_id", "left_semi").join(first, "output_id", "left").filter("counts is null or attempt < counts")
+    numbered = failed.join(questions.select("output_id", "item_no"), "output_id")
+    events = telemetry.failures(numbered.select(F.col("item_no").alias("item_id"), "attempt", "status", *telemetry.USAGE), numbered.select("item_id", "item_no", "attempt").join(found, "item_id").select(F.col("item_no").alias("item_id"), "attempt", "code", "object_ids"), contract.object_ids(spark, blocks))
+    only = failed.join(used.filter("attempt = 2").select("output_id"), "output_id", "left_anti").filter("attempt = 1")
+    listed = found.groupBy("item_id").agg(F.array_sort(F.collect_set(F.struct("code", "message", "object_ids"))).alias("validation_errors"))
+    repairs = only.join(listed, "item_id").select("output_id", F.lit(2).alias("attempt"), F.to_json(F.struct("question", "validation_errors", F.col("text").alias("previous_final_json"))).alias("request"))
+    return Run(records, events.withColumnRenamed("item_id", "item_no"), repairs, tried.select("output_id", "attempt", *telemetry.USAGE))

@@ -159,6 +159,12 @@ class Contract:
         """The units of measure as rulewright.functions.text.literals takes them; a name also stands with 个 before it."""
         return [(d["unit_code"], [d["display_name"], "个" + d["display_name"], *d.get("aliases", ())], d["dimension"]) for d in self.definitions]
 
+    def object_ids(self, spark: SparkSession, blocks: DataFrame) -> DataFrame:
+        """Column object_id: the ids that may be told of a failure: those of the contract's objects and of its evidence."""
+        ids = {d[k] for rows, k in ((self.documents, "document_id"), (self.topics, "topic_id"), (self.fields, "field_id"), (self.definitions, "unit_code")) for d in rows}
+        ids |= {x for u in self.units for x in (u.unit_id, u.family_id, *(c.claim_id for c in u.claims))}
+        return spark.createDataFrame([(x,) for x in sorted(ids)], "object_id string").unionByName(blocks.select(F.col("block_id").alias("object_id")))
+
     def all_tables(self, spark: SparkSession) -> dict[str, DataFrame]:
         """tables(), each of them made."""
         made = self.tables(spark)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -14,12 +15,13 @@ from rulewright.functions import schemas
 from rulewright.functions import text as T
 from rulewright.functions.kleene import letter
 from rulewright.functions.values import VALUE, compare, held, identical, same_domain, same_value, value
-from rulewright.operators import analysis_checks, closure, contract_checks, decide, graphs, intervals, predicates, rules, scoring, telemetry
+from rulewright.operators import analysis_checks, closure, contract_checks, decide, graphs, intervals, predicates, quotes, rules, scoring, telemetry
+from rulewright.operators.prefix import running
 from rulewright.plans import batch, build, contract_tables, defects, records
 from rulewright.plans import cases as C
 from rulewright.plans.contract import Contract, Predicate, Unit, Value
-from rulewright.session import ship
-from rulewright.sources import jsonl, markdown
+from rulewright.session import shared_dir, ship
+from rulewright.sources import jsonl, markdown, store_audit
 from rulewright.sources.store import ContractStore, retry_plan
 from rulewright.streaming.facts import with_version
 
@@ -669,22 +671,14 @@ def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, item_id, CAST(strpos(d.text, b.text) AS BIGINT) AS at FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def exact_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each quote stands exactly. A quote's first word is looked up first, so that only documents with it are searched."""
-    return _quotes(spark, sf_dir).select("doc_id", "item_id", F.instr("text", F.col("fragment")).cast("long").alias("at"))
+    """Where each quote stands exactly, all quotes in one reading of each document."""
+    return _quotes(spark, sf_dir).select("doc_id", "item_id", "at")
 
 
 def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with each benchmark text that they quote. A quote's words but the first and last are whole wherever it stands, so the longest of them is an equi-join key; shorter quotes are looked for in every document."""
-    word = lambda c: F.split(c, r"\s+")
-    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    inner = F.slice(word(F.col("fragment")), F.lit(2), F.greatest(F.size(word(F.col("fragment"))) - 2, F.lit(0)))
-    key = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
-    quotes = C.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("fragment")).withColumn("word", F.nullif(key, F.lit("")))
-    keys = docs.select("doc_id", F.explode(F.array_distinct(word(F.col("text")))).alias("word"))
-    met = keys.join(quotes.select("item_id", "word"), "word").select("doc_id", "item_id").distinct()
-    held = met.join(quotes.select("item_id", "fragment"), "item_id").join(docs, "doc_id").filter(F.contains("text", F.col("fragment")))
-    short = quotes.filter("word is null and fragment <> ''").select("item_id", "fragment").join(docs, F.contains("text", F.col("fragment")))
-    return held.unionByName(short)
+    """Documents with each benchmark text that they quote."""
+    quoted = C.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("fragment"))
+    return quotes.find(C.table(spark, sf_dir, "documents"), quoted, "doc_id", "item_id")
 
 
 @query("""SELECT item_id, count(*) AS n, string_agg(source || ':' || lang, ',' ORDER BY source, CAST(doc_id AS VARCHAR)) AS cited
@@ -692,7 +686,8 @@ FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY ALL""")
 def answer_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D09 O02 SET1: cited places, each once and in order."""
     name = F.col("doc_id").cast("string")
-    quoted = _quotes(spark, sf_dir).select("item_id", name.alias("block_id"), "fragment")
+    texts = C.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("fragment"))
+    quoted = _quotes(spark, sf_dir).join(texts, "item_id").select("item_id", name.alias("block_id"), "fragment")
     blocks = C.table(spark, sf_dir, "documents").select(name.alias("block_id"), name.alias("document_id"), F.col("source").alias("document_name"), F.lit(1).alias("page"), F.array("lang").alias("section_path"), F.lit(1).alias("ordinal"), "text")
     cited = decide.evidence(quoted, blocks)
     return cited.select("item_id", F.size("evidence").cast("long").alias("n"), F.array_join(F.transform("evidence", lambda x: F.concat_ws(":", x["document"], x["section"])), ",").alias("cited"))
@@ -722,6 +717,19 @@ def unpublishable(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return jsonl.invalid_predictions(rows).select(F.col("doc_id").alias("id"))
 
+
+@query("""SELECT row_number() OVER (ORDER BY conv_id * 1000 + turn) AS place, 'c' || conv_id || '-' || turn AS id FROM conversations""")
+def ordered_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written by all tasks, read back in the order of the questions."""
+    line = F.col("conv_id") * 1000 + F.col("turn")
+    none = F.array().cast("array<struct<document:string,page:int,section:string,quote:string>>")
+    records_ = C.table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"), F.lit("handoff").alias("decision"), F.lit(decide.HANDOFF).alias("answer"), F.lit("AMBIGUOUS").alias("reason_code"), none.alias("evidence"), line.alias("line_no"))
+    folder = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}"
+    jsonl.write_parts(records_, folder, "line_no")
+    back = running(jsonl.read_parts(spark, folder), [F.col("file"), F.col("pos")], {"before": F.lit(1)}, "parts")
+    return back.select((F.col("before") + 1).alias("place"), F.get_json_object("line", "$.id").alias("id"))
+
+
 @query("""SELECT s, count(*) AS n FROM (SELECT CASE WHEN doc_id % 5 = 0 THEN false ELSE 3 + doc_id % 40 <= length(text) END AS s FROM documents) GROUP BY ALL""")
 def span_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """spans by code points; each fifth is spoilt; an empty one quotes nothing."""
@@ -902,6 +910,21 @@ def contract_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.table(spark, sf_dir, "documents").select("doc_id", key(F.sha2("text", 256), F.md5("text")).alias("key"))
 
 
+@query("""SELECT 'k' || doc_id AS key, CASE WHEN doc_id % 11 = 0 THEN 'unfinished' WHEN doc_id % 7 = 0 OR doc_id % 13 = 0 OR doc_id % 17 = 0 OR doc_id % 19 = 0 THEN 'damaged' WHEN doc_id % 5 = 0 THEN 'blocked' ELSE 'usable' END AS state,
+CASE WHEN doc_id % 11 = 0 THEN 'ready.json' WHEN doc_id % 7 = 0 OR doc_id % 19 = 0 THEN 'body.json' WHEN doc_id % 13 = 0 THEN 'manifest.json' WHEN doc_id % 17 = 0 THEN 'review.json' ELSE '' END AS fault FROM documents""")
+def store_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a stored contract; some have no list, a changed body or one that is no object, another key's manifest, or no review."""
+    k, key = F.col("doc_id"), F.concat(F.lit("k"), F.col("doc_id").cast("string"))
+    body = F.when(k % 19 == 0, F.to_json(F.array("text"))).otherwise(F.to_json(F.struct("text")))
+    manifest = F.to_json(F.struct(F.when(k % 13 == 0, "k").otherwise(key).alias("cache_key"), F.col("lang").alias("model")))
+    review = F.to_json(F.struct(F.when(k % 5 == 0, "blocked").otherwise("auto").alias("status")))
+    ready = F.to_json(F.create_map(F.lit("body.json"), F.sha2(body, 256), F.lit("manifest.json"), F.sha2(manifest, 256), F.lit("review.json"), F.sha2(review, 256)))
+    file = lambda name, content: F.struct(F.lit(name).alias("name"), content.alias("content"))
+    files = F.array(file("body.json", F.when(k % 7 == 0, F.concat(body, F.lit(" "))).otherwise(body)), file("manifest.json", manifest), file("review.json", F.when(k % 17 != 0, review)), file("ready.json", F.when(k % 11 != 0, ready)))
+    found = store_audit.audit(C.table(spark, sf_dir, "documents").select(key.alias("key"), F.inline(files)).filter("content is not null"))
+    return found.select("key", "state", F.coalesce("fault", F.lit("")).alias("fault"))
+
+
 _STATUSES = (None, 400, 401, 404, 408, 429, 500, 503)
 
 

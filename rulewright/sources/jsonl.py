@@ -73,20 +73,37 @@ def invalid_predictions(records: DataFrame) -> DataFrame:
     return records.filter(~F.coalesce(good & (strip(F.col("id")) != ""), F.lit(False))).unionByName(records.join(twice, "id", "left_semi")).distinct()
 
 
+def _checked_lines(records: DataFrame, order: str) -> DataFrame:
+    """Columns order, line of records that may all be published; an error if one may not."""
+    if invalid_predictions(records.drop(order)).limit(1).count():
+        raise ValueError("a record is not valid or repeats")
+    return records.select(order, F.to_json(F.struct("id", "decision", "answer", "reason_code", "evidence"), {"ignoreNullFields": "false"}).alias("line"))
+
+
+def write_parts(records: DataFrame, folder: str, order: str) -> None:
+    """Publish records as a folder of JSON lines, written by all tasks at once: ranges of the order are dealt over part files, whose names sort as their ranges do. Every record is checked first."""
+    _checked_lines(records, order).repartitionByRange(order).sortWithinPartitions(order).select("line").write.mode("overwrite").text(folder)
+
+
+def read_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Columns file, pos, line of a folder that write_parts() wrote; (file, pos) is the order of the records."""
+    files = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value"))
+    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
+    return lines.filter("line <> ''")
+
+
 def write_predictions(records: DataFrame, path: str, order: str, protected: Sequence[str] = ()) -> None:
-    """Publish records (id, decision, answer, reason_code, evidence and a column to order by) as one file of JSON lines.
+    """Publish records (id, decision, answer, reason_code, evidence and a column to order by) as one file of JSON lines, which the driver writes; write_parts() is for more than it should.
 
     Every record is checked first; an old file stays as it is until the new one is whole. The path may be none of the protected ones.
     """
     real = os.path.realpath(path)
     if any(real == os.path.realpath(p) or (os.path.isdir(p) and os.path.dirname(real) == os.path.realpath(p)) for p in protected):
         raise ValueError("the output path is one of the inputs")
-    if invalid_predictions(records.drop(order)).limit(1).count():
-        raise ValueError("a record is not valid or repeats")
-    line = F.to_json(F.struct("id", "decision", "answer", "reason_code", "evidence"), {"ignoreNullFields": "false"})
+    lines = _checked_lines(records, order)
     with tempfile.NamedTemporaryFile("w", encoding="utf-8", dir=os.path.dirname(real) or ".", delete=False) as out:
         try:
-            for row in records.select(order, line.alias("line")).orderBy(order).select("line").toLocalIterator():
+            for row in lines.orderBy(order).select("line").toLocalIterator():
                 out.write(row["line"] + "\n")
             out.flush()
             os.fsync(out.fileno())

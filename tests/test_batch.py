@@ -66,14 +66,23 @@ def test_command_line(spark, place, capsys):
     questions = lines(place / "q.jsonl", [*({"id": k, "session_id": "s", "question": v} for k, v in asked.items()), "{"])
     out_of_scope = [{"intent_id": "I", "source": {"start": 0, "end": 2, "text": "天气"}, "description": "x", "scope": "out_of_scope", "mode": "case_application", "family_ids": [], "claim_ids": []}]
     replies = lines(place / "r.jsonl", [
-        {"output_id": "a", "attempt": 1, "text": reply(asked["a"], "NEW")}, {"output_id": "b", "attempt": 1, "text": reply(asked["b"], "NEW")},
+        {"output_id": "a", "attempt": 1, "text": reply(asked["a"], "NEW"), "state": "completed", "input_tokens": 30}, {"output_id": "b", "attempt": 1, "text": reply(asked["b"], "NEW")},
         {"output_id": "c", "attempt": 1, "text": reply(asked["c"], "OLD")}, {"output_id": "c", "attempt": 2, "text": reply(asked["c"], "NEW")},
         {"output_id": "d", "attempt": 1, "text": reply(asked["d"], "NEW", more=1)}, {"output_id": "e", "attempt": 1, "text": reply(asked["e"], "NEW", intents=out_of_scope, claim_plan=[], selected_unit_ids=[])},
     ])
     output = str(place / "out.jsonl")
     run = ["run", "--docs", docs, "--questions", questions, "--replies", replies, "--output", output, "--store", store]
-    assert cli.main(run, spark) == 0
-    assert json.loads(capsys.readouterr().out) == {"total": 6, "answer": 2, "handoff": 4}
+    assert cli.main([*run, "--failures", str(place / "failures"), "--repairs", str(place / "repairs")], spark) == 0
+    told = json.loads(capsys.readouterr().out)
+    assert told.pop("elapsed_seconds") > 0
+    assert told == {"total": 6, "answer": 2, "handoff": 4, "unanswered": 1, "attempt_failures": 2, "usage": {"input_tokens": 30, "output_tokens": None, "cached_tokens": None, "reasoning_tokens": None}}
+    written = lambda name: sorted(map(json.loads, "".join(p.read_text() for p in (place / name).glob("*.json")).splitlines()), key=str)
+    failures = {(r["item_no"], r["attempt"]): (r["response_status"], r["issue_codes"], r["contract_object_ids"]) for r in written("failures")}
+    assert failures == {(3, 1): ("completed", ["INACTIVE_CLAIM"], ["C_OLD"]), (4, 1): ("completed", ["INVALID_ANALYSIS_SCHEMA"], [])}
+    (repair,) = written("repairs")
+    request = json.loads(repair["request"])
+    assert (repair["output_id"], repair["attempt"]) == ("d", 2) and request["question"] == asked["d"] and json.loads(request["previous_final_json"])["more"] == 1
+    assert request["validation_errors"] == [{"code": "INVALID_ANALYSIS_SCHEMA", "message": "invalid fields: more", "object_ids": []}]
     got = [json.loads(x) for x in open(output, encoding="utf-8")]
     assert [(r["id"], r["decision"], r["reason_code"]) for r in got] == [("a", "answer", None), ("b", "handoff", "AMBIGUOUS"), ("c", "answer", None), ("d", "handoff", "AMBIGUOUS"), ("e", "handoff", "OUT_OF_SCOPE"), ("__line_6__", "handoff", "AMBIGUOUS")]
     assert got[0]["evidence"] == [{"document": "rules.md", "page": 1, "section": "规定", "quote": CLAIMS["NEW"][0]}]

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from rulewright import session
 from rulewright.functions import text as T
-from rulewright.operators import decide, scoring
-from rulewright.sources import jsonl, markdown
+from rulewright.operators import decide, quotes, scoring
+from rulewright.sources import jsonl, markdown, store_audit
 from rulewright.sources.store import ContractStore, Settings, digest, retry_plan
 from rulewright.streaming.facts import read_stream, with_version
 
@@ -235,3 +235,44 @@ def test_control_characters_are_no_context(spark):
     texts = {"共\x015日": [("duration", "5", "DAY")], "共5日": [("duration", "5", "DAY")], "3月5日": [], "年5月 ": [], "共\x025月 ": [("duration", "5", "MONTH")], "月15日内": [], "共12个月": [("duration", "12", "MONTH")]}
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.literals(F.col("t"), units).alias("x")).collect()
     assert {r.t: [tuple(x) for x in r.x] for r in got} == texts == {t: T.Literals(units).find(t) for t in texts}
+
+
+def test_quotes_in_parts(spark):
+    """Every quote in every text, also with an automaton for a few bytes each; empty ones and NULLs are nowhere, equal ones each have their rows."""
+    texts = [(1, "abcabc 中文𝒳字"), (2, "bc"), (3, ""), (4, None), (5, "xx abc")]
+    asked = [("a", "abc"), ("b", "bc"), ("c", "𝒳字"), ("d", ""), ("e", None), ("f", "abc"), ("g", "zzz"), ("h", "x")]
+    want = sorted((i, k, t.index(q) + 1) for i, t in texts if t for k, q in asked if q and q in t)
+    frames = spark.createDataFrame(texts, "i int, text string"), spark.createDataFrame(asked, "k string, fragment string")
+    for limit in (4, 1 << 20):
+        assert sorted(map(tuple, quotes.find(*frames, "i", "k", limit).collect())) == want
+    assert quotes.find(frames[0], frames[1].limit(0), "i", "k").count() == 0 and quotes.find(frames[0].limit(0), frames[1], "i", "k").count() == 0
+
+
+def test_a_store_is_audited_as_it_is_loaded(spark, tmp_path):
+    store = ContractStore(str(tmp_path))
+    for i, (effort, status) in enumerate([("e", "auto"), ("e", "auto"), ("f", "auto"), ("e", "blocked"), ("e", "auto"), ("e", "auto"), ("e", "auto")]):
+        store.save(f"k{i}", {"fields": [i]}, {"model": "m", "effort": effort, "generated_at": str(i)}, {"status": status})
+    (tmp_path / "k4" / "body.json").write_text("{}")
+    (tmp_path / "k5" / "ready.json").unlink()
+    (tmp_path / "k6" / "review.json").unlink()
+    os.rename(tmp_path / "k1", tmp_path / "other")
+    got = {r.key: (r.state, r.fault, r.status, r.body) for r in store_audit.audit(store_audit.read_files(spark, f"file://{tmp_path}")).collect()}
+    assert got["k0"] == ("usable", None, "auto", '{"fields":[0]}') and got["k3"] == ("blocked", None, "blocked", None)
+    assert {k: v[:2] for k, v in got.items() if v[0] not in ("usable", "blocked")} == {"k4": ("damaged", "body.json"), "k5": ("unfinished", "ready.json"), "k6": ("damaged", "review.json"), "other": ("damaged", "manifest.json")}
+    assert {k for k, v in got.items() if v[0] == "usable"} == {k for k in os.listdir(tmp_path) if store.load(k)} and {k: v[2] for k, v in got.items()} == {k: store.status(k) for k in os.listdir(tmp_path)}
+    audited = store_audit.audit(store_audit.read_files(spark, f"file://{tmp_path}"))
+    assert store_audit.best(audited, "m", "e").first().key == store.best("m", "e") == "k0" and store_audit.best(audited, "x", "e").first().key == store.best("x", "e") == "k2"
+    assert store_audit.best(audited.limit(0), "m", "e").first().key is None
+
+
+def test_records_in_parts(spark, tmp_path):
+    place = "array<struct<document:string,page:int,section:string,quote:string>>"
+    rows = spark.createDataFrame([(i, f"q{i}", "handoff", "多\\n行", "AMBIGUOUS", []) for i in range(500)], f"line_no long, id string, decision string, answer string, reason_code string, evidence {place}")
+    for whole in ("false", "true"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", whole)
+        jsonl.write_parts(rows.repartition(5), f"file://{tmp_path}/out", "line_no")
+        back = jsonl.read_parts(spark, f"file://{tmp_path}/out").orderBy("file", "pos").collect()
+        assert [json.loads(r.line)["id"] for r in back] == [f"q{i}" for i in range(500)] and (len({r.file for r in back}) > 1) == (whole == "false")
+    with pytest.raises(ValueError):
+        jsonl.write_parts(rows.withColumn("reason_code", F.lit(None).cast("string")), f"file://{tmp_path}/out", "line_no")
+    assert jsonl.read_parts(spark, f"file://{tmp_path}/out").count() == 500
