@@ -52,8 +52,15 @@ def order_key(number: Column) -> Column:
     return F.when(F.startswith(text, F.lit("-")), F.concat(F.lit("0"), F.translate(size, "0123456789", "9876543210"), F.lit("~"))).otherwise(F.concat(F.lit("1"), size))
 
 
-def _written(v: Column) -> Column:
-    return F.coalesce(v["raw"], v["n"].cast("string"))
+def _sign(x: Column, y: Column) -> Column:
+    return F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
+
+
+def _long_sign(a: Column, b: Column) -> Column:
+    """_sign() of two numbers of any length. It is a function on an array, so that it adds one call to compiled code, where it is seldom reached."""
+    text = lambda v: F.coalesce(v["raw"], v["n"].cast("string"))
+    keys = F.transform(F.array(text(a), text(b)), order_key)
+    return F.element_at(F.transform(F.array(keys), lambda k: _sign(F.get(k, F.lit(0)), F.get(k, F.lit(1)))), 1)
 
 
 def same_domain(a: Column, b: Column) -> Column:
@@ -64,7 +71,7 @@ def same_domain(a: Column, b: Column) -> Column:
 def same_value(a: Column, b: Column) -> Column:
     """Equality within a domain: by number for numeric kinds (8 is 8.0), else by the kind's own column. False across domains."""
     own = (
-        F.when(a["kind"].isin(*ORDERED_KINDS), F.coalesce(a["n"] == b["n"], canonical(_written(a)) == canonical(_written(b))))
+        F.when(a["kind"].isin(*ORDERED_KINDS), F.coalesce(a["n"] == b["n"], _long_sign(a, b) == 0))
         .when(a["kind"] == "boolean", a["b"] == b["b"])
         .when(a["kind"] == "date", a["d"] == b["d"])
         .when(a["kind"] == "datetime", a["ts"] == b["ts"])
@@ -81,9 +88,6 @@ def identical(a: Column, b: Column) -> Column:
 
 def compare(a: Column, b: Column) -> Column:
     """-1, 0 or 1 for values of one ordered domain: numbers of any length, dates or instants; NULL for others."""
-    def sign(x: Column, y: Column) -> Column:
-        return F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
-
     kind = a["kind"]
-    numbers = F.coalesce(sign(a["n"], b["n"]), sign(order_key(_written(a)), order_key(_written(b))))
-    return F.when(kind.isin(*ORDERED_KINDS), numbers).when(kind == "date", sign(a["d"], b["d"])).when(kind == "datetime", sign(a["ts"], b["ts"]))
+    numbers = F.coalesce(_sign(a["n"], b["n"]), _long_sign(a, b))
+    return F.when(kind.isin(*ORDERED_KINDS), numbers).when(kind == "date", _sign(a["d"], b["d"])).when(kind == "datetime", _sign(a["ts"], b["ts"]))
