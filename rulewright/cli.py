@@ -99,6 +99,10 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
 
 
 def _run(spark: SparkSession, options: argparse.Namespace, settings: Settings) -> dict:
+    inputs = [options.questions, options.docs, options.replies]
+    for path in (options.output, options.failures, options.repairs):
+        if path:
+            jsonl.protect(path, inputs)  # before anything is worked out
     questions = jsonl.read_questions(spark, _url(options.questions))
     blocks, sources = _documents(spark, options.docs, options.pages)
     store = ContractStore(options.store)
@@ -112,7 +116,7 @@ def _run(spark: SparkSession, options: argparse.Namespace, settings: Settings) -
     if options.output.endswith("/"):
         jsonl.write_parts(published, _url(options.output), "line_no")
     else:
-        jsonl.write_predictions(published, options.output, "line_no", [options.questions, options.docs])
+        jsonl.write_predictions(published, options.output, "line_no", inputs)
     failures = materialize(done.failures, "failures")
     for rows, folder in ((failures, options.failures), (done.repairs, options.repairs)):
         _write_items(rows, folder)

@@ -92,14 +92,20 @@ def read_parts(spark: SparkSession, folder: str) -> DataFrame:
     return lines.filter("line <> ''")
 
 
+def protect(path: str, protected: Sequence[str]) -> str:
+    """The path where output goes to in the end; an error if that is one of the protected ones or lies in a protected folder."""
+    real = os.path.realpath(path)
+    if any(real == os.path.realpath(p) or (os.path.isdir(p) and os.path.dirname(real) == os.path.realpath(p)) for p in protected):
+        raise ValueError("the output path is one of the inputs")
+    return real
+
+
 def write_predictions(records: DataFrame, path: str, order: str, protected: Sequence[str] = ()) -> None:
     """Publish records (id, decision, answer, reason_code, evidence and a column to order by) as one file of JSON lines, which the driver writes; write_parts() is for more than it should.
 
     Every record is checked first; an old file stays as it is until the new one is whole. The path may be none of the protected ones.
     """
-    real = os.path.realpath(path)
-    if any(real == os.path.realpath(p) or (os.path.isdir(p) and os.path.dirname(real) == os.path.realpath(p)) for p in protected):
-        raise ValueError("the output path is one of the inputs")
+    real = protect(path, protected)
     lines = _checked_lines(records, order)
     with tempfile.NamedTemporaryFile("w", encoding="utf-8", dir=os.path.dirname(real) or ".", delete=False) as out:
         try:

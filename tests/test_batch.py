@@ -86,7 +86,8 @@ def test_command_line(spark, place, capsys):
     got = [json.loads(x) for x in open(output, encoding="utf-8")]
     assert [(r["id"], r["decision"], r["reason_code"]) for r in got] == [("a", "answer", None), ("b", "handoff", "AMBIGUOUS"), ("c", "answer", None), ("d", "handoff", "AMBIGUOUS"), ("e", "handoff", "OUT_OF_SCOPE"), ("__line_6__", "handoff", "AMBIGUOUS")]
     assert got[0]["evidence"] == [{"document": "rules.md", "page": 1, "section": "规定", "quote": CLAIMS["NEW"][0]}]
-    assert cli.main([*run[:-4], "--output", questions, "--store", store], spark) == 2
+    for path in (questions, replies, f"{docs}/new.jsonl"):
+        assert cli.main([*run[:-4], "--output", path, "--store", store], spark) == 2
     good = {"expected_decision": "answer", "reason_code": None, "reference_answer": "x", "required_facts": ["8个自然日"], "acceptable_evidence": [{"document": "rules.md", "page": 1, "section": "规定"}]}
     reference = lines(place / "ref.jsonl", [{"id": r["id"], **(good if r["decision"] == "answer" else good | {"expected_decision": "handoff", "reason_code": r["reason_code"], "required_facts": [], "acceptable_evidence": []})} for r in got])
     capsys.readouterr()
