@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import sys
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -172,12 +174,26 @@ def blank_pages(pages: DataFrame) -> DataFrame:
     return pages.filter(strip(F.coalesce("text", F.lit(""))) == "").select("stem").distinct()
 
 
+def _form(character: str) -> str:
+    """A character in compatible form without white space."""
+    return "".join(unicodedata.normalize("NFKC", character).split())
+
+
+@functools.lru_cache(1)
+def _lengths() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point the length of its form, and whether that is another character."""
+    forms = [_form(chr(p)) for p in range(sys.maxunicode + 1)]
+    return np.array([len(f) for f in forms], np.uint8), np.array([bool(f) and f != chr(p) for p, f in enumerate(forms)])
+
+
 def _folded(page: str) -> tuple[str, np.ndarray]:
-    """The page in compatible form without white space, and for each character of that the one of the page that it comes from. Each distinct character is looked up once."""
+    """The page in compatible form without white space, and for each character of that the one of the page that it comes from."""
     points = np.frombuffer(page.encode("utf-32-le", "surrogatepass"), np.uint32)
-    distinct, which = np.unique(points, return_inverse=True)
-    forms = np.array(["".join(unicodedata.normalize("NFKC", chr(p)).split()) for p in distinct], object)
-    return "".join(forms[which]), np.repeat(np.arange(len(points)), [len(f) for f in forms[which]])
+    length, other = (table[points] for table in _lengths())
+    if other.any():
+        return "".join(map(_form, page)), np.repeat(np.arange(len(points)), length)
+    kept = np.flatnonzero(length)
+    return points[kept].tobytes().decode("utf-32-le", "surrogatepass"), kept
 
 
 def _in_order(page: str | None, keys: list[str]) -> list[str | None]:
@@ -201,14 +217,14 @@ def align_to_pages(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     blocks: stem, page, section_path, pos, text; pages: stem, page, text (of an extracted PDF). One page is aligned at a time.
     """
 
-    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            yield rows[["stem", "page", "poss"]].assign(texts=[_in_order(page, list(keys)) for page, keys in zip(rows["source"], rows["keys"], strict=True)])
+            texts = [_in_order(page, keys) for page, keys in zip(rows.column("source").to_pylist(), rows.column("keys").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("stem", "page", "poss", "paths")), pa.array(texts, pa.list_(pa.string()))], names=["stem", "page", "poss", "paths", "texts"])
 
     ship(blocks.sparkSession)
     key = F.regexp_replace(compatible("text"), rf"(?U){_SPACE}+", "")
-    keyed = F.array_sort(F.collect_list(F.struct("pos", "key")))
+    keyed = F.array_sort(F.collect_list(F.struct("pos", "key", "section_path")))
     by_page = blocks.withColumn("key", key).groupBy("stem", "page").agg(keyed.alias("b")).join(pages.select("stem", "page", F.col("text").alias("source")), ["stem", "page"], "left")
-    found = by_page.select("stem", "page", "source", F.col("b.key").alias("keys"), F.col("b.pos").alias("poss")).mapInPandas(align, "stem string, page int, poss array<int>, texts array<string>")
-    placed = found.select("stem", "page", F.explode(F.arrays_zip("poss", "texts")).alias("x")).select("stem", "page", F.col("x.poss").alias("pos"), F.col("x.texts").alias("text"))
-    return placed.join(blocks.select("stem", "page", "pos", "section_path"), ["stem", "page", "pos"]).select("stem", "page", "section_path", "pos", "text")
+    found = by_page.select("stem", "page", "source", F.col("b.key").alias("keys"), F.col("b.pos").alias("poss"), F.col("b.section_path").alias("paths")).mapInArrow(align, "stem string, page int, poss array<int>, paths array<array<string>>, texts array<string>")
+    return found.select("stem", "page", F.explode(F.arrays_zip("paths", "poss", "texts")).alias("x")).select("stem", "page", F.col("x.paths").alias("section_path"), F.col("x.poss").alias("pos"), F.col("x.texts").alias("text"))
