@@ -36,19 +36,26 @@ def decimal_from_text(text: Column) -> Column:
     return F.when(text.rlike(DECIMAL_TEXT), held(text))
 
 
+#: What canonical() leaves out of a number's text, in this order; each step names its input once, so that plans stay small.
+_SHORTER = ((r"^\+", ""), (r"^(-?)0*(?=[0-9])", "$1"), (r"^(-?)(?=\.)", "$10"), (r"(\.[0-9]*?)0+$", "$1"), (r"\.$", ""), (r"^-0$", "0"))
+
+
 def canonical(number: Column) -> Column:
     """One text for each number, of any length: no plus, no zeros that don't count, and no minus before 0."""
-    bare = F.regexp_replace(F.regexp_replace(number, r"^[+-]?0*(?=[0-9])|^[+-]?(?=\.)", ""), r"^\.", "0.")
-    bare = F.when(F.contains(bare, F.lit(".")), F.regexp_replace(bare, r"\.?0*$", "")).otherwise(bare)
-    return F.when(F.startswith(number, F.lit("-")) & (bare != "0"), F.concat(F.lit("-"), bare)).otherwise(bare)
+    for pattern, left in _SHORTER:
+        number = F.regexp_replace(number, pattern, left)
+    return number
 
 
 def order_key(number: Column) -> Column:
     """A text by whose order numbers of any length are in theirs: sign, number of whole digits, digits; those of negative numbers turned round."""
-    text = canonical(number)
-    bare = F.regexp_replace(text, "^-", "")
-    whole, fraction = F.substring_index(bare, ".", 1), F.regexp_extract(bare, r"\.(.*)$", 1)
-    size = F.concat(F.lpad(F.length(whole).cast("string"), 10, "0"), whole, fraction)
+    return _key(canonical(number))
+
+
+def _key(text: Column) -> Column:
+    """order_key() of canonical text."""
+    bare = F.ltrim(text, F.lit("-"))
+    size = F.concat(F.lpad(F.length(F.substring_index(bare, ".", 1)).cast("string"), 10, "0"), F.translate(bare, ".", ""))
     return F.when(F.startswith(text, F.lit("-")), F.concat(F.lit("0"), F.translate(size, "0123456789", "9876543210"), F.lit("~"))).otherwise(F.concat(F.lit("1"), size))
 
 
@@ -59,7 +66,7 @@ def _sign(x: Column, y: Column) -> Column:
 def _long_sign(a: Column, b: Column) -> Column:
     """_sign() of two numbers of any length. It is a function on an array, so that it adds one call to compiled code, where it is seldom reached."""
     text = lambda v: F.coalesce(v["raw"], v["n"].cast("string"))
-    keys = F.transform(F.array(text(a), text(b)), order_key)
+    keys = F.transform(F.transform(F.array(text(a), text(b)), canonical), _key)
     return F.element_at(F.transform(F.array(keys), lambda k: _sign(F.get(k, F.lit(0)), F.get(k, F.lit(1)))), 1)
 
 

@@ -5,7 +5,7 @@ A contract is small: its edges are held as neighbours by node and shipped with t
 
 from __future__ import annotations
 
-from collections.abc import Collection, Iterable
+from collections.abc import Callable, Collection, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,13 +25,13 @@ def neighbours(edges: DataFrame, source: str, target: str) -> Neighbours:
     return out
 
 
-def walk(edges: Neighbours, starts: Iterable[str], closed: Collection[str] = ()) -> dict[str, int]:
-    """Every node that edges lead to from the starts, with the least number of edges. Closed nodes are neither entered nor passed; a start is in only if an edge leads to it."""
+def walk(after: Callable[[str], Iterable[str] | None], starts: Iterable[str], closed: Collection[str] = ()) -> dict[str, int]:
+    """Every node that edges (after a node come its targets) lead to from the starts, with the least number of edges. Closed nodes are neither entered nor passed; a start is in only if an edge leads to it."""
     seen: dict[str, int] = {}
     now, depth = list(starts), 0
     while now:
         depth += 1
-        now = list(dict.fromkeys(t for n in now for t in edges.get(n, ()) if t not in seen and t not in closed))
+        now = list(dict.fromkeys(t for n in now for t in after(n) or () if t not in seen and t not in closed))
         seen.update(dict.fromkeys(now, depth))
     return seen
 
@@ -63,9 +63,9 @@ def candidates(intents: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
         if not named:
             first = {u for f in families for u in members.get(f, ())}
             starts = [c for u in first for c in own.get(u, ())]
-        roots = first | {owner[c] for c in walk(along, starts)}
-        selected = roots.union(walk(newer, first, roots))
-        return sorted(selected.union(walk(older, selected)))
+        roots = first | {owner[c] for c in walk(along.get, starts)}
+        selected = roots.union(walk(newer.get, first, roots))
+        return sorted(selected.union(walk(older.get, selected)))
 
     @F.pandas_udf("array<string>")
     def units_of(claims: pd.Series, families: pd.Series) -> pd.Series:
@@ -89,20 +89,21 @@ def inherited_companions(plan: DataFrame, active: DataFrame, tables: dict[str, D
     for r in tables["claim_literals"].filter("kind in ('duration', 'money', 'quantity')").select("claim_id", "kind", canonical(F.col("raw")), "unit_code").collect():
         numbers.setdefault(r[0], set()).add(tuple(r[1:]))
     below = neighbours(tables["overrides"], "unit_id", "target")
-    under = {u: set(walk(below, [u])) for u in below}
+    under = {u: set(walk(below.get, [u])) for u in below}
     steps: dict[str, list[tuple[str, str, bool]]] = {}
     for c, others in neighbours(tables["companions"], "claim_id", "companion_id").items():
         for x in others:
             if c in owner and x in owner:
                 steps.setdefault(c, []).append((x, owner[x], owner[x] in under.get(owner[c], ()) and numbers.get(c) == numbers.get(x)))
 
+    def brought(starts: frozenset[str], on: frozenset[str]) -> list[str]:
+        return list(walk(lambda c: [x for x, unit, inherits in steps.get(c, ()) if inherits or unit in on], starts))
+
     @F.pandas_udf("array<string>")
     def admitted(claims: pd.Series, units: pd.Series) -> pd.Series:
-        out = []
-        for starts, on in zip(claims, units, strict=True):
-            on = set(on)
-            out.append(list(walk({c: [x for x, unit, inherits in own if inherits or unit in on] for c, own in steps.items()}, starts)))
-        return pd.Series(out, dtype=object)
+        known: dict[tuple, list[str]] = {}
+        keys = [(frozenset(c), frozenset(u)) for c, u in zip(claims, units, strict=True)]
+        return pd.Series([known[k] if k in known else known.setdefault(k, brought(*k)) for k in keys], dtype=object)
 
     on = active.groupBy(*key).agg(F.collect_set("unit_id").alias("on"))
     start = plan.join(active, [*key, "unit_id"], "left_semi").groupBy(*key).agg(F.collect_set("claim_id").alias("starts"))

@@ -17,26 +17,31 @@ def truth(operator: Column, fact: Column, related: Column, values: Column) -> Co
     A value of another kind or unit makes it unknown, never false. Only three operators know what a missing fact means: exists is false, not_exists is unknown
     (and never true), not_before_if_present is true.
     """
-    first, second = F.get(values, F.lit(0)), F.get(values, F.lit(1))
+    first = F.get(values, F.lit(0))
     comparable = F.forall(values, lambda v: same_domain(fact, v))
-    some = F.exists(values, lambda v: same_value(fact, v))
     days = F.date_diff(fact["d"], related["d"])
     window = F.when(related.isNotNull() & (fact["kind"] == "date") & (related["kind"] == "date"), (days >= 1) & F.coalesce(days <= first["n"], first["raw"].isNotNull()))
-    to_first, to_second = compare(fact, first), compare(fact, second)
-    known = (
-        F.when(operator.isin("eq", "in"), some)
-        .when(operator.isin("neq", "not_in"), ~some)
-        .when(operator == "gt", to_first > 0)
-        .when(operator == "before", to_first < 0)
-        .when(operator.isin("on_or_after", "not_before_if_present"), to_first >= 0)
-        .when(operator == "between", (to_first >= 0) & (to_second <= 0))
-    )
+
+    def known(told: Column) -> Column:
+        to_first, to_second = F.get(told["signs"], F.lit(0)), F.get(told["signs"], F.lit(1))
+        return (
+            F.when(operator.isin("eq", "in"), told["some"])
+            .when(operator.isin("neq", "not_in"), ~told["some"])
+            .when(operator == "gt", to_first > 0)
+            .when(operator == "before", to_first < 0)
+            .when(operator.isin("on_or_after", "not_before_if_present"), to_first >= 0)
+            .when(operator == "between", (to_first >= 0) & (to_second <= 0))
+        )
+
+    # values are compared in one place, to which the operators refer: comparisons are large expressions, and planning takes longer than running if each operator has its own
+    told = F.struct(F.exists(values, lambda v: same_value(fact, v)).alias("some"), F.transform(values, lambda v: compare(fact, v)).alias("signs"))
+    compared = F.get(F.transform(F.array(told), known), F.lit(0))
     return (
         F.when(operator == "exists", fact.isNotNull())
         .when(operator == "not_exists", F.when(fact.isNotNull(), False))
         .when(fact.isNull(), F.when(operator == "not_before_if_present", True))
         .when(operator == "within_natural_days_from_next_day", window)
-        .when(comparable, known)
+        .when(comparable, compared)
     )
 
 

@@ -15,8 +15,8 @@ from pyspark.sql.window import Window
 from rulewright.functions.kleene import all_of, any_of
 from rulewright.functions.values import identical
 from rulewright.operators import predicates
-from rulewright.plans.contract import Contract, Unit
-from rulewright.session import materialize
+from rulewright.plans.contract import Contract, Tables, Unit
+from rulewright.session import broadcast_if_small
 
 _STRINGS = "array<string>"
 
@@ -39,22 +39,33 @@ def window_truth(basis: Column, basis_field: Column, since: Column, until: Colum
     return F.when(basis == "none", True).when(day.isNotNull(), inside)
 
 
-def unit_details(candidates: DataFrame, visible: DataFrame, tables: dict[str, DataFrame], as_of: dt.date | Column) -> DataFrame:
+def _gathered(visible: DataFrame) -> DataFrame:
+    """Columns item_id, intent_id, facts: a map with the fact of each field."""
+    return visible.groupBy("item_id", "intent_id").agg(F.map_from_entries(F.collect_list(F.struct("field_id", "value"))).alias("facts"))
+
+
+def unit_details(candidates: DataFrame, visible: DataFrame, tables: Tables, as_of: dt.date | Column) -> DataFrame:
     """Columns item_id, intent_id, unit_id, truth, missing, conflicts for each candidate (item_id, intent_id, unit_id). Plan A.
 
     Missing fields and conflicts come only from leaves that are unknown in a group, a condition and a unit that are unknown: such a leaf decides the result, any other is outweighed.
     """
     key = ["item_id", "intent_id", "unit_id"]
+    rows = candidates.select(*key).join(_gathered(visible), ["item_id", "intent_id"], "left").join(tables.small("programs"), "unit_id")
+    return _judged(rows, as_of).select(*key, "truth", "missing", "conflicts")
+
+
+def _judged(rows: DataFrame, as_of: dt.date | Column) -> DataFrame:
+    """rows of facts and a unit's program, with truth, missing and conflicts: the whole program meets the facts in one row, with no join or group for single conditions."""
     day = as_of if isinstance(as_of, Column) else F.lit(as_of)
-    # facts are gathered once, and a unit's whole program meets them in its row: no join or group for single conditions
-    facts = visible.groupBy("item_id", "intent_id").agg(F.map_from_entries(F.collect_list(F.struct("field_id", "value"))).alias("facts"))
-    rows = candidates.select(*key).join(facts, ["item_id", "intent_id"], "left").join(F.broadcast(tables["programs"]), "unit_id")  # of contract size
     fact = lambda field: F.try_element_at("facts", field)
     none = F.array().cast(_STRINGS)
 
-    def judged(p: Column) -> Column:
-        own, related = fact(p["field_id"]), fact(p["related_field_id"])
-        return F.struct(p.alias("p"), own.alias("own"), related.alias("related"), predicates.truth(p["operator"], own, related, p["values"]).alias("truth"))
+    # a leaf's facts are looked up once, in a step of their own, as its truth names them many times
+    def bound(p: Column) -> Column:
+        return F.struct(p.alias("p"), fact(p["field_id"]).alias("own"), fact(p["related_field_id"]).alias("related"))
+
+    def judged(x: Column) -> Column:
+        return F.struct(x["p"].alias("p"), x["own"].alias("own"), x["related"].alias("related"), predicates.truth(x["p"]["operator"], x["own"], x["related"], x["p"]["values"]).alias("truth"))
 
     def lacking(x: Column) -> Column:
         return predicates.missing(x["p"]["operator"], x["p"]["field_id"], x["p"]["related_field_id"], x["own"], x["related"], x["truth"])
@@ -64,7 +75,7 @@ def unit_details(candidates: DataFrame, visible: DataFrame, tables: dict[str, Da
 
     # forall and exists are AND and OR of three values
     group = lambda g: F.struct(F.forall(g, lambda x: x["truth"]).alias("truth"), F.flatten(F.transform(g, lacking)).alias("missing"), F.flatten(F.transform(g, clashing)).alias("conflicts"))
-    rows = rows.withColumn("leaves", F.transform("groups", lambda g: F.transform(g, judged))).withColumn("told", F.transform("leaves", group))
+    rows = rows.withColumn("leaves", F.transform("groups", lambda g: F.transform(F.transform(g, bound), judged))).withColumn("told", F.transform("leaves", group))
     rows = rows.withColumns({"cond": (F.size("groups") == 0) | F.exists("told", lambda g: g["truth"]), "lacked": F.filter("required", lambda f: fact(f).isNull()), "basis_fact": fact(F.col("basis_field"))})
     rows = rows.withColumn("win", window_truth(F.col("basis"), F.col("basis_field"), F.col("effective_from"), F.col("effective_to"), F.col("basis_fact"), day))
     rows = rows.withColumn("truth", F.col("cond") & F.when(F.size("lacked") == 0, True) & F.col("win"))
@@ -73,7 +84,7 @@ def unit_details(candidates: DataFrame, visible: DataFrame, tables: dict[str, Da
     win_conflicts = F.when(by_field & F.col("basis_fact").isNotNull(), F.array(F.concat(F.lit("INVALID_TIME_BASIS_VALUE:"), "basis_field"))).otherwise(none)
     open_groups = lambda c: F.when(F.col("cond").isNull(), F.flatten(F.transform(F.filter("told", lambda g: g["truth"].isNull()), lambda g: g[c]))).otherwise(none)
     parts = lambda *columns: F.when(F.col("truth").isNull(), F.array_sort(F.array_distinct(F.concat(*columns)))).otherwise(none)
-    return rows.select(*key, "truth", parts(open_groups("missing"), "lacked", win_missing).alias("missing"), parts(open_groups("conflicts"), win_conflicts).alias("conflicts"))
+    return rows.withColumns({"missing": parts(open_groups("missing"), "lacked", win_missing), "conflicts": parts(open_groups("conflicts"), win_conflicts)})
 
 
 def resolve_overrides(details: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -82,7 +93,7 @@ def resolve_overrides(details: DataFrame, overrides: DataFrame) -> DataFrame:
     Both steps look at what held before them: a suppressed unit still suppresses, a unit made unknown makes no other unknown.
     """
     key = ["item_id", "intent_id", "unit_id"]
-    edges = F.broadcast(overrides.select("unit_id", "target"))
+    edges = broadcast_if_small(overrides.select("unit_id", "target"))
     suppressed = details.filter("truth").join(edges, "unit_id").select("item_id", "intent_id", F.col("target").alias("unit_id")).distinct().withColumn("suppressed", F.lit(True))
     first = details.join(suppressed, key, "left").withColumn("now", F.when(F.col("suppressed"), "none").when(F.col("truth").isNull(), "unknown").when(F.col("truth"), "active").otherwise("none"))
     tainted = first.filter("now = 'unknown'").join(edges, "unit_id").select("item_id", "intent_id", F.col("target").alias("unit_id")).distinct().withColumn("tainted", F.lit(True))
@@ -90,33 +101,42 @@ def resolve_overrides(details: DataFrame, overrides: DataFrame) -> DataFrame:
     return first.join(tainted, key, "left").withColumn("state", state).drop("now", "suppressed", "tainted")
 
 
+def _settled(cases: DataFrame) -> DataFrame:
+    """cases with active, open (units as structs): what overrides leave of their units, by the two steps of resolve_overrides() within the row."""
+    beaten = lambda units, by: F.flatten(F.transform(F.filter(units, by), lambda u: u["targets"]))
+    within = lambda c, u: F.array_contains(F.col(c), u["unit_id"])
+    cases = cases.withColumn("suppressed", beaten("units", lambda u: u["truth"]))
+    cases = cases.withColumn("kept", F.filter("units", lambda u: ~within("suppressed", u)))
+    cases = cases.withColumn("doubted", beaten("kept", lambda u: u["truth"].isNull()))
+    return cases.withColumns({"active": F.filter("kept", lambda u: u["truth"] & ~within("doubted", u)), "open": F.filter("kept", lambda u: u["truth"].isNull() | (u["truth"] & within("doubted", u)))})
+
+
 def evaluate(intents: DataFrame, candidates: DataFrame, facts: DataFrame, contract: Contract, as_of: dt.date) -> DataFrame:
-    """Columns item_id, intent_id, active, unknown, missing, conflicts, claims (sorted arrays) for each intent (item_id, intent_id, mode).
+    """Columns item_id, intent_id, active, unknown, missing, conflicts, claims (sorted arrays) for each intent (item_id, intent_id, mode: one row each).
 
-    An intent in mode rule_description evaluates nothing and may use the claims of all candidates. Runs jobs of its own, whose tables go to the shared folder.
+    An intent in mode rule_description evaluates nothing and may use the claims of all candidates; one whose mode is null has nothing. Intents, their facts and their candidates are dealt by intent once; what an intent gathers is no more than
+    the contract's units and fields.
     """
-    spark = intents.sparkSession
-    tables = contract.tables(spark)
-    applied = intents.filter("mode <> 'rule_description'")
-    visible = visible_facts(facts, applied.select("item_id", "intent_id"))
-    # written once, as several steps read them: the details, then their states
-    details = materialize(unit_details(candidates.join(applied.select("item_id", "intent_id"), ["item_id", "intent_id"], "left_semi"), visible, tables, as_of), "details")
-    details = materialize(resolve_overrides(details, tables["overrides"]), "states")
-    strings = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    state = F.col("state")
-    unknown = state == "unknown"
-    rules = details.groupBy("item_id", "intent_id").agg(
-        F.array_sort(F.collect_set(F.when(state == "active", F.col("unit_id")))).alias("active"), F.array_sort(F.collect_set(F.when(unknown, F.col("unit_id")))).alias("unknown"),
-        strings(F.when(unknown, F.col("missing"))).alias("missing"), strings("conflicts").alias("rule_conflicts"),
+    key = ["item_id", "intent_id"]
+    applied = F.coalesce(F.col("mode") != "rule_description", F.lit(False))
+    none, no_units = F.array().cast(_STRINGS), F.array().cast("array<struct<unit_id:string,truth:boolean,missing:array<string>,conflicts:array<string>,targets:array<string>,claims:array<string>>>")
+    clash = F.array_sort(F.collect_set(F.when(F.col("conflict"), F.concat(F.lit("CONFLICTING_FACT:"), "field_id"))))
+    seen = visible_facts(facts, intents.filter(applied).select(*key))
+    told = seen.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("field_id", "value"))).alias("facts"), clash.alias("clash"))
+    named = candidates.groupBy(*key).agg(F.collect_set("unit_id").alias("named"))
+    cases = intents.select(*key, "mode", applied.alias("applied")).join(told, key, "left").join(named, key, "left")
+    rows = cases.withColumn("unit_id", F.explode_outer("named")).join(contract.tables(intents.sparkSession).small("programs"), "unit_id", "left")
+    rows = _judged(rows.withColumn("groups", F.when(F.col("applied"), F.col("groups"))), as_of)
+    unit = F.struct("unit_id", "truth", "missing", "conflicts", "targets", "claims")
+    cases = rows.groupBy(*key).agg(F.first("mode").alias("mode"), F.first("applied").alias("applied"), F.first("clash").alias("clash"), F.collect_list(F.when(F.col("basis").isNotNull(), unit)).alias("all"))
+    cases = _settled(cases.withColumn("units", F.when(F.col("applied"), F.col("all")).otherwise(no_units)))
+    names = lambda units: F.array_sort(F.array_distinct(F.transform(units, lambda u: u["unit_id"])))
+    strings = lambda units, c: F.array_sort(F.array_distinct(F.flatten(F.transform(units, lambda u: u[c]))))
+    usable = F.when(F.col("applied"), F.col("active")).when(F.col("mode") == "rule_description", F.col("all")).otherwise(no_units)
+    return cases.select(
+        *key, names("active").alias("active"), names("open").alias("unknown"), strings("open", "missing").alias("missing"),
+        F.concat(F.coalesce("clash", none), strings("units", "conflicts")).alias("conflicts"), strings(usable, "claims").alias("claims"),
     )
-    clash = visible.filter("conflict").groupBy("item_id", "intent_id").agg(F.array_sort(F.collect_set(F.concat(F.lit("CONFLICTING_FACT:"), "field_id"))).alias("fact_conflicts"))
-    usable = candidates.join(intents.select("item_id", "intent_id", "mode"), ["item_id", "intent_id"]).join(details.select("item_id", "intent_id", "unit_id", "state"), ["item_id", "intent_id", "unit_id"], "left")
-    usable = usable.filter("mode = 'rule_description' or state = 'active'").join(F.broadcast(tables["claims"].select("unit_id", "claim_id")), "unit_id")
-    claims = usable.groupBy("item_id", "intent_id").agg(F.array_sort(F.collect_set("claim_id")).alias("claims"))
-    key, none = ["item_id", "intent_id"], F.array().cast(_STRINGS)
-    out = intents.select(*key).join(rules, key, "left").join(clash, key, "left").join(claims, key, "left")
-    empty = lambda c: F.coalesce(F.col(c), none).alias(c)
-    return out.select(*key, empty("active"), empty("unknown"), empty("missing"), F.concat(F.coalesce("fact_conflicts", none), F.coalesce("rule_conflicts", none)).alias("conflicts"), empty("claims"))
 
 
 # Plan B

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulewright.functions.values import DECIMAL_TEXT, HELD, VALUE, held, value
+from rulewright.session import SMALL_ROWS
 
 #: Fixed: predicate operators with the least and most values that they take.
 OPERATORS = {
@@ -126,6 +127,10 @@ class Tables(dict):
         self[name] = self.spark.createDataFrame(*self.rows[name])
         return self[name]
 
+    def small(self, name: str) -> DataFrame:
+        """The table, with a broadcast hint if its rows are no more than SMALL_ROWS: they are on the driver, so their number is known."""
+        return F.broadcast(self[name]) if len(self.rows[name][0]) <= SMALL_ROWS else self[name]
+
 
 @dataclass(frozen=True)
 class Contract:
@@ -201,8 +206,8 @@ class Contract:
             "units": make(unit_rows, "unit_id string, family_id string, basis string, basis_field string, effective_from date, effective_to date, n_groups int, pos int"),
             "predicates": make(predicate_rows, f"unit_id string, group_no int, pred_no int, field_id string, operator string, related_field_id string, values array<{VALUE}>"),
             "programs": make([
-                (u.unit_id, u.basis, u.basis_field, u.effective_from, u.effective_to, [[(p.field_id, p.operator, p.related_field_id, [v.row() for v in p.values]) for p in g] for g in u.any_of], list(u.required)) for u in self.units
-            ], f"unit_id string, basis string, basis_field string, effective_from date, effective_to date, groups array<array<struct<field_id:string,operator:string,related_field_id:string,values:array<{VALUE}>>>>, required array<string>"),
+                (u.unit_id, u.basis, u.basis_field, u.effective_from, u.effective_to, [[(p.field_id, p.operator, p.related_field_id, [v.row() for v in p.values]) for p in g] for g in u.any_of], list(u.required), list(u.overrides), [c.claim_id for c in u.claims]) for u in self.units
+            ], f"unit_id string, basis string, basis_field string, effective_from date, effective_to date, groups array<array<struct<field_id:string,operator:string,related_field_id:string,values:array<{VALUE}>>>>, required array<string>, targets array<string>, claims array<string>"),
             "required": make(required, "unit_id string, field_id string"),
             "overrides": make(edges, "unit_id string, target string, unit_pos int, own_pos int"),
             "unit_topics": make(topics, "unit_id string, topic_id string"),

@@ -20,7 +20,7 @@ from rulewright.operators.prefix import running
 from rulewright.plans import batch, build, contract_tables, defects, records
 from rulewright.plans import cases as C
 from rulewright.plans.contract import Contract, Predicate, Unit, Value
-from rulewright.session import shared_dir, ship
+from rulewright.session import materialize, shared_dir, ship
 from rulewright.sources import jsonl, markdown, store_audit
 from rulewright.sources.store import ContractStore, retry_plan
 from rulewright.streaming.facts import with_version
@@ -78,10 +78,14 @@ def policy_version_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(*[_text(c).alias(c) for c in ("active", "unknown", "missing", "conflicts", "claims")]).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _first_ship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns o_orderkey, ship: the day of an order's first shipment."""
+    return C.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min(F.to_date("l_shipdate")).alias("ship"))
+
+
 def _with_ship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with the day of their first shipment."""
-    first = C.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min(F.to_date("l_shipdate")).alias("ship"))
-    return C.table(spark, sf_dir, "orders").join(first, "o_orderkey", "left")
+    return C.table(spark, sf_dir, "orders").join(_first_ship(spark, sf_dir), "o_orderkey", "left")
 
 
 _STATUS, _AMOUNT, _USD = "CASE WHEN o_orderkey % 13 <> 0 THEN o_orderstatus END", "round(o_totalprice, 2)", "o_orderkey % 11 <> 0"
@@ -98,21 +102,24 @@ _TRUTHS = {
 def predicate_truth_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P01-P12, compiled."""
     facts = C.order_facts() | {"F_SHIP": F.when(F.col("ship").isNotNull(), value("date", d=F.col("ship"), local_date=F.col("ship")))}
-    truths = F.array(*[F.struct(F.lit(name).alias("predicate"), letter(predicates.compiled(p, facts)).alias("truth")) for name, p in C.MATRIX.items()])
-    return _with_ship(spark, sf_dir).select(F.inline(truths)).groupBy("predicate", "truth").agg(F.count(F.lit(1)).alias("n"))
+    wide = _with_ship(spark, sf_dir).select(*[c.alias(name) for name, c in facts.items()])
+    letters = wide.select(*[letter(predicates.compiled(p, {f: F.col(f) for f in facts})).alias(name) for name, p in C.MATRIX.items()])
+    same = letters.groupBy(*C.MATRIX).agg(F.count(F.lit(1)).alias("orders"))  # at most a row for each way in which twelve predicates can turn out
+    told = F.array(*[F.struct(F.lit(name).alias("predicate"), F.col(name).alias("truth")) for name in C.MATRIX])
+    return same.select("orders", F.inline(told)).groupBy("predicate", "truth").agg(F.sum("orders").alias("n"))
 
 
 @query(ORACLES["predicate_truth_matrix"])
 def predicate_truth_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operators and values as columns, facts by outer joins."""
-    orders = _with_ship(spark, sf_dir)
-    facts = C.long_facts(orders).select("item_id", "field_id", F.col("value").alias("fact"))
-    ship = orders.filter("ship is not null").select(F.col("o_orderkey").alias("item_id"), F.lit("F_SHIP").alias("field_id"), value("date", d=F.col("ship"), local_date=F.col("ship")).alias("fact"))
-    facts = facts.unionAll(ship)
+    """Operators and values as columns, facts gathered by case and met by an outer join."""
+    orders = C.table(spark, sf_dir, "orders")
+    ship = _first_ship(spark, sf_dir).filter("ship is not null").select(F.col("o_orderkey").alias("item_id"), F.lit("F_SHIP").alias("field_id"), value("date", d=F.col("ship"), local_date=F.col("ship")).alias("value"))
+    facts = C.long_facts(orders).select("item_id", "field_id", "value").unionAll(ship)
+    held = facts.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("field_id", "value"))).alias("facts"))  # four fields
     rows = [(name, p.field_id, p.operator, p.related_field_id, [v.row() for v in p.values]) for name, p in C.MATRIX.items()]
     program = F.broadcast(spark.createDataFrame(rows, f"predicate string, field_id string, operator string, related_field_id string, values array<{VALUE}>"))
-    leaf = orders.select(F.col("o_orderkey").alias("item_id")).crossJoin(program)  # the program has twelve rows
-    leaf = leaf.join(facts, ["item_id", "field_id"], "left").join(facts.withColumnsRenamed({"field_id": "related_field_id", "fact": "related"}), ["item_id", "related_field_id"], "left")
+    leaf = orders.select(F.col("o_orderkey").alias("item_id")).join(held, "item_id", "left").crossJoin(program)  # the program has twelve rows
+    leaf = leaf.select("predicate", "operator", "values", F.try_element_at("facts", F.col("field_id")).alias("fact"), F.try_element_at("facts", F.col("related_field_id")).alias("related"))
     truth = predicates.truth(F.col("operator"), F.col("fact"), F.col("related"), F.col("values"))
     return leaf.groupBy("predicate", letter(truth).alias("truth")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -996,7 +1003,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = C.table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     intents = C.order_intents(orders, F.when(k % 4 == 0, "rule_description").otherwise("case_application"))
-    found = rules.evaluate(intents, C.all_units(intents, C.VERSIONS), C.long_facts(orders).filter("field_id = 'F_DATE'"), C.VERSIONS, C.AS_OF)
+    found = materialize(rules.evaluate(intents, C.all_units(intents, C.VERSIONS), C.long_facts(orders).filter("field_id = 'F_DATE'"), C.VERSIONS, C.AS_OF), "rules")  # read twice
     scoped = intents.withColumn("scope", F.when(F.col("item_id") % 19 == 0, "out_of_scope").when(F.col("item_id") % 23 == 0, "uncertain").otherwise("in_scope"))
     plan = intents.filter("item_id % 9 <> 0").select("item_id", "intent_id", F.lit("U_MID").alias("unit_id"), F.lit("C_MID").alias("claim_id"))
     none = F.array().cast("array<string>")

@@ -9,6 +9,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -51,6 +52,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Rows of a table that is broadcast by hint; of a larger one Spark finds the size and picks the join.
+SMALL_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """The frame with a broadcast hint if it has no more than so many rows, which one short job finds out; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write the frame to a new table in the shared folder and read it back: its lineage ends there and lost executors lose nothing.
 

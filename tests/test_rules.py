@@ -13,6 +13,7 @@ from rulewright.functions.kleene import all_of, any_of, grouped_all, grouped_any
 from rulewright.functions.values import VALUE, value
 from rulewright.operators import closure, graphs, predicates, rules
 from rulewright.plans.contract import Claim, Contract, Predicate, Unit, Value
+from rulewright.session import broadcast_if_small
 
 D = dt.date
 
@@ -245,3 +246,27 @@ def test_predicates_over_long_numbers(spark):
     row = spark.createDataFrame([(day(D(2030, 1, 9)), day(D(2030, 1, 1)))], f"f {VALUE}, g {VALUE}")
     assert row.select(predicates.compiled(window, {"F": F.col("f"), "G": F.col("g")})).first()[0] is True
     assert row.select(predicates.truth(F.lit(window.operator), F.col("f"), F.col("g"), F.array(window.values[0].column()))).first()[0] is True
+
+
+def test_what_an_intent_may_lack(spark):
+    """No candidates, candidates that the contract doesn't have, an intent nobody asked about, a mode that is not known, and facts that differ."""
+    intents = spark.createDataFrame([(1, "I", "case_application"), (2, "I", "case_application"), (3, "I", "rule_description"), (4, "I", None), (5, "I", "case_application")], "item_id long, intent_id string, mode string")
+    candidates = spark.createDataFrame([(2, "I", "U_GONE"), (9, "I", "U_OLD")] + [(i, "I", u) for i in (3, 4, 5) for u in ("U_OLD", "U_NEW", "U_OLD")], "item_id long, intent_id string, unit_id string")
+    rows = [(i, pos, "F_DATE", day(D(2030, 1, d)).row(), []) for i in (1, 3, 5) for pos, d in enumerate((11, 12))]
+    facts = spark.createDataFrame(rows, f"item_id long, pos int, field_id string, value {VALUE}, intent_ids array<string>")
+    got = {r.item_id: (r.active, r.unknown, r.missing, r.conflicts, r.claims) for r in rules.evaluate(intents, candidates, facts, TERM, D(2030, 1, 1)).collect()}
+    clash = ["CONFLICTING_FACT:F_DATE"]
+    assert got == {1: ([], [], [], clash, []), 2: ([], [], [], [], []), 3: ([], [], [], [], ["C_NEW", "C_OLD"]), 4: ([], [], [], [], []), 5: (["U_NEW"], [], [], clash, ["C_NEW"])}
+
+
+def test_only_small_tables_are_broadcast_by_hint(spark):
+    hinted = lambda rows: "ResolvedHint" in broadcast_if_small(spark.range(3), rows)._jdf.queryExecution().analyzed().toString()
+    assert hinted(3) and not hinted(2)
+
+
+def test_plans_of_predicates_stay_small(spark):
+    """Each comparison is in the plan once: the truth of a predicate given as data is a few hundred nodes, not thousands."""
+    row = spark.createDataFrame([("eq", day(D(2030, 1, 1)).row(), [day(D(2030, 1, 1)).row()])], f"operator string, fact {VALUE}, values array<{VALUE}>")
+    told = row.select(predicates.truth(F.col("operator"), F.col("fact"), F.col("fact"), F.col("values")).alias("t"))
+    assert told._jdf.queryExecution().analyzed().toString().count("regexp_replace") <= 24
+    assert told.first().t is True
