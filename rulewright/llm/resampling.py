@@ -1,6 +1,6 @@
 """Importance resampling towards a target distribution: hashed n-gram counts as compressed sparse rows, gains by bucket, weights by a sparse product, and a Gumbel top share.
 
-The counts of all documents are written once, as blocks of compressed rows (indptr, buckets, counts). Column sums over the blocks give the
+The counts of all documents are written once, as small blocks of compressed rows (indptr, buckets, counts): what a task reads together is a fixed number of table rows, so these must be short. Column sums over the blocks give the
 corpus's distribution over buckets, the target's texts give theirs the same way, and a bucket's gain is the floor of 1000 times the
 logarithm of their smoothed ratio. A document's weight is the floor of its mean gain, from the product of its row with the gains. A score is the weight and
 a Gumbel deviate that doc_id alone decides; the highest scores are drawn, which is sampling without replacement in proportion to
@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulewright.llm.common import CHUNK_CHARS, batch, lists, materialize, pick, session, with_row_ids
+from rulewright.llm.common import CHUNK_CHARS, batch, materialize, pick, session, with_row_ids
 from rulewright.operators.prefix import running
 
 BUCKETS = 10_000
 SEED = 2024
+#: Bytes of text in one block, or one document. Spark and Arrow hold thousands of table rows at once.
+BLOCK_BYTES = 1 << 14
 #: Bytes of words: digits, letters and all beyond ASCII, once A-Z is in lower case.
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _BLOCKS = pa.schema([("uid", pa.list_(pa.int64())), ("doc_id", pa.list_(pa.int64())), ("words", pa.list_(pa.int64())), ("indptr", pa.list_(pa.int32())), ("bucket", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
@@ -52,32 +54,39 @@ def counts(text: bytes, ngrams: int, buckets: int) -> tuple[int, np.ndarray, np.
 
 
 def count_blocks(docs: DataFrame, ngrams: int = 1, buckets: int = BUCKETS) -> DataFrame:
-    """The sparse matrix of documents by buckets, a row for each block of some megabytes of text. docs: uid, doc_id, text."""
+    """The sparse matrix of documents by buckets, a row for each block of about BLOCK_BYTES of text, at least one document. docs: uid, doc_id, text."""
     session(docs)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
         for b in batches:
+            whole: list[tuple] = []
+            held: list[tuple] = []
+            size = taken = 0
             for uid, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 data = text.as_buffer()
                 data = data.to_pybytes() if data else b""
+                if held and size + len(data) > BLOCK_BYTES:
+                    whole.append(_block(held))
+                    held, size = [], 0
+                if taken >= CHUNK_CHARS:
+                    yield batch(_BLOCKS, *map(list, zip(*whole, strict=True)))
+                    whole, taken = [], 0
                 held.append((uid, doc_id, *counts(data, ngrams, buckets)))
                 size += len(data) + 64
-                if size >= CHUNK_CHARS:
-                    yield _block(held)
-                    held, size = [], 0
-        if held:
-            yield _block(held)
+                taken += len(data) + 64
+            if held:
+                whole.append(_block(held))
+            if whole:
+                yield batch(_BLOCKS, *map(list, zip(*whole, strict=True)))
 
     return docs.select("uid", "doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b""))).mapInArrow(blocks, _BLOCKS_DDL)
 
 
-def _block(rows: list[tuple]) -> pa.RecordBatch:
+def _block(rows: list[tuple]) -> tuple:
     uid, doc_id, words, bucket, n = zip(*rows, strict=True)
     indptr = np.zeros(len(rows) + 1, np.int32)
     np.cumsum([len(b) for b in bucket], out=indptr[1:])
-    return batch(_BLOCKS, [list(uid)], [list(doc_id)], [list(words)], *[lists(v, np.array([len(v)]), pa.int32()) for v in (indptr, np.concatenate(bucket), np.concatenate(n))])
+    return uid, doc_id, words, indptr, np.concatenate(bucket), np.concatenate(n)
 
 
 def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -109,12 +118,13 @@ def weigh(blocks: DataFrame, gain: np.ndarray) -> DataFrame:
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                uid, doc_id, words, indptr, at, n = (b.column(j)[i].values for j in range(6))
-                indptr, n = indptr.to_numpy(), n.to_numpy().astype(np.int64)
-                sums = [np.concatenate([[0], np.cumsum(v)])[indptr] for v in (n, n * gain[at.to_numpy()])]
-                features, gained = (s[1:] - s[:-1] for s in sums)
-                yield batch(_ROWS, uid, doc_id, words, features, gained // np.maximum(features, 1))
+            uid, doc_id, words, indptr, at, n = (b.column(j).flatten() for j in range(6))
+            ends = np.cumsum(np.diff(b.column(3).offsets.to_numpy()))
+            lengths = np.delete(np.diff(indptr.to_numpy()), ends[:-1] - 1)  # each block's, without the steps from one block to the next
+            rows, n = np.concatenate([[0], np.cumsum(lengths)]), n.to_numpy().astype(np.int64)
+            sums = [np.concatenate([[0], np.cumsum(v)])[rows] for v in (n, n * gain[at.to_numpy()])]
+            features, gained = (s[1:] - s[:-1] for s in sums)
+            yield batch(_ROWS, uid, doc_id, words, features, gained // np.maximum(features, 1))
 
     return blocks.mapInArrow(product, _ROWS_DDL)
 

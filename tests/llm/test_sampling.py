@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,6 +175,17 @@ def test_matrix_is_whole(plain):
     assert sum(sum(b.n) for b in blocks) == sum(len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (r.text or "").lower())) for r in plain.collect())
 
 
+def test_blocks_of_the_matrix_are_short(spark):
+    """A task holds thousands of table rows at once, so a block has few documents; blocks read together give each document its own weight."""
+    docs = spark.range(3000).select(F.col("id").alias("uid"), F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("w"), F.col("id"), F.lit(" v ")), 50 + (F.col("id") % 7).cast("int")).alias("text")).coalesce(1)
+    blocks = resampling.count_blocks(docs).persist()
+    assert max(r.n for r in blocks.select(F.size("uid").alias("n")).collect()) * 250 <= resampling.BLOCK_BYTES
+    gain = np.arange(resampling.BUCKETS)
+    of = lambda word: zlib.crc32(word.encode()) % resampling.BUCKETS
+    got = {r.doc_id: (r.words, r.n_features, r.weight) for r in resampling.weigh(blocks, gain).collect()}
+    assert got == {k: (2 * (50 + k % 7), 2 * (50 + k % 7), (of(f"w{k}") + of("v")) // 2) for k in range(3000)}
+
+
 def test_empty_resampling(spark):
     empty = spark.createDataFrame([], DOCS)
     assert resampling.resample(empty, empty).count() == 0
