@@ -128,6 +128,29 @@ def test_intervals(spark):
     assert with_version(frame2, none).filter("version_id is null").count() == len(facts) and intervals.overlapping(frame.limit(0), ["k"], "i", ["i"]).count() == 0
 
 
+def test_intervals_of_small_keys_have_a_row_each(spark):
+    """Where keys have few intervals these are not spread over stretches, open or not; a key with many is cut into some."""
+    rows = [(k, i, None if i % 3 == 0 else D(2000 + i, 1, 1), None if i % 4 == 0 else D(2010 + i, 1, 1)) for k in range(20) for i in range(8)]
+    few = spark.createDataFrame(rows, "k int, i int, since date, until date")
+    scale = intervals._scale(few, "since", "until")
+    assert intervals._spread(intervals._cutter(few, ["k"])(few), "since", "until", scale).count() == len(rows)
+    rng = random.Random(5)
+    begun = [D(2020, 1, 1) + dt.timedelta(rng.randrange(3000)) for _ in range(3 * intervals.FEW)]
+    rows += [(99, i, d if i % 50 else None, d + dt.timedelta(rng.randrange(20)) if i % 70 else None) for i, d in enumerate(begun)]
+    frame = spark.createDataFrame(rows, "k int, i int, since date, until date")
+    scale = intervals._scale(frame, "since", "until")
+    spread = intervals._spread(intervals._cutter(frame, ["k"])(frame), "since", "until", scale)
+    assert {(r.k == 99, r.stretch > 0) for r in spread.collect()} == {(False, False), (True, False), (True, True)}
+    assert spread.count() < 1.5 * len(rows)
+    before = lambda a, b: a is None or b is None or a <= b
+    pairs = sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and before(a[2], b[3]) and before(b[2], a[3]))
+    assert sorted((r.k, r.left_i, r.right_i) for r in intervals.overlapping(frame, ["k"], "i", ["i"]).collect()) == pairs
+    facts = [(j, 99 if j % 2 else j % 30, D(2019, 1, 1) + dt.timedelta(13 * j) if j % 9 else None) for j in range(300)]
+    held = lambda f: [r[1] for r in rows if r[0] == f[1] and f[2] is not None and before(r[2], f[2]) and before(f[2], r[3])]
+    got = intervals.join_days(spark.createDataFrame(facts, "j int, k int, day date"), frame, "day", ["k"])
+    assert sorted(((r.j, r.i) for r in got.collect()), key=str) == sorted(((f[0], i) for f in facts for i in held(f) or [None]), key=str)
+
+
 def test_reversed_edges_need_two_known_beginnings(spark):
     units = spark.createDataFrame([("a", "G", "2020-01-01"), ("b", "G", "2021-01-01"), ("c", "G", None), ("d", "H", "2019-01-01"), ("e", "G", "2020-01-01")], "unit_id string, family_id string, effective_from string")
     edges = spark.createDataFrame([(x, y) for x, y in ("ab", "ba", "bc", "cb", "ad", "da", "ae", "ea", "de")], "unit_id string, target string")
