@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from jobs import common
 from rulewright.functions import text as T
-from rulewright.session import materialize, ship
+from rulewright.session import deal, materialize, ship
 from rulewright.sources import markdown
 
 LOG = logging.getLogger("jobs.evidence_index")
@@ -62,7 +62,7 @@ def run(spark: SparkSession, documents: str, output: str, config: dict) -> dict[
     ids = known.select("doc_id").distinct().count()
     counted = {"documents_read": read.count(), "documents_able": known.count()}
     LOG.info("read %d documents, %d of them with id and text, %d ids, %d contents from %s", *counted.values(), ids, kept.count(), documents)
-    texts = able.select("doc_id", "text")
+    texts = deal(able.select("doc_id", "text"), "doc_id")
     if ids < counted["documents_able"]:
         texts = texts.dropDuplicates(["doc_id"])
     # rows of a large source are dealt over many tasks and files, those of small ones brought together

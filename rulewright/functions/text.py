@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterable, Sequence
 from decimal import Decimal
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -139,9 +140,18 @@ def unit_names(units: Sequence[tuple[str, Sequence[str], str]]) -> dict[str, tup
     return out
 
 
+#: What every amount has before its unit's name: the last character of a number.
+_NUMBER_END = f"[0-9{_NUMERALS}]\\s*"
+
+
+def _listed(names: Iterable[str]) -> str:
+    """Names as alternatives of a pattern, longest first."""
+    return "|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n)))
+
+
 def _amounts(names: Iterable[str]) -> str:
     """A number and a unit's name, the longest that fits: groups number after a month, number after a year, any other number, name, character after."""
-    listed = "|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n)))
+    listed = _listed(names)
     number = f"([+-]?(?:[0-9]+(?:\\.[0-9]+)?|[{_NUMERALS}]+))"
     return f"(?:(?<={_BEFORE_DAY}){number}|(?<={_BEFORE_MONTH}){number}|{number})\\s*({listed})(?=((?s:.))|)"
 
@@ -149,17 +159,22 @@ def _amounts(names: Iterable[str]) -> str:
 def literals_by(text: Column, names: Column) -> Column:
     """The text's amounts as literals() finds them, by names of the row itself: array of (name in compatible form, unit_code, kind), each name once."""
     quoted = F.transform(F.array_sort(F.transform(names, lambda x: F.struct((-F.length(x["name"])).alias("n"), x["name"].alias("name")))), lambda x: F.concat(F.lit("\\Q"), x["name"], F.lit("\\E")))
-    before, after = _amounts("").split("()")
-    pattern = F.concat(F.lit("(?U)" + before + "("), F.array_join(quoted, "|"), F.lit(")" + after))
-    return F.when(text.isNull(), None).when(F.coalesce(F.size(names), F.lit(0)) <= 0, F.array().cast(AMOUNTS)).otherwise(_found(compatible(text), pattern, lambda name, part: F.try_element_at(F.map_from_entries(F.transform(names, lambda x: F.struct(x["name"], x[part]))), name)))
+    filled = lambda parts: F.concat(F.lit("(?U)" + parts[0] + "("), F.array_join(quoted, "|"), F.lit(")" + parts[1]))
+    pattern, end = filled(_amounts("").split("()")), filled((_NUMBER_END, ""))
+    some = lambda t: F.exists(names, lambda x: F.contains(t, x["name"])) & F.regexp_like(t, end)
+    return F.when(text.isNull(), None).when(F.coalesce(F.size(names), F.lit(0)) <= 0, F.array().cast(AMOUNTS)).otherwise(_found(compatible(text), pattern, some, lambda name, part: F.try_element_at(F.map_from_entries(F.transform(names, lambda x: F.struct(x["name"], x[part]))), name)))
 
 
-def _found(plain: Column, pattern: Column, told: Callable[[Column, str], Column]) -> Column:
-    part = lambda i: F.regexp_extract_all(plain, pattern, F.lit(i))
-    found = F.arrays_zip(part(1).alias("month"), part(2).alias("year"), part(3).alias("other"), part(4).alias("name"), part(5).alias("after"))
+def _found(plain: Column, pattern: Column, some: Callable[[Column], Column], told: Callable[[Column, str], Column]) -> Column:
+    """The amounts of a text in compatible form. Only a text that `some` holds for, which has an end of a number with a unit's name, is read for the groups of the pattern, once for each. The text and each token are bound by a
+    function on an array, so that what makes them is worked out once."""
+    part = lambda text, i: F.regexp_extract_all(text, pattern, F.lit(i))
+    groups = lambda text: F.arrays_zip(*[part(text, i + 1).alias(name) for i, name in enumerate(("month", "year", "other", "name", "after"))])
     dated = lambda x: ((x["name"] == "日") & (x["month"] != "")) | ((x["name"] == "月") & ((x["year"] != "") | x["after"].isin(*_AFTER_MONTH)))
-    amount = lambda x: F.struct(told(x["name"], "kind").alias("kind"), _number(F.concat(x["month"], x["year"], x["other"])).alias("raw"), told(x["name"], "unit_code").alias("unit_code"))
-    return F.filter(F.transform(F.filter(found, lambda x: ~dated(x)), amount), lambda x: x["raw"].isNotNull()).cast(AMOUNTS)
+    token = lambda x: F.struct(x["name"].alias("name"), F.concat(x["month"], x["year"], x["other"]).alias("token"))
+    amount = lambda x: F.struct(told(x["name"], "kind").alias("kind"), _number(x["token"]).alias("raw"), told(x["name"], "unit_code").alias("unit_code"))
+    read = lambda text: F.filter(F.transform(F.transform(F.filter(groups(text), lambda x: ~dated(x)), token), amount), lambda x: x["raw"].isNotNull()).cast(AMOUNTS)
+    return F.get(F.transform(F.array(plain), lambda text: F.when(text.isNotNull(), F.when(some(text), read(text)).otherwise(F.array().cast(AMOUNTS)))), F.lit(0))
 
 
 def literals(text: Column, units: Sequence[tuple[str, Sequence[str], str]]) -> Column:
@@ -168,7 +183,9 @@ def literals(text: Column, units: Sequence[tuple[str, Sequence[str], str]]) -> C
     if not names:
         return F.when(text.isNotNull(), F.array().cast(AMOUNTS))
     maps = {part: F.create_map(*[F.lit(x) for n, own in names.items() for x in (n, own[i])]) for i, part in enumerate(("unit_code", "kind"))}
-    return _found(compatible(text), F.lit("(?U)" + _amounts(names)), lambda name, part: maps[part][name])
+    end = F.lit(f"(?U){_NUMBER_END}(?:{_listed(names)})")
+    some = lambda t: reduce(Column.__or__, [F.contains(t, F.lit(n)) for n in sorted(names)]) & F.regexp_like(t, end)
+    return _found(compatible(text), F.lit("(?U)" + _amounts(names)), some, lambda name, part: maps[part][name])
 
 
 # the same for single texts on the driver

@@ -61,6 +61,11 @@ def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def deal(df: DataFrame, *by: str) -> DataFrame:
+    """The frame's rows (of one key together) over as many tasks as the session has shuffle partitions: for small rows of much work, which a file of one piece or Spark's merging of small partitions would leave to one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write the frame to a new table in the shared folder and read it back: its lineage ends there and lost executors lose nothing.
 

@@ -154,3 +154,19 @@ def test_jobs_import_nothing_of_the_corpus_operators():
         with open(path, encoding="utf-8") as f:
             lines = [line for line in f if line.startswith(("import ", "from "))]
         assert not any(word in line for line in lines for word in ("rulewright.llm", "corpus_pipeline"))
+
+
+def test_documents_of_one_file_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Blocks and their amounts are made in as many tasks as there are shuffle partitions, though the documents are few and in one file."""
+    from pyspark.sql import functions as F
+
+    from jobs import common, evidence_index
+
+    rows = [(i, f"Refund within {i} days of order {i}.", "en", "s") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    parts, made = [], evidence_index.blocks
+    monkeypatch.setattr(evidence_index, "blocks", lambda docs, config: parts.append(docs.select(F.spark_partition_id()).distinct().count()) or made(docs, config))
+    evidence_index.run(spark, str(tmp_path / "docs"), str(tmp_path / "out"), common.settings("evidence_index"))
+    assert parts == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
+    found = spark.read.schema(evidence_index.BLOCKS).parquet(str(tmp_path / "out/blocks"))
+    assert {(r.doc_id, r.amounts[0].raw) for r in found.collect()} == {(i, str(i)) for i in range(200)}
