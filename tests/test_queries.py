@@ -51,3 +51,10 @@ def test_entry_imports_and_runs(spark):
 
     assert entry.entry(spark).count() == 3
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_long_numbers_are_dealt_over_tasks(spark):
+    """A small table in one file is worked on by as many tasks as there are shuffle partitions."""
+    from pyspark.sql import functions as F
+
+    assert QUERIES["long_numbers"](spark, SF).select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
