@@ -12,26 +12,27 @@ from rulewright.llm.common import materialize
 SALTS = 32
 
 
-def _with_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Columns u, m: each node with its least neighbour; and the edges with that of their u. A node's neighbours are dealt by salt, so that one with very many is not one task."""
+def _with_least(edges: DataFrame) -> DataFrame:
+    """The edges with m, the least neighbour of their u. A node's neighbours are dealt by salt, so that one with very many is not one task.
+
+    The edges stand twice in the plan and meet by a sort, so that neither the plan nor what the driver would broadcast grows with the steps of a round.
+    """
     salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
     parts = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
-    least = parts.groupBy("u").agg(F.min("m").alias("m"))
-    return least, salted.join(parts.select("u", "salt").join(least, "u"), ["u", "salt"]).drop("salt")
+    least = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts"))  # no more than SALTS
+    return salted.join(least.select("u", F.explode("salts").alias("salt"), "m").hint("merge"), ["u", "salt"]).drop("salt")
 
 
 def _large(edges: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to the least node of its neighbourhood."""
-    both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    _, told = _with_least(both)
-    return told.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+    both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+    return _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Each node links itself and its smaller neighbours to the least of them. Edges run from the larger node u to the smaller v."""
-    least, told = _with_least(edges)
-    inner = told.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return inner.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
+    own = F.col("v") == F.col("m")  # the edge to the least neighbour is the node's own link
+    return _with_least(edges).select(F.when(own, F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:

@@ -15,7 +15,7 @@ from rulewright.llm.graph import SALTS, components
 
 _U = np.uint64
 _SIGNED = pa.schema([("uid", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("nodes", pa.list_(pa.int64()))])
-_SETS = pa.schema([("uid", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+_SETS = pa.schema([("uid", pa.int64()), ("grp", pa.int64()), ("copies", pa.int64()), ("blocks", pa.int32()), ("own", pa.int32()), ("shingles", pa.list_(pa.int64()))])
 _FOUND = pa.schema([("uid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 #: Shingles of one block of a candidate group; a task holds two blocks.
 BLOCK_SHINGLES = 1 << 20
@@ -60,27 +60,26 @@ def _linked_rows(rows: DataFrame, words: int, similarity: float, trees: int, max
                 done += len(texts)
 
     signed = materialize(rows.select("uid", "text").mapInArrow(sign, "uid long, a long, b long, n long, nodes array<long>"), "signed")
-    classes = materialize(signed.filter("n > 0").groupBy("a", "b").agg(F.min("uid").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("nodes").alias("nodes")), "classes")
+    classes = materialize(signed.filter("n > 0").groupBy("a", "b").agg(F.min("uid").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("nodes").alias("nodes"), F.first("n").alias("n")), "classes")
     member = classes.select("id", F.explode("nodes").alias("node"))
     centre = member.groupBy("node").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("node", "centre")
     met = member.join(centre, "node").filter("id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v"))
     near = components(met, "candidates")
-    near = near.unionAll(near.select(F.col("root").alias("u"), "root")).distinct().withColumnsRenamed({"u": "uid", "root": "grp"})
+    near = near.select(F.explode(F.array("u", "root")).alias("uid"), F.col("root").alias("grp")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            uid, done = b.column(0), 0
-            for texts in chunks(b.column(1).to_pylist()):
+            done = 0
+            for texts in chunks(b.column("text").to_pylist()):
                 values, counts = W.shingles(W.Words(texts), words)
-                yield batch(_SETS, uid.slice(done, len(texts)), lists(values.view(np.int64), counts, pa.int64()))
+                yield batch(_SETS, *(b.column(c).slice(done, len(texts)) for c in _SETS.names[:-1]), lists(values.view(np.int64), counts, pa.int64()))
                 done += len(texts)
 
-    near = near.join(classes.select(F.col("id").alias("uid"), "copies"), "uid")
-    sizes = signed.select("uid", "n").join(near, "uid").groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(block_shingles))).cast("int").alias("blocks"))
+    near = materialize(classes.select(F.col("id").alias("uid"), "copies", "n").join(near, "uid"), "grouped")
+    sizes = near.groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(block_shingles))).cast("int").alias("blocks"))
     placed = near.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
-    texts = rows.select("uid", "text").join(placed, "uid")
-    held = texts.select("uid", "text").mapInArrow(sets, "uid long, shingles array<long>")
-    units = held.join(placed, "uid").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "own", "uid", "copies", "shingles")
+    texts = rows.select("uid", "text").join(placed, "uid").select("text", *_SETS.names[:-1])
+    units = texts.mapInArrow(sets, "uid long, grp long, copies long, blocks int, own int, shingles array<long>").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "own", "uid", "copies", "shingles")
     units = units.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "uid", "copies", "shingles")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from rulewright.llm import bpe, fingerprint, jaccard_join, language, licences, neighbours, packing, passages, pii, quality
+from rulewright.llm import bpe, fingerprint, graph, jaccard_join, language, licences, neighbours, packing, passages, pii, quality
 from rulewright.llm import words as W
 from rulewright.llm.common import tokenizer_path
 
@@ -127,6 +127,27 @@ def test_jaccard_join(spark, texts, block):
     assert got == brute_links(own)
 
 
+def test_a_round_of_components_has_a_small_plan_and_no_broadcast(spark):
+    """What the driver holds grew with the plans: the edges stood in one more than 20 times, and small ones were broadcast in each join."""
+    rng = random.Random(5)
+    pairs = [(0, v) for v in range(1, 300)] + [(rng.randrange(300, 900), rng.randrange(300, 900)) for _ in range(400)]  # one node with many neighbours, and chains
+    edges = spark.createDataFrame([p for p in pairs if p[0] != p[1]], "u long, v long").repartition(3)
+    one = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    plan = graph._small(graph._large(one))._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("LogicalRDD") <= 4
+    assert "Broadcast" not in plan.executedPlan().toString()
+    root = {n: n for p in pairs for n in p}
+    for _ in root:
+        fell = False
+        for u, v in pairs:
+            low = min(root[u], root[v])
+            fell |= root[u] != low or root[v] != low
+            root[u] = root[v] = low
+        if not fell:
+            break
+    assert {r["u"]: r["root"] for r in graph.components(edges).collect()} == {n: r for n, r in root.items() if n != r}
+
+
 def test_recall_and_shortening():
     assert jaccard_join.shortened(0.8, 36, 10, 0.99999) == 5 and jaccard_join.recall(0.8, 36, 5) >= 0.99999 > jaccard_join.recall(0.8, 36, 6)
 
