@@ -16,7 +16,7 @@ from rulewright.functions.kleene import all_of, any_of
 from rulewright.functions.values import identical
 from rulewright.operators import predicates
 from rulewright.plans.contract import Contract, Tables, Unit
-from rulewright.session import broadcast_if_small
+from rulewright.session import TASK_ROWS, broadcast_if_small, tasks_for
 
 _STRINGS = "array<string>"
 
@@ -111,20 +111,22 @@ def _settled(cases: DataFrame) -> DataFrame:
     return cases.withColumns({"active": F.filter("kept", lambda u: u["truth"] & ~within("doubted", u)), "open": F.filter("kept", lambda u: u["truth"].isNull() | (u["truth"] & within("doubted", u)))})
 
 
-def evaluate(intents: DataFrame, candidates: DataFrame, facts: DataFrame, contract: Contract, as_of: dt.date) -> DataFrame:
+def evaluate(intents: DataFrame, candidates: DataFrame, facts: DataFrame, contract: Contract, as_of: dt.date, task_rows: int = TASK_ROWS) -> DataFrame:
     """Columns item_id, intent_id, active, unknown, missing, conflicts, claims (sorted arrays) for each intent (item_id, intent_id, mode: one row each).
 
-    An intent in mode rule_description evaluates nothing and may use the claims of all candidates; one whose mode is null has nothing. Intents, their facts and their candidates are dealt by intent once; what an intent gathers is no more than
+    An intent in mode rule_description evaluates nothing and may use the claims of all candidates; one whose mode is null has nothing. Intents, their facts and their candidates are dealt by intent once, about task_rows intents a task; what an intent gathers is no more than
     the contract's units and fields.
     """
     key = ["item_id", "intent_id"]
     applied = F.coalesce(F.col("mode") != "rule_description", F.lit(False))
     none, no_units = F.array().cast(_STRINGS), F.array().cast("array<struct<unit_id:string,truth:boolean,missing:array<string>,conflicts:array<string>,targets:array<string>,claims:array<string>>>")
     clash = F.array_sort(F.collect_set(F.when(F.col("conflict"), F.concat(F.lit("CONFLICTING_FACT:"), "field_id"))))
-    seen = visible_facts(facts, intents.filter(applied).select(*key))
+    tasks = tasks_for(intents.select(*key), task_rows)
+    dealt = lambda df, *by: df.repartition(tasks, *by) if tasks else df
+    seen = visible_facts(dealt(facts, "item_id"), intents.filter(applied).select(*key))
     told = seen.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("field_id", "value"))).alias("facts"), clash.alias("clash"))
-    named = candidates.groupBy(*key).agg(F.collect_set("unit_id").alias("named"))
-    cases = intents.select(*key, "mode", applied.alias("applied")).join(told, key, "left").join(named, key, "left")
+    named = dealt(candidates.select(*key, "unit_id"), *key).groupBy(*key).agg(F.collect_set("unit_id").alias("named"))
+    cases = dealt(intents.select(*key, "mode", applied.alias("applied")), *key).join(told.hint("merge"), key, "left").join(named.hint("merge"), key, "left")  # a row for each intent, which Spark may take for small and broadcast
     rows = cases.withColumn("unit_id", F.explode_outer("named")).join(contract.tables(intents.sparkSession).small("programs"), "unit_id", "left")
     rows = _judged(rows.withColumn("groups", F.when(F.col("applied"), F.col("groups"))), as_of)
     unit = F.struct("unit_id", "truth", "missing", "conflicts", "targets", "claims")

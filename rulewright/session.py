@@ -66,6 +66,16 @@ def deal(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
+#: Rows of one task where a task's memory would else grow with what Spark's merging of small partitions leaves to it: rows that compress well look small to it.
+TASK_ROWS = 50_000
+
+
+def tasks_for(df: DataFrame, rows: int = TASK_ROWS) -> int | None:
+    """In how many partitions a key's rows are to be dealt so that one has about so many of the frame's at most; no fewer than the session's, as Spark would deal them anew. None if all are no more than that. Counts the frame."""
+    n = df.count()
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // rows)) if n > rows else None
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write the frame to a new table in the shared folder and read it back: its lineage ends there and lost executors lose nothing.
 

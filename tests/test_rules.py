@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import random
+import re
 from decimal import Decimal, localcontext
 
 import pytest
@@ -270,3 +271,17 @@ def test_plans_of_predicates_stay_small(spark):
     told = row.select(predicates.truth(F.col("operator"), F.col("fact"), F.col("fact"), F.col("values")).alias("t"))
     assert told._jdf.queryExecution().analyzed().toString().count("regexp_replace") <= 24
     assert told.first().t is True
+
+
+def test_many_intents_are_dealt_by_their_number_and_never_broadcast(spark):
+    """Spark takes rows that compress well for small: it broadcast a table of all intents and left its rows to few tasks."""
+    n = 500
+    intents = spark.range(n).select(F.col("id").alias("item_id"), F.lit("I").alias("intent_id"), F.lit("case_application").alias("mode"))
+    contract = Contract(units=(Unit("U", "G", ((Predicate("A", "exists", ()),),), ()),))
+    candidates = intents.select("item_id", "intent_id", F.lit("U").alias("unit_id"))
+    facts = spark.createDataFrame([(i, 0, "A", gb(1, "GB").row(), []) for i in range(0, n, 2)], f"item_id long, pos int, field_id string, value {VALUE}, intent_ids array<string>")
+    found = rules.evaluate(intents, candidates, facts, contract, D(2030, 1, 1), task_rows=50)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"SortMergeJoin .*LeftOuter", plan)) == 2  # facts and candidates of the intents
+    assert len(re.findall(r"hashpartitioning\(.*, 10\), REPARTITION_BY_NUM", plan)) >= 3
+    assert {r.item_id: (r.active, r.unknown) for r in found.collect()} == {i: (["U"], []) if i % 2 == 0 else ([], []) for i in range(n)}
