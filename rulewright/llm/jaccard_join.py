@@ -78,7 +78,8 @@ def _linked_rows(rows: DataFrame, words: int, similarity: float, trees: int, max
     near = materialize(classes.select(F.col("id").alias("uid"), "copies", "n").join(near, "uid"), "grouped")
     sizes = near.groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(block_shingles))).cast("int").alias("blocks"))
     placed = near.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
-    texts = rows.select("uid", "text").join(placed, "uid").select("text", *_SETS.names[:-1])
+    # the texts meet their groups by a sort at any size, as few groups would be broadcast and only many have the texts shuffled
+    texts = rows.select("uid", "text").join(placed.hint("merge"), "uid").select("text", *_SETS.names[:-1])
     units = texts.mapInArrow(sets, "uid long, grp long, copies long, blocks int, own int, shingles array<long>").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "own", "uid", "copies", "shingles")
     units = units.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "uid", "copies", "shingles")
 

@@ -286,6 +286,21 @@ def test_passages_whose_parts_occur_elsewhere(spark):
     assert left[3] == rows[3][:25] + rows[3][85:] and left[2001] == rows[2001][:5] + rows[2001][60:] and left[2] == rows[2]
 
 
+def test_texts_meet_their_groups_alike_at_any_size(spark, monkeypatch):
+    """A few groups are not broadcast to the texts, so what is shuffled grows as the texts do."""
+    plans, write = {}, jaccard_join.materialize
+
+    def record(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(jaccard_join, "materialize", record)
+    text = " ".join(f"w{i}" for i in range(40))
+    frame = spark.createDataFrame([(i, f"{text} x{i // 2}") for i in range(6)], "doc_id long, text string")
+    assert {r.class_id for r in jaccard_join.jaccard_join(frame).collect()} == {0}
+    assert "SortMergeJoin [uid" in plans["found"] and "BroadcastHashJoin [uid" not in plans["found"]
+
+
 def by_windows(texts, size=50):
     """By document the words that lie in a run of `size` words which an earlier document has too."""
     first, out = {}, {}
