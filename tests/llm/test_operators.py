@@ -454,6 +454,60 @@ def test_recall_of_passages(spark):
         assert np.mean(own) >= least
 
 
+def test_similar_passages_whose_seeds_are_frequent(spark):
+    """A changed copy is met though each of its words stands in many other documents before it and between, in pieces too short for a passage."""
+    rng = np.random.default_rng(7)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    plain, mixed = [], []
+    for i in range(40):
+        base, body = 1000 * i, words(60)
+        changed = [x if rng.random() >= (0.05, 0.1, 0.15)[i % 3] else f"z{j}" for j, x in enumerate(body)]
+        whole = [(base + 100, " ".join(words(80) + body + words(80))), (base + 500, " ".join(words(80) + changed + words(80)))]
+        pieces = [(base + s + 2 * t + u, " ".join(words(60) + body[10 * t : 10 * t + 20] + words(60))) for s in (0, 200, 300) for t in range(5) for u in range(2)]
+        plain += whole
+        mixed += whole + pieces
+    of = lambda rows: {(r.doc_id, r.other_doc_id) for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    expected, got = of(plain), of(mixed)
+    assert len(expected) >= 36
+    assert expected <= got
+
+
+@pytest.mark.parametrize("pairs", [1 << 18, 8])
+def test_meetings_leave_no_word_that_a_stretch_holds(monkeypatch, pairs):
+    """Against all pairs of occurrences: their ties reach each bare word that any pair's stretches reach, at most as many ties as bare words."""
+    monkeypatch.setattr(passages, "PAIRS", pairs)  # lists of pairs, and blocks of many
+    rng = np.random.default_rng(3)
+    for size, share in ((10, 0.8), (12, 0.6)):
+        n, width = 200, 25
+        group, uid = np.sort(rng.integers(0, 6, n)) * 7, np.zeros(n, np.int64)
+        for g in np.unique(group):
+            uid[group == g] = np.sort(rng.integers(0, 30, (group == g).sum()))
+        words = rng.integers(1, 4, (n, width)).astype(np.uint8)
+        kin = rng.integers(0, n, n)
+        words[: n // 2] = np.where(rng.random((n // 2, width)) < 0.8, words[kin[: n // 2]], words[: n // 2])
+        words[rng.random(n) < 0.2, -4:] = 0
+        words[5::9] = words[4::9][: len(words[5::9])]
+        bare = (rng.random((n, width)) < 0.3) & (words > 0) & (rng.random(n) < 0.7)[:, None]
+        met = rng.random(n) < 0.9
+        i, j = passages.Meeting(group, uid, words, bare, met, size, share).ties()
+
+        def held(a: int, b: int) -> np.ndarray:
+            same, inside = words[a] == words[b], (words[a] > 0) & (words[b] > 0)  # noqa: B023
+            out = np.zeros(width, bool)  # noqa: B023
+            for s, t in itertools.combinations(range(width + 1), 2):  # noqa: B023
+                if t - s >= size and same[s:t].sum() >= share * (t - s) - 1e-9 and inside[s:t].all():  # noqa: B023
+                    out[s:t] = True
+            return out
+
+        for a in range(n):
+            others = np.flatnonzero((group == group[a]) & (uid < uid[a]) & met)
+            want = np.any([np.zeros(width, bool), *(held(a, b) for b in others)], axis=0)
+            mine = j[i == a]
+            assert np.isin(mine, others).all() and len(mine) <= bare[a].sum()
+            have = np.any([np.zeros(width, bool), *(held(a, b) for b in mine)], axis=0)
+            assert (have & bare[a] == want & bare[a]).all()
+
+
 def test_chains_are_optimal():
     rng = random.Random(5)
     for _ in range(200):
