@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rulewright.functions.values import VALUE
 from rulewright.operators import analysis_checks, contract_checks
+from rulewright.plans import defects
 from rulewright.plans.contract import Claim, Contract, Predicate, Unit, Value
 
 D = dt.date
@@ -194,3 +195,25 @@ def test_missing_companion(spark):
 def test_boolean_forms():
     yes, no = analysis_checks.boolean_forms("是否完成")
     assert "完成" in yes and {"未完成", "不完成", "完成为否"} <= no and "完成" not in no
+
+
+def _broadcast_subtrees(frame) -> list[str]:
+    """Of the planned query, what is under each broadcast."""
+    lines = frame._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-*(0123456789)")) for line in lines]
+    out = []
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            out.append("\n".join(lines[i:end]))
+    return out
+
+
+def test_tables_of_items_are_never_broadcast(spark):
+    """However small Spark takes them for: all of them would go through the driver."""
+    rows = defects.items(spark.range(50).withColumnRenamed("id", "item_id"))
+    blocks = spark.createDataFrame(defects.BLOCKS, "block_id string, text string")
+    found = analysis_checks.check(rows, defects.sound(), blocks, F.lit(D(2030, 2, 1)))
+    held = _broadcast_subtrees(found)
+    assert held
+    assert not [x for x in held if " Range (" in x]
