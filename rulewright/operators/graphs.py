@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulewright.session import materialize, ship
+from rulewright.session import deal, materialize, ship
 
 
 def reachable(edges: DataFrame, source: str, target: str, key: Sequence[str] = ()) -> DataFrame:
@@ -73,21 +73,25 @@ def cycles(edges: DataFrame, source: str, target: str, key: Sequence[str] = (),
     """
     ship(edges.sparkSession)
     kind = edges.schema[source].dataType.simpleString()
-    keyed = list(key) or ["_all"]
-    rows = edges.withColumn("_all", F.lit(0)).filter(F.col(source).isNotNull() & F.col(target).isNotNull())
-    by = list(order) or [source, target]
-    schema = ", ".join([*(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keyed), f"start {kind}", f"path array<{kind}>"])
-
-    def walk(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(by)
-        found = list(_met(zip(own[source], own[target], strict=True), dict.fromkeys(own[source])))
-        if not order:
-            turned = [(p[:-1].index(min(p)), p[:-1]) for p in found]
-            found = [[*p[i:], *p[:i], p[i]] for i, p in turned]
-        columns = {k: [own[k].iloc[0]] * len(found) for k in keyed} | {"start": [p[0] for p in found], "path": found}
-        return pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in columns.items()})
-
-    return rows.select(*dict.fromkeys([*keyed, source, target, *by])).groupBy(*keyed).applyInPandas(walk, schema).select(*key, "start", "path")
+    rows = edges.filter(F.col(source).isNotNull() & F.col(target).isNotNull())
+    by, n = list(order) or [source, target], len(key)
+    schema = ", ".join([*(f"{k} {rows.schema[k].dataType.simpleString()}" for k in key), f"start {kind}", f"path array<{kind}>"])
+    rows = rows.select(*key, source, target, *[c for c in dict.fromkeys(by) if c not in (*key, source, target)])
+    dealt = deal(rows, *key) if key else rows.repartition(1)
+
+    def turned(path: list) -> list:
+        i = path.index(min(path))
+        return [*path[i:-1], *path[:i], path[i]]
+
+    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (row for part in parts for row in part.itertuples(index=False, name=None))
+        graphs = ((own, [(r[n], r[n + 1]) for r in of]) for own, of in itertools.groupby(rows, key=lambda r: r[:n]))
+        found = ((own, p if order else turned(p)) for own, near in graphs for p in _met(near, dict.fromkeys(s for s, _ in near)))
+        while some := list(itertools.islice(found, 1000)):
+            columns = {k: [own[i] for own, _ in some] for i, k in enumerate(key)} | {"start": [p[0] for _, p in some], "path": [p for _, p in some]}
+            yield pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in columns.items()})
+
+    return dealt.sortWithinPartitions(*key, *by).mapInPandas(walk, schema)
 
 
 def mutual(edges: DataFrame, source: str, target: str, key: Sequence[str] = ()) -> DataFrame:

@@ -61,6 +61,11 @@ def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def by_sort(df: DataFrame) -> DataFrame:
+    """The frame for a join by a sort. Spark takes rows that are made in a plan for as small as the part of a file that they are made from, and would broadcast any number of them through the driver."""
+    return df.hint("merge")
+
+
 def deal(df: DataFrame, *by: str) -> DataFrame:
     """The frame's rows (of one key together) over as many tasks as the session has shuffle partitions: for small rows of much work, which a file of one piece or Spark's merging of small partitions would leave to one task."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)

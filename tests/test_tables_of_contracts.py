@@ -155,3 +155,14 @@ def test_reversed_edges_need_two_known_beginnings(spark):
     units = spark.createDataFrame([("a", "G", "2020-01-01"), ("b", "G", "2021-01-01"), ("c", "G", None), ("d", "H", "2019-01-01"), ("e", "G", "2020-01-01")], "unit_id string, family_id string, effective_from string")
     edges = spark.createDataFrame([(x, y) for x, y in ("ab", "ba", "bc", "cb", "ad", "da", "ae", "ea", "de")], "unit_id string, target string")
     assert [tuple(r) for r in build.reversed_edges(edges, units).collect()] == [("a", "b")]
+
+
+def test_tables_of_contracts_are_never_broadcast(spark):
+    """However small Spark takes them for: all of them would go through the driver. The walk of cycles takes all graphs of a task in one go, not each by itself."""
+    numbers = spark.range(40).select(F.col("id").alias("m"), (F.col("id") % 25).alias("n"))
+    made, blocks, sources = defects.contracts(numbers)
+    whole, _ = contract_tables.parse(made)
+    codes = frozenset(["UNBOUND_EVIDENCE", "UNKNOWN_EVIDENCE", "UNKNOWN_TOPIC", "INVALID_ENUM_DEFINITION", "NUMERIC_EVIDENCE_WITHOUT_CLAIM", "OVERRIDE_CYCLE", "UNKNOWN_COMPANION", "UNIT_KIND_CONFLICT", "LOST_CAUSAL_QUALIFIER"])
+    plan = contract_checks.check_tables(contract_tables.tables(whole), blocks, sources, codes)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert "FlatMapGroupsInPandas" not in plan
